@@ -1,0 +1,227 @@
+"""Ordered classifications and small logical spaces, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: (dialect, weight, pattern); a signal counts once, however often it occurs.
+SIGNALS = [
+    ("ORACLE", 3, r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:PROCEDURE|FUNCTION|PACKAGE)\b[^;]*?\b(?:IS|AS)\b\s+(?:BEGIN|\w+\s+(?:NUMBER|VARCHAR2|DATE)\b)"),
+    ("ORACLE", 3, r"(?i)\bVARCHAR2\b"),
+    ("ORACLE", 2, r"(?i)\bNVL\s*\("),
+    ("ORACLE", 2, r"(?i)\bSYSDATE\b"),
+    ("ORACLE", 2, r"(?i)%(?:ROW)?TYPE\b"),
+    ("ORACLE", 2, r"(?i)\bELSIF\b"),
+    ("ORACLE", 2, r"(?i)\bEXCEPTION\s+WHEN\b"),
+    ("ORACLE", 2, r"(?i)\bEND\s+LOOP\b"),
+    ("ORACLE", 1, r":="),
+    ("ORACLE", 1, r"(?i)\bFROM\s+DUAL\b"),
+    ("ORACLE", 1, r"\|\|"),
+    ("TSQL", 3, r"(?i)\bSET\s+NOCOUNT\s+ON\b"),
+    ("TSQL", 3, r"(?i)\bBEGIN\s+(?:TRY|TRAN(?:SACTION)?)\b"),
+    ("TSQL", 2, r"(?im)^\s*GO\s*$"),
+    ("TSQL", 2, r"(?i)\bDECLARE\s+@\w+"),
+    ("TSQL", 2, r"(?i)\bISNULL\s*\("),
+    ("TSQL", 2, r"(?i)\bGETDATE\s*\(\s*\)"),
+    ("TSQL", 2, r"(?i)\bDATEADD\s*\("),
+    ("TSQL", 2, r"\[\w+\]\.\[\w+\]"),
+    ("TSQL", 2, r"(?i)\b(?:FROM|INTO|JOIN|UPDATE)\s+##?\w+"),
+    ("TSQL", 1, r"@\w+"),
+    ("TSQL", 1, r"(?i)\bWITH\s*\(\s*NOLOCK\s*\)"),
+    ("POSTGRES", 3, r"(?i)\bLANGUAGE\s+'?plpgsql'?"),
+    ("POSTGRES", 2, r"\$\$"),
+    ("POSTGRES", 2, r"(?i)\bRAISE\s+NOTICE\b"),
+    ("POSTGRES", 2, r"(?i)\bRETURNS\s+(?:TRIGGER|SETOF|TABLE)\b"),
+    ("POSTGRES", 1, r"::\w+"),
+    ("POSTGRES", 1, r"(?i)\bPERFORM\s+\w+"),
+    ("POSTGRES", 1, r"(?i)\bILIKE\b"),
+    ("POSTGRES", 1, r"(?i)\bON\s+CONFLICT\b"),
+    ("POSTGRES", 1, r"(?i)\bSERIAL\b"),
+]
+
+
+def scores(text: Column) -> dict[str, Column]:
+    out = {}
+    for dialect in ("ORACLE", "TSQL", "POSTGRES"):
+        total = F.lit(0)
+        for name, weight, pattern in SIGNALS:
+            if name == dialect:
+                total = total + F.when(text.rlike(pattern), weight).otherwise(0)
+        out[dialect] = total
+    return out
+
+
+def dialect(oracle: Column, tsql: Column, postgres: Column, hint: Column | None = None) -> Column:
+    """Struct (dialect, confidence) by scores; a known hint wins."""
+    top, lead = F.greatest(oracle, tsql), F.abs(oracle - tsql)
+    winner = F.when(oracle > tsql, "ORACLE").otherwise("TSQL")
+    told = F.lit(None).cast("string") if hint is None else F.when(F.upper(F.trim(hint)).isin("ORACLE", "TSQL"), F.upper(F.trim(hint)))
+    name = (
+        F.when(told.isNotNull(), told)
+        .when((postgres >= 3) & (postgres >= top), "UNSUPPORTED")
+        .when((oracle == 0) & (tsql == 0), "UNKNOWN")
+        .when((oracle > 0) & (tsql > 0) & (lead <= 1), "AMBIGUOUS")
+        .when((top >= 3) & (lead >= 2), winner)
+        .otherwise("UNKNOWN")
+    )
+    sure = F.when(told.isNotNull() | ((top >= 4) & (lead >= 2)), "high").when((top >= 3) & (lead >= 2), "medium").otherwise("low")
+    return F.struct(name.alias("dialect"), sure.alias("confidence"))
+
+
+def dialects(objects: DataFrame, text: str = "text", hint: str | None = None) -> DataFrame:
+    found = scores(F.col(text))
+    scored = objects.withColumns({f"{k.lower()}_score": v for k, v in found.items()})
+    return scored.withColumn("detected", dialect(F.col("oracle_score"), F.col("tsql_score"), F.col("postgres_score"), F.col(hint) if hint else None))
+
+
+OBJECTS = [("PROCEDURE", r"PROC(?:EDURE)?"), ("FUNCTION", "FUNCTION"), ("TRIGGER", "TRIGGER"), ("VIEW", "VIEW"), ("PACKAGE", "PACKAGE")]
+
+
+def object_type(text: Column, filename: Column | None = None) -> Column:
+    """The first pattern that fits; else by the name's part before .sql."""
+    head = [F.when(text.rlike(rf"(?i)\b(?:CREATE|ALTER)\s+(?:OR\s+(?:REPLACE|ALTER)\s+)?{p}\b"), name) for name, p in OBJECTS]
+    named = [] if filename is None else [F.when(filename.rlike(rf"(?i)\.(?:Stored)?{p}\b"), name) for name, p in OBJECTS]
+    return F.coalesce(*head, *named, F.when(text.rlike(r"(?i)^\s*(?:DECLARE|BEGIN)\b"), "BLOCK"), F.lit("UNKNOWN"))
+
+
+def object_name(text: Column) -> Column:
+    """Struct (schema, name) of the header, brackets and quotes off."""
+    qualified = F.regexp_extract(text, r"(?i)\b(?:CREATE|ALTER)\s+(?:OR\s+(?:REPLACE|ALTER)\s+)?(?:PROC(?:EDURE)?|FUNCTION|TRIGGER|VIEW|PACKAGE(?:\s+BODY)?)\s+([\w\[\]\"$#.]+)", 1)
+    parts = F.split(F.translate(qualified, '[]"', ""), r"\.")
+    return F.struct(F.when(F.size(parts) > 1, F.element_at(parts, -2)).alias("schema"), F.nullif(F.element_at(parts, -1), F.lit("")).alias("name"))
+
+
+def hardcoded_dates(code: Column) -> Column:
+    """Date literals of executable text."""
+    return F.regexp_extract_all(code, F.lit(r"'(\d{4}-\d{2}-\d{2}|\d{4}\d{2}\d{2}|\d{1,2}[-/]\w{3}[-/]\d{2,4}|\d{1,2}/\d{1,2}/\d{4})'"), F.lit(1))
+
+
+def called_procedures(code: Column) -> Column:
+    """Static EXEC targets."""
+    return F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?i)\bEXEC(?:UTE)?\s+(?!IMMEDIATE\b|sp_executesql\b)(?:@\w+\s*=\s*)?((?:\[?[A-Za-z_]\w*\]?\.){0,2}\[?[A-Za-z_]\w*\]?)"), F.lit(1)))
+
+
+def dynamic_sql(code: Column) -> Column:
+    return code.rlike(r"(?i)\bEXECUTE\s+IMMEDIATE\b|\bDBMS_SQL\b|\bEXEC(?:UTE)?\s*\(|\bEXEC(?:UTE)?\s+@\w+\s*(?!\s*=)|\bsp_executesql\b")
+
+
+def decision_points(code: Column) -> Column:
+    return F.size(F.regexp_extract_all(code, F.lit(r"(?i)\b(?:IF|ELSIF|ELSEIF|CASE|WHEN|WHILE|MERGE)\b"), F.lit(0)))
+
+
+def ledger_status(represented: Column, filtered: Column, retained: Column, referenced: Column, parsed: Column) -> Column:
+    return F.when(represented, "REPRESENTED").when(filtered, "FILTERED").when(retained, "RETAINED").when(referenced, "REFERENCED").when(~parsed, "UNPARSED").otherwise("MISSING")
+
+
+RANK = ("low", "medium", "high")
+
+
+def higher_confidence(a: Column, b: Column) -> Column:
+    """The larger by rank."""
+    rank = lambda x: F.array_position(F.array(*map(F.lit, RANK)), x)
+    return F.get(F.array(*map(F.lit, RANK)), (F.greatest(rank(a), rank(b)) - 1).cast("int"))
+
+
+def support_confidence(parsed: Column, technical: Column, warnings: Column) -> Column:
+    return F.when(parsed & (technical > 0) & (warnings == 0), "high").when(parsed & (technical > 0), "medium").when(parsed & (warnings == 0), "medium").otherwise("low")
+
+
+def rule_confidence(status: Column, spans: Column, support: Column, deterministic: Column) -> Column:
+    return (
+        F.when(status == "CONFLICT", "low").when(deterministic & (spans > 0), "high").when((status == "MATCHED") & (spans > 0) & (support == "high"), "high")
+        .when((status == "MATCHED") & (spans > 0), "medium").when((status == "UNRESOLVED") & (spans > 0), "medium").otherwise("low")
+    )
+
+
+_COMPARISON = r"(?i)^\s*\(*\s*([\w.\[\]@#]+)\s*(<>|!=|>=|<=|=|>|<)\s*(.+?)\s*\)*\s*$"
+
+
+def comparison(text: Column) -> Column:
+    """Struct (left, op, right); null for compound predicates."""
+    part = lambda i: F.regexp_extract(text, _COMPARISON, i)
+    simple = text.rlike(_COMPARISON) & ~text.rlike(r"(?i)\b(?:AND|OR)\b")
+    return F.when(simple, F.struct(part(1).alias("left"), F.when(part(2) == "!=", "<>").otherwise(part(2)).alias("op"), part(3).alias("right")))
+
+
+def simple_scalar(text: Column) -> Column:
+    return F.trim(text).rlike(r"^(?:N?'[^']*'|[-+]?\d+(?:\.\d+)?|\d{4}-\d{2}-\d{2}|\w+)$")
+
+
+def space(text: Column) -> Column:
+    """What a condition admits: (left, kind, lower, upper, with_lower,
+    with_upper, values); kind is equal, range, set, negated_set, null,
+    not_null, else or opaque."""
+    t = F.trim(text)
+    between = r"(?i)^([\w.]+)\s+BETWEEN\s+(-?\d+(?:\.\d+)?)\s+AND\s+(-?\d+(?:\.\d+)?)$"
+    inside = r"(?i)^([\w.]+)\s+(NOT\s+)?IN\s*\((.*)\)$"
+    null = r"(?i)^([\w.]+)\s+IS\s+(NOT\s+)?NULL$"
+    compare = r"^([\w.]+)\s*(<>|!=|>=|<=|=|>|<)\s*(.+)$"
+    x = lambda p, i: F.regexp_extract(t, p, i)
+    number = lambda c: c.try_cast("double")
+    op, right = x(compare, 2), x(compare, 3)
+    members = F.transform(F.split(x(inside, 3), r"\s*,\s*"), lambda v: F.lower(F.trim(v)))
+    bound = number(F.when(t.rlike(compare), right))
+    kind = (
+        F.when(t.rlike("(?i)^(?:ELSE|OTHERWISE|DEFAULT)$"), "else").when(t.rlike(r"(?i)\b(?:AND|OR)\b") & ~t.rlike(between), "opaque").when(t.rlike(between), "range")
+        .when(t.rlike(null), F.when(x(null, 2) == "", "null").otherwise("not_null")).when(t.rlike(inside), F.when(x(inside, 2) == "", "set").otherwise("negated_set"))
+        .when(t.rlike(compare) & op.isin("<>", "!="), "negated_set").when(t.rlike(compare) & (op == "="), "equal").when(t.rlike(compare) & bound.isNotNull(), "range").otherwise("opaque")
+    )
+    left = F.lower(F.coalesce(*(F.nullif(x(p, 1), F.lit("")) for p in (between, inside, null, compare))))
+    is_between = t.rlike(between)
+    lower = F.when(is_between, number(x(between, 2))).when(op.isin(">", ">="), bound)
+    upper = F.when(is_between, number(x(between, 3))).when(op.isin("<", "<="), bound)
+    values = F.when(t.rlike(inside), members).when(t.rlike(compare) & op.isin("=", "<>", "!="), F.array(F.lower(F.trim(right)))).otherwise(F.array().cast("array<string>"))
+    ranged = kind == "range"
+    return F.struct(left.alias("left"), kind.alias("kind"), F.when(ranged, lower).alias("lower"), F.when(ranged, upper).alias("upper"), (ranged & (is_between | (op == ">="))).alias("with_lower"), (ranged & (is_between | (op == "<="))).alias("with_upper"), values.alias("values"))
+
+
+def spaces_overlap(a: Column, b: Column) -> Column:
+    """Whether some value may satisfy both.
+
+    Two half-open ranges that face each other don't overlap here, a range and
+    a negated set neither, and a catch-all only overlaps a catch-all.
+    """
+    same = a["left"] == b["left"]
+    points = lambda s: s["kind"].isin("equal", "set")
+    two_sided = lambda s: s["lower"].isNotNull() & s["upper"].isNotNull()
+
+    def within(v: Column, s: Column) -> Column:
+        n = v.try_cast("double")
+        low = s["lower"].isNull() | (n > s["lower"]) | (s["with_lower"] & (n == s["lower"]))
+        high = s["upper"].isNull() | (n < s["upper"]) | (s["with_upper"] & (n == s["upper"]))
+        return F.coalesce(low & high, F.lit(False))
+
+    meets = lambda s, r: F.exists(s["values"], lambda v: within(v, r))
+    touch = lambda hi, lo: (hi["upper"] > lo["lower"]) | ((hi["upper"] == lo["lower"]) & hi["with_upper"] & lo["with_lower"])
+    same_side = (a["lower"].isNotNull() & b["lower"].isNotNull() & a["upper"].isNull() & b["upper"].isNull()) | (a["upper"].isNotNull() & b["upper"].isNotNull() & a["lower"].isNull() & b["lower"].isNull())
+    some_two = two_sided(a) | two_sided(b)
+    ranges = same_side | (some_two & F.coalesce(touch(a, b), F.lit(True)) & F.coalesce(touch(b, a), F.lit(True)))
+    overlap = (
+        F.when((a["kind"] == "else") | (b["kind"] == "else"), (a["kind"] == "else") & (b["kind"] == "else"))
+        .when(~same | a["kind"].isin("opaque") | b["kind"].isin("opaque"), False)
+        .when((a["kind"] == "null") | (b["kind"] == "null"), (a["kind"] == "null") & (b["kind"] == "null"))
+        .when((a["kind"] == "not_null") | (b["kind"] == "not_null"), True)
+        .when(points(a) & points(b), F.arrays_overlap(a["values"], b["values"]))
+        .when(points(a) & (b["kind"] == "negated_set"), F.size(F.array_except(a["values"], b["values"])) > 0)
+        .when(points(b) & (a["kind"] == "negated_set"), F.size(F.array_except(b["values"], a["values"])) > 0)
+        .when((a["kind"] == "negated_set") & (b["kind"] == "negated_set"), True)
+        .when(points(a) & (b["kind"] == "range"), meets(a, b))
+        .when(points(b) & (a["kind"] == "range"), meets(b, a))
+        .when((a["kind"] == "range") & (b["kind"] == "range"), ranges)
+        .otherwise(False)
+    )
+    return F.coalesce(overlap, F.lit(False))
+
+
+def unreachable(branch: Column, eligibility: Column) -> Column:
+    """Branch asks for null where the filter asks for not null."""
+    field = F.lower(F.regexp_extract(branch, r"(?i)^\s*([\w.]+)\s+IS\s+NULL\s*$", 1))
+    wanted = F.transform(eligibility, lambda e: F.lower(F.regexp_extract(e, r"(?i)([\w.]+)\s+IS\s+NOT\s+NULL", 1)))
+    return (field != "") & F.array_contains(wanted, field)
+
+
+def is_audit_table(name: Column, columns: Column) -> Column:
+    """By name, or by two or more of the usual bookkeeping columns."""
+    signals = ["created_date", "modified_date", "created_by", "modified_by", "start_time", "end_time", "status", "error_message", "run_id", "batch_id", "is_completed"]
+    return name.rlike(r"(?i)(?:audit|log|control|status|process|monitor|error)(?:_|$|s$)") | (F.size(F.array_intersect(F.transform(columns, lambda c: F.lower(c)), F.array(*map(F.lit, signals)))) >= 2)

@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.plans import change, evidence, select, texts
+from marlstone.plans.common import Query
+
+
+def _all() -> dict[str, Query]:
+    return select.CATALOGUE | change.CATALOGUE | texts.CATALOGUE | evidence.CATALOGUE
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query.run for name, query in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: query.sql for name, query in _all().items() if query.sql}
