@@ -9,7 +9,7 @@ that touches text is DataFrame functions.
 
 Null and empty texts have no words and fail the base test.  Repeated rows are
 judged each.  A doc_id may be null.  Other columns of the input are ignored by
-``features`` and ``judge``; an empty table gives no rows.
+``judge`` and kept by ``keep_good``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +24,18 @@ from marlstone.llm.durable import durable
 SPACES = " \\t\\n\\x0b\\f\\r"
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that base test and rules need, by whole text."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def features(docs: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` columns and the counts that base test and rules need.
+
+    Counts are of whole texts.  The kept columns travel as one struct, so
+    their names may be any.
+    """
+    text = docs.select(F.struct(*kept).alias("__kept"), F.coalesce("text", F.lit("")).alias("text"))
     words = text.select(
-        "doc_id",
+        "__kept",
         F.array_remove(F.split("text", f"[{SPACES}]+"), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike(f"[^{SPACES}]")).alias("lines"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).alias("n_symbols"),
@@ -37,14 +44,14 @@ def features(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N}]+", "")).alias("n_letters"),
         F.regexp_count("text", F.lit(r"[.?!。！？।](?=[\s\p{Pe}\p{Pf}\"']|$)")).alias("n_ends"),
     )
-    # windows of three words as (hash, place), sorted: equal windows are neighbours
     sized = words.select(
-        "doc_id", "n_symbols", "n_upper", "n_bangs", "n_letters", "n_ends", "words",
+        "__kept", "n_symbols", "n_upper", "n_bangs", "n_letters", "n_ends", "words",
         F.size("words").alias("n_words"),
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
     )
+    # windows of three words as (hash, place), sorted: equal windows are neighbours
     windows = sized.withColumn(
         "windows",
         F.sort_array(
@@ -63,11 +70,7 @@ def features(docs: DataFrame) -> DataFrame:
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    return windows.select(
-        "doc_id", *(F.col(c).cast("long").alias(c) for c in counts),
-        covered.cast("long").alias("n_repeat_words"), "n_upper", "n_bangs", "n_lines", "n_letters", "n_ends",
-    )
+    return windows.select("__kept", *(F.col(c).cast("long").alias(c) for c in COUNTS[:-1]), covered.cast("long").alias(COUNTS[-1]), "n_upper", "n_bangs", "n_lines", "n_letters", "n_ends")
 
 
 def _vote(good: Column | None, bad: Column) -> Column:
@@ -122,17 +125,43 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[
     return prior, weights
 
 
-def judge(docs: DataFrame, rounds: int = 50) -> DataFrame:
-    """doc_id, the counts, base_failed, posterior and kept, per document."""
-    rules = votes()
-    found = durable(features(docs).select("*", *(v.alias(f"vote_{k}") for k, v in rules.items())))
-    names = [f"vote_{k}" for k in rules]
-    patterns = [(tuple(x[c] for c in names), x["n"]) for x in found.groupBy(*names).agg(F.count("*").alias("n")).collect()]
-    prior, weights = fit(sorted(patterns), rounds)
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
+def _patterns(found: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    """Vote patterns of all documents and how many have each."""
+    names = [f"vote_{k}" for k in votes()]
+    counted = found.groupBy(*names).agg(F.count("*").alias("n")).collect()
+    return sorted((tuple(x[c] for c in names), x["n"]) for x in counted)
+
+
+def _posterior(patterns: list[tuple[tuple[int, ...], int]], rounds: int) -> Column:
+    prior, weights = fit(patterns, rounds)
     odds = F.lit(prior)
-    for name, weight in zip(names, weights):
-        odds = odds + F.when(F.col(name) > 0, weight[1]).when(F.col(name) < 0, weight[-1]).otherwise(0.0)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = found.select("*", base.alias("base_failed"), (1 / (1 + F.exp(-odds))).alias("posterior"))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"), "posterior")
+    for name, weight in zip(votes(), weights):
+        vote = F.col(f"vote_{name}")
+        odds = odds + F.when(vote > 0, weight[1]).when(vote < 0, weight[-1]).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
+
+
+def _voted(docs: DataFrame, *kept: str) -> DataFrame:
+    return features(docs, *kept).select("*", *(v.alias(f"vote_{k}") for k, v in votes().items()))
+
+
+def judge(docs: DataFrame, rounds: int = 50) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and posterior, per document."""
+    found = durable(_voted(docs, "doc_id"))
+    judged = found.select("*", F.expr(BASE_FAILED).alias("base_failed"), _posterior(_patterns(found), rounds).alias("posterior"))
+    return judged.select("__kept.doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"), "posterior")
+
+
+def keep_good(docs: DataFrame, rounds: int = 50) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    The counts are taken twice, once for the estimate and once for the
+    verdict: that costs less than a join of all texts with their verdicts, and
+    rows needn't have an id.
+    """
+    posterior = _posterior(_patterns(_voted(docs, "text")), rounds)
+    judged = _voted(docs, *docs.columns)
+    return judged.filter(~F.expr(BASE_FAILED) & (posterior >= 0.5)).select("__kept.*")

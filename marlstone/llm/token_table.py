@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-GENERATION = 500_000
+GENERATION = 800_000
 
 #: Unicode White_Space, as the tokenizers' regular expressions see it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
