@@ -67,9 +67,8 @@ def fragment(text: Column) -> Column:
     Parentheses are taken off as long as they enclose the whole.
     """
     bare = F.regexp_replace(normal(text), r"[;,\s]+$", "")
-    for _ in range(4):
-        bare = F.when(encloses(bare), F.trim(F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
-    return bare
+    taken_off = lambda t: F.when(encloses(t), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), bare, lambda t, _: taken_off(t))
 
 
 def encloses(text: Column) -> Column:
