@@ -185,7 +185,7 @@ PAGE = """<html><head><title>A &amp; B</title><style>p{}</style><script>var t="<
 def test_html_layout():
     title, text = html_text.extract(PAGE)
     assert title == "A & B"
-    assert text == "One two three\n\nNext\nline\n\n- a\n- b\n  3. c\n  4. d\n\nCap\n\nName       N\nlong name  1\nwide\n\n  kept   spaces\n\nt\n    d\n\ntail <x>"
+    assert text == "One two three\n\nNext\nline\n\n- a\n- b\n  3. c\n  4. d\n\nCap\nName       N\nlong name  1\nwide\n\n  kept   spaces\n\nt\n    d\n\ntail <x>"
 
 
 @pytest.mark.parametrize("broken", [None, "", "<", "a < b", "<p", '<a href="x>text', "</p>", "<td>x", "<table><td>a</table>b", "<b>" * 5000 + "x", "<div>" * 3000 + "deep", "<table>" * 50 + "x", "<!-- open", "<script>var x", "&#xZZ; &unknown; &#0;", "<li>" * 3000])
