@@ -155,3 +155,8 @@ def one_to_one(left: DataFrame, right: DataFrame, group: str, tiers: Sequence[tu
     kind = left.schema[group].dataType.simpleString()
     a, b = (x.select(group, "section", "pos", *names) for x in (left, right))
     return a.groupBy(group).cogroup(b.groupBy(group)).applyInPandas(fold, f"{group} {kind}, section string, claim long, fact long, status string")
+
+
+def siblings(branches: DataFrame, touched: DataFrame, chain: Sequence[str]) -> DataFrame:
+    """All branches of the chains of which one is touched."""
+    return branches.join(touched.select(*chain).distinct(), list(chain), "left_semi")
