@@ -64,10 +64,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     order = ["key", "is_url", "salt"]
     dealt = durable(events.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
     # what is open where a partition starts: one row a partition
-    ends = dealt.filter("is_url = 0").groupBy("part").agg(F.max_by("stack", "key").alias("left"))
-    parts = spark.range(n).select(F.col("id").cast("int").alias("part")).join(ends, "part", "left")
+    ends = dealt.groupBy("part").agg(F.max_by("stack", F.when(F.col("is_url") == 0, F.col("key"))).alias("left"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.select("part", F.last("left", ignorenulls=True).over(before).alias("carried"))
+    carried = ends.select("part", F.last("left", ignorenulls=True).over(before).alias("carried"))
     sweep = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = dealt.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).filter("is_url = 1").join(F.broadcast(carried), "part", "left")
     fits = F.filter(F.coalesce("open", "carried"), lambda r: F.col("key").startswith(r["key"]) & F.col("path").startswith(r["path"]))
