@@ -163,5 +163,7 @@ def keep_good(docs: DataFrame, rounds: int = 50) -> DataFrame:
     rows needn't have an id.
     """
     posterior = _posterior(_patterns(_voted(docs, "text")), rounds)
-    judged = _voted(docs, *docs.columns)
-    return judged.filter(~F.expr(BASE_FAILED) & (posterior >= 0.5)).select("__kept.*")
+    # a filter moves below deterministic columns and takes their expressions
+    # with it, once for each use; it doesn't move below a row number
+    judged = _voted(docs, *docs.columns).withColumn("__row", F.monotonically_increasing_id())
+    return judged.filter((F.col("__row") >= 0) & ~F.expr(BASE_FAILED) & (posterior >= 0.5)).select("__kept.*")
