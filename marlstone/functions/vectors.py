@@ -21,19 +21,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 1024) -> DataFrame:
-    """The ``k`` nearest of all vectors for each of a stated, small query set.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The ``k`` nearest of all vectors for each of a stated query set.
 
-    ``queries``: query_id, query.  ``vectors``: vec_id, embedding.  The number
-    of queries is checked, so sending them to all vectors has a bound; each
-    partition ranks before anything is shuffled.
+    ``queries``: query_id, query.  ``vectors``: vec_id, embedding.  Queries are
+    counted and dealt by hash into blocks of about ``block``; each block is sent
+    to all vectors, so what is broadcast has a bound.  Each partition ranks
+    before anything is shuffled.  Ties go to the least vec_id.
     """
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; at most {most_queries} at a time")
-    scored = vectors.join(F.broadcast(queries)).withColumn("likeness", F.round(cosine(F.col("query"), F.col("embedding")), 6))
+    blocks = max(1, -(-queries.count() // block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("likeness"), "vec_id"))
-    return scored.select("query_id", "vec_id", "likeness").withColumn("place", rank).filter(F.col("place") <= k)
+    found = None
+    for i in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
+        scored = vectors.join(F.broadcast(own)).withColumn("likeness", F.round(cosine(F.col("query"), F.col("embedding")), 6))
+        best = scored.select("query_id", "vec_id", "likeness").withColumn("place", rank).filter(F.col("place") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def idf(tokens: DataFrame, doc: str, token: str) -> DataFrame:

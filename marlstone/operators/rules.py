@@ -85,10 +85,12 @@ def grounded(rules: DataFrame, evidence: DataFrame) -> DataFrame:
     ``evidence``: object_id, field, condition, outcome.  CONFLICT before
     MATCHED before UNRESOLVED; without any candidate, LLM_ONLY.
     """
-    e = evidence.select("object_id", bare_field(F.col("field")).alias("k"), fragment(F.col("condition")).alias("ec"), fragment(F.col("outcome")).alias("eo"))
-    joined = rules.select("object_id", "rule_id", "row", bare_field(F.col("field")).alias("k"), fragment(F.col("condition")).alias("c"), fragment(F.col("outcome")).alias("o")).join(e, ["object_id", "k"], "left")
-    same = F.col("c") == F.col("ec")
-    rows = joined.groupBy("object_id", "rule_id", "row").agg(F.count("ec").alias("n"), F.coalesce(F.bool_or(same & (F.col("o") == F.col("eo"))), F.lit(False)).alias("match"), F.coalesce(F.bool_or(same & (F.col("o") != F.col("eo"))), F.lit(False)).alias("other"))
+    e = evidence.select("object_id", bare_field(F.col("field")).alias("k"), fragment(F.col("condition")).alias("c"), fragment(F.col("outcome")).alias("eo"))
+    told = rules.select("object_id", "rule_id", "row", bare_field(F.col("field")).alias("k"), fragment(F.col("condition")).alias("c"), fragment(F.col("outcome")).alias("o"))
+    # candidates of a field are only counted; rows meet where conditions agree
+    candidates = e.groupBy("object_id", "k").agg(F.count("c").alias("candidates"))
+    joined = told.join(e.distinct(), ["object_id", "k", "c"], "left").join(candidates, ["object_id", "k"], "left")
+    rows = joined.groupBy("object_id", "rule_id", "row").agg(F.coalesce(F.max("candidates"), F.lit(0)).alias("n"), F.coalesce(F.bool_or(F.col("o") == F.col("eo")), F.lit(False)).alias("match"), F.coalesce(F.bool_or(F.col("o") != F.col("eo")), F.lit(False)).alias("other"))
     status = F.when(F.bool_or(F.col("other") & ~F.col("match")), "CONFLICT").when(F.bool_and("match"), "MATCHED").when(F.sum("n") == 0, "LLM_ONLY").otherwise("UNRESOLVED")
     found = rows.groupBy("object_id", "rule_id").agg(status.alias("status"), F.count_if("match").alias("n_matched"), F.count("*").alias("n_rows"))
     return found.withColumn("confidence", F.when(F.col("status") == "MATCHED", "high").when(F.col("status") == "UNRESOLVED", "medium").otherwise("low"))

@@ -57,12 +57,12 @@ def d_update_fill_null(t: Tables) -> DataFrame:
     return dml.update_sequence(orders(t), [({"class": F.lit("FINAL")}, empty & (F.col("o_orderstatus") == "F")), ({"class": F.lit("LARGE")}, empty & (F.col("o_totalprice") > 100000))])
 
 
-@add(f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, class FROM ({_ORDERS}) WHERE o_orderkey % 2 = 0 UNION ALL
-SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 100000 THEN 'L' ELSE 'S' END, o_totalprice, NULL FROM orders WHERE o_orderkey % 2 = 1 AND o_orderstatus = 'F' UNION ALL SELECT -1, 0, 'N', 0, 'FIXED'""")
+@add(f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, class FROM ({_ORDERS}) WHERE o_orderstatus <> 'F' UNION ALL
+SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 100000 THEN 'L' ELSE 'S' END, o_totalprice, NULL FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT -1, 0, 'N', 0, 'FIXED'""")
 def d_insert_select(t: Tables) -> DataFrame:
     """INSERT .. SELECT with a CASE column, and INSERT .. VALUES."""
-    table = orders(t).filter("o_orderkey % 2 = 0")
-    rows = orders(t).filter("o_orderkey % 2 = 1 and o_orderstatus = 'F'").select("o_orderkey", "o_custkey", F.when(F.col("o_totalprice") > 100000, "L").otherwise("S").alias("o_orderstatus"), "o_totalprice")
+    table = orders(t).filter("o_orderstatus <> 'F'")
+    rows = orders(t).filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", F.when(F.col("o_totalprice") > 100000, "L").otherwise("S").alias("o_orderstatus"), "o_totalprice")
     fixed = t.spark.createDataFrame([(-1, 0, "N", 0.0, "FIXED")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, class string")
     return dml.insert(dml.insert(table, rows), fixed)
 
@@ -79,12 +79,12 @@ def d_truncate_reload(t: Tables) -> DataFrame:
     return dml.insert(dml.truncate(orders(t)), orders(t).filter("o_orderstatus = 'P'"))
 
 
-_TARGET = "SELECT o_orderkey AS k, o_totalprice AS balance, 1 AS hits FROM orders WHERE o_orderkey % 3 <> 0"
+_TARGET = "SELECT o_orderkey AS k, o_totalprice AS balance, 1 AS hits FROM orders WHERE o_orderstatus <> 'P'"
 _SOURCE = "SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS amount, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey"
 
 
 def target(t: Tables) -> DataFrame:
-    return t.orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("balance"), F.lit(1).alias("hits"))
+    return t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("balance"), F.lit(1).alias("hits"))
 
 
 def source(t: Tables) -> DataFrame:
@@ -117,8 +117,8 @@ def d_merge_by_source(t: Tables) -> DataFrame:
     )
 
 
-_HISTORY = "SELECT c_custkey AS k, c_mktsegment AS seg, c_nationkey AS nation, 100 AS valid_from, 49999 AS valid_to FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 'OLD', c_nationkey, 50, 99 FROM customer WHERE c_custkey % 4 = 0"
-_INCOMING = "SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS seg, c_nationkey AS nation FROM customer WHERE c_custkey % 6 <> 0"
+_HISTORY = "SELECT c_custkey AS k, c_mktsegment AS seg, c_nationkey AS nation, 100 AS valid_from, 49999 AS valid_to FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, 'OLD', c_nationkey, 50, 99 FROM customer WHERE c_acctbal > 5000"
+_INCOMING = "SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS seg, c_nationkey AS nation FROM customer WHERE c_nationkey <> 6"
 
 
 @add(f"""WITH h AS ({_HISTORY}), i AS ({_INCOMING})
@@ -127,10 +127,10 @@ UNION ALL SELECT i.k, i.seg, i.nation, 200, 49999 FROM i WHERE NOT EXISTS (SELEC
 def d_scd2(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     base = t.customer
-    first = base.filter(k % 5 != 0).select(k.alias("k"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nation"), F.lit(100).alias("valid_from"), F.lit(49999).alias("valid_to"))
-    past = base.filter(k % 4 == 0).select(k.alias("k"), F.lit("OLD").alias("seg"), F.col("c_nationkey").alias("nation"), F.lit(50).alias("valid_from"), F.lit(99).alias("valid_to"))
+    first = base.filter("c_acctbal >= 0").select(k.alias("k"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nation"), F.lit(100).alias("valid_from"), F.lit(49999).alias("valid_to"))
+    past = base.filter("c_acctbal > 5000").select(k.alias("k"), F.lit("OLD").alias("seg"), F.col("c_nationkey").alias("nation"), F.lit(50).alias("valid_from"), F.lit(99).alias("valid_to"))
     seg = F.when(k % 7 == 0, "NEW").when(k % 11 == 0, F.lit(None)).otherwise(F.col("c_mktsegment"))
-    incoming = base.filter(k % 6 != 0).select(k.alias("k"), seg.alias("seg"), F.col("c_nationkey").alias("nation"))
+    incoming = base.filter("c_nationkey <> 6").select(k.alias("k"), seg.alias("seg"), F.col("c_nationkey").alias("nation"))
     return dml.scd2(first.unionByName(past), incoming, "k", ["seg", "nation"], 200)
 
 

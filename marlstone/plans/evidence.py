@@ -42,8 +42,8 @@ def j_tiered_fallback(t: Tables) -> DataFrame:
     return found.groupBy("id", "tier").agg(F.count("*").alias("n"), F.min("hit").alias("first_hit"))
 
 
-_OPS = """SELECT user_id % 50 AS object_id, event_id AS statement_id, event_id AS ord, 't' || (event_id % 4) AS table_name, CASE event_type WHEN 'view' THEN 'READ' WHEN 'click' THEN 'UPDATE' WHEN 'purchase' THEN 'INSERT' WHEN 'signup' THEN 'MERGE' ELSE 'DELETE' END AS operation,
-['c' || (event_id % 3), 'c' || (event_id % 5)] AS fields, event_id % 2 = 0 AS conditional FROM events WHERE event_id < 2000"""
+_OPS = """SELECT user_id AS object_id, event_id AS statement_id, event_id AS ord, 't' || (event_id % 4) AS table_name, CASE event_type WHEN 'view' THEN 'READ' WHEN 'click' THEN 'UPDATE' WHEN 'purchase' THEN 'INSERT' WHEN 'signup' THEN 'MERGE' ELSE 'DELETE' END AS operation,
+['c' || (event_id % 3), 'c' || (event_id % 5)] AS fields, event_id % 2 = 0 AS conditional FROM events"""
 
 
 def operations(t: Tables) -> DataFrame:
@@ -51,7 +51,7 @@ def operations(t: Tables) -> DataFrame:
     operation = F.when(kind == "view", "READ").when(kind == "click", "UPDATE").when(kind == "purchase", "INSERT").when(kind == "signup", "MERGE").otherwise("DELETE")
     k = F.col("event_id")
     named = lambda n: F.concat(F.lit("c"), k % n)
-    return t.events.filter(k < 2000).select((F.col("user_id") % 50).alias("object_id"), k.alias("statement_id"), k.alias("ord"), F.concat(F.lit("t"), k % 4).alias("table_name"), operation.alias("operation"), F.array(named(3), named(5)).alias("fields"), (k % 2 == 0).alias("conditional"))
+    return t.events.select(F.col("user_id").alias("object_id"), k.alias("statement_id"), k.alias("ord"), F.concat(F.lit("t"), k % 4).alias("table_name"), operation.alias("operation"), F.array(named(3), named(5)).alias("fields"), (k % 2 == 0).alias("conditional"))
 
 
 @add(f"""WITH o AS ({_OPS}) SELECT object_id, producer, consumer, table_name, kind FROM (SELECT a.object_id, a.statement_id AS producer, b.statement_id AS consumer, upper(a.table_name) AS table_name,
@@ -62,13 +62,13 @@ def j_dependencies(t: Tables) -> DataFrame:
     return relate.dependencies(operations(t))
 
 
-@add(f"SELECT object_id, upper('#' || table_name) AS t FROM ({_OPS}) WHERE object_id > 20 GROUP BY ALL HAVING count(*) FILTER (WHERE operation = 'READ') = 0 AND count(*) > 0")
+@add(f"SELECT object_id, upper('#' || table_name) AS t FROM ({_OPS}) GROUP BY ALL HAVING count(*) FILTER (WHERE operation = 'READ') = 0 AND count(*) > 0")
 def j_write_only(t: Tables) -> DataFrame:
-    return relate.write_only(operations(t).filter("object_id > 20").withColumn("table_name", F.concat(F.lit("#"), "table_name")))
+    return relate.write_only(operations(t).withColumn("table_name", F.concat(F.lit("#"), "table_name")))
 
 
 _OBJECTS = "SELECT c_custkey AS object_id, CASE WHEN c_custkey % 2 = 0 THEN 'dbo' ELSE 'pro' END AS schema, 'proc_' || (c_custkey % 900) AS name FROM customer"
-_CALLS = "SELECT o_custkey AS caller, CASE WHEN o_orderkey % 2 = 0 THEN 'dbo.proc_' ELSE 'PROC_' END || (o_orderkey % 1000) AS target FROM orders WHERE o_orderkey < 3000"
+_CALLS = "SELECT o_custkey AS caller, CASE WHEN o_orderkey % 2 = 0 THEN 'dbo.proc_' ELSE 'PROC_' END || (o_orderkey % 1000) AS target FROM orders"
 
 
 def objects(t: Tables) -> DataFrame:
@@ -78,7 +78,7 @@ def objects(t: Tables) -> DataFrame:
 
 def edges(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
-    calls = t.orders.filter(k < 3000).select(F.col("o_custkey").alias("caller"), F.concat(F.when(k % 2 == 0, "dbo.proc_").otherwise("PROC_"), k % 1000).alias("target"))
+    calls = t.orders.select(F.col("o_custkey").alias("caller"), F.concat(F.when(k % 2 == 0, "dbo.proc_").otherwise("PROC_"), k % 1000).alias("target"))
     return relate.call_graph(calls, objects(t))
 
 
@@ -97,7 +97,7 @@ def j_roots(t: Tables) -> DataFrame:
     return relate.roots(objects(t), edges(t))
 
 
-_RULES = "SELECT o_custkey % 40 AS object_id, o_orderkey AS rule_id, o_orderkey AS pos, CASE o_orderkey % 2 WHEN 0 THEN 'x' ELSE 'y' END AS field, o_orderkey % 100 AS v, o_orderkey % 3 AS k, o_orderpriority AS outcome FROM orders WHERE o_orderkey < 1500"
+_RULES = "SELECT o_custkey AS object_id, o_orderkey AS rule_id, o_orderkey AS pos, CASE o_orderkey % 2 WHEN 0 THEN 'x' ELSE 'y' END AS field, o_orderkey % 100 AS v, o_orderkey % 3 AS k, o_orderpriority AS outcome FROM orders"
 
 
 @add(f"""WITH r AS ({_RULES}) SELECT a.object_id, a.field, a.rule_id AS a, b.rule_id AS b, a.outcome AS oa, b.outcome AS ob FROM r a JOIN r b ON a.object_id = b.object_id AND a.field = b.field AND a.pos < b.pos AND a.outcome <> b.outcome
@@ -106,15 +106,15 @@ def j_rule_pairs(t: Tables) -> DataFrame:
     """Rules that overlap and disagree; facing half-open ranges don't overlap."""
     k, v = F.col("o_orderkey") % 3, F.col("o_orderkey") % 100
     condition = F.concat(F.lit("amount "), F.when(k == 0, "= ").when(k == 1, "> ").otherwise("<= "), v)
-    rules = t.orders.filter("o_orderkey < 1500").select((F.col("o_custkey") % 40).alias("object_id"), F.col("o_orderkey").alias("rule_id"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise("y").alias("field"), condition.alias("condition"), F.col("o_orderpriority").alias("outcome"))
+    rules = t.orders.select(F.col("o_custkey").alias("object_id"), F.col("o_orderkey").alias("rule_id"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise("y").alias("field"), condition.alias("condition"), F.col("o_orderpriority").alias("outcome"))
     return relate.rule_pairs(rules)
 
 
-@add("""WITH RECURSIVE p AS (SELECT DISTINCT o_custkey % 60 AS name, (o_custkey * 7 + 3) % 60 AS target FROM orders WHERE o_orderkey < 400),
+@add("""WITH RECURSIVE p AS (SELECT DISTINCT o_custkey % 60 AS name, (o_custkey * 7 + 3) % 60 AS target FROM orders),
 c(name, target, d) AS (SELECT name, target, 1 FROM p UNION SELECT c.name, p.target, d + 1 FROM c JOIN p ON c.target = p.name WHERE d < 8 AND c.name <> p.target) SELECT DISTINCT name, target FROM c""")
 def j_alias_closure(t: Tables) -> DataFrame:
     k = F.col("o_custkey")
-    return relate.alias_closure(t.orders.filter("o_orderkey < 400").select((k % 60).alias("name"), ((k * 7 + 3) % 60).alias("target")))
+    return relate.alias_closure(t.orders.select((k % 60).alias("name"), ((k * 7 + 3) % 60).alias("target")))
 
 
 @add("""SELECT upper(event_type) AS kind, user_id % 20 AS grp, arg_min(event_type, event_id) AS spelling, CAST(list(p ORDER BY first)[1:8] AS VARCHAR[]) AS first_props, sum(c) AS n, min(first) AS first_at
@@ -177,13 +177,13 @@ def a_quality_score(t: Tables) -> DataFrame:
     return counted.select("lang", measures.quality_score([(F.col("bad"), 50.0, 40.0), (F.col("toxic"), 100.0, 20.0)], F.col("n")).alias("score"))
 
 
-@add("""WITH e AS (SELECT DISTINCT source, lang, doc_id % 9 AS item FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT DISTINCT source, lang, doc_id % 9 AS item FROM documents WHERE doc_id % 4 <> 0 AND source <> 'src3'),
+@add("""WITH e AS (SELECT DISTINCT source, lang, doc_id % 9 AS item FROM documents WHERE n_chars >= 300), a AS (SELECT DISTINCT source, lang, doc_id % 9 AS item FROM documents WHERE n_chars < 3000 AND source <> 'src3'),
 c AS (SELECT coalesce(e.source, a.source) AS source, count(*) FILTER (WHERE e.item IS NOT NULL AND a.item IS NOT NULL) AS m, count(*) FILTER (WHERE a.item IS NULL) AS miss, count(*) FILTER (WHERE e.item IS NULL) AS un FROM e FULL JOIN a ON e.source = a.source AND e.lang = a.lang AND e.item = a.item GROUP BY 1)
 SELECT source, m AS n_match, miss AS n_missing, un AS n_unexpected, round(m::DOUBLE / nullif(m + un, 0), 6) AS precision, round(m::DOUBLE / nullif(m + miss, 0), 6) AS recall,
 CASE WHEN m + un = 0 OR m + miss = 0 THEN NULL WHEN m = 0 THEN 0 ELSE round(2.0 * m / (2 * m + un + miss), 6) END::DOUBLE AS f1 FROM c""")
 def m_precision_recall_f1(t: Tables) -> DataFrame:
     d = t.documents.withColumn("item", F.col("doc_id") % 9)
-    return measures.compare_sets(d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 4 <> 0 and source <> 'src3'"), ["lang", "item"], "source")
+    return measures.compare_sets(d.filter("n_chars >= 300"), d.filter("n_chars < 3000 and source <> 'src3'"), ["lang", "item"], "source")
 
 
 @add("SELECT lang, CASE WHEN bool_or(s = 'FAIL') THEN 'FAIL' WHEN bool_or(s = 'CHANGED') THEN 'CHANGED' ELSE 'PASS' END AS status, count(*) FILTER (WHERE s = 'FAIL') AS n_fail FROM (SELECT lang, CASE WHEN toxic = 1 AND lang = 'en' THEN 'FAIL' WHEN quality = 0 THEN 'CHANGED' ELSE 'PASS' END AS s FROM documents JOIN labels USING (doc_id)) GROUP BY lang")

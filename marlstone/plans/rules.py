@@ -11,44 +11,41 @@ from marlstone.plans.common import Catalogue, Tables
 CATALOGUE = Catalogue()
 add = CATALOGUE.sql
 
-_CHAINS = "SELECT o_custkey % 30 AS object_id, o_orderkey // 3 AS chain_id, 'f' || (o_orderkey // 3 % 5) AS field, CAST(o_orderkey % 3 AS INTEGER) AS branch, 'amount > ' || o_orderkey AS condition, o_orderpriority AS outcome FROM orders WHERE o_orderkey < 900"
+_CHAINS = "SELECT o_orderkey // 30 AS object_id, o_orderkey // 3 AS chain_id, 'f' || (o_orderkey // 3 % 5) AS field, CAST(o_orderkey % 3 AS INTEGER) AS branch, 'amount > ' || o_orderkey AS condition, o_orderpriority AS outcome FROM orders"
 
 
 def chains(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     chain = F.floor(k / 3)
     # all branches of a chain stand in one object
-    return t.orders.filter("o_orderkey < 900").select((chain % 30).alias("object_id"), chain.alias("chain_id"), F.concat(F.lit("f"), chain % 5).alias("field"), (k % 3).cast("int").alias("branch"), F.concat(F.lit("amount > "), k).alias("condition"), F.col("o_orderpriority").alias("outcome"))
-
-
-_CHAINS = _CHAINS.replace("o_custkey % 30 AS object_id", "o_orderkey // 3 % 30 AS object_id")
+    return t.orders.select(F.floor(k / 30).alias("object_id"), chain.alias("chain_id"), F.concat(F.lit("f"), chain % 5).alias("field"), (k % 3).cast("int").alias("branch"), F.concat(F.lit("amount > "), k).alias("condition"), F.col("o_orderpriority").alias("outcome"))
 
 
 def claims(t: Tables) -> DataFrame:
-    """Chains told as rules: every second one, with gaps and changes."""
-    told = chains(t).filter("chain_id % 2 = 0")
+    """Chains told as rules: those of most fields, with gaps and changes."""
+    told = chains(t).filter("field <> 'f1'")
     outcome = F.when(F.col("chain_id") % 5 == 0, "").when(F.col("chain_id") % 7 == 0, "OTHER").otherwise(F.col("outcome"))
     return told.select("object_id", F.concat(F.lit("r"), "chain_id").alias("rule_id"), F.col("chain_id").cast("int").alias("pos"), F.concat(F.lit("Rule on "), "field").alias("title"), F.concat(F.lit("A."), F.upper("field")).alias("field"), F.col("branch").alias("row"), F.concat(F.lit(" ("), F.upper("condition"), F.lit(") ")).alias("condition"), outcome.alias("outcome"))
 
 
-@add(f"SELECT object_id, 'floor_' || chain_id AS rule_id, field, branch AS \"row\", condition, outcome FROM ({_CHAINS}) WHERE chain_id % 2 = 1")
+@add(f"SELECT object_id, 'floor_' || chain_id AS rule_id, field, branch AS \"row\", condition, outcome FROM ({_CHAINS}) WHERE field = 'f1'")
 def r_chain_floor(t: Tables) -> DataFrame:
     """Rules for the chains that no rule represents."""
     return rules.chain_floor(claims(t), chains(t)).select("object_id", "rule_id", "field", "row", "condition", "outcome")
 
 
-@add(f"SELECT 'r' || chain_id AS rule_id, branch AS \"row\", CASE WHEN chain_id % 5 = 0 THEN outcome WHEN chain_id % 7 = 0 THEN 'OTHER' ELSE outcome END AS outcome FROM ({_CHAINS}) WHERE chain_id % 2 = 0")
+@add(f"SELECT 'r' || chain_id AS rule_id, branch AS \"row\", CASE WHEN chain_id % 5 = 0 THEN outcome WHEN chain_id % 7 = 0 THEN 'OTHER' ELSE outcome END AS outcome FROM ({_CHAINS}) WHERE field <> 'f1'")
 def r_backfilled(t: Tables) -> DataFrame:
     """Blank outcomes filled by field and condition."""
     own = chains(t).withColumn("field", F.col("field"))
     return rules.backfilled(claims(t), own).select("rule_id", "row", "outcome")
 
 
-@add("SELECT 'write_' || o_orderkey || '_c' || (o_orderkey % 4) AS rule_id, 'c' || (o_orderkey % 4) AS field, 'status = ' || o_orderstatus AS condition FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 4 <> 1 AND o_orderstatus <> 'P' AND o_orderkey % 9 <> 0 AND o_orderkey % 11 <> 0")
+@add("SELECT 'write_' || o_orderkey || '_c' || (o_orderkey % 4) AS rule_id, 'c' || (o_orderkey % 4) AS field, 'status = ' || o_orderstatus AS condition FROM orders WHERE o_orderkey % 4 <> 1 AND o_orderstatus <> 'P' AND o_orderkey % 9 <> 0 AND o_orderkey % 11 <> 0")
 def r_statement_floor(t: Tables) -> DataFrame:
     """One-row rules for gated writes that no rule covers."""
     k = F.col("o_orderkey")
-    writes = t.orders.filter("o_orderkey < 2000").select(
+    writes = t.orders.select(
         F.lit(1).alias("object_id"), k.alias("statement_id"), F.lit("t").alias("table_name"), F.concat(F.lit("c"), k % 4).alias("field"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("status = "), "o_orderstatus")).otherwise("").alias("predicate"),
         F.when(k % 9 == 0, "CASE WHEN 1=1 THEN 2 END").otherwise("1").alias("expression"), (k % 11 == 0).alias("in_ladder"),
     )
@@ -56,18 +53,16 @@ def r_statement_floor(t: Tables) -> DataFrame:
     return rules.statement_floor(told, writes).select("rule_id", "field", "condition")
 
 
-@add(f"""SELECT 'r' || chain_id AS rule_id, CASE WHEN chain_id % 5 = 0 OR chain_id % 7 = 0 THEN 'X' ELSE 'MATCHED' END AS status FROM ({_CHAINS}) WHERE chain_id % 2 = 0 AND chain_id % 5 <> 0 AND chain_id % 7 <> 0 GROUP BY ALL""")
+@add(f"SELECT 'r' || chain_id AS rule_id, CASE WHEN chain_id % 5 = 0 OR chain_id % 7 = 0 THEN 'CONFLICT' ELSE 'MATCHED' END AS status FROM ({_CHAINS}) WHERE field <> 'f1' GROUP BY ALL")
 def r_grounded(t: Tables) -> DataFrame:
-    """Status of rules that say what their chain says."""
-    found = rules.grounded(claims(t), chains(t))
-    same = claims(t).filter("cast(substring(rule_id, 2) as int) % 5 <> 0 and cast(substring(rule_id, 2) as int) % 7 <> 0").select("object_id", "rule_id").distinct()
-    return found.join(same, ["object_id", "rule_id"], "left_semi").select("rule_id", "status")
+    """Rules that say what their chain says match, changed ones conflict."""
+    return rules.grounded(claims(t), chains(t)).select("rule_id", "status")
 
 
-@add("""SELECT doc_id, gap_review FROM (SELECT doc_id, doc_id % 2 <> 0 AS gap_review FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, FALSE FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0)""")
+@add("""SELECT doc_id, gap_review FROM (SELECT doc_id, n_chars < 500 AS gap_review FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, FALSE FROM documents WHERE n_chars >= 500 AND lang <> 'en')""")
 def r_revised(t: Tables) -> DataFrame:
-    ids = t.documents.select("doc_id")
-    return rules.revised(ids.filter("doc_id % 2 = 0"), ids.filter("doc_id % 3 = 0"), ["doc_id"])
+    before, returned = t.documents.filter("n_chars >= 500"), t.documents.filter("lang = 'en'")
+    return rules.revised(before.select("doc_id"), returned.select("doc_id"), ["doc_id"])
 
 
 @add("SELECT p_partkey, p_size > 25 AS grounded FROM part WHERE p_size IS NOT NULL")

@@ -76,7 +76,7 @@ def s_null_default(t: Tables) -> DataFrame:
     return t.orders.filter((F.coalesce(priority(), F.lit("0")) < "3") | F.col("o_totalprice").isNull()).groupBy(F.coalesce(priority(), F.lit("NONE")).alias("class")).agg(F.count("*").alias("n"))
 
 
-_BEFORE = "SELECT o_orderkey AS k, nullif(o_orderpriority, '4-NOT SPECIFIED') AS was FROM orders WHERE o_orderkey % 3 <> 0"
+_BEFORE = "SELECT o_orderkey AS k, nullif(o_orderpriority, '4-NOT SPECIFIED') AS was FROM orders WHERE o_orderstatus <> 'P'"
 _AFTER = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN '1-URGENT' WHEN o_orderkey % 11 = 0 THEN '' ELSE nullif(o_orderpriority, '4-NOT SPECIFIED') END AS is_now FROM orders"
 
 
@@ -84,7 +84,7 @@ _AFTER = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN '1-URGENT' W
 def s_change_detect_right(t: Tables) -> DataFrame:
     """Changed or new rows; null and '' count as the same."""
     k = F.col("o_orderkey")
-    before = t.orders.filter(k % 3 != 0).select(k.alias("kb"), priority().alias("was"))
+    before = t.orders.filter("o_orderstatus <> 'P'").select(k.alias("kb"), priority().alias("was"))
     after = t.orders.select(k.alias("k"), F.when(k % 7 == 0, "1-URGENT").when(k % 11 == 0, "").otherwise(priority()).alias("is_now"))
     return before.join(after, F.col("k") == F.col("kb"), "right").filter(F.coalesce("was", F.lit("")) != F.coalesce("is_now", F.lit(""))).select("k", "was", "is_now")
 
