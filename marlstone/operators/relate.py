@@ -138,9 +138,10 @@ def one_to_one(left: DataFrame, right: DataFrame, group: str, tiers: Sequence[tu
     names = sorted({c for _, cols in tiers for c in cols})
 
     def fold(key: tuple, claims: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        free = facts.sort_values("pos").to_dict("records")
+        # a group that one side lacks comes without columns
+        free = sorted(facts.to_dict("records"), key=lambda x: x["pos"])
         out = []
-        for claim in claims.sort_values("pos").to_dict("records"):
+        for claim in sorted(claims.to_dict("records"), key=lambda x: x["pos"]):
             status, taken = "LLM_ONLY", None
             for name, cols in tiers:
                 at = next((i for i, f in enumerate(free) if f["section"] == claim["section"] and all(f[c] == claim[c] and pd.notna(f[c]) for c in cols)), None)
