@@ -154,7 +154,8 @@ def one_to_one(left: DataFrame, right: DataFrame, group: str, tiers: Sequence[tu
         return frame.astype({"claim": "Int64", "fact": "Int64"})
 
     kind = left.schema[group].dataType.simpleString()
-    a, b = (x.select(group, "section", "pos", *names) for x in (left, right))
+    # columns of their own, as both sides may come from one DataFrame
+    a, b = (x.select(*(F.col(c).alias(c) for c in (group, "section", "pos", *names))) for x in (left, right))
     return a.groupBy(group).cogroup(b.groupBy(group)).applyInPandas(fold, f"{group} {kind}, section string, claim long, fact long, status string")
 
 
