@@ -1,4 +1,17 @@
-"""Byte-level BPE over a distinct-word table, and back through id-to-piece.
+"""Byte-level BPE over a table of the corpus' distinct words, and back.
+
+Words are split once and numbered within blocks of documents, so a document is
+a list of places in its block's words.  The blocks'
+words are dealt by a hash into buckets; in a bucket each distinct word of the
+corpus is encoded once, and its ids go back to every block that has it, where
+they are put in the words' places.  Decoding looks each id up in the vocabulary
+(a table of its size) and puts the pieces together.
+
+What is held at once has a bound: a block ends with the document that brings it
+to ``BLOCK_WORDS`` distinct words or ``BLOCK_CHARS`` characters, a bucket is a
+share of the corpus' distinct words that doesn't grow with their repetitions.
+Hot words cost one entry a block.  Blocks are kept in the checkpoint folder, so
+a lost executor re-reads them.
 
 Null texts count as empty (no ids, empty decoded text).  Empty tables give no
 rows.  Other columns of the input, whatever their names, are ignored; repeated
@@ -8,29 +21,170 @@ rows give repeated results.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.token_table import pieces, spaced_words, table
+from marlstone.llm.durable import durable
+from marlstone.llm.token_table import pieces, spaced_words, tokenizer_of
 
+BLOCK_WORDS, BLOCK_CHARS, PIECE_WORDS = 1 << 18, 1 << 25, 1 << 20
+#: Buckets: one for so many bytes of text, within these limits.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 64, 65536
+_SPLIT = ["block", "bucket", "places", "words", "docs", "sizes"]
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids`` (array<int>) of each whole text."""
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their bytes by significance, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack_pieces(parts: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, parts), "<u4", len(parts))
+    return zlib.compress(len(parts).to_bytes(4, "little") + sizes.tobytes() + b"".join(parts), 1)
+
+
+def _unpack_pieces(packed: bytes) -> list[bytes]:
+    raw = zlib.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)
+    at, out = 4 + 4 * n, []
+    for end in ends.tolist():
+        out.append(raw[at:end])
+        at = end
+    return out
+
+
+def split(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+    """Blocks: rows of documents as places of words, and rows of the words.
+
+    Document rows have no bucket: ``docs`` (keys), ``sizes`` (words of each) and
+    ``places``.  Word rows have ``words`` of one bucket and their ``places``.
+    """
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = table(path, spaced_words)
+        first = TaskContext.get().partitionId() << 32
+        block, chars, place = first, 0, {}
+        keys, sizes, places = [], [], []
+        key_type = pa.null()
+
+        def documents() -> pa.RecordBatch:
+            row = [[block], [None], [_pack(np.concatenate(places))], [None], [list(keys)], [_pack(np.array(sizes))]]
+            for x in (keys, sizes, places):
+                x.clear()
+            return batch_of(row)
+
+        def batch_of(columns: list) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(key_type), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], _SPLIT)
+
+        def words() -> pa.RecordBatch:
+            coded = [w.encode() for w in place]
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in coded), np.int32, len(coded))
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            rows: list[list] = [[] for _ in _SPLIT]
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = order[a:b]
+                for column, value in zip(rows, (block, int(bucket[own[0]]), _pack(own), _pack_pieces([coded[i] for i in own.tolist()]), None, None)):
+                    column.append(value)
+            return batch_of(rows)
+
         for batch in batches:
-            ids = [words.ids(t or "") for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["k", "ids"])
+            key_type = batch.schema.field(0).type
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = spaced_words(body or "")
+                for w in set(found).difference(place):
+                    place[w] = len(place)
+                keys.append(doc)
+                sizes.append(len(found))
+                places.append(np.fromiter(map(place.__getitem__, found), np.uint32, len(found)))
+                chars += len(body or "")
+                full = len(place) >= BLOCK_WORDS or chars >= BLOCK_CHARS
+                if full or sum(sizes) + len(sizes) >= PIECE_WORDS:
+                    yield documents()
+                if full:
+                    yield words()
+                    block, chars, place = block + 1, 0, {}
+        if keys:
+            yield documents()
+        if place:
+            yield words()
+
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"block long, bucket int, places binary, words binary, docs array<{kind}>, sizes binary")
+
+
+def _encoded_words(found: DataFrame, path: str) -> DataFrame:
+    """Word rows with ids for words; each distinct word is encoded once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = tokenizer_of(path)
+        now, known = None, {}
+        for batch in batches:
+            out = []
+            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                if bucket != now:
+                    now, known = bucket, {}
+                own = _unpack_pieces(packed)
+                fresh = [w for w in own if w not in known]
+                for word, got in zip(fresh, tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
+                    known[word] = np.array(got.ids, "<u4").tobytes()
+                out.append(_pack_pieces([known[w] for w in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["block", "places", "ids"])
+
+    return found.sortWithinPartitions("bucket").select("block", "bucket", "places", "words").mapInArrow(run, "block long, places binary, ids binary")
+
+
+def _each(docs: DataFrame, path: str, key: str, text: str, result: str, of: Callable[[], Callable[[bytes], tuple]], kinds: list[pa.DataType]) -> DataFrame:
+    """``key`` and what ``of()`` makes of the ids of each text."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES))
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    found = durable(split(docs, key, text, buckets))
+    blocks = max(1, found.select("block").distinct().count())
+    n = min(buckets, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    coded = _encoded_words(found.filter("bucket is not null").repartition(n, "bucket"), path)
+    lists = found.filter("bucket is null").select("block", F.lit(1).alias("step"), "places", F.lit(None).cast("binary").alias("ids"), "docs", "sizes")
+    table = coded.select("block", F.lit(0).alias("step"), "places", "ids", F.lit(None).cast(f"array<{kind}>").alias("docs"), F.lit(None).cast("binary").alias("sizes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = of()
+        now, ids_at = None, {}
+        for batch in batches:
+            for block, step, places, ids, keys, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    now, ids_at = block, {}
+                if step == 0:
+                    ids_at.update(zip(_unpack(places).tolist(), _unpack_pieces(ids)))
+                    continue
+                at, made, where = 0, [], _unpack(places).tolist()
+                for n_words in _unpack(sizes).tolist():
+                    made.append(make(b"".join(map(ids_at.__getitem__, where[at : at + n_words]))))
+                    at += n_words
+                columns = [pa.array(keys, batch.schema.field(4).type.value_type), *(pa.array(c, t) for c, t in zip(zip(*made), kinds))]
+                yield pa.RecordBatch.from_arrays(columns, ["k", *(f"c{i}" for i in range(len(kinds)))])
+
+    together = table.unionByName(lists).repartition(blocks, "block").sortWithinPartitions("block", "step")
+    columns = result.split(", ")
+    shape = ", ".join(f"c{i} {x.split(' ', 1)[1]}" for i, x in enumerate(columns))
+    return together.mapInArrow(run, f"k {kind}, {shape}").toDF(key, *(x.split(" ", 1)[0] for x in columns))
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``ids`` (array<int>) of each whole text."""
+    return _each(docs, path, key, text, "ids array<int>", lambda: lambda ids: (np.frombuffer(ids, "<i4"),), [pa.list_(pa.int32())])
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -53,17 +207,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     worker.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, piece = table(path, spaced_words), pieces(path)
-        for batch in batches:
-            counts, coded, decoded = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids = words.ids(t or "")
-                counts.append(len(ids) // 4)
-                coded.append(hashlib.sha256(ids).hexdigest())
-                back = b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                decoded.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def of() -> Callable[[bytes], tuple]:
+        piece = pieces(path)
+
+        def make(ids: bytes) -> tuple:
+            back = b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest()
+
+        return make
+
+    return _each(docs, path, "doc_id", "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", of, [pa.int64(), pa.string(), pa.string()])

@@ -5,11 +5,10 @@ text may be split there, each distinct piece encoded once, and the ids put
 back by position.  The pieces are encoded by the tokenizers library itself:
 the split only decides what is encoded together.
 
-The table belongs to a block of documents (the Arrow batches that one worker
-sees), not to the corpus: joining every word occurrence with a corpus-wide
-table would shuffle the corpus several times.  It is kept in two generations
-of at most ``GENERATION`` words, so its memory has a bound; a word that has
-left the table is encoded again, with the same ids.
+``WordTable`` is one worker's, for operators that need ids in passing (packing);
+``bpe`` has the table of the whole corpus.  It is kept in two generations of at
+most ``GENERATION`` words, so its memory has a bound; a word that has left the
+table is encoded again, with the same ids.
 """
 
 from __future__ import annotations
@@ -37,16 +36,21 @@ def bare_words(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+def tokenizer_of(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class WordTable:
     """Ids of words as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, split: Callable[[str], list]) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = tokenizer_of(path)
         self.split = split
         self.young: dict = {}
         self.old: dict = {}
