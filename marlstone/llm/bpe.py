@@ -10,8 +10,12 @@ they are put in the words' places.  Decoding looks each id up in the vocabulary
 What is held at once has a bound: a block ends with the document that brings it
 to ``BLOCK_WORDS`` distinct words or ``BLOCK_CHARS`` characters, a bucket is a
 share of the corpus' distinct words that doesn't grow with their repetitions.
-Hot words cost one entry a block.  Blocks are kept in the checkpoint folder, so
-a lost executor re-reads them.
+Hot words cost one entry a block.
+
+The split runs twice, for words and for documents, and costs less than keeping
+what it gives.  Both runs, and those again after an executor was lost, must see
+rows in one order, as scans of tables do; the mark of a block's words is
+compared, and another order is an error, never a wrong result.
 
 Null texts count as empty (no ids, empty decoded text).  Empty tables give no
 rows.  Other columns of the input, whatever their names, are ignored; repeated
@@ -27,17 +31,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.durable import durable
 from marlstone.llm.token_table import pieces, spaced_words, tokenizer_of
 
-BLOCK_WORDS, BLOCK_CHARS, PIECE_WORDS = 1 << 18, 1 << 25, 1 << 20
+BLOCK_WORDS, BLOCK_CHARS = 1 << 18, 1 << 25
 #: Buckets: one for so many bytes of text, within these limits.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 64, 65536
-_SPLIT = ["block", "bucket", "places", "words", "docs", "sizes"]
+_SPLIT = ["block", "mark", "bucket", "places", "words", "docs", "sizes"]
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -65,64 +67,63 @@ def _unpack_pieces(packed: bytes) -> list[bytes]:
     return out
 
 
-def split(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """Blocks: rows of documents as places of words, and rows of the words.
+def split(docs: DataFrame, key: str, text: str, buckets: int, words: bool) -> DataFrame:
+    """Blocks of documents: their words, or the documents as places of words.
 
-    Document rows have no bucket: ``docs`` (keys), ``sizes`` (words of each) and
-    ``places``.  Word rows have ``words`` of one bucket and their ``places``.
+    Word rows have ``words`` of one bucket and their ``places``; a block's
+    document row has no bucket but ``docs`` (keys), ``sizes`` (words of each) and
+    the ``places`` of all.  Both carry the ``mark`` of the block's words.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        block, chars, place = first, 0, {}
+        block, chars, place = None, 0, {}
         keys, sizes, places = [], [], []
         key_type = pa.null()
 
-        def documents() -> pa.RecordBatch:
-            row = [[block], [None], [_pack(np.concatenate(places))], [None], [list(keys)], [_pack(np.array(sizes))]]
-            for x in (keys, sizes, places):
-                x.clear()
-            return batch_of(row)
-
-        def batch_of(columns: list) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(key_type), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], _SPLIT)
-
-        def words() -> pa.RecordBatch:
+        def close() -> pa.RecordBatch:
             coded = [w.encode() for w in place]
-            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in coded), np.int32, len(coded))
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            mark = xxhash.xxh3_64_intdigest(b"\0".join(coded)) >> 1
             rows: list[list] = [[] for _ in _SPLIT]
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                own = order[a:b]
-                for column, value in zip(rows, (block, int(bucket[own[0]]), _pack(own), _pack_pieces([coded[i] for i in own.tolist()]), None, None)):
+            if words:
+                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in coded), np.int32, len(coded))
+                order = np.argsort(bucket, kind="stable")
+                bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    own = order[a:b]
+                    row = block, mark, int(bucket[own[0]]), _pack(own), _pack_pieces([coded[i] for i in own.tolist()]), None, None
+                    for column, value in zip(rows, row):
+                        column.append(value)
+            else:
+                for column, value in zip(rows, (block, mark, None, _pack(np.concatenate(places)), None, keys, _pack(np.array(sizes)))):
                     column.append(value)
-            return batch_of(rows)
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(key_type), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], _SPLIT)
 
         for batch in batches:
             key_type = batch.schema.field(0).type
+            if block is None and batch.num_rows:
+                block = batch.column(2)[0].as_py() << 32
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = spaced_words(body or "")
-                for w in set(found).difference(place):
+                # in an order that doesn't depend on the process
+                for w in sorted(set(found).difference(place)):
                     place[w] = len(place)
                 keys.append(doc)
-                sizes.append(len(found))
-                places.append(np.fromiter(map(place.__getitem__, found), np.uint32, len(found)))
+                if not words:
+                    sizes.append(len(found))
+                    places.append(np.fromiter(map(place.__getitem__, found), np.uint32, len(found)))
                 chars += len(body or "")
-                full = len(place) >= BLOCK_WORDS or chars >= BLOCK_CHARS
-                if full or sum(sizes) + len(sizes) >= PIECE_WORDS:
-                    yield documents()
-                if full:
-                    yield words()
+                if len(place) >= BLOCK_WORDS or chars >= BLOCK_CHARS:
+                    yield close()
                     block, chars, place = block + 1, 0, {}
+                    keys, sizes, places = [], [], []
         if keys:
-            yield documents()
-        if place:
-            yield words()
+            yield close()
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"block long, bucket int, places binary, words binary, docs array<{kind}>, sizes binary")
+    # the partition's number among its own, not among those of a union
+    part = F.spark_partition_id().cast("long")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), part.alias("p")).mapInArrow(run, f"block long, mark long, bucket int, places binary, words binary, docs array<{kind}>, sizes binary")
 
 
 def _encoded_words(found: DataFrame, path: str) -> DataFrame:
@@ -133,7 +134,7 @@ def _encoded_words(found: DataFrame, path: str) -> DataFrame:
         now, known = None, {}
         for batch in batches:
             out = []
-            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            for bucket, packed in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 if bucket != now:
                     now, known = bucket, {}
                 own = _unpack_pieces(packed)
@@ -141,9 +142,9 @@ def _encoded_words(found: DataFrame, path: str) -> DataFrame:
                 for word, got in zip(fresh, tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
                     known[word] = np.array(got.ids, "<u4").tobytes()
                 out.append(_pack_pieces([known[w] for w in own]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["block", "places", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.binary())], ["block", "mark", "places", "ids"])
 
-    return found.sortWithinPartitions("bucket").select("block", "bucket", "places", "words").mapInArrow(run, "block long, places binary, ids binary")
+    return found.sortWithinPartitions("bucket").select("block", "mark", "bucket", "places", "words").mapInArrow(run, "block long, mark long, places binary, ids binary")
 
 
 def _each(docs: DataFrame, path: str, key: str, text: str, result: str, of: Callable[[], Callable[[bytes], tuple]], kinds: list[pa.DataType]) -> DataFrame:
@@ -152,20 +153,20 @@ def _each(docs: DataFrame, path: str, key: str, text: str, result: str, of: Call
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES))
     kind = docs.schema[key].dataType.simpleString()
-    found = durable(split(docs, key, text, buckets))
-    blocks = max(1, found.select("block").distinct().count())
-    n = min(buckets, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    coded = _encoded_words(found.filter("bucket is not null").repartition(n, "bucket"), path)
-    lists = found.filter("bucket is null").select("block", F.lit(1).alias("step"), "places", F.lit(None).cast("binary").alias("ids"), "docs", "sizes")
-    table = coded.select("block", F.lit(0).alias("step"), "places", "ids", F.lit(None).cast(f"array<{kind}>").alias("docs"), F.lit(None).cast("binary").alias("sizes"))
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_CHARS)
+    coded = _encoded_words(split(docs, key, text, buckets, True).repartition(min(n, buckets), "bucket"), path)
+    lists = split(docs, key, text, buckets, False).select("block", "mark", F.lit(1).alias("step"), "places", F.lit(None).cast("binary").alias("ids"), "docs", "sizes")
+    table = coded.select("block", "mark", F.lit(0).alias("step"), "places", "ids", F.lit(None).cast(f"array<{kind}>").alias("docs"), F.lit(None).cast("binary").alias("sizes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = of()
-        now, ids_at = None, {}
+        now, words_mark, ids_at = None, None, {}
         for batch in batches:
-            for block, step, places, ids, keys, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, mark, step, places, ids, keys, sizes in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != now:
-                    now, ids_at = block, {}
+                    now, words_mark, ids_at = block, mark, {}
+                if mark != words_mark:
+                    raise RuntimeError("the documents came in another order when read again: checkpoint them first")
                 if step == 0:
                     ids_at.update(zip(_unpack(places).tolist(), _unpack_pieces(ids)))
                     continue
@@ -173,10 +174,10 @@ def _each(docs: DataFrame, path: str, key: str, text: str, result: str, of: Call
                 for n_words in _unpack(sizes).tolist():
                     made.append(make(b"".join(map(ids_at.__getitem__, where[at : at + n_words]))))
                     at += n_words
-                columns = [pa.array(keys, batch.schema.field(4).type.value_type), *(pa.array(c, t) for c, t in zip(zip(*made), kinds))]
+                columns = [pa.array(keys, batch.schema.field(5).type.value_type), *(pa.array(c, t) for c, t in zip(zip(*made), kinds))]
                 yield pa.RecordBatch.from_arrays(columns, ["k", *(f"c{i}" for i in range(len(kinds)))])
 
-    together = table.unionByName(lists).repartition(blocks, "block").sortWithinPartitions("block", "step")
+    together = table.unionByName(lists).repartition(n, "block").sortWithinPartitions("block", "step")
     columns = result.split(", ")
     shape = ", ".join(f"c{i} {x.split(' ', 1)[1]}" for i, x in enumerate(columns))
     return together.mapInArrow(run, f"k {kind}, {shape}").toDF(key, *(x.split(" ", 1)[0] for x in columns))
