@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.classify import space, spaces_overlap
+from marlstone.session import checkpointed
 
 
 def half_open_overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -108,12 +109,18 @@ def rule_pairs(rules: DataFrame) -> DataFrame:
 
 
 def alias_closure(pairs: DataFrame, depth: int = 8) -> DataFrame:
-    """Transitive (name, target) pairs, cycles cut at ``depth`` steps."""
-    pairs = pairs.select("name", "target").distinct()
+    """Transitive (name, target) pairs, cycles cut at ``depth`` steps.
+
+    Each step is kept, so that it isn't computed again for the next one, and
+    the search ends with the first step that finds nothing new.
+    """
+    pairs = checkpointed(pairs.select("name", "target").distinct())
     reached, front = pairs, pairs
     for _ in range(depth - 1):
         step = front.select("name", F.col("target").alias("via")).join(pairs.select(F.col("name").alias("via"), "target"), "via").filter("name <> target").select("name", "target").distinct()
-        front = step.join(reached, ["name", "target"], "left_anti")
+        front = checkpointed(step.join(reached, ["name", "target"], "left_anti"))
+        if front.isEmpty():
+            break
         reached = reached.unionByName(front)
     return reached.distinct()
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.ansi.enabled": "true",
@@ -18,3 +20,14 @@ def session(master: str | None = None, name: str = "marlstone", **more: str) ->
     """A session with ``SETTINGS``; ``more`` has dots as double underscores."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | {k.replace("__", "."): v for k, v in more.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the folder in spark.checkpoint.dir.
+
+    A temporary folder is set only where the session names none.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+    return df.checkpoint(eager=True)
