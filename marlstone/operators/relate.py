@@ -145,7 +145,6 @@ def one_to_one(left: DataFrame, right: DataFrame, group: str, tiers: Sequence[tu
     names = sorted({c for _, cols in tiers for c in cols})
 
     def fold(key: tuple, claims: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        # a group that one side lacks comes without columns
         free = sorted(facts.to_dict("records"), key=lambda x: x["pos"])
         out = []
         for claim in sorted(claims.to_dict("records"), key=lambda x: x["pos"]):
