@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marlstone.llm.components import components
 from marlstone.llm.durable import durable
@@ -197,26 +196,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
     of_point = placed.select("fp", "root").join(whole, "root").select("fp", "component_id", "n_documents")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(of_point, "fp").select("doc_id", hexed, "component_id", "n_documents")
-
-
-def one_of_each(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """``docs`` with the row of the least doc_id of each component.
-
-    Of rows with that doc_id one is kept.  A component without any doc_id keeps
-    one row of each fingerprint.
-    """
-    found = durable(near_duplicates(docs, width, seed, radius))
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    # scans skip files and groups without nulls, so this reads little
-    unnamed = docs.filter(F.col("doc_id").isNull())
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [f"{fingerprint(t, width, seed):016x}" for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], [*batch.schema.names, "__fp"])
-
-    lone = found.filter("doc_id is null and component_id is null").select(F.col("fingerprint").alias("__fp")).distinct()
-    kept = unnamed.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.StringType())])).join(lone, "__fp", "left_semi").dropDuplicates(["__fp"])
-    return named.unionByName(kept.drop("__fp"))

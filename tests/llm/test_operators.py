@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 from compare import differences
 
-from marlstone.llm import bpe, html_text, language, packing, pii, quality, registry, sharding, simhash, spotsigs, url_filter
+from marlstone.llm import bpe, html_text, language, near_copies, packing, pii, quality, registry, sharding, simhash, spotsigs, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EDGES = [
@@ -101,6 +101,41 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(201)) and got[501] == 500
 
 
+def near_copies_by_brute_force(texts):
+    """The least index of each text's group."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    least = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if c == b else c for c in least]
+    return least
+
+
+def test_near_copies_with_edited_words_are_linked(spark, docs):
+    """Documents, copies with some words replaced, and a crowd around one text."""
+    rng = np.random.default_rng(7)
+    texts = list(docs.text[:60])
+    for share in (0.002, 0.01, 0.03, 0.06):
+        for t in texts[:20]:
+            words = t.split()
+            texts.append(" ".join(f"w{rng.integers(10**9)}" if rng.random() < share else w for w in words))
+    base = " ".join(f"b{i}" for i in range(120)).split()
+    for _ in range(60):
+        texts.append(" ".join(f"c{rng.integers(10**9)}" if rng.random() < 0.02 else w for w in base))
+    texts += ["", None, " ", "one two", "One  two", "one three", "a b c d e", "a b c d f"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    expected = near_copies_by_brute_force(texts)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(frame).collect()} == dict(enumerate(expected))
+    assert len(set(expected)) < len(set(brute.components([brute.fingerprint(t) for t in texts], 2)))
+    assert {r["doc_id"] for r in near_copies.one_of_each(frame).collect()} == set(expected)
+    assert near_copies.one_of_each(frame.limit(0)).count() == 0
+
+
 PERSONAL = "call +1 (743) 555-3824 or 152.143.123.131, pay 4785380592391139 or 4785 3805 9239 1139 not 2123465659789240; über.54@mail3.example.com token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" DE89 3704 0044 0532 0130 00, born 1987-02-28, 12/31/1999, 31.12.1999, no 31.02.1999, ssn 123-45-6789 not 000-45-6789"
 
 
