@@ -5,7 +5,8 @@ assigned number ranges) and replaced by a keyed permutation of their own
 format, a Feistel network of ``ROUNDS`` rounds with SHA-256 as its round
 function.  Equal values have equal pseudonyms in all documents, different
 values different ones, and the shape (separators, length, case, check digits)
-stays.  Numbers that fail validation are left alone.
+stays.  Numbers that fail validation are left alone, with all their parts: a
+card or IBAN among other digits or words is found by its checksum.
 
 Over a product of two rings Z_a x Z_b the rounds add a keyed function of one
 half to the other, in turn, which permutes the product whatever a and b are.
@@ -28,17 +29,24 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Characters of an IBAN by country.
+_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_IBAN = "|".join(rf"(?:{'|'.join(names.split())})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in _LENGTHS.items())
 KINDS = {
     # possessive and anchored by what precedes, so that scanning stays linear
     "secret": r"(?i:(?<![\p{L}\p{N}])(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passwd|password)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_/+=-]{12,}+|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+)",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    # a known country's length first, then any
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w])",
 }
+# all digits of a run, up to a value of another kind; which of them are a card is found by checksum
+KINDS["card"] = rf"(?<![\w-])\d(?:(?![ -](?:{KINDS['date']}|{KINDS['ssn']}|{KINDS['phone']}|{KINDS['ip']}))[ -]?\d){{12,254}}(?![\w])"
+#: Cards as they are printed, for those among other numbers.
+PRINTED = r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{6}[ -]\d{7,13}|\d{8}[ -]\d{8})$"
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 _DIGITS, _SMALL, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
@@ -102,27 +110,71 @@ def only(text: Column, blank: str) -> Column:
     return F.regexp_replace(text, f"[^{blank}]", "")
 
 
+def parts(hit: Column, valid, changed) -> Column:
+    """``hit`` with its valid runs of groups changed, the leftmost and longest
+    first: struct of the new ``value`` and ``n``, how many there were.
+
+    Groups are what single blanks or dashes separate; a run has ten at most.
+    """
+    def scan(groups: Column) -> Column:
+        size = F.size(groups)
+        at = lambda i: F.length(F.array_join(F.slice(groups, F.lit(1), i), " ")) + F.when(i > 0, 2).otherwise(1)
+        run = lambda i, j: F.substring(hit, at(i), at(j) + F.length(F.get(groups, j)) - at(i))
+        before = lambda i: F.when(i > 0, F.substring(hit, at(i) - 1, F.lit(1))).otherwise("")
+
+        def step(s: Column, i: Column) -> Column:
+            ends = F.sequence(F.least(i + 9, size - 1), i, F.lit(-1))
+            best = F.get(F.filter(ends, lambda j: valid(run(i, j))), F.lit(0))
+            taken = lambda j: F.when(j.isNull(), F.struct(F.concat(s["value"], before(i), F.get(groups, i)).alias("value"), s["n"].alias("n"), (i + 1).alias("free"))).otherwise(F.struct(F.concat(s["value"], before(i), changed(run(i, j))).alias("value"), (s["n"] + 1).alias("n"), (j + 1).alias("free")))
+            return F.when(i < s["free"], s).otherwise(_then(best, taken))
+
+        return F.aggregate(F.sequence(F.lit(0), size - 1), F.struct(F.lit("").alias("value"), F.lit(0).alias("n"), F.lit(0).alias("free")), step)
+
+    return _then(F.split(hit, "[ -]"), scan)
+
+
+def _luhn(hit: Column) -> Column:
+    return _then(only(hit, "0-9"), lambda d: F.when(F.length(d).between(13, 19), F.pmod(luhn_sum(d), F.lit(10)) == 0).otherwise(False))
+
+
 def card(hit: Column, key: str) -> Column:
-    """A Luhn number of the same length, or the number itself if it is none."""
-    def changed(digits: Column) -> Column:
-        body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-        checked = _then(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
-        return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, filled(hit, checked, r"\d")).otherwise(hit)
+    """Luhn numbers of the same length for the run, or for the cards in it.
+
+    A run that is a Luhn number is one; else those of its parts that are
+    printed like cards are changed.  Struct of ``value`` and ``n``.
+    """
+    def changed(one: Column) -> Column:
+        def by_digits(digits: Column) -> Column:
+            body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+            checked = _then(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
+            return filled(one, checked, r"\d")
+
+        return _then(only(one, "0-9"), by_digits)
 
-    return _then(only(hit, "0-9"), changed)
+    printed = lambda x: F.when(x.rlike(PRINTED), _luhn(x)).otherwise(False)
+    return F.when(_luhn(hit), F.struct(changed(hit).alias("value"), F.lit(1).alias("n"))).otherwise(_then(parts(hit, printed, changed), lambda s: F.struct(s["value"].alias("value"), s["n"].alias("n"))))
 
 
 def iban(hit: Column, key: str) -> Column:
-    """Country and letters stay; account digits and check digits change."""
-    def changed(plain: Column) -> Column:
-        country = F.substring(plain, 1, 2)
-        account = F.substring(plain, F.lit(5), F.length(plain))
-        ok = mod97(F.concat(account, F.substring(plain, 1, 4))) == 1
-        other = filled(account, permuted_digits(only(account, "0-9"), key, "iban"), r"\d")
-        new = _then(other, lambda x: F.concat(country, F.lpad((98 - mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
-        return F.when(ok & (F.length(only(account, "0-9")) >= 2), filled(hit, new, "[A-Z0-9]")).otherwise(hit)
+    """Country and letters stay; account digits and check digits change.
+
+    If the whole fails its check, so do the parts of it that pass.  Struct of
+    ``value`` and ``n``.
+    """
+    def valid(one: Column) -> Column:
+        ok = lambda x: (mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1) & (F.length(only(F.substring(x, F.lit(5), F.length(x)), "0-9")) >= 2)
+        return F.when(one.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{8,}$"), _then(only(one, "A-Z0-9"), ok)).otherwise(False)
+
+    def changed(one: Column) -> Column:
+        def by_plain(plain: Column) -> Column:
+            country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+            other = filled(account, permuted_digits(only(account, "0-9"), key, "iban"), r"\d")
+            new = _then(other, lambda x: F.concat(country, F.lpad((98 - mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
+            return filled(one, new, "[A-Z0-9]")
+
+        return _then(only(one, "A-Z0-9"), by_plain)
 
-    return _then(only(hit, "A-Z0-9"), changed)
+    return F.when(valid(hit), F.struct(changed(hit).alias("value"), F.lit(1).alias("n"))).otherwise(_then(parts(hit, valid, changed), lambda s: F.struct(s["value"].alias("value"), s["n"].alias("n"))))
 
 
 def ip(hit: Column, key: str) -> Column:
@@ -242,10 +294,13 @@ def _kind(hit: Column) -> Column:
 
 def _replacement(hit: Column, key: str) -> Column:
     def by_kind(kind: Column) -> Column:
-        out = hit  # what no kind takes whole stays
+        one = lambda value: F.struct(value.alias("value"), F.lit(1).alias("n"))
+        out = one(hit)  # what no kind takes whole stays
         for name, pseudonym in _PSEUDONYMS.items():
-            out = F.when(kind == name, pseudonym(hit, key)).otherwise(out)
-        return F.struct(kind.alias("kind"), out.alias("value"))
+            new = pseudonym(hit, key)
+            out = F.when(kind == name, new if name in ("iban", "card") else one(new)).otherwise(out)
+        # a run without a valid part counts as seen
+        return _then(out, lambda x: F.struct(kind.alias("kind"), x["value"].alias("value"), F.greatest(x["n"], F.lit(1)).alias("n")))
 
     return _then(_kind(hit), by_kind)
 
@@ -270,6 +325,6 @@ def replaced(docs: DataFrame, key: str = "marlstone", text: str = "text") -> Dat
 def pseudonymise(docs: DataFrame, key: str = "marlstone") -> DataFrame:
     """doc_id, text, and per kind how many values were changed or seen."""
     found = _found(docs.select("doc_id", "text"), key, "text")
-    count = lambda kind: F.size(F.filter("__hits", lambda h: h["kind"] == kind))
+    count = lambda kind: F.aggregate("__hits", F.lit(0), lambda n, h: n + F.when(h["kind"] == kind, h["n"]).otherwise(0))
     counts = [F.coalesce(count(k), F.lit(0)).cast("long").alias(f"n_{k}") for k in _PSEUDONYMS]
     return found.select("doc_id", _rewritten("text").alias("text"), *counts)

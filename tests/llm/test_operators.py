@@ -164,6 +164,22 @@ def test_pii_keeps_formats_and_links(spark):
     assert {k: v for k, v in got[1].items() if k.startswith("n_")} == {"n_secret": 1, "n_email": 1, "n_iban": 1, "n_ip": 1, "n_date": 4, "n_ssn": 2, "n_phone": 1, "n_card": 3}
 
 
+def test_pii_finds_cards_and_ibans_among_other_numbers(spark):
+    card, account = "4111111111111111", "ES9121000418450200051332"
+    spaced, grouped = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    texts = [f"{spaced} 12/26", f"{card} 123", "4111-1111-1111-1111 10 times", f"12 {card}", f"12345 {spaced}", f"{spaced} 5500 0000 0000 0004", f"{card} 2024-01-01", f"{spaced} 10x", f"{grouped} EUR", f"{account} EUR 500", f"AB12 {grouped} PAID", f"{grouped} {spaced}", "1234 5678 9012 3456 12/26", f"{spaced} 12/26/2024", " ".join(["12"] * 300)]
+    got = {r["doc_id"]: r for r in rows(pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    alone = {r["doc_id"]: r["text"] for r in rows(pii.pseudonymise(spark.createDataFrame([(0, card), (1, account), (2, "2024-01-01")], "doc_id long, text string")))}
+    plain = {i: r["text"].replace(" ", "").replace("-", "") for i, r in got.items()}
+    for i in (0, 1, 2, 3, 4, 5, 6, 7, 11, 13):
+        assert alone[0] in plain[i] and card not in plain[i], texts[i]
+    for i in (8, 9, 10, 11):
+        assert alone[1] in plain[i] and account not in plain[i], texts[i]
+    assert got[0]["text"].endswith(" 12/26") and got[3]["text"].startswith("12 ") and got[9]["text"].endswith(" EUR 500") and got[6]["text"].endswith(alone[2])
+    assert "5500" not in got[5]["text"] and got[5]["n_card"] == 2 and "12/26/2024" not in got[13]["text"]
+    assert got[12]["text"] == texts[12] and got[14]["text"] == texts[14]
+
+
 def test_pii_permutations_are_one_to_one(spark):
     frame = spark.range(20000).select(F.col("id"), F.lpad(F.col("id").cast("string"), 5, "0").alias("d"))
     moved = frame.select(pii.permuted_digits(F.col("d"), "key", "test").alias("m"), pii.feistel(F.col("id") % 17, F.floor(F.col("id") / 17), F.lit(17), F.lit(4297), "key", "test").alias("s"), pii.permuted_text(F.col("d"), "key", "t").alias("p"))
