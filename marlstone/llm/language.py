@@ -5,9 +5,9 @@ bytes' 1- to 4-grams are counted in ``DIMENSIONS`` slots, weighted by the
 logarithm of their count and their inverse document frequency, and normalised.
 Each language has up to ``clusters`` centroids, found by spherical k-means, so
 that kinds of text (shouting, tables, letters) needn't share one.  A text gets
-the language of the nearest centroid by cosine.  It is rejected if it is
-less similar to it than 0.3 times what all but one in a hundred of the
-centroid's own members are.
+the language of the nearest centroid by cosine.  It is rejected if that is
+lower than of all but QUANTILE of the learned texts of about its length, each
+scored by a model that was learned without it.
 
 The model learns from at most ``per_language`` labelled texts a language,
 chosen by a hash of doc_id; predictions use the text alone.  Null texts and
@@ -28,6 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS, BLOCK = 8192, 64
+#: Share of known texts below the floor, and folds and lengths it is measured in.
+QUANTILE, FOLDS, LENGTHS = 0.005, 3, 12
+#: Share of a language's texts that makes a kind of text; fewer are taken for wrong labels.
+SUPPORT = 0.05
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
@@ -50,10 +54,21 @@ def counts(text: str | None) -> np.ndarray:
 
 
 class Centroids:
-    """``names`` and ``points`` (a row each), ``idf`` and ``floors``."""
+    """``names`` and ``points`` (a row each), ``idf`` and the floor's curve."""
 
-    def __init__(self, names: list[str], points: np.ndarray, idf: np.ndarray, floors: np.ndarray) -> None:
-        self.names, self.points, self.idf, self.floors = names, points, idf, floors
+    def __init__(self, names: list[str], points: np.ndarray, idf: np.ndarray) -> None:
+        self.names, self.points, self.idf = names, points, idf
+        #: logarithms of n-gram counts, the usual cosine there, and the least share of it
+        self.lengths, self.usual, self.share = np.zeros(1), np.ones(1), 0.0
+
+    def expected(self, sizes: np.ndarray) -> np.ndarray:
+        """The usual cosine of known texts with so many n-grams.
+
+        Under the shortest length it falls with the root of the count, as it
+        does for a few n-grams against a dense centroid.
+        """
+        at = np.log(np.maximum(sizes, 1))
+        return np.interp(at, self.lengths, self.usual) * np.exp(np.minimum(0.0, (at - self.lengths[0]) / 2))
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
         weighted = np.log1p(table, dtype=np.float32) * self.idf
@@ -64,11 +79,12 @@ class Centroids:
         readable = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         for at in range(0, len(readable) if self.names else 0, BLOCK):
             own = readable[at : at + BLOCK]
-            likeness = self.vectors(np.stack([counts(texts[i]) for i in own])) @ self.points.T
-            for i, row in zip(own, likeness):
+            table = np.stack([counts(texts[i]) for i in own])
+            likeness = self.vectors(table) @ self.points.T
+            for i, row, floor in zip(own, likeness, self.share * self.expected(table.sum(1))):
                 best = int(row.argmax())
                 score = min(1.0, max(0.0, float(row[best])))
-                out[i] = self.names[best], score, score < self.floors[best]
+                out[i] = self.names[best], score, score < floor
         return out
 
 
@@ -90,22 +106,38 @@ def _cluster(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return points, own
 
 
-def train(rows: list[tuple[str, np.ndarray]], clusters: int) -> Centroids:
-    names, points, floors = [], [], []
-    table = np.stack([x for _, x in rows]) if rows else np.zeros((0, DIMENSIONS))
+def _learned(names_of: list[str], table: np.ndarray, clusters: int) -> Centroids:
     idf = (np.log((1 + len(table)) / (1 + (table > 0).sum(0))) + 1).astype(np.float32)
-    model = Centroids([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(0))
+    model = Centroids([], np.zeros((0, DIMENSIONS), np.float32), idf)
     vectors = model.vectors(table)
-    for lang in sorted({name for name, _ in rows}):
-        members = vectors[[name == lang for name, _ in rows]]
+    names, points = [], []
+    for lang in sorted(set(names_of)):
+        members = vectors[[name == lang for name in names_of]]
         centres, own = _cluster(members, clusters)
         for c in range(len(centres)):
-            if (own == c).any():
+            if (own == c).any() and (own == c).mean() >= SUPPORT:
                 names.append(lang)
                 points.append(centres[c])
-                floors.append(0.3 * float(np.quantile(members[own == c] @ centres[c], 0.01)))
     if names:
-        model.names, model.points, model.floors = names, np.stack(points), np.array(floors)
+        model.names, model.points = names, np.stack(points)
+    return model
+
+
+def train(rows: list[tuple[str, np.ndarray]], clusters: int) -> Centroids:
+    names_of = [name for name, _ in rows]
+    table = np.stack([x for _, x in rows]) if rows else np.zeros((0, DIMENSIONS))
+    model = _learned(names_of, table, clusters)
+    if len(rows) < FOLDS:
+        return model
+    scores, fold = np.zeros(len(rows)), np.arange(len(rows)) % FOLDS
+    for k in range(FOLDS):
+        part = _learned([n for n, f in zip(names_of, fold) if f != k], table[fold != k], clusters)
+        scores[fold == k] = (part.vectors(table[fold == k]) @ part.points.T).max(1)
+    lengths = np.log(np.maximum(table.sum(1, dtype=np.int64), 1))
+    bins = np.array_split(np.argsort(lengths, kind="stable"), min(LENGTHS, len(rows)))
+    model.lengths = np.array([np.median(lengths[i]) for i in bins])
+    model.usual = np.maximum.accumulate([np.median(scores[i]) for i in bins])
+    model.share = float(np.quantile(scores / np.maximum(model.expected(np.exp(lengths)), 1e-12), QUANTILE))
     return model
 
 

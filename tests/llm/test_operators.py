@@ -373,6 +373,24 @@ def test_language_edges(spark, edges, nothing):
     assert language.keep_known(edges, model).columns == edges.columns
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    """Each language left out in turn, letters at random and base64; known texts stay."""
+    import base64
+
+    frame = pd.read_parquet("/root/testdata/sf0.1/documents.parquet")
+    held = np.array([zlib.crc32(str(d).encode()) % 4 == 2 for d in frame.doc_id])
+    learned = {x: [(x, language.counts(t)) for t in frame.text[~held & (frame.lang == x)][:250]] for x in sorted(set(frame.lang))}
+    tested = {x: list(frame.text[held & (frame.lang == x)][:120]) for x in learned}
+    rejected = lambda model, texts: np.mean([x[2] for x in model.nearest(texts)])
+    for x in learned:
+        assert rejected(language.train([r for y, rs in learned.items() if y != x for r in rs], 4), tested[x]) > 0.9, x
+    model = language.train([r for rs in learned.values() for r in rs], 4)
+    rng = np.random.default_rng(3)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), n)) for n in (100, 400, 1500) for _ in range(20)]
+    assert rejected(model, letters) > 0.9 and rejected(model, [base64.b64encode(rng.bytes(n)).decode() for n in (100, 400, 1500) for _ in range(20)]) > 0.9
+    assert rejected(model, [t for ts in tested.values() for t in ts]) < 0.02
+
+
 def library(name):
     from tokenizers import Tokenizer
 
