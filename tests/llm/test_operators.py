@@ -180,6 +180,12 @@ def test_pii_finds_cards_and_ibans_among_other_numbers(spark):
     assert got[12]["text"] == texts[12] and got[14]["text"] == texts[14]
 
 
+def test_pii_finds_dates_of_timestamps(spark):
+    frame = spark.createDataFrame([(1, "1987-02-28T10:00:00Z"), (2, "1987-02-28"), (3, "1987-02-28Tx")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in rows(pii.pseudonymise(frame))}
+    assert got[2] != "1987-02-28" and got[1] == got[2] + "T10:00:00Z" and got[3] == "1987-02-28Tx"
+
+
 def test_pii_permutations_are_one_to_one(spark):
     frame = spark.range(20000).select(F.col("id"), F.lpad(F.col("id").cast("string"), 5, "0").alias("d"))
     moved = frame.select(pii.permuted_digits(F.col("d"), "key", "test").alias("m"), pii.feistel(F.col("id") % 17, F.floor(F.col("id") / 17), F.lit(17), F.lit(4297), "key", "test").alias("s"), pii.permuted_text(F.col("d"), "key", "t").alias("p"))
