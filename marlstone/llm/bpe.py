@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.durable import released
 from marlstone.llm.token_table import pieces, spaced_words, tokenizer_of
 
 BLOCK_WORDS, BLOCK_CHARS = 1 << 18, 1 << 25
@@ -100,7 +101,7 @@ def split(docs: DataFrame, key: str, text: str, buckets: int, words: bool) -> Da
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(key_type), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], _SPLIT)
 
-        for batch in batches:
+        for batch in released(batches):
             key_type = batch.schema.field(0).type
             if block is None and batch.num_rows:
                 block = batch.column(2)[0].as_py() << 32
@@ -132,7 +133,7 @@ def _encoded_words(found: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(path)
         now, known = None, {}
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for bucket, packed in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 if bucket != now:
@@ -161,7 +162,7 @@ def _each(docs: DataFrame, path: str, key: str, text: str, result: str, of: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = of()
         now, words_mark, ids_at = None, None, {}
-        for batch in batches:
+        for batch in released(batches):
             for block, mark, step, places, ids, keys, sizes in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != now:
                     now, words_mark, ids_at = block, mark, {}
@@ -193,7 +194,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces(path)
-        for batch in batches:
+        for batch in released(batches):
             out = [b"".join(map(piece.__getitem__, x or [])).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["k", "t"])
 

@@ -2,26 +2,78 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a worker holds as Python objects at once.
+ROWS = 512
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only if unset.
 
-    ``spark.checkpoint.dir`` is read from the session.  Without it (local
-    tests) a folder under the machine's temporary directory is set, which is
-    right only as long as driver and executors are one machine.
+    ``spark.checkpoint.dir`` is read from the session.  Without it a folder
+    under the machine's temporary directory is set if driver and executors are
+    one machine (local masters, as in tests); on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if named is None and context.getCheckpointDir() is None and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
     return named or context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared checkpoint folder."""
+    """``df``, computed once and kept in the shared checkpoint folder.
+
+    Spark's cleaner deletes it when nothing refers to it any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Keeps what is large as Parquet in the shared folder, a checkpoint being
+    uncompressed; the tables are deleted in the end, so what is made of them
+    must be durable by then."""
+    folder = f"{shared_dir(spark).rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+    made: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(f"{folder}/{len(made)}")
+        df.write.option("compression", "zstd").parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    try:
+        yield keep
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        # not glibc
+        pass
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of ``ROWS``; at the end of the task the worker,
+    which waits for its next one, gives back the memory that it has freed."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), ROWS):
+            yield batch.slice(at, ROWS)
+    _trim()

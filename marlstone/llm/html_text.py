@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.durable import released
+
 _MARK = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*+)>)""", re.S)
 _LOOSE = re.compile(r"<(?P<data>(?!))?(?:/(?P<end>[a-zA-Z][^\s/>]*)[^>]*|(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>[^>]*)|[!?][^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
@@ -334,7 +336,7 @@ def render_pages(pages: DataFrame, key: str = "page_id", source: str = "html") -
     """``key``, title, text, and n_chars of the text, per page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             titles, texts = [], []
             for page in batch.column(1).to_pylist():
                 title, text = extract(page)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.durable import released
+
 DIMENSIONS, BLOCK = 8192, 64
 #: Share of known texts below the floor, and folds and lengths it is measured in.
 QUANTILE, FOLDS, LENGTHS = 0.005, 3, 12
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, clusters: int = 4, per_language: int = 500) -> Centroid
     some = labelled.withColumn("order", order).filter(F.pmod("order", F.lit(1 << 20)) < ratio * (1 << 20))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             packed = [zlib.compress(np.minimum(counts(t), 65535).astype("<u2").tobytes(), 1) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["lang", "order", "counts"])
 
@@ -174,7 +176,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     """doc_id, lang_pred, score (cosine) and rejected of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             found = model.nearest(batch.column(1).to_pylist())
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "rejected"])
@@ -188,7 +190,7 @@ def keep_known(docs: DataFrame, model: Centroids) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             yield batch.filter(pa.array([not x[2] for x in model.nearest(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

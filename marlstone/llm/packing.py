@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.durable import durable
+from marlstone.llm.durable import durable, released
 from marlstone.llm.token_table import bare_words, table
 
 FAN_IN = 16
@@ -83,7 +83,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, open_w
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], key), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
-        for batch in batches:
+        for batch in released(batches):
             key = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = words.ids(text or "") + end

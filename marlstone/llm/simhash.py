@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.durable import durable
+from marlstone.llm.durable import durable, released
 
 LEAF = 256
 SHARD = 1024
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             found = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
@@ -171,7 +171,7 @@ def link(points: DataFrame, radius: int = 2) -> DataFrame:
     nodes = grow(np.unique(sample.view(np.uint64)), radius, 16.0)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for leaf, got in deal(nodes, own, radius):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), leaf, np.int32)), pa.array(got.view(np.int64))], ["shard", "fp"])

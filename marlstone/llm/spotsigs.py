@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.durable import released
+
 _WORD = re.compile(r"\w+")
 ANCHORS = frozenset(
     """a an and are as at be been but by for from had has have he her his if in is it its my no not of on or our she so that the their them there they this to was we were what when which who will with would you your
@@ -147,7 +149,7 @@ def compare_with_next(docs: DataFrame, chain: int = 2, edited: int = 4) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         key = pa.null()
-        for batch in batches:
+        for batch in released(batches):
             key, rows = batch.schema.field(0).type, []
             for doc, text, part, ahead in zip(*(c.to_pylist() for c in batch.columns)):
                 own = None
@@ -174,7 +176,7 @@ def fingerprints(docs: DataFrame, chain: int = 2) -> DataFrame:
     """doc_id and the fingerprint itself: its signatures, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(signatures(t or "", chain)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "signatures"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -7,9 +7,8 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-import brute
 import corpus_pipeline
-from test_operators import check_packing
+from test_operators import check_packing, near_copies_by_brute_force
 
 from marlstone.llm import quality
 
@@ -29,7 +28,7 @@ def test_stages_in_order(spark, tmp_path):
     good = {r["doc_id"] for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).filter("kept").collect()}
     assert ids["quality_rules"] == good and ids["known_language"] <= good and len(ids["known_language"]) > 0.98 * len(good)
     frame = kept["one_of_near_copies"].sort_values("doc_id").reset_index(drop=True)
-    first = {int(frame.doc_id[i]) for i in brute.components([brute.fingerprint(t) for t in frame.text], 2)}
+    first = {int(frame.doc_id[i]) for i in near_copies_by_brute_force(list(frame.text))}
     assert ids["one_of_near_copies"] == first and ids["pseudonyms"] == first
     rows = [r.asDict() for r in docs.collect()]
     assert check_packing(list(zip(kept["packed"].doc_id, kept["packed"].text)), rows) < 0.05
