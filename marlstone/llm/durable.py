@@ -41,6 +41,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextmanager
 def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Keeps what is large as Parquet in the shared folder, a checkpoint being

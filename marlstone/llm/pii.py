@@ -1,31 +1,48 @@
 """Format-preserving pseudonyms for personal data, as column expressions.
 
 Values are found by one pattern, validated (Luhn, mod 97, calendar, octets,
-assigned number ranges) and replaced by a keyed permutation of their own
-format, a Feistel network of ``ROUNDS`` rounds with SHA-256 as its round
-function.  Equal values have equal pseudonyms in all documents, different
-values different ones, and the shape (separators, length, case, check digits)
-stays.  Numbers that fail validation are left alone, with all their parts: a
-card or IBAN among other digits or words is found by its checksum.
+assigned number ranges, telephone numbering plans) and replaced by a keyed
+permutation of their own format, a Feistel network of ``ROUNDS`` rounds with
+SHA-256 as its round function.  Equal values have equal pseudonyms in all
+documents, different values different ones, and the shape (separators, length,
+case, check digits) stays.  Numbers that fail validation are left alone, with
+all their parts: a card or IBAN among other digits or words is found by its
+checksum.
 
 Over a product of two rings Z_a x Z_b the rounds add a keyed function of one
 half to the other, in turn, which permutes the product whatever a and b are.
-Texts (e-mail names, secrets) are permuted by halves of characters, each
-within its own class: digits, small and capital letters, or hex digits.
-
-Null texts stay null and have zero counts; empty texts stay empty.  Repeated
-rows are treated each.  Columns of the input other than the text are kept as
-they are, those with names like the counts' included, which then give way to
-the counts in ``pseudonymise``; ``replaced`` changes no column but the text.
-The key is part of the query plan: whoever may read plans may undo the
-pseudonyms.
+Where only a part of the product is valid, the permutation is applied until it
+gives a valid value, which permutes the valid ones.  Texts (e-mail names,
+secrets) are permuted by halves of characters, each within its own class:
+digits, small and capital letters, hex digits, or the letters of its script
+(``SCRIPTS``; letters of others stay in their places).
+
+Formats: dates keep their order and separators, and are written without zeros
+in front if day or month was.  Addresses of private networks stay in their
+network; loopback, link-local, multicast and reserved ones, and numbers of four
+parts after "version" or the like, are left alone.  Telephone numbers keep
+their country code; those of the North American plan need valid area and
+exchange codes, others a country code and 7 to 15 digits.
+
+Null texts stay null and have zero counts; empty texts stay empty; long texts
+are taken whole.  Repeated rows and ids are treated each, an empty table gives
+no rows.  Columns of the input other than the text are kept as they are, those
+with names like the counts' included, which then give way to the counts in
+``pseudonymise``; ``replaced`` changes no column but the text.
+
+The key must be given; whoever knows it may undo the pseudonyms.  It is part
+of the query plan, so whoever may read plans knows it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.durable import unused
+
 ROUNDS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -38,7 +55,7 @@ KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     # a known country's length first, then any
     "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
-    "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
+    "ip": rf"(?<![\w.])(?<!(?i:version|release|build|ver|rev|\bv)[ .:]{{0,2}}){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}(?=T\d)|(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
@@ -47,7 +64,15 @@ KINDS = {
 KINDS["card"] = rf"(?<![\w-])\d(?:(?![ -](?:{KINDS['date']}|{KINDS['ssn']}|{KINDS['phone']}|{KINDS['ip']}))[ -]?\d){{12,254}}(?![\w])"
 #: Cards as they are printed, for those among other numbers.
 PRINTED = r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{6}[ -]\d{7,13}|\d{8}[ -]\d{8})$"
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What a value of the kind may start with, tried before its pattern.
+_STARTS = {"secret": "[AaTtSsPpGg]", "email": r"[\p{L}\p{N}._%+-]", "iban": r"[A-Z]{2}\d{2}"}
+# no value starts within a word
+PATTERN = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?={start})(?:{KINDS[kind]})" for kind, start in _STARTS.items()) + r"|(?=[\d+(])(?:" + "|".join(f"(?:{p})" for kind, p in KINDS.items() if kind not in _STARTS) + "))"
+
+#: Calling codes of one and two digits; all others have three.
+_CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: First and last letters of scripts: Latin with marks, Greek, Cyrillic, Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, kana, Han, Hangul.
+SCRIPTS = [(0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x400, 0x40F), (0x410, 0x42F), (0x430, 0x44F), (0x450, 0x45F), (0x531, 0x556), (0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
 
 _DIGITS, _SMALL, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 
@@ -178,11 +203,26 @@ def iban(hit: Column, key: str) -> Column:
 
 
 def ip(hit: Column, key: str) -> Column:
+    """Private addresses within their network, public ones among themselves."""
     def changed(p: Column) -> Column:
         n = lambda i: F.get(p, F.lit(i)).cast("long")
-        mixed = feistel(n(0) * 256 + n(1), n(2) * 256 + n(3), F.lit(65536), F.lit(65536), key, "ip")
+        high, low = n(0) * 256 + n(1), n(2) * 256 + n(3)
         octets = lambda x: F.concat_ws(".", F.floor(x / 256).cast("string"), F.pmod(x, F.lit(256)).cast("string"))
-        return _then(mixed, lambda s: F.concat_ws(".", octets(s["a"]), octets(s["b"])))
+        both = lambda a, b: F.concat_ws(".", octets(a), octets(b))
+        first = lambda a: F.floor(a / 256)
+        of_12 = lambda a: a.between(172 * 256 + 16, 172 * 256 + 31)
+        special = lambda a: first(a).isin(0, 10, 127) | (first(a) >= 224) | of_12(a) | a.isin(192 * 256 + 168, 169 * 256 + 254)
+
+        def walk(s: Column, _: Column) -> Column:
+            step = lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), (~special(m["a"])).alias("done"))
+            return F.when(s["done"], s).otherwise(_then(feistel(s["a"], s["b"], F.lit(65536), F.lit(65536), key, "ip"), step))
+
+        start = F.struct(high.alias("a"), low.alias("b"), F.lit(False).alias("done"))
+        public = _then(F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, walk), lambda s: both(s["a"], s["b"]))
+        of_8 = _then(feistel(F.pmod(high, F.lit(256)), low, F.lit(256), F.lit(65536), key, "ip 10"), lambda s: both(s["a"] + 10 * 256, s["b"]))
+        within_12 = _then(feistel(high - (172 * 256 + 16), low, F.lit(16), F.lit(65536), key, "ip 172"), lambda s: both(s["a"] + 172 * 256 + 16, s["b"]))
+        of_16 = _then(feistel(n(2), n(3), F.lit(256), F.lit(256), key, "ip 192"), lambda s: both(F.lit(192 * 256 + 168), s["a"] * 256 + s["b"]))
+        return F.when(n(0) == 10, of_8).when(of_12(high), within_12).when(high == 192 * 256 + 168, of_16).when(special(high), hit).otherwise(public)
 
     return _then(F.split(hit, r"\."), changed)
 
@@ -222,21 +262,45 @@ def date(hit: Column, key: str) -> Column:
         index = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
         mixed = feistel(F.floor(index / 4297), F.pmod(index, F.lit(4297)), F.lit(17), F.lit(4297), key, "date")
         new = F.date_add(F.lit("1900-01-01").cast("date"), _then(mixed, lambda m: (m["a"] * 4297 + m["b"]).cast("int")))
-        written = _then(new, lambda d: F.when(hit.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(hit.contains(".") , F.date_format(d, "dd.MM.yyyy")).when(s["monthly"].isNotNull(), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy")))
+        short = (F.length(at(0)) < 2) | (F.length(at(1)) < 2)
+        as_ = lambda d, long, bare: F.when(short, F.date_format(d, bare)).otherwise(F.date_format(d, long))
+        written = _then(new, lambda d: F.when(hit.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(hit.contains("."), as_(d, "dd.MM.yyyy", "d.M.yyyy")).when(s["monthly"].isNotNull(), as_(d, "MM/dd/yyyy", "M/d/yyyy")).otherwise(as_(d, "dd/MM/yyyy", "d/M/yyyy")))
         return F.when(day.between(F.lit("1900-01-01").cast("date"), F.lit("2099-12-31").cast("date")), written).otherwise(hit)
 
     return _then(F.struct(to_day(iso).alias("iso"), to_day(monthly).alias("monthly"), to_day(daily).alias("daily")), changed)
 
 
 def phone(hit: Column, key: str) -> Column:
-    """Country code stays; all other digits are permuted together."""
-    head = F.regexp_extract(hit, r"^(\+\d{1,3}(?=[ .(-]))?", 1)
+    """Country code stays; the digits after it are permuted together."""
+    code = F.regexp_extract(hit, rf"^\+({_CALLING}|\d{{3}})", 1)
+
+    def changed(c: Column) -> Column:
+        body = F.when(hit.startswith("+"), F.substring(hit, F.length(c) + 2, F.length(hit))).otherwise(hit)
+
+        def by_digits(d: Column) -> Column:
+            three = lambda i: F.substring(d, i, 3).cast("long") - 200
+            american = d.rlike(r"^[2-9]\d{2}[2-9]\d{6}$")
+            mixed = feistel(three(1) * 800 + three(4), F.substring(d, 7, 4).cast("long"), F.lit(640000), F.lit(10000), key, "phone")
+            shown = _then(mixed, lambda s: F.concat((F.floor(s["a"] / 800) + 200).cast("string"), (F.pmod(s["a"], F.lit(800)) + 200).cast("string"), F.lpad(s["b"].cast("string"), 4, "0")))
+            other = (c != "") & (c != "1") & (F.length(d) + F.length(c)).between(7, 15) & (F.length(d) >= 4)
+            new = F.when(c.isin("", "1"), F.when(american, shown)).when(other, permuted_digits(d, key, "phone"))
+            return F.when(new.isNull(), hit).otherwise(F.concat(F.substring(hit, F.lit(1), F.length(hit) - F.length(body)), filled(body, new, r"\d")))
+
+        return _then(only(body, "0-9"), by_digits)
 
-    def changed(h: Column) -> Column:
-        body = F.substring(hit, F.length(h) + 1, F.length(hit))
-        return F.concat(h, filled(body, permuted_digits(only(body, "0-9"), key, "phone"), r"\d"))
+    return _then(code, changed)
 
-    return _then(head, changed)
+
+def _in_script(c: Column, add: Column) -> Column:
+    """The letter ``add`` places on, in turn, among those of its script."""
+    def moved(n: Column) -> Column:
+        out = n
+        for low, high in SCRIPTS:
+            out = F.when(n.between(low, high), low + F.pmod(n - low + add, F.lit(high - low + 1))).otherwise(out)
+        return F.decode(F.unhex(F.lpad(F.hex(out), 4, "0")), "UTF-16BE")
+
+    coded = F.hex(F.encode(c, "UTF-16BE"))
+    return F.when(F.length(coded) == 4, _then(F.conv(coded, 16, 10).cast("long"), moved)).otherwise(c)
 
 
 def permuted_text(text: Column, key: str, domain: str, hexadecimal: bool = False) -> Column:
@@ -250,7 +314,7 @@ def permuted_text(text: Column, key: str, domain: str, hexadecimal: bool = False
             within = lambda alphabet: F.substring(F.lit(alphabet), F.pmod(F.instr(F.lit(alphabet), c) - 1 + add, F.lit(len(alphabet))) + 1, F.lit(1))
             if hexadecimal:
                 return F.when(c.rlike("[0-9a-f]"), within(_HEX)).otherwise(c)
-            return F.when(c.rlike("[0-9]"), within(_DIGITS)).when(c.rlike("[a-z]"), within(_SMALL)).when(c.rlike("[A-Z]"), within(_SMALL.upper())).otherwise(c)
+            return F.when(c.rlike("[0-9]"), within(_DIGITS)).when(c.rlike("[a-z]"), within(_SMALL)).when(c.rlike("[A-Z]"), within(_SMALL.upper())).when(c > "\x7f", _in_script(c, add)).otherwise(c)
 
         return _then(stream, lambda pad: F.array_join(F.transform(F.split(half, ""), lambda c, k: moved(c, k, pad)), ""))
 
@@ -261,13 +325,9 @@ def permuted_text(text: Column, key: str, domain: str, hexadecimal: bool = False
 
 
 def email(hit: Column, key: str) -> Column:
-    """Name and domain labels change; the top-level domain stays.
-
-    Letters outside a-z are first written as x, so that none of them stays.
-    """
-    plain = F.regexp_replace(hit, r"[^\x00-\x7f]", "x")
-    top = F.regexp_extract(plain, r"\.[^.]*$", 0)
-    return F.concat(permuted_text(F.substring(plain, F.lit(1), F.length(plain) - F.length(top)), key, "email"), top)
+    """Name and domain labels change; the top-level domain stays."""
+    top = F.regexp_extract(hit, r"\.[^.]*$", 0)
+    return F.concat(permuted_text(F.substring(hit, F.lit(1), F.length(hit) - F.length(top)), key, "email"), top)
 
 
 def secret(hit: Column, key: str) -> Column:
@@ -294,37 +354,47 @@ def _kind(hit: Column) -> Column:
 
 def _replacement(hit: Column, key: str) -> Column:
     def by_kind(kind: Column) -> Column:
-        one = lambda value: F.struct(value.alias("value"), F.lit(1).alias("n"))
-        out = one(hit)  # what no kind takes whole stays
+        one = lambda value: _then(value, lambda v: F.struct(v.alias("value"), F.when(v != hit, 1).otherwise(0).alias("n")))
+        out = F.struct(hit.alias("value"), F.lit(0).alias("n"))  # what no kind takes whole stays
         for name, pseudonym in _PSEUDONYMS.items():
             new = pseudonym(hit, key)
             out = F.when(kind == name, new if name in ("iban", "card") else one(new)).otherwise(out)
-        # a run without a valid part counts as seen
-        return _then(out, lambda x: F.struct(kind.alias("kind"), x["value"].alias("value"), F.greatest(x["n"], F.lit(1)).alias("n")))
+        return _then(out, lambda x: F.struct(kind.alias("kind"), x["value"].alias("value"), x["n"].alias("n")))
 
     return _then(_kind(hit), by_kind)
 
 
-def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with __hits, the replaced values of each text in order."""
-    hits = docs.withColumn("__raw", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    return hits.withColumn("__hits", F.transform("__raw", lambda h: _replacement(h, key))).drop("__raw")
+def _found(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with the replaced values of each text in order, and that column."""
+    raw, hits = unused(docs, "__raw"), unused(docs, "__hits")
+    found = docs.withColumn(raw, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return found.withColumn(hits, F.transform(raw, lambda h: _replacement(h, key))).drop(raw), hits
 
 
-def _rewritten(text: str) -> Column:
+def _rewritten(text: str, hits: str) -> Column:
     between = F.split(text, PATTERN, -1)
-    joined = _then(between, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform("__hits", lambda h, i: F.concat(h["value"], F.get(p, i + 1))), "")))
-    return F.when(F.size("__hits") > 0, joined).otherwise(F.col(text))
+    joined = _then(between, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(hits, lambda h, i: F.concat(h["value"], F.get(p, i + 1))), "")))
+    return F.when(F.size(hits) > 0, joined).otherwise(F.col(text))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in spark.marlstone.pseudonyms.key; a random one, which the
+    session then keeps, if none is set."""
+    name = "spark.marlstone.pseudonyms.key"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, secrets.token_hex(16))
+    return spark.conf.get(name)
 
 
-def replaced(docs: DataFrame, key: str = "marlstone", text: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with its text replaced and its columns as they were."""
-    return _found(docs, key, text).withColumn(text, _rewritten(text)).select(*docs.columns)
+    found, hits = _found(docs, key, text)
+    return found.withColumn(text, _rewritten(text, hits)).select(*docs.columns)
 
 
-def pseudonymise(docs: DataFrame, key: str = "marlstone") -> DataFrame:
-    """doc_id, text, and per kind how many values were changed or seen."""
-    found = _found(docs.select("doc_id", "text"), key, "text")
-    count = lambda kind: F.aggregate("__hits", F.lit(0), lambda n, h: n + F.when(h["kind"] == kind, h["n"]).otherwise(0))
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text, and per kind how many values were changed."""
+    found, hits = _found(docs.select("doc_id", "text"), key, "text")
+    count = lambda kind: F.aggregate(hits, F.lit(0), lambda n, h: n + F.when(h["kind"] == kind, h["n"]).otherwise(0))
     counts = [F.coalesce(count(k), F.lit(0)).cast("long").alias(f"n_{k}") for k in _PSEUDONYMS]
-    return found.select("doc_id", _rewritten("text").alias("text"), *counts)
+    return found.select("doc_id", _rewritten("text", hits).alias("text"), *counts)

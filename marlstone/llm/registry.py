@@ -27,7 +27,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_read(spark, sf_dir, "documents"))
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
+from datetime import date, timedelta
 
 import xxhash
 
@@ -51,3 +53,58 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
             dups += line in seen
             seen.add(line)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(covered)
+
+
+def feistel(a: int, b: int, na: int, nb: int, key: str, domain: str) -> tuple[int, int]:
+    for i in range(8):
+        digest = hashlib.sha256(f"{key}|{domain}|{i}|{a if i % 2 else b}".encode()).hexdigest()
+        added = int(digest[:15], 16)
+        a, b = (a, (b + added) % nb) if i % 2 else ((a + added) % na, b)
+    return a, b
+
+
+def _public(a: int, b: int) -> bool:
+    o = a >> 8, a & 255
+    return not (o[0] in (0, 10, 127) or o[0] >= 224 or o[0] == 172 and 16 <= o[1] < 32 or o in ((192, 168), (169, 254)))
+
+
+def pseudonym(value: str, key: str) -> str:
+    """Of one date, address, social security or telephone number."""
+    digits = re.sub(r"\D", "", value)
+    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d+\.\d+\.\d{4}", value):
+        parts = value.split("-") if "-" in value else value.split(".")[::-1]
+        index = (date(*map(int, parts)) - date(1900, 1, 1)).days
+        a, b = feistel(index // 4297, index % 4297, 17, 4297, key, "date")
+        new = date(1900, 1, 1) + timedelta(days=a * 4297 + b)
+        if "-" in value:
+            return new.isoformat()
+        return f"{new.day}.{new.month}.{new.year}" if min(map(len, value.split("."))) < 2 else new.strftime("%d.%m.%Y")
+    if value.count(".") == 3:
+        o = [int(x) for x in value.split(".")]
+        a, b = o[0] << 8 | o[1], o[2] << 8 | o[3]
+        if o[0] == 10:
+            a, b = feistel(o[1], b, 256, 65536, key, "ip 10")
+            a += 10 << 8
+        elif o[0] == 172 and 16 <= o[1] < 32:
+            a, b = feistel(o[1] - 16, b, 16, 65536, key, "ip 172")
+            a += 172 << 8 | 16
+        elif o[:2] == [192, 168]:
+            b = (lambda x: x[0] << 8 | x[1])(feistel(o[2], o[3], 256, 256, key, "ip 192"))
+        elif _public(a, b):
+            a, b = feistel(a, b, 65536, 65536, key, "ip")
+            while not _public(a, b):
+                a, b = feistel(a, b, 65536, 65536, key, "ip")
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", value):
+        area, group, serial = map(int, value.split("-"))
+        if not 1 <= area <= 899 or area == 666 or not group or not serial:
+            return value
+        a, b = feistel(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+        return f"{a + 1 + (a >= 665):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+    ten = digits[-10:]
+    if not re.fullmatch(r"[2-9]\d\d[2-9]\d{6}", ten):
+        return value
+    a, b = feistel((int(ten[:3]) - 200) * 800 + int(ten[3:6]) - 200, int(ten[6:]), 640000, 10000, key, "phone")
+    new = iter(f"{a // 800 + 200}{a % 800 + 200}{b:04}")
+    head = "+1" if value.startswith("+1") else ""
+    return head + re.sub(r"\d", lambda _: next(new), value[len(head) :])
