@@ -1,77 +1,115 @@
 """Longest-processing-time scheduling of documents into shards.
 
 Groups (equal texts) stay together.  Sorted by size, the largest first, each
-goes to the shard with the least load, found through a heap.  Groups of more
-than 1/``GRAIN`` of a shard's share are items of their own, at most shards *
-``GRAIN`` of them; smaller groups meet in ``BINS`` bins by hash and a bin is
-an item.  So the heap on the driver has a bound that doesn't depend on the
-corpus, and the loads differ by about a bin.  A group larger than a shard's
-share makes its shard larger than the others; it can't be split.
+goes to the shard with the least load, the first of several, found through a
+heap.  All groups are scheduled so: the driver's heap takes the groups of one
+size at once, as a number, and says how many of them each shard gets; which of
+them is decided by rank, in the cluster.  So the driver holds a row for each
+*size* that occurs and no row for a group: sizes are whole bytes, so there are
+no more of them than the largest group has bytes, and far fewer in texts,
+however many documents there are.  A group larger than a shard's share makes
+its shard larger than the others; it can't be split.
 
 A null text has no bytes and is grouped with empty ones.  Null and repeated
-doc_ids are placed like others.  An empty table gives no rows.
+doc_ids are placed like others, very long texts by their size; groups of equal
+size are in the order of their texts' hashes.  Columns other than doc_id and
+text are ignored, whatever their names.  An empty table gives no rows.  Texts
+are told apart by 64-bit hash and size: should two of them ever agree, they
+stay together as well.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.durable import durable
 
-BINS, GRAIN, SLOTS = 16384, 256, 2048
+#: Rows that are ranked in one sort.
+SLOTS = 2048
+#: Groups of one size from which on they are not taken off the heap one by one.
+MANY = 64
 
 
-def schedule(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """Shard of each (size, name): the largest first, to the least load."""
-    loads = [(0, shard) for shard in range(shards)]
-    placed = {}
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        load, shard = heapq.heappop(loads)
-        placed[name] = shard
-        heapq.heappush(loads, (load + size, shard))
+def _filled(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of ``n`` equal sizes each load gets, taken off a heap in turn.
+
+    Shard i is taken at loads L, L + size, L + 2 size ..; the n least of all
+    these, in order of load and shard, are what the heap gives.
+    """
+    def taken(level: int) -> list[int]:
+        return [(level - load) // size + 1 if level >= load else 0 for load in loads]
+
+    low, high = min(loads) - 1, min(loads) + size * n
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(taken(middle)) <= n else (low, middle - 1)
+    counts = taken(low)
+    left = n - sum(counts)
+    for i, load in enumerate(loads):
+        if left and load + counts[i] * size == low + 1:
+            counts[i] += 1
+            left -= 1
+    return counts
+
+
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> dict[int, list[tuple[int, int]]]:
+    """For each (size, number of groups): the shards that get some, and the
+    rank up to which they do."""
+    loads, placed = [0] * shards, {}
+    for size, n in sorted(sizes, reverse=True):
+        if not size:
+            # what has no size leaves the least load the least
+            counts = {loads.index(min(loads)): n}
+        elif n > MANY:
+            counts = dict(enumerate(_filled(loads, size, n)))
+        else:
+            heap, counts = [(load, i) for i, load in enumerate(loads)], {}
+            heapq.heapify(heap)
+            for _ in range(n):
+                load, i = heap[0]
+                counts[i] = counts.get(i, 0) + 1
+                heapq.heapreplace(heap, (load + size, i))
+        end, ends = 0, []
+        for i, count in sorted(counts.items()):
+            if count:
+                loads[i] += size * count
+                end += count
+                ends.append((i, end))
+        placed[size] = ends
     return placed
 
 
+def numbered(rows: DataFrame, key: str, parts: Column, order: str, name: str) -> DataFrame:
+    """``rows`` with their place in the order within ``key``, gapless from 0.
+
+    A key is sorted in so many ``parts``, so it may have any share of the rows.
+    """
+    dealt = rows.withColumn("__part", F.pmod(F.col(order), parts.cast("long")))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(key, "__part").agg(F.count("*").alias("__n")).select(key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy(key, "__part").orderBy(order)))
+    return ranked.join(starts, [key, "__part"]).select(*rows.columns, (F.col("__first") + F.col("__rank") - 1).alias(name))
+
+
 def assign(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard and the slot in it, gapless from 0."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = durable(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text) + overhead).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.md5(text).alias("group"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-    )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    least = total / (shards * GRAIN)
-    bin_of = F.concat(F.lit("bin "), F.pmod(F.conv(F.substring("group", 1, 8), 16, 10).cast("long"), F.lit(BINS)))
-    groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    items = groups.groupBy(F.when(F.col("size") > least, F.col("group")).otherwise(bin_of).alias("item")).agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()
-    placed = schedule([(x["size"], x["item"]) for x in items], shards)
-    counts = [0] * shards
-    for x in items:
-        counts[placed[x["item"]]] += x["n"]
-    named = spark.createDataFrame(list(placed.items()), "item string, shard int")
-    large = named.filter(~F.col("item").startswith("bin ")).select(F.col("item").alias("group"), F.col("shard").alias("own"))
-    bins = named.filter(F.col("item").startswith("bin ")).select(F.col("item").alias("bin"), F.col("shard").alias("shared"))
-    spread = F.array(*(F.lit(max(1, -(-n // SLOTS))) for n in counts))
-    rows = (
-        rows.join(F.broadcast(large), "group", "left")
-        .withColumn("bin", bin_of)
-        .join(F.broadcast(bins), "bin", "left")
-        .withColumn("shard", F.coalesce("own", "shared"))
-        .withColumn("part", F.pmod(F.col("row"), F.get(spread, F.col("shard")).cast("long")))
-    )
-    # a slot is the rows of the shard's earlier parts and the rank in its own
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "part").agg(F.count("*").alias("n")).select(F.col("shard").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "part").orderBy("row")))
-    return ranked.join(starts, (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p"))).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    rows = durable(docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), F.monotonically_increasing_id().alias("row")))
+    groups = durable(rows.groupBy("group", "size").agg(F.count("*").alias("n")).withColumn("bytes", F.col("size") * F.col("n")))
+    sizes = [(x["bytes"], x["groups"], x["n"]) for x in groups.groupBy("bytes").agg(F.count("*").alias("groups"), F.sum("n").alias("n")).collect()]
+    placed = schedule(((size, n) for size, n, _ in sizes), shards)
+    kind = "bytes long, parts long, ends array<struct<shard: int, end: long>>"
+    table = spark.createDataFrame([(size, -(-n // SLOTS), placed[size]) for size, n, _ in sizes], kind)
+    ranked = numbered(groups.join(table, "bytes"), "bytes", F.col("parts"), "group", "rank")
+    shard = F.get(F.filter("ends", lambda x: x["end"] > F.col("rank")), F.lit(0))["shard"]
+    homes = durable(ranked.select("group", "size", "n", shard.alias("shard")))
+    counts = {x["shard"]: x["n"] for x in homes.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    spread = F.array(*(F.lit(max(1, -(-counts.get(i, 0) // SLOTS))) for i in range(shards)))
+    found = rows.join(homes.drop("n"), ["group", "size"])
+    slots = numbered(found, "shard", F.get(spread, F.col("shard")), "row", "slot")
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

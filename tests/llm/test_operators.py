@@ -343,6 +343,36 @@ def test_sharding_of_many_small_and_one_hot_group(spark):
     check_shards(rows(frame), got, 4)
 
 
+def lpt_by_brute_force(groups, shards):
+    """Loads, and how many groups of each size each shard has, by plain LPT."""
+    loads, counts = [0] * shards, defaultdict(lambda: [0] * shards)
+    for size in sorted(groups, reverse=True):
+        i = loads.index(min(loads))
+        loads[i] += size
+        counts[size][i] += 1
+    return loads, counts
+
+
+def test_sharding_schedules_all_groups_by_size(spark, small):
+    rng = np.random.default_rng(2)
+    for shards, most, n in ((1, 5, 300), (7, 3, 2000), (7, 900, 2000), (40, 2, 5000), (3, 10**6, 40)):
+        groups = [*rng.integers(0, most, n).tolist(), 10**7]
+        found = sharding.schedule([(s, groups.count(s)) for s in set(groups)], shards)
+        _, counts = lpt_by_brute_force(groups, shards)
+        for size, ends in found.items():
+            got, last = [0] * shards, 0
+            for i, end in ends:
+                got[i], last = end - last, end
+            assert sum(got) == sum(counts[size]) and (got == counts[size] or not size)
+    frame = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    texts = [r["text"] for r in rows(frame)]
+    groups = [(len(t.encode()) + 16) * texts.count(t) for t in set(texts)]
+    loads = [0] * 9
+    for r in rows(sharding.assign(frame, 9)):
+        loads[r["shard"]] += r["size"]
+    assert loads == lpt_by_brute_force(groups, 9)[0]
+
+
 def test_url_filter_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert differences(registry.op6_url_filter(spark, sf), registry.oracle_sql()["op6_url_filter"], sf) == ""
@@ -368,6 +398,25 @@ def test_url_filter_nested_rules_and_edges(spark):
     assert {r["verdict"] for r in rows(url_filter.judge(frame, spark.createDataFrame([], "host string, path string, verdict string")))} == {"allow"}
 
 
+def test_url_filter_with_ten_thousand_rules_of_one_host(spark):
+    rng = np.random.default_rng(5)
+    part = lambda: "/" + "".join(rng.choice(list("ab"), rng.integers(1, 3)))
+    rules = sorted({(host, "".join(part() for _ in range(rng.integers(0, 9)))) for host in ["big.org"] * 11500 + ["sub.big.org"] * 500 + ["org"] * 50 for _ in (0,)})
+    assert sum(h == "big.org" for h, _ in rules) >= 5000
+    verdict = {r: "allow" if zlib.crc32("".join(r).encode()) % 2 else "block" for r in rules}
+    urls = [f"http://{rng.choice(['big.org', 'x.sub.big.org', 'sub.big.org', 'other.org', 'big.com'])}{''.join(part() for _ in range(rng.integers(0, 10)))}" for _ in range(3000)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = rows(url_filter.judge(frame, spark.createDataFrame([(*r, v) for r, v in verdict.items()], "host string, path string, verdict string"), "none"))
+
+    def brute_force(url):
+        host, slash, rest = url.removeprefix("http://").partition("/")
+        labels, path = host.split("."), slash + rest
+        fits = [(len(h) + k, len(h), h + path[:k], verdict[h, path[:k]]) for i in range(len(labels)) for h in [".".join(labels[i:])] for k in range(len(path) + 1) if (h, path[:k]) in verdict]
+        return max(fits, default=(0, 0, None, "none"))[2:]
+
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got} == {i: brute_force(u) for i, u in enumerate(urls)}
+
+
 def edited(texts, i):
     n = len(texts[i]) // 4
     return texts[i][: len(texts[i]) - n] + texts[(i + 1) % len(texts)][:n]
