@@ -5,18 +5,26 @@ fingerprint is the set of its signatures.  Sets can be alike by ``t`` only if
 their sizes differ by a factor of at most 1/t, so sets are partitioned by size
 and the comparison stops as soon as t is out of reach.
 
-Anchors are common words of some languages.  A text in which no anchor is
-followed by content words is spotted at every word, and one too short for that
-is a single signature of itself.  Texts of under ``SHORT`` words, in which spots
-are few, add their words, and those of under ``TINY`` words their trigrams of
-characters.  Null texts count as empty; empty sets don't
-occur, as the empty text is its own signature.  Equal texts have equal
-fingerprints.
+Anchors are common words of some languages, and words that ``RUN`` content
+words follow without one between, as in lists, or in languages without anchors
+here.  A text without any chain is spotted at every word, one of under three
+words at every character (trigrams), and one shorter still is a single
+signature of itself; nothing else depends on the length of a text.  Null texts count as
+empty; empty sets don't occur, as the empty text is its own signature.  Long
+texts are taken whole.  Equal texts have equal fingerprints.
+
+Documents are in the order of their ids, of any type that can be ordered; null
+ids come first, and rows that share an id are in the order of their texts.
+Each row has its own result.  Columns other than doc_id and text are ignored,
+whatever their names; an empty table gives no rows.  A single document is its
+own next one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm.durable import released
 
@@ -39,33 +48,44 @@ ANCHORS = frozenset(
 )
 
 
-SHORT, TINY = 40, 8
+#: Content words without an anchor that make the word before them one.
+RUN = 8
+#: Likeness below this counts as none; sizes that differ by more are apart.
+LEAST = 0.1
+#: Sampled ids by which documents are dealt if their ids aren't numbers.
+SAMPLE = 1 << 16
 
 
 def signatures(text: str, chain: int = 2, anchors: frozenset = ANCHORS) -> set[str]:
     words = _WORD.findall(text.lower())
     found: set[str] = set()
-    after: list[str] = []
+    run = 0
     if chain == 2:
         # the same as below, for the usual length
         one = two = None
         for word in reversed(words):
             if word not in anchors:
+                if run >= RUN:
+                    found.add(f"{word} {one} {two}")
+                run += 1
                 two, one = one, word
-            elif two is not None:
-                found.add(f"{word} {one} {two}")
+            else:
+                run = 0
+                if two is not None:
+                    found.add(f"{word} {one} {two}")
     else:
+        after: list[str] = []
         for word in reversed(words):
-            if word not in anchors:
-                after = [word, *after[: chain - 1]]
-            elif len(after) == chain:
+            anchor = word in anchors
+            if len(after) == chain and (anchor or run >= RUN):
                 found.add(" ".join((word, *after)))
+            run = 0 if anchor else run + 1
+            if not anchor:
+                after = [word, *after[: chain - 1]]
     if not found:
         found = {" ".join(words[i : i + chain + 1]) for i in range(len(words) - chain)}
-    if len(words) < SHORT:
-        found.update(words)
-    if len(words) < TINY:
-        found.update(text[i : i + 3] for i in range(len(text) - 2))
+    if not found:
+        found = {text[i : i + 3] for i in range(len(text) - 2)}
     return found or {text}
 
 
@@ -74,31 +94,35 @@ def digest(found: set[str]) -> str:
     return f"{len(found)}-{xxhash.xxh3_128_hexdigest(chr(10).join(sorted(found)).encode())}"
 
 
-def likeness(a: set[str], b: set[str], least: float = 0.0) -> float:
-    """Jaccard; 0 as soon as it can't reach ``least``."""
+def partition(size: int, least: float) -> int:
+    """Sets whose partitions aren't the same or neighbours can't be alike by
+    ``least``: within one, sizes differ by a factor below 1/least."""
+    return int(math.log(size) / -math.log(least) + 1e-9) if least < 1 else size
+
+
+def likeness(a: set[str], b: set[str], least: float = LEAST) -> float:
+    """Jaccard; 0 as soon as it can't reach ``least`` (above 0, at most 1)."""
     if len(a) > len(b):
         a, b = b, a
-    if len(a) < least * len(b):
+    if partition(len(b), least) - partition(len(a), least) > 1 or len(a) < least * len(b) - 1e-9:
         return 0.0
-    if not least:
-        common = len(a & b)
-    else:
-        common, misses = 0, len(a) - least / (1 + least) * (len(a) + len(b))
-        for x in a:
-            if x in b:
-                common += 1
-            else:
-                misses -= 1
-                if misses < -1e-9:
-                    return 0.0
+    common, misses = 0, len(a) - least / (1 + least) * (len(a) + len(b))
+    for x in a:
+        if x in b:
+            common += 1
+        else:
+            misses -= 1
+            if misses < -1e-9:
+                return 0.0
     return common / (len(a) + len(b) - common)
 
 
-def _part(key: Column, bounds: list[int]) -> Column:
+def _part(key: Column, bounds: list, kind: str = "bigint") -> Column:
     """How many bounds are at most ``key``, by bisection."""
     if not bounds:
         return F.lit(0)
-    table, steps = F.array(*map(F.lit, bounds)), len(bounds).bit_length()
+    # one literal, however many bounds
+    table, steps = F.from_json(F.lit(json.dumps([str(b) for b in bounds])), "array<string>").cast(f"array<{kind}>"), len(bounds).bit_length()
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
@@ -109,15 +133,28 @@ def _part(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["lo"])
 
 
-def with_next(docs: DataFrame, part_bytes: int = 1 << 21, most_parts: int = 20000) -> tuple[DataFrame, int]:
+def _place(docs: DataFrame) -> Column:
+    """A number that rises with the id: integers themselves, else how many
+    sampled ids are at most the id."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col("doc_id").cast("long")
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    ratio = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (hashed < ratio * (1 << 30))).distinct().orderBy("doc_id")
+    return _part(F.col("doc_id"), [r[0] for r in some.collect()], kind.simpleString()).cast("long")
+
+
+def with_next(docs: DataFrame, part_bytes: int = 1 << 21, most_parts: int = 1 << 16) -> tuple[DataFrame, int]:
     """Rows dealt by ranges of doc_id, each range sorted and followed by the
     next range's first document (``ahead``); the last one by the first of all.
 
-    Only ids go to the driver: one bound a range.  Null ids come first, rows
-    with one id are ordered by text.
+    Only ids go to the driver: one bound a range.  There are ``most_parts`` of
+    them at most, of more bytes then; a range is read in order with one
+    document held, so its size is no limit.
     """
     low = -(2**63)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("at"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(_place(docs), F.lit(low)).alias("at"))
     ids = rows.select("at")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, min(most_parts, size // part_bytes))
@@ -126,14 +163,15 @@ def with_next(docs: DataFrame, part_bytes: int = 1 << 21, most_parts: int = 2000
     firsts = {x["part"]: x["at"] for x in ids.groupBy(_part(F.col("at"), bounds).alias("part")).agg(F.min("at").alias("at")).collect()}
     order = sorted(firsts)
     before = dict(zip(order, order[-1:] + order[:-1]))
-    earlier = F.array(*(F.lit(before.get(k, 0)) for k in range(len(bounds) + 1)))
+    earlier = F.from_json(F.lit(json.dumps([before.get(k, 0) for k in range(len(bounds) + 1)])), "array<int>")
     place = lambda part, ahead: F.struct(part.alias("part"), F.lit(ahead).alias("ahead"))
     numbered = rows.withColumn("part", _part(F.col("at"), bounds))
-    is_first = F.col("at").isin(list(firsts.values())) if firsts else F.lit(False)
+    opening = F.from_json(F.lit(json.dumps([firsts.get(k, low) for k in range(len(bounds) + 1)])), "array<bigint>")
+    is_first = F.get(opening, F.col("part")) == F.col("at")
     to = F.when(is_first, F.array(place(F.col("part"), False), place(F.get(earlier, F.col("part")), True))).otherwise(F.array(place(F.col("part"), False)))
     dealt = numbered.select("doc_id", "text", "at", F.explode(to).alias("to")).select("doc_id", "text", "at", "to.part", "to.ahead")
     n = max(len(order), 1)
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "ahead", "at", "text").select("doc_id", "text", "part", "ahead"), n
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "ahead", "at", "doc_id", "text").select("doc_id", "text", "part", "ahead"), n
 
 
 def compare_with_next(docs: DataFrame, chain: int = 2, edited: int = 4) -> DataFrame:

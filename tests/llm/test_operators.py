@@ -422,18 +422,49 @@ def edited(texts, i):
     return texts[i][: len(texts[i]) - n] + texts[(i + 1) % len(texts)][:n]
 
 
+def spots_by_brute_force(text):
+    """Each anchor with the next two words that are none, found from the front."""
+    import re
+
+    words = re.findall(r"\w+", text.lower())
+    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    found = set()
+    for i, word in enumerate(words):
+        alone = len(words) > i + 8 and not any(w in spotsigs.ANCHORS for w in words[i : i + 9])
+        after = [w for j, w in content if j > i][:2] if alone or word in spotsigs.ANCHORS else []
+        if len(after) == 2:
+            found.add((word, *after))
+    if not found:
+        found = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or {(text[i : i + 3],) for i in range(len(text) - 2)} or {(text,)}
+    return found
+
+
 def test_spotsigs_equals_brute_force(spark, small, docs):
     got = registry.op7_spotsigs(spark, small).toPandas().sort_values("doc_id").reset_index(drop=True)
     texts = list(docs.text)
     assert list(got.doc_id) == list(docs.doc_id)
-    for i, text in enumerate(texts):
-        a, b, c = (spotsigs.signatures(t) for t in (text, edited(texts, i), texts[(i + 1) % len(texts)]))
+    for i, text in enumerate(texts[:80]):
+        a, b, c = (spots_by_brute_force(t) for t in (text, edited(texts, i), texts[(i + 1) % len(texts)]))
         assert got.edited_sha256[i] == hashlib.sha256(edited(texts, i).encode()).hexdigest() and got.n_chars[i] == len(text)
-        assert (got.fingerprint[i], got.edited_fingerprint[i]) == (spotsigs.digest(a), spotsigs.digest(b))
-        assert got.near_edited[i] == len(a & b) / len(a | b) and got.near_next[i] == len(a & c) / len(a | c)
+        assert got.fingerprint[i].split("-")[0] == str(len(a)) and got.edited_fingerprint[i].split("-")[0] == str(len(b))
+        for near, other in ((got.near_edited[i], b), (got.near_next[i], c)):
+            exact = len(a & other) / len(a | other)
+            assert near == (exact if exact >= spotsigs.LEAST else 0.0)
+    for x in range(40):
+        for y in range(x):
+            assert (got.fingerprint[x] == got.fingerprint[y]) == (spots_by_brute_force(texts[x]) == spots_by_brute_force(texts[y]))
     assert (got.near_edited > got.near_next).mean() > 0.97
 
 
+def test_spotsigs_of_ids_that_are_no_numbers(spark):
+    texts = [f"the {i} quick foxes of {i + 1} the lazy dogs are {i * 7} here" for i in range(60)]
+    frame = spark.createDataFrame([(f"doc-{i:05}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(4)
+    got = {r["doc_id"]: r["edited_sha256"] for r in rows(spotsigs.compare_with_next(frame))}
+    assert [got[k] for k in sorted(got)] == [hashlib.sha256(edited(texts, i).encode()).hexdigest() for i in range(60)]
+    dealt, n = spotsigs.with_next(frame, part_bytes=200)
+    assert n > 3 and dealt.filter("not ahead").count() == 60
+
+
 def test_spotsigs_over_many_ranges(spark, small, docs):
     frame = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     dealt, n = spotsigs.with_next(frame, part_bytes=1 << 15)
