@@ -343,6 +343,39 @@ def test_sharding_of_many_small_and_one_hot_group(spark):
     check_shards(rows(frame), got, 4)
 
 
+def test_simhash_deals_few_copies_of_points():
+    rng = np.random.default_rng(1)
+    for n, most in ((10**5, 3.0), (10**6, 4.0)):
+        points = rng.integers(0, 2**64, n, np.uint64)
+        shards = max(1, -(-n // simhash.SHARD), 8)
+        nodes = simhash.grow(np.unique(points[: simhash.SAMPLE * shards]), 2, 1.5 * simhash.SAMPLE)
+        sizes = [len(got) for _, got in simhash.deal(nodes, points, 2)]
+        assert sum(sizes) < most * n and max(sizes) < 2 * simhash.SHARD
+
+
+def test_simhash_links_of_many_points_are_exact(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 20000, np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 64, 20000, np.uint64)) | (np.uint64(1) << rng.integers(0, 64, 20000, np.uint64))
+    points = np.unique(np.concatenate([base, base[:5000] ^ flips[:5000], base[:500] ^ flips[:500] ^ flips[5000:5500]]))
+    frame = spark.createDataFrame(pd.DataFrame({"fp": points.view(np.int64)})).repartition(6)
+    links = simhash.link(frame, 2).toPandas()
+    parent = {int(p): int(p) for p in points.view(np.int64)}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(links.a.tolist(), links.b.tolist()):
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    order = points.view(np.int64).tolist()
+    for at in range(0, len(points), 2000):
+        i, j = np.nonzero(np.bitwise_count(points[at : at + 2000, None] ^ points[None, :]) <= 2)
+        assert all(root(order[x + at]) == root(order[y]) for x, y in zip(i.tolist(), j.tolist()))
+    assert (np.bitwise_count(links.a.to_numpy(np.int64).view(np.uint64) ^ links.b.to_numpy(np.int64).view(np.uint64)) <= 8).all()
+
+
 def lpt_by_brute_force(groups, shards):
     """Loads, and how many groups of each size each shard has, by plain LPT."""
     loads, counts = [0] * shards, defaultdict(lambda: [0] * shards)
