@@ -3,11 +3,23 @@
 A tree builder supplies tags that the markup implies (ends of p, li, dt, dd,
 tr, td, option; tbody and tr in tables), then all text that visibility rules
 leave is rendered: blocks on lines of their own, paragraphs apart by a blank
-line, lists with marks and indents, table cells aligned in columns.
+line, lists with marks and indents (up to ``MOST_INDENT`` columns), table
+cells aligned in columns, tables within tables likewise.  Text in a table that
+is in no cell comes before its rows.
+
+Visibility follows the tags that are never shown, the attribute ``hidden``,
+closed ``details`` and ``dialog``, inline styles, and the rules for ``display``
+and ``visibility`` in style sheets of the page, by importance, specificity and
+order: selectors of tags, ids and classes, below or right below each other.
+Selectors with attributes, states or siblings, and sheets for other media than
+screens, are left out.  What is visible inside something hidden is shown; what
+is inside something that isn't displayed is not.
 
 Null and empty pages have empty texts.  Broken markup never raises: a tag
-without an end is text.  Repeated rows are rendered each, a page_id may be
-null, further columns are ignored, an empty table gives no rows.
+without an end is text.  Very long pages and any depth of tags or tables are
+taken whole, in time that grows with their length.  Repeated rows are rendered
+each, a page_id may be null, further columns, whatever their names, are
+ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +39,9 @@ _MARK = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[(?P<data>.*?)(?
 _LOOSE = re.compile(r"<(?P<data>(?!))?(?:/(?P<end>[a-zA-Z][^\s/>]*)[^>]*|(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>[^>]*)|[!?][^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+_COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+_SCREEN = re.compile(r"^\s*@(?:supports|layer|media(?!\s+not\b)(?:(?!\b(?:print|speech)\b)[^{])*)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript title textarea".split())
@@ -52,13 +66,16 @@ IMPLIED_END = {
 #: What may stand in a head; anything else ends it.
 HEADISH = frozenset("title meta link script style base noscript template bgsound".split())
 _SCOPE = frozenset(("table", "td", "th", "caption", "html"))
+#: Columns up to which nested blocks are indented.
+MOST_INDENT = 64
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "parent", "shown", "tag", "visible")
 
-    def __init__(self, tag: str, attributes: dict[str, str]) -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None = None) -> None:
+        self.tag, self.attributes, self.children, self.parent = tag, attributes, [], parent
+        self.shown = self.visible = True
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -71,19 +88,27 @@ def attributes_of(text: str) -> dict[str, str]:
 def tree(source: str) -> Node:
     root = Node("html", {})
     path = [root]
+    #: where in the path each tag is open
+    places: dict[str, list[int]] = {}
+
+    def last(tags: set[str] | frozenset) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def leave(tags: set[str] | frozenset, stop: set[str] | frozenset) -> bool:
-        for at in range(len(path) - 1, 0, -1):
-            if path[at].tag in tags:
-                del path[at:]
-                return True
-            if path[at].tag in stop:
-                return False
-        return False
+        at = last(tags)
+        if not at or at < last(stop):
+            return False
+        while len(path) > at:
+            places[path.pop().tag].pop()
+        return True
+
+    def pop() -> None:
+        places[path.pop().tag].pop()
 
     def enter(tag: str, attributes: dict[str, str]) -> Node:
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, path[-1])
         path[-1].children.append(node)
+        places.setdefault(tag, []).append(len(path))
         path.append(node)
         return node
 
@@ -94,7 +119,7 @@ def tree(source: str) -> Node:
             start = end
         if start > at:
             if path[-1].tag == "head" and not source[at:start].isspace():
-                path.pop()
+                pop()
             path[-1].children.append(html.unescape(source[at:start]))
         if start == end:
             break
@@ -114,7 +139,7 @@ def tree(source: str) -> Node:
         elif tag:
             tag = tag.lower()
             if path[-1].tag == "head" and tag not in HEADISH:
-                path.pop()
+                pop()
             if tag in ENDS_P:
                 leave({"p"}, _SCOPE | {"button"})
             if tag in IMPLIED_END:
@@ -131,31 +156,139 @@ def tree(source: str) -> Node:
                 continue
             node = enter(tag, attributes)
             if tag in VOID:
-                path.pop()
+                pop()
             elif tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 inner = source[at : stop.start() if stop else end]
                 node.children.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
-                path.pop()
+                pop()
                 at = stop.end() if stop else end
         elif closed:
             closed = closed.lower()
             if closed == "br":
-                path[-1].children.append(Node("br", {}))
+                path[-1].children.append(Node("br", {}, path[-1]))
             elif closed == "p":
                 if not leave({"p"}, _SCOPE):
-                    path[-1].children.append(Node("p", {}))
+                    path[-1].children.append(Node("p", {}, path[-1]))
             elif closed not in ("html", "body"):
                 leave({closed}, {"table"} if closed in ("td", "th", "tr", "tbody", "thead", "tfoot") else _SCOPE if closed != "table" else frozenset())
     return root
 
 
-def seen(node: Node, parent: Node | None = None) -> bool:
-    if node.tag in NEVER_SEEN or "hidden" in node.attributes or _UNSEEN.search(node.attributes.get("style", "")):
-        return False
-    if node.tag == "dialog" and "open" not in node.attributes:
-        return False
-    return not (parent is not None and parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary")
+def _blocks(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a sheet for screens, in order."""
+    todo = [re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)]
+    while todo:
+        sheet = todo.pop()
+        at = 0
+        while (start := sheet.find("{", at)) >= 0:
+            head = sheet[at:start].rpartition(";")[2].strip()
+            if head.startswith("@"):
+                depth, end = 1, len(sheet)
+                for got in re.compile(r"[{}]").finditer(sheet, start + 1):
+                    depth += 1 if got[0] == "{" else -1
+                    if not depth:
+                        end = got.start()
+                        break
+                if _SCREEN.fullmatch(head):
+                    # what follows comes after what is inside
+                    todo.append(sheet[end + 1 :])
+                    sheet, at = sheet[start + 1 : end], 0
+                    continue
+            else:
+                end = sheet.find("}", start)
+                end = len(sheet) if end < 0 else end
+                yield head, sheet[start + 1 : end]
+            at = end + 1
+
+
+class Styles:
+    """Rules for display and visibility, matched from the root down.
+
+    A node has the steps of selectors that end at it and, of its ancestors,
+    all that have ended above, so a selector costs the same at any depth.
+    """
+
+    def __init__(self, sheets: list[str]) -> None:
+        #: by a tag, id or class of the step: (step, names of it, step before it, whether right above, rule)
+        self.steps: dict[str, list[tuple]] = {}
+        order = n = 0
+        for sheet in sheets:
+            for selectors, declared in _blocks(sheet):
+                found = _DECLARED.findall(declared)
+                for selector in selectors.split(",") if found else ():
+                    parts = selector.replace(">", " > ").split()
+                    steps, above = [], False
+                    for part in parts:
+                        if part == ">":
+                            above = True
+                            continue
+                        got = _COMPOUND.fullmatch(part)
+                        if not got:
+                            break
+                        names = ([got[1].lower()] if got[1] and got[1] != "*" else []) + re.findall(r"[.#][\w-]+", got[2])
+                        steps.append((names, above))
+                        above = False
+                    else:
+                        order += 1
+                        weight = (sum(x[0] == "#" for names, _ in steps for x in names), sum(x[0] == "." for names, _ in steps for x in names), sum(x[0] not in "#." for names, _ in steps for x in names), order)
+                        rules = [(name.lower(), value.lower(), (bool(mark), *weight)) for name, value, mark in found]
+                        before = None
+                        for k, (names, right_above) in enumerate(steps):
+                            n += 1
+                            self.steps.setdefault(names[-1] if names else "*", []).append((n, frozenset(names), before, right_above, rules if k == len(steps) - 1 else None))
+                            before = n
+
+    def at(self, node: Node, above: frozenset, parent: frozenset) -> tuple[dict[str, str], frozenset]:
+        """What the node's style says, and the steps that end here."""
+        inline = node.attributes.get("style")
+        if not self.steps and not inline:
+            return {}, frozenset()
+        best: dict[str, tuple] = {}
+        names = {node.tag, *(f".{c}" for c in node.attributes.get("class", "").split())}
+        if node.attributes.get("id"):
+            names.add("#" + node.attributes["id"])
+        ended = set()
+        for name in (*names, "*") if self.steps else ():
+            for step, own, before, right_above, rules in self.steps.get(name, ()):
+                if own <= names and (before is None or before in (parent if right_above else above)):
+                    ended.add(step)
+                    for what, value, weight in rules or ():
+                        best[what] = max(best.get(what, ((),)), (weight, value))
+        for what, value, mark in _DECLARED.findall(inline or ""):
+            key = what.lower()
+            best[key] = max(best.get(key, ((),)), ((bool(mark), 1 << 30), value.lower()))
+        return {what: found[1] for what, found in best.items()}, frozenset(ended)
+
+
+def _sheets(root: Node) -> list[str]:
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style" and not re.search(r"\b(?:print|speech)\b|^\s*not\b", node.attributes.get("media", ""), re.I):
+            found += [c for c in node.children if isinstance(c, str)]
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return found
+
+
+def decide(root: Node) -> None:
+    """Sets what is displayed, and what of that is visible."""
+    styles = Styles(_sheets(root))
+    none: frozenset = frozenset()
+    todo = [(root, none, none)]
+    while todo:
+        node, above, of_parent = todo.pop()
+        parent = node.parent
+        style, ended = styles.at(node, above, of_parent)
+        display = style.get("display", "none" if "hidden" in node.attributes else "")
+        closed = node.tag == "dialog" and "open" not in node.attributes or parent is not None and parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary"
+        node.shown = node.tag not in NEVER_SEEN and display != "none" and not closed
+        inherited = parent is None or parent.visible
+        visibility = style.get("visibility", "inherit")
+        node.visible = visibility == "visible" or visibility not in ("hidden", "collapse") and inherited
+        if node.shown:
+            below = above | ended if ended else above
+            todo += [(c, below, ended) for c in node.children if isinstance(c, Node)]
 
 
 class Layout:
@@ -211,40 +344,44 @@ class Layout:
 
 
 def _rows(table: Node) -> tuple[list[list[Node]], list[Node]]:
-    rows, captions, todo = [], [], [(table, iter(table.children))]
+    """Cells by row, and what is in no cell, to be shown before the rows."""
+    rows, loose, todo = [], [], [(table, iter(table.children))]
     while todo:
         node, children = todo[-1]
         child = next(children, None)
         if child is None:
             todo.pop()
-        elif isinstance(child, Node) and seen(child, node):
+        elif isinstance(child, str):
+            if child.strip():
+                loose.append(Node("div", {}, node))
+                loose[-1].children.append(child)
+                loose[-1].visible = node.visible
+        elif not child.shown:
+            continue
+        elif node.tag == "tr" and child.tag in ("td", "th"):
+            rows[-1].append(child)
+        elif child.tag in ("tr", "tbody", "thead", "tfoot", "colgroup") and node.tag != "tr":
             if child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and seen(c)])
-                captions += [c for c in child.children if isinstance(c, Node) and c.tag not in ("td", "th") and seen(c)]
-            elif child.tag in ("tbody", "thead", "tfoot", "colgroup"):
-                todo.append((child, iter(child.children)))
-            else:
-                captions.append(child)
-        elif isinstance(child, str) and child.strip():
-            captions.append(Node("div", {}))
-            captions[-1].children.append(child)
-    return rows, captions
+                rows.append([])
+            todo.append((child, iter(child.children)))
+        else:
+            loose.append(child)
+    return rows, loose
 
 
-def _table(table: Node, layout: Layout, depth: int) -> None:
+def _table(table: Node, layout: Layout) -> Iterator:
     """Rows whose cells start at the same places; a cell may have lines."""
-    rows, captions = _rows(table)
-    for caption in captions:
+    rows, loose = _rows(table)
+    for child in loose:
         layout.flush()
-        render(caption, layout, depth + 1)
+        yield _render([child], layout)
         layout.flush()
     cells = []
     for row in rows:
         line: list[list[str]] = []
         for cell in row:
             inner = Layout()
-            for child in cell.children:
-                render(child, inner, depth + 1, cell)
+            yield _render(cell.children, inner, cell)
             line.append([x for x in inner.text().split("\n") if x] or [""])
             span = cell.attributes.get("colspan", "1")
             line += [[""]] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and len(span) < 5 else 0)
@@ -260,9 +397,9 @@ def _table(table: Node, layout: Layout, depth: int) -> None:
                 layout.put(text)
 
 
-def render(node: Node | str, layout: Layout, depth: int = 0, parent: Node | None = None) -> None:
-    """``node`` into ``layout``, without recursion but for tables in tables."""
-    todo: list = [(node, parent)]
+def _render(nodes: list, layout: Layout, parent: Node | None = None) -> Iterator:
+    """Puts ``nodes`` into ``layout``; yields what has to be rendered between."""
+    todo: list = [(node, parent) for node in reversed(nodes)]
     pre = 0
     while todo:
         item, above = todo.pop()
@@ -270,28 +407,30 @@ def render(node: Node | str, layout: Layout, depth: int = 0, parent: Node | None
             item()
             continue
         if isinstance(item, str):
-            layout.kept(item) if pre else layout.words(item)
+            if above is None or above.visible:
+                layout.kept(item) if pre else layout.words(item)
             continue
-        if not seen(item, above):
+        if not item.shown:
             continue
-        tag, children = item.tag, item.children
+        tag, children, above = item.tag, item.children, item.parent
         if tag == "br":
             if layout.line:
                 layout.flush()
             elif layout.lines and not layout.apart:
                 layout.apart = True
             continue
-        if tag == "table" and depth < 8:
+        if tag == "table":
             layout.flush()
             layout.apart = True
-            _table(item, layout, depth)
+            yield _table(item, layout)
             layout.apart = True
             continue
         if tag in ("td", "th"):
             layout.gap = True
         if tag in BLOCKS:
             layout.flush()
-            layout.apart |= tag in APART and not (tag in ("ul", "ol") and above is not None and above.tag == "li")
+            apart = tag in APART and not (tag in ("ul", "ol") and above is not None and above.tag == "li")
+            layout.apart |= apart
             was, width = layout.indent, 0
             if tag == "li":
                 ordered = above is not None and above.tag == "ol"
@@ -304,20 +443,32 @@ def render(node: Node | str, layout: Layout, depth: int = 0, parent: Node | None
                 width = len(layout.mark)
             elif tag in ("blockquote", "dd"):
                 width = 4
-            layout.indent += " " * width
+            if len(was) < MOST_INDENT:
+                layout.indent += " " * width
             pre += tag == "pre"
 
-            def leave(was: str = was, tag: str = tag, above: Node | None = above) -> None:
+            def leave(was: str = was, tag: str = tag, apart: bool = apart) -> None:
                 nonlocal pre
                 layout.flush()
                 layout.indent, layout.mark = was, ""
                 pre -= tag == "pre"
-                layout.apart |= tag in APART and not (tag in ("ul", "ol") and above is not None and above.tag == "li")
+                layout.apart |= apart
 
             todo.append((leave, None))
         todo += [(child, item) for child in reversed(children)]
 
 
+def render(root: Node, layout: Layout) -> None:
+    """The whole tree, without recursion, however deep tables are nested."""
+    running = [_render([root], layout)]
+    while running:
+        inner = next(running[-1], None)
+        if inner is None:
+            running.pop()
+        else:
+            running.append(inner)
+
+
 def extract(source: str | None) -> tuple[str, str]:
     """Title and visible text."""
     root = tree(source or "")
@@ -327,6 +478,7 @@ def extract(source: str | None) -> tuple[str, str]:
         if node.tag == "title":
             title = _BLANK.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip(" ")
         todo += [c for c in reversed(node.children) if isinstance(c, Node) and c.tag not in ("svg", "template")]
+    decide(root)
     layout = Layout()
     render(root, layout)
     return title, layout.text()

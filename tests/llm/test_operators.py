@@ -298,10 +298,70 @@ def test_html_broken_markup(broken):
     assert isinstance(text, str) and title == ""
 
 
+class Words:
+    """Words that are shown, by the standard library's parser: no layout."""
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        self.found = found = []
+        state = []
+
+        class Parser(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag in ("script", "style", "title", "noscript", "template"):
+                    state.append(tag)
+
+            def handle_endtag(self, tag):
+                if state and state[-1] == tag:
+                    state.pop()
+
+            def handle_data(self, data):
+                if not state:
+                    found.extend(data.split())
+
+        Parser(convert_charrefs=True).feed(page)
+
+
+def test_html_has_the_words_of_another_parser(small):
+    pages = pd.read_parquet(f"{small}/pages.parquet")
+    for page in pages.html:
+        marks = {"-", *(f"{i}." for i in range(100))}
+        shown = [w for w in html_text.extract(page)[1].split() if w not in marks]
+        assert "".join(shown) == "".join(w for w in Words(page).found if w not in marks)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr>loose text<td>x", "loose text\nx"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>B</b>c</div>", "B"),
+        ("<style>.x{display:none} @media print{p{display:none}} @media screen{#k .y > b{display:none}}</style><p>p<i class=x>gone</i><div id=k><u class=y>u<b>gone</b><s><b>stays</b></s></u></div>", "p\n\nustays"),
+        ("<style>p{display:none}p.a{display:block}p{display:none !important}</style><p class=a>gone", ""),
+        ("<style>p{display:none}p.a{display:block}</style><p class=a>stays<p>gone<p style='display:inline'>stays", "stays\n\nstays"),
+        ("<p hidden style='display:block'>seen<p hidden>gone", "seen"),
+        ("<table>" * 12 + "<tr><td>a<td>b", "a  b"),
+        ("<table><tr><td>" * 12 + "<table><tr><td>one<td>2<tr><td>3<td>four</table>", "one  2\n3    four"),
+    ],
+)
+def test_html_visibility_and_tables(page, text):
+    assert html_text.extract(page)[1] == text
+
+
+def test_html_takes_time_in_proportion_to_the_page():
+    import time
+
+    for open_tag in ("<div>", "<ul><li>", "<table><tr><td>", "<b>", "<p>", "<div style='visibility:hidden'>"):
+        began = time.process_time()
+        assert html_text.extract(open_tag * 50000 + "<i style='visibility:visible'>end")[1].split()[-1] == "end"
+        assert time.process_time() - began < 20
+
+
 def test_html_edges(spark, small):
     frame = spark.createDataFrame([(1, None), (None, "<p>x"), (2, ""), (2, ""), (3, "<p>" + "word " * 50000)], "page_id long, html string").withColumn("text", F.lit("clash")).withColumn("k", F.lit(1)).withColumn("h", F.lit(1))
     got = rows(html_text.render_pages(frame))
     assert len(got) == 5 and {r["text"] for r in got if r["page_id"] in (1, 2)} == {""}
+    assert html_text.render_pages(frame.limit(0)).count() == 0
     pages = registry.op4_html(spark, small)
     assert pages.count() == spark.read.parquet(f"{small}/pages.parquet").count() and pages.filter("text like '%track(%' or text like '%margin:0%'").count() == 0
 
