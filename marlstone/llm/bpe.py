@@ -14,12 +14,13 @@ Hot words cost one entry a block.
 
 The split runs twice, for words and for documents, and costs less than keeping
 what it gives.  Both runs, and those again after an executor was lost, must see
-rows in one order, as scans of tables do; the mark of a block's words is
-compared, and another order is an error, never a wrong result.
+rows in one order, as scans of tables do; documents that come out of a shuffle
+are checkpointed first.  The mark of a block's words is compared, so that
+another order would be an error, never a wrong result.
 
 Null texts count as empty (no ids, empty decoded text).  Empty tables give no
 rows.  Other columns of the input, whatever their names, are ignored; repeated
-rows give repeated results.
+rows and null ids give results of their own.  Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.durable import released
+from marlstone.llm.durable import durable, released
 from marlstone.llm.token_table import pieces, spaced_words, tokenizer_of
 
 BLOCK_WORDS, BLOCK_CHARS = 1 << 18, 1 << 25
 #: Buckets: one for so many bytes of text, within these limits.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 64, 65536
+#: Bytes of pieces that are broadcast.
+MOST_PIECES = 1 << 26
 _SPLIT = ["block", "mark", "bucket", "places", "words", "docs", "sizes"]
 
 
@@ -150,7 +153,7 @@ def _encoded_words(found: DataFrame, path: str) -> DataFrame:
 
 def _each(docs: DataFrame, path: str, key: str, text: str, result: str, of: Callable[[], Callable[[bytes], tuple]], kinds: list[pa.DataType]) -> DataFrame:
     """``key`` and what ``of()`` makes of the ids of each text."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, in_one_order(docs)
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES))
     kind = docs.schema[key].dataType.simpleString()
@@ -189,24 +192,35 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return _each(docs, path, key, text, "ids array<int>", lambda: lambda ids: (np.frombuffer(ids, "<i4"),), [pa.list_(pa.int32())])
 
 
-def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``key`` and ``text`` of each list of ids; null lists decode to ''."""
+def in_one_order(docs: DataFrame) -> DataFrame:
+    """``docs``, kept first if its rows may come in another order when read
+    again, as those of a shuffle may."""
+    plan = docs._jdf.queryExecution().sparkPlan().toString()
+    shuffled = ("Aggregate", "Join", "Window", "Exchange", "Repartition", "Sort", "Limit", "Rand", "Groups")
+    return durable(docs) if any(x in plan for x in shuffled) else docs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path)
-        for batch in released(batches):
-            out = [b"".join(map(piece.__getitem__, x or [])).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["k", "t"])
 
-    kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInArrow(run, f"k {kind}, t string").toDF(key, "text")
+def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """``key`` and ``text`` of each list of ids; null lists decode to ''.
+
+    Ids are joined with the table of their pieces, which is as long as the
+    vocabulary and broadcast if that is below ``MOST_PIECES`` bytes.
+    """
+    spark, table = encoded.sparkSession, pieces(path)
+    found = spark.createDataFrame(list(enumerate(table)), "id int, piece binary")
+    numbered = encoded.select(F.col(key).alias("k"), F.col(ids).alias("ids"), F.monotonically_increasing_id().alias("row"))
+    each = numbered.select("k", "row", F.posexplode_outer("ids").alias("pos", "id"))
+    joined = each.join(F.broadcast(found) if sum(map(len, table)) <= MOST_PIECES else found, "id", "left")
+    whole = joined.groupBy("row").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("pos", F.hex("piece").alias("piece")))).alias("p"))
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")).cast("string"))
+    return whole.select(F.col("k").alias(key), text.alias("text"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: n_tokens and SHA-256 of its ids and of their decoding.
 
-    ``encode`` and ``decode`` in one pass, so that the ids never leave the
-    worker.
+    In one pass, so that the ids never leave the worker: each is joined with
+    its piece by the same table, which every worker holds.
     """
 
     def of() -> Callable[[bytes], tuple]:

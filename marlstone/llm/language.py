@@ -9,12 +9,16 @@ the language of the nearest centroid by cosine.  It is rejected if that is
 lower than of all but QUANTILE of the learned texts of about its length, each
 scored by a model that was learned without it.
 
-The model learns from at most ``per_language`` labelled texts a language,
-chosen by a hash of doc_id; predictions use the text alone.  Null texts and
+The model learns from at most ``per_language`` labelled texts a language and
+``most_texts`` in all, of the ``LANGUAGES`` most frequent languages, chosen by
+a hash of doc_id; these bounds are also those of the driver's memory.
+Predictions use whole texts, however long, and nothing else.  Null texts and
 texts without a letter are ``und``, rejected, with score 0; so is everything
 if nothing is labelled.  Ties go to the language first in order.  Null
-doc_ids and repeated rows are predicted each; further columns stay in
-``keep_known`` and are ignored by ``predict``.
+doc_ids and repeated rows are predicted each; an empty table gives no rows.
+Further columns, whatever their names, stay in ``keep_known`` and are ignored
+by ``predict``.  Where no language was learned, ``keep_known`` keeps what can
+be read at all: texts with a letter.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ DIMENSIONS, BLOCK = 8192, 64
 QUANTILE, FOLDS, LENGTHS = 0.005, 3, 12
 #: Share of a language's texts that makes a kind of text; fewer are taken for wrong labels.
 SUPPORT = 0.05
+#: Languages that are learned at most.
+LANGUAGES = 512
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
@@ -111,10 +117,9 @@ def _cluster(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _learned(names_of: list[str], table: np.ndarray, clusters: int) -> Centroids:
     idf = (np.log((1 + len(table)) / (1 + (table > 0).sum(0))) + 1).astype(np.float32)
     model = Centroids([], np.zeros((0, DIMENSIONS), np.float32), idf)
-    vectors = model.vectors(table)
     names, points = [], []
     for lang in sorted(set(names_of)):
-        members = vectors[[name == lang for name in names_of]]
+        members = model.vectors(table[[name == lang for name in names_of]])
         centres, own = _cluster(members, clusters)
         for c in range(len(centres)):
             if (own == c).any() and (own == c).mean() >= SUPPORT:
@@ -134,7 +139,9 @@ def train(rows: list[tuple[str, np.ndarray]], clusters: int) -> Centroids:
     scores, fold = np.zeros(len(rows)), np.arange(len(rows)) % FOLDS
     for k in range(FOLDS):
         part = _learned([n for n, f in zip(names_of, fold) if f != k], table[fold != k], clusters)
-        scores[fold == k] = (part.vectors(table[fold == k]) @ part.points.T).max(1)
+        own = np.flatnonzero(fold == k)
+        for at in range(0, len(own), 512):
+            scores[own[at : at + 512]] = (part.vectors(table[own[at : at + 512]]) @ part.points.T).max(1)
     lengths = np.log(np.maximum(table.sum(1, dtype=np.int64), 1))
     bins = np.array_split(np.argsort(lengths, kind="stable"), min(LENGTHS, len(rows)))
     model.lengths = np.array([np.median(lengths[i]) for i in bins])
@@ -148,16 +155,16 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, clusters: int = 4, per_language: int = 500) -> Centroids:
+def fit(docs: DataFrame, clusters: int = 4, per_language: int = 500, most_texts: int = 8192) -> Centroids:
     """Model of at most ``per_language`` texts of each learned language."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    seen = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    seen = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not seen:
         return train([], clusters)
+    per_language = min(per_language, max(1, most_texts // len(seen)))
     # twice the expected number, by hash, before anything is ranked
-    ratio = F.lit(0.0)
-    for lang, n in sorted(seen.items()):
-        ratio = F.when(F.col("lang") == lang, min(1.0, 2 * per_language / n)).otherwise(ratio)
+    shares = F.create_map(*(F.lit(x) for lang, n in sorted(seen.items()) for x in (lang, min(1.0, 2 * per_language / n))))
+    ratio = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     order = F.xxhash64(F.lit("language"), "doc_id", "text")
     some = labelled.withColumn("order", order).filter(F.pmod("order", F.lit(1 << 20)) < ratio * (1 << 20))
 
@@ -191,6 +198,8 @@ def keep_known(docs: DataFrame, model: Centroids) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            yield batch.filter(pa.array([not x[2] for x in model.nearest(batch.column(at).to_pylist())], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            kept = [not x[2] for x in model.nearest(texts)] if model.names else [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -266,6 +266,44 @@ def test_quality_agrees_with_labels(spark):
     assert n[(1, True)] >= 0.98 * (n[(1, True)] + n.get((1, False), 0)) and n[(0, False)] >= 0.9 * (n[(0, False)] + n.get((0, True), 0))
 
 
+def votes_by_brute_force(text):
+    import re
+    import unicodedata
+
+    n, chars, symbols, dups, repeats = brute.base_counts(text)
+    lines = [x for x in (text or "").split("\n") if brute.WORD.search(x)]
+    kinds = [unicodedata.category(c) for c in text or ""]
+    letters = sum(k[0] in "LMN" for k in kinds)
+    ends = len(re.findall(r"[.?!。！？।](?=[ \t\n\x0b\f\r)\]}»’”\"']|$)", text or ""))
+    ratio = lambda a, b: a / b if b else None
+    bad = lambda x, test: -1 if x is not None and test(x) else 0
+    both = lambda x, good, test: 0 if x is None else -1 if test(x) else 1 if good(x) else 0
+    return (
+        bad(ratio(symbols, n), lambda x: x > 0.1), bad(ratio((text or "").count("!"), n), lambda x: x > 0.1), bad(ratio(kinds.count("Lu"), chars), lambda x: x > 0.35), bad(ratio(repeats, n), lambda x: x > 0.4),
+        bad(ratio(dups, len(lines)), lambda x: x > 0.4), bad(ratio(chars, n), lambda x: not 2 <= x <= 14), both(ratio(letters, chars), lambda x: x > 0.93, lambda x: x < 0.87), both(ratio(ends, n), lambda x: 0.02 <= x <= 0.34, lambda x: x < 0.01 or x > 0.6),
+    )
+
+
+def test_quality_verdicts_equal_brute_force(spark, small, docs):
+    """Expectation-maximisation over documents, not over patterns of votes."""
+    votes = np.array([votes_by_brute_force(t) for t in docs.text])
+    odds = np.log(4) + np.where(votes > 0, np.log(4), np.where(votes < 0, -np.log(16), 0)).sum(1)
+    for _ in range(50):
+        good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        prior = np.log((good.sum() + 1) / (len(good) - good.sum() + 1))
+        odds = np.full(len(good), prior)
+        for rule in votes.T:
+            by = {v: (good[rule == v].sum() + 1, (1 - good)[rule == v].sum() + 1) for v in (1, 0, -1)}
+            total = [sum(x[c] for x in by.values()) for c in (0, 1)]
+            weight = {v: np.log(x[0] / total[0]) - np.log(x[1] / total[1]) for v, x in by.items()}
+            odds = odds + np.where(rule > 0, max(weight[1], 0), np.where(rule < 0, min(weight[-1], 0), 0))
+    expected = 1 / (1 + np.exp(-odds))
+    got = registry.op3_quality(spark, small).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert np.abs(got.posterior - expected).max() < 1e-6
+    assert list(got.kept) == list(~got.base_failed & (expected >= 0.5))
+    assert sorted(r["doc_id"] for r in rows(quality.keep_good(spark.read.parquet(f"{small}/documents.parquet")))) == sorted(got.doc_id[got.kept])
+
+
 def test_quality_em_recovers_accuracies():
     rng = np.random.default_rng(1)
     counts = defaultdict(int)
@@ -583,6 +621,36 @@ def test_spotsigs_pairs_equal_brute_force(spark, small, docs):
     assert spotsigs.likeness({"a", "b", "c"}, {"a", "b", "d"}, 0.5) == 0.5 and spotsigs.likeness({"a"}, {"a", "b", "c"}, 0.5) == 0.0
 
 
+def test_language_equals_brute_force(spark, small, docs):
+    """Cosines of n-gram vectors with each centroid, one by one."""
+    model = language.fit(spark.read.parquet(f"{small}/documents.parquet"))
+    got = {r["doc_id"]: r for r in rows(language.predict(spark.read.parquet(f"{small}/documents.parquet"), model))}
+    for doc, text in list(zip(docs.doc_id, docs.text))[:25]:
+        raw = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in f" {text} ".lower().encode())
+        while b"  " in raw:
+            raw = raw.replace(b"  ", b" ")
+        table = defaultdict(int)
+        for n, factor in enumerate((2654435761, 2246822519, 3266489917, 668265263), 1):
+            for i in range(len(raw) - n + 1):
+                table[(int.from_bytes(raw[i : i + n], "big") * factor % 2**32) >> 19] += 1
+        vector = {k: np.log1p(v) * model.idf[k] for k, v in table.items()}
+        norm = sum(x * x for x in vector.values()) ** 0.5
+        cosines = [(sum(x * float(point[k]) for k, x in vector.items()) / norm, name) for point, name in zip(model.points, model.names)]
+        best = max(cosines)
+        assert got[doc]["lang_pred"] == best[1] and abs(got[doc]["score"] - best[0]) < 1e-4
+
+
+def test_language_ties_bounds_and_nothing_learned(spark, docs):
+    model = language.Centroids(["aa", "bb"], np.ones((2, language.DIMENSIONS), np.float32) / language.DIMENSIONS**0.5, np.ones(language.DIMENSIONS, np.float32))
+    assert model.nearest(["a tie of two"])[0][0] == "aa"
+    many = spark.createDataFrame([(i, f"text number {i} of some words", f"l{i % 900}") for i in range(3000)], "doc_id long, text string, lang string")
+    assert len(set(language.fit(many, most_texts=600).names)) <= language.LANGUAGES
+    unlabelled = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in rows(language.keep_known(unlabelled, language.fit(unlabelled)))] == [1]
+    long = docs.text[0] * 500
+    assert language.fit(many).nearest([long])[0][0] != "und"
+
+
 def test_language_on_held_out(spark):
     got = registry.op8_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert list(got.held_out) == [zlib.crc32(str(d).encode()) % 4 == 2 for d in got.doc_id]
@@ -680,6 +748,51 @@ def test_packing(spark, small, docs, edges, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_equals_brute_force(spark, docs):
+    """One partition, two open windows: best fit, the fullest emitted, one by one."""
+    texts, path = list(docs.text[:60]), registry.vocabulary("word_bpe_49k.json")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [tuple(r[c] for c in ("doc_id", "start", "length", "sequence_id", "offset")) for r in rows(packing.pack(frame, path, window=700, open_windows=2))]
+    tokenizer = library("word_bpe_49k.json")
+    opened, windows, left = [], [], []
+    for doc, text in enumerate(texts):
+        total = len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+        for start in range(0, total, 700):
+            n = min(700, total - start)
+            fits = [w for w in opened if sum(p[2] for p in w) + n <= 700]
+            if fits:
+                window = max(fits, key=lambda w: (sum(p[2] for p in w), -w[0][3]))
+            else:
+                if len(opened) == 2:
+                    fullest = max(opened, key=lambda w: (sum(p[2] for p in w), -w[0][3]))
+                    opened.remove(fullest)
+                    windows.append(fullest)
+                window = []
+                opened.append(window)
+            window.append((doc, start, n, len(windows) + len(opened) if not window else window[0][3]))
+            if sum(p[2] for p in window) == 700:
+                opened.remove(window)
+                windows.append(window)
+    left = sorted((p[:3] for w in opened for p in w), key=lambda p: (-p[2], p[0], p[1]))
+    merged = []
+    for p in left:
+        fits = [w for w in merged if sum(x[2] for x in w) + p[2] <= 700]
+        window = max(fits, key=lambda w: sum(x[2] for x in w)) if fits else merged.append([]) or merged[-1]
+        window.append(p)
+    expected = sorted(sorted(p[:3] for p in w) for w in windows + merged)
+    by = defaultdict(list)
+    for doc, start, n, sequence, offset in got:
+        by[sequence].append((doc, start, n))
+    assert sorted(sorted(w) for w in by.values()) == expected
+
+
+def test_packing_of_ties_and_long_texts(spark):
+    path = registry.vocabulary("word_bpe_49k.json")
+    frame = [(1, "same words here"), (1, "same words here"), (2, "same words here"), (None, "same words here"), (3, "long text " * 60000)]
+    shaped = spark.createDataFrame(frame, "doc_id long, text string").withColumn("part", F.lit("clash")).withColumn("length", F.lit(1))
+    check_packing(frame, rows(packing.pack(shaped, path)))
+
+
 def test_packing_over_many_partitions(spark, small, docs):
     frame = spark.read.parquet(f"{small}/documents.parquet").repartition(40)
     got = rows(packing.pack(frame, registry.vocabulary("word_bpe_49k.json"), open_windows=4))
