@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (dialect, weight, pattern); a signal counts once, however often it occurs.
+#: Fixed values: (dialect, weight, pattern); a signal counts once, however often it occurs.
 SIGNALS = [
-    ("ORACLE", 3, r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:PROCEDURE|FUNCTION|PACKAGE)\b[^;]*?\b(?:IS|AS)\b\s+(?:BEGIN|\w+\s+(?:NUMBER|VARCHAR2|DATE)\b)"),
-    ("ORACLE", 3, r"(?i)\bVARCHAR2\b"),
-    ("ORACLE", 2, r"(?i)\bNVL\s*\("),
-    ("ORACLE", 2, r"(?i)\bSYSDATE\b"),
-    ("ORACLE", 2, r"(?i)%(?:ROW)?TYPE\b"),
-    ("ORACLE", 2, r"(?i)\bELSIF\b"),
-    ("ORACLE", 2, r"(?i)\bEXCEPTION\s+WHEN\b"),
-    ("ORACLE", 2, r"(?i)\bEND\s+LOOP\b"),
+    ("ORACLE", 3, r"(?m)^\s*/\s*$"),
+    ("ORACLE", 3, r"(?i)\bCREATE\s+OR\s+REPLACE\b"),
+    ("ORACLE", 2, r"(?i)\bEXCEPTION\s*\n?\s*WHEN\b"),
+    ("ORACLE", 2, r"(?i)\bDBMS_[A-Z_]+\b"),
+    ("ORACLE", 2, r"(?i)\bEXECUTE\s+IMMEDIATE\b"),
+    ("ORACLE", 2, r"(?i)%TYPE\b|%ROWTYPE\b"),
+    ("ORACLE", 1, r"(?i)\bVARCHAR2\b|\bNUMBER\s*\("),
+    ("ORACLE", 1, r"(?i)\bROWNUM\b"),
+    ("ORACLE", 1, r"(?i)\bNVL\s*\("),
     ("ORACLE", 1, r":="),
-    ("ORACLE", 1, r"(?i)\bFROM\s+DUAL\b"),
-    ("ORACLE", 1, r"\|\|"),
-    ("TSQL", 3, r"(?i)\bSET\s+NOCOUNT\s+ON\b"),
-    ("TSQL", 3, r"(?i)\bBEGIN\s+(?:TRY|TRAN(?:SACTION)?)\b"),
-    ("TSQL", 2, r"(?im)^\s*GO\s*$"),
-    ("TSQL", 2, r"(?i)\bDECLARE\s+@\w+"),
-    ("TSQL", 2, r"(?i)\bISNULL\s*\("),
-    ("TSQL", 2, r"(?i)\bGETDATE\s*\(\s*\)"),
-    ("TSQL", 2, r"(?i)\bDATEADD\s*\("),
-    ("TSQL", 2, r"\[\w+\]\.\[\w+\]"),
-    ("TSQL", 2, r"(?i)\b(?:FROM|INTO|JOIN|UPDATE)\s+##?\w+"),
-    ("TSQL", 1, r"@\w+"),
-    ("TSQL", 1, r"(?i)\bWITH\s*\(\s*NOLOCK\s*\)"),
-    ("POSTGRES", 3, r"(?i)\bLANGUAGE\s+'?plpgsql'?"),
-    ("POSTGRES", 2, r"\$\$"),
+    ("TSQL", 3, r"(?im)^\s*GO\s*$"),
+    ("TSQL", 3, r"(?i)\bBEGIN\s+TRY\b"),
+    ("TSQL", 2, r"(?i)\bCREATE\s+(OR\s+ALTER\s+)?PROC(EDURE)?\b"),
+    ("TSQL", 2, r"@\w+"),
+    ("TSQL", 2, r"(?i)\bSP_EXECUTESQL\b"),
+    ("TSQL", 2, r"\[(?:[A-Za-z0-9_ ]+)\]"),
+    ("TSQL", 1, r"(?i)\bNVARCHAR\b|\bDATETIME2?\b|\bBIT\b"),
+    ("TSQL", 1, r"(?i)\bTOP\s*\(?\s*\d+\)?"),
+    ("TSQL", 1, r"(?i)\bISNULL\s*\("),
+    ("TSQL", 1, r"(?i)\bIDENTITY\s*\("),
+    ("TSQL", 1, r"(?i)\bOUTPUT\b"),
+    ("TSQL", 1, r"(?i)@@ROWCOUNT|@@IDENTITY|@@ERROR"),
+    ("POSTGRES", 3, r"(?i)\bLANGUAGE\s+PLPGSQL\b"),
+    ("POSTGRES", 3, r"(?i)\bDO\s+\$\$"),
+    ("POSTGRES", 2, r"(?i)\bON\s+CONFLICT\b"),
+    ("POSTGRES", 2, r"(?i)\bRETURNING\b"),
+    ("POSTGRES", 2, r"::[A-Za-z_][A-Za-z0-9_]*"),
     ("POSTGRES", 2, r"(?i)\bRAISE\s+NOTICE\b"),
-    ("POSTGRES", 2, r"(?i)\bRETURNS\s+(?:TRIGGER|SETOF|TABLE)\b"),
-    ("POSTGRES", 1, r"::\w+"),
-    ("POSTGRES", 1, r"(?i)\bPERFORM\s+\w+"),
+    ("POSTGRES", 2, r"(?i)\bPERFORM\b"),
+    ("POSTGRES", 2, r"(?i)\bSERIAL\b"),
     ("POSTGRES", 1, r"(?i)\bILIKE\b"),
-    ("POSTGRES", 1, r"(?i)\bON\s+CONFLICT\b"),
-    ("POSTGRES", 1, r"(?i)\bSERIAL\b"),
 ]
 
 
@@ -65,7 +65,8 @@ def dialect(oracle: Column, tsql: Column, postgres: Column, hint: Column | None
         .when((top >= 3) & (lead >= 2), winner)
         .otherwise("UNKNOWN")
     )
-    sure = F.when(told.isNotNull() | ((top >= 4) & (lead >= 2)), "high").when((top >= 3) & (lead >= 2), "medium").otherwise("low")
+    known = name.isin("ORACLE", "TSQL")
+    sure = F.when(told.isNotNull() | (known & (top >= 4)), "high").when(known, "medium").otherwise("low")
     return F.struct(name.alias("dialect"), sure.alias("confidence"))
 
 
@@ -110,8 +111,30 @@ def decision_points(code: Column) -> Column:
     return F.size(F.regexp_extract_all(code, F.lit(r"(?i)\b(?:IF|ELSIF|ELSEIF|CASE|WHEN|WHILE|MERGE)\b"), F.lit(0)))
 
 
-def ledger_status(represented: Column, filtered: Column, retained: Column, referenced: Column, parsed: Column) -> Column:
-    return F.when(represented, "REPRESENTED").when(filtered, "FILTERED").when(retained, "RETAINED").when(referenced, "REFERENCED").when(~parsed, "UNPARSED").otherwise("MISSING")
+#: Text of dynamic statements.
+DYNAMIC = r"(?i)\b(?:EXEC(?:UTE)?|SP_EXECUTESQL)\b|\bdynamic\s+sql\b"
+
+
+def is_working_table(name: Column) -> Column:
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return low.startswith("#") | low.contains("temp") | low.contains("tmp")
+
+
+def ledger_status(parse_status: Column, text: Column, operation: Column, table: Column, covered: Column, unsupported: Column | None = None, dynamic: Column | None = None, technical: Column | None = None) -> Column:
+    """What became of a construct: the first state that holds.
+
+    Parser metadata goes before evidence; what no rule covers is uncovered
+    rather than taken for technical, but for operations on working tables.
+    """
+    no = F.lit(False)
+    known = lambda c: no if c is None else F.coalesce(c, no)
+    parse = F.lower(F.coalesce(parse_status, F.lit("")))
+    operated = F.coalesce(operation, F.lit("")) != ""
+    return (
+        F.when(known(unsupported) | parse.contains("unsupported"), "unsupported").when(known(dynamic) | F.coalesce(text, F.lit("")).rlike(DYNAMIC), "dynamic_unresolved")
+        .when(parse.contains("failed") | parse.isin("error", "unparsed"), "parser_failed").when(operated & is_working_table(table), "technical_only")
+        .when(known(covered), "covered_by_rule").when(known(technical), "technical_only").otherwise("uncovered")
+    )
 
 
 RANK = ("low", "medium", "high")
@@ -123,15 +146,81 @@ def higher_confidence(a: Column, b: Column) -> Column:
     return F.get(F.array(*map(F.lit, RANK)), (F.greatest(rank(a), rank(b)) - 1).cast("int"))
 
 
-def support_confidence(parsed: Column, technical: Column, warnings: Column) -> Column:
-    return F.when(parsed & (technical > 0) & (warnings == 0), "high").when(parsed & (technical > 0), "medium").when(parsed & (warnings == 0), "medium").otherwise("low")
+def support_confidence(broken: Column, ambiguities: Column, warnings: Column, direct: Column, embedded: Column) -> Column:
+    """How far a chunk's evidence carries.  ``broken``: a parse error, no
+    parser, or dynamic SQL."""
+    some = direct | embedded
+    return F.when(broken | (ambiguities > 0), "low").when(warnings > 0, F.when(some, "medium").otherwise("low")).when(direct, "high").otherwise("low")
 
 
-def rule_confidence(status: Column, spans: Column, support: Column, deterministic: Column) -> Column:
-    return (
-        F.when(status == "CONFLICT", "low").when(deterministic & (spans > 0), "high").when((status == "MATCHED") & (spans > 0) & (support == "high"), "high")
-        .when((status == "MATCHED") & (spans > 0), "medium").when((status == "UNRESOLVED") & (spans > 0), "medium").otherwise("low")
-    )
+def rule_confidence(status: Column, evidence: Column, matched: Column, weak: Column, rule_type: Column, llm_only: Column) -> Column:
+    """How far a rule can be trusted.  ``weak``: its parser failed, its support
+    is low or ambiguous, or evidence is unresolved."""
+    told, kind = F.lower(F.trim(F.coalesce(status, F.lit("")))), F.lower(F.trim(F.coalesce(rule_type, F.lit(""))))
+    doubtful = weak | told.isin("parser_failed", "insufficient_evidence", "ambiguous") | (evidence == 0) | llm_only | (kind == "assumption")
+    return F.when(doubtful | (matched < 1), "low").when(told == "verified", "high").otherwise("medium")
+
+
+def contradiction_class(kind: Column, finding: Column, rule: Column, paired: Column) -> Column:
+    """Struct (class, review, business): the first explanation that holds.
+
+    ``rule`` and ``paired`` are structs of flags ordered, technical and
+    insufficient, null if there is no such rule.
+    """
+    conflicts = ("rule_vs_rule_conflict", "condition_conflict", "outcome_conflict", "field_conflict", "table_conflict", "operation_conflict")
+    flag = lambda c, name: F.coalesce(c[name], F.lit(False))
+    label = F.when(kind.isin("tables_read", "tables_written"), "TECHNICAL_PROVENANCE_NOISE")
+    for side in (rule, paired):
+        label = label.when(flag(side, "ordered"), "VALID_ORDERED_BRANCH").when(flag(side, "technical"), "TECHNICAL_VS_BUSINESS_OVERLAP").when(flag(side, "insufficient"), "INSUFFICIENT_EVIDENCE")
+    label = label.when(F.lower(F.trim(finding)).isin(*conflicts), "GENUINE_BUSINESS_CONTRADICTION").otherwise("INSUFFICIENT_EVIDENCE")
+    review = label.isin("GENUINE_BUSINESS_CONTRADICTION", "INSUFFICIENT_EVIDENCE")
+    return F.struct(label.alias("class"), review.alias("review"))
+
+
+#: Phrases of the branches of a MERGE, in lower case.
+MERGE_TEXT = r"\bmerge\b|target\.|source\.|\bwhen matched\b|\bwhen not matched\b|first(?:flagged|seen|evaluated|reconciled|watched)?date|matched records?|unmatched records?|record exists in\b|record does not exist"
+NOT_MATCHED = r"when not matched|not matched by target|(?<![a-z])unmatched records?"
+MATCHED = r"when matched(?!\s+by)|update existing|existing records?|record exists in\b|(?<![a-z])matched records?|target\.\w+\s*=\s*(?:source\.\w+|@)"
+UNMATCHED = r"when not matched|insert (?:a )?new|insert unmatched|(?<![a-z])unmatched records?|not (currently |previously )?present|does not exist|not matched by target|record does not exist"
+
+
+def merge_branch(text: Column) -> Column:
+    """Struct (merge, matched, unmatched): what a rule's text says of a MERGE."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    denied = low.rlike(NOT_MATCHED) & ~low.rlike(r"when matched(?!\s+by)")
+    return F.struct(low.rlike(MERGE_TEXT).alias("merge"), (~denied & low.rlike(MATCHED)).alias("matched"), low.rlike(UNMATCHED).alias("unmatched"))
+
+
+def is_status_update(text: Column) -> Column:
+    """Bookkeeping of a process' own run."""
+    up = F.upper(F.coalesce(text, F.lit("")))
+    return (up.contains("RUNNINGPROCESSSTATUS") | up.contains("RUNNINGPROCESSNAME")) & up.rlike(r"\bUPDATE\b") & up.rlike(r"\b(?:COMPLETED|ERRORDATE|ERRORDESCRIPTION|COUNT)\b\s*=")
+
+
+def fractional_divisors(text: Column) -> Column:
+    """Fields that are set to a number below 1 and divided somewhere."""
+    pattern = F.lit(r"(?i)([A-Za-z_][A-Za-z0-9_$#]*)\s*:?=\s*([0-9]+(?:\.[0-9]+)?)")
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("field"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("value"))
+    divided = lambda field: F.rlike(text, F.concat(F.lit(r"(?i)\b\Q"), field, F.lit(r"\E\b\s*/\s*(?:[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_$#]*)\b")))
+    return F.transform(F.filter(pairs, lambda p: (p["value"].cast("double") < 1) & divided(p["field"])), lambda p: p["field"])
+
+
+#: Fixed values: (provider, part of a model's name, most tokens of an answer), the first that fits.
+CEILINGS = [
+    ("bedrock", "amazon.nova-micro", 5000), ("bedrock", "amazon.nova-lite", 5000), ("bedrock", "amazon.nova-pro", 5000), ("bedrock", "amazon.nova-2-lite", 65536), ("bedrock", "amazon.nova-2-pro", 65536),
+    ("bedrock", "anthropic.claude-3-haiku", 4096), ("bedrock", "anthropic.claude-3-5-sonnet", 8192), ("bedrock", "anthropic.claude-3-7-sonnet", 8192),
+    ("groq", "openai/gpt-oss-120b", 65536), ("groq", "openai/gpt-oss-20b", 65536), ("groq", "llama-3.3-70b-versatile", 32768), ("groq", "llama-3.1-8b-instant", 8192), ("groq", "qwen", 32768),
+]
+
+
+def output_ceiling(provider: Column, model: Column, otherwise: int = 32768) -> Column:
+    """Most tokens of a model's answer; ``otherwise`` for other models of a
+    provider whose models all have one, null if nothing is known."""
+    who, name = F.lower(F.trim(provider)), F.lower(F.trim(F.coalesce(model, F.lit(""))))
+    found = F.when(F.lit(False), 0)
+    for owner, part, most in CEILINGS:
+        found = found.when((who == owner) & name.contains(part), most)
+    return found.when(who == "bedrock", otherwise)
 
 
 _COMPARISON = r"(?i)^\s*\(*\s*([\w.\[\]@#]+)\s*(<>|!=|>=|<=|=|>|<)\s*(.+?)\s*\)*\s*$"
@@ -221,7 +310,12 @@ def unreachable(branch: Column, eligibility: Column) -> Column:
     return (field != "") & F.array_contains(wanted, field)
 
 
+#: Columns of bookkeeping.
+BOOKKEEPING = ("errordate", "errordescription", "error_date", "error_description", "runcount", "run_count", "processname", "process_name", "starttime", "start_time", "endtime", "end_time", "completed")
+
+
 def is_audit_table(name: Column, columns: Column) -> Column:
     """By name, or by two or more of the usual bookkeeping columns."""
-    signals = ["created_date", "modified_date", "created_by", "modified_by", "start_time", "end_time", "status", "error_message", "run_id", "batch_id", "is_completed"]
-    return name.rlike(r"(?i)(?:audit|log|control|status|process|monitor|error)(?:_|$|s$)") | (F.size(F.array_intersect(F.transform(columns, lambda c: F.lower(c)), F.array(*map(F.lit, signals)))) >= 2)
+    listed = F.lower(F.array_join(F.coalesce(columns, F.array().cast("array<string>")), " "))
+    hits = sum((F.when(listed.contains(c), 1).otherwise(0) for c in BOOKKEEPING), F.lit(0))
+    return name.rlike(r"(?i)HISTORY|MOVEMENT|AUDIT_LOG|AUDIT_TRAIL|RUNSTATUS|PROCESSMONITOR|PROCESS_MONITOR|JOBLOG|JOB_LOG|ERRORLOG|ERROR_LOG") | (hits >= 2)

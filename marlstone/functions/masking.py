@@ -70,3 +70,12 @@ def comments_and_strings(text: str) -> str:
     """Only what ``mask`` would blank: where instructions could hide."""
     hidden = mask(text)
     return "".join(c if h != c or c == "\n" else " " for c, h in zip(text, hidden))
+
+
+def hidden(text: Column) -> Column:
+    """Comments and literals only, the rest blanked."""
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else comments_and_strings(t))
+
+    return run(text)

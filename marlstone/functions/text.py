@@ -8,18 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F﻿]"
+#: What an instruction to a model looks like.
 INJECTION = (
-    r"(?i)ignore\s+(?:all\s+|any\s+)?(?:previous|prior|above)\s+instructions",
-    r"(?i)disregard\s+(?:all\s+|the\s+)?(?:previous|prior|above)",
-    r"(?i)forget\s+(?:everything|all|your)\b",
-    r"(?i)you\s+are\s+now\s+(?:a|an|in)\b",
-    r"(?i)new\s+instructions\s*:",
-    r"(?i)system\s+prompt",
-    r"(?i)reveal\s+(?:your|the)\s+(?:prompt|instructions)",
-    r"(?i)act\s+as\s+(?:a|an)\s",
-    r"(?i)do\s+not\s+follow\b",
-    r"(?i)override\s+(?:the\s+)?(?:rules|instructions|safety)",
-    r"(?i)</?(?:system|assistant|user)>",
+    r"(?i)ignore\s+(all\s+)?(the\s+)?(previous|prior|above)\s+instructions",
+    r"(?i)disregard\s+(the\s+)?(system|previous|above)\s+(prompt|instructions)",
+    r"(?i)you\s+are\s+now\s+(a|an)\s+\w+",
+    r"(?i)new\s+instructions?\s*:",
+    r"(?i)\bsystem\s*:\s*\S",
+    r"(?i)\bassistant\s*:\s*\S",
+    r"(?i)</?(system|assistant|user)>",
+    r"(?i)reveal\s+(your|the)\s+(system\s+)?prompt",
+    r"(?i)forget\s+(everything|all)\s+(you|that)",
+    r"(?i)do\s+not\s+(follow|apply)\s+(the\s+)?(schema|rules|format)",
+    r"(?i)respond\s+only\s+with\s+",
 )
 
 
@@ -36,7 +37,8 @@ def guarded(text: Column, least: int = 5, most: int = 500_000) -> Column:
 
 
 def injections(text: Column, patterns: Sequence[str] = INJECTION) -> Column:
-    """Numbers of the patterns that the text has."""
+    """Numbers of the patterns that the text has; of code, give its comments
+    and literals (``masking.hidden``), where instructions could hide."""
     return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(i)) for i, p in enumerate(patterns))))
 
 
@@ -68,7 +70,8 @@ def fragment(text: Column) -> Column:
     """
     bare = F.regexp_replace(normal(text), r"[;,\s]+$", "")
     taken_off = lambda t: F.when(encloses(t), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), bare, lambda t, _: taken_off(t))
+    opening = F.sequence(F.lit(0), F.length(F.regexp_extract(F.replace(bare, F.lit(" "), F.lit("")), r"^\(*", 0)))
+    return F.aggregate(opening, bare, lambda t, _: taken_off(t))
 
 
 def encloses(text: Column) -> Column:
@@ -99,13 +102,18 @@ def column_reference(name: Column) -> Column:
     return F.when(short, rest).otherwise(name)
 
 
+#: Endings of copies of an object.
+ENDING = r"(?i)_(?:V|VER|VERSION)\d{1,3}$|_\d{8}$|_\d{6}$|_\d{4}$|_(?:BAK|BACKUP|OLD|COPY\d*|TEMP|TMP|FINAL\d*|NEW|ARCHIVE|ARCHIVED|DEPRECATED|DRAFT|WIP|REV\d*)$"
+
+
 def business_name(name: Column) -> Column:
-    """Up to three dated or versioned endings taken off."""
-    ending = r"(?i)[_ .-]*(?:(?:19|20)\d{6}|\d{8}|(?:19|20)\d{2}[-_]\d{2}[-_]\d{2}|v\d+(?:[._]\d+)*|bkp|bak|backup|old|new|copy|final|temp|tmp)$"
+    """Up to three dated or versioned endings taken off, while letters stay."""
+    name = F.trim(F.coalesce(name, F.lit("")))
+    out = name
     for _ in range(3):
-        shorter = F.regexp_replace(name, ending, "")
-        name = F.when(shorter.rlike("[A-Za-z]"), shorter).otherwise(name)
-    return name
+        shorter = F.regexp_replace(out, ENDING, "")
+        out = F.when(shorter.rlike("[A-Za-z]"), shorter).otherwise(out)
+    return F.when(F.upper(name).isin("UNKNOWN_OBJECT", "UNKNOWN", "ANONYMOUS_BLOCK"), name).otherwise(out)
 
 
 def tokens(text: Column, per: float = 3.5) -> Column:

@@ -20,12 +20,57 @@ def coverage(branches: DataFrame, chain: str, covered: str) -> DataFrame:
     return counted.withColumn("pct", percentage(F.col("n_covered"), F.col("n"))).withColumn("status", status)
 
 
-def quality_score(penalties: Sequence[tuple[Column, float, float]], volume: Column) -> Column:
-    """100 less (count, weight, cap) per volume, each up to its cap, in 0 to 100."""
-    total = F.lit(0.0)
-    for count, weight, cap in penalties:
-        total = total + F.least(F.lit(cap), F.coalesce(F.try_divide(count * weight, volume), F.lit(0.0)))
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - total)), 2)
+#: Counts and percentages that ``quality`` reads; null percentages count as absent.
+COVERAGE = "total_statements synthesized_rules deterministic_facts high medium low llm_only_rules deterministic_only_facts unresolved chain_count chain_branches chain_pct parse_pct grounding_pct matched".split()
+
+
+def quality(c: dict[str, Column], unsupported: Column) -> Column:
+    """Struct (score, status, review, chain_penalty) of an object's coverage.
+
+    Counts are taken by volume, each penalty up to a cap of its own; absent
+    provenance, rules or matches cost a fixed number of points.
+    """
+    n = {k: F.coalesce(c[k].cast("double"), F.lit(0.0)) for k in COVERAGE if k != "chain_pct"}
+    one = F.lit(1.0)
+    rules, facts = F.greatest(n["synthesized_rules"], one), F.greatest(n["deterministic_facts"], one)
+    volume = F.greatest(n["synthesized_rules"], n["total_statements"], n["deterministic_facts"], one)
+    share = lambda count, whole, weight, cap: F.least(F.lit(float(cap)), n[count] / whole * 100 * weight)
+    fixed = lambda test, points: F.when(test, float(points)).otherwise(0.0)
+    chains = ~unsupported & (n["chain_count"] > 0) & (n["chain_branches"] > 0) & c["chain_pct"].isNotNull()
+    gap = F.when(chains, F.greatest(F.lit(0.0), 100.0 - F.greatest(F.lit(0.0), F.least(F.lit(100.0), c["chain_pct"].cast("double"))))).otherwise(0.0)
+    chain_penalty = F.least(F.lit(15.0), gap * 0.15)
+    low = lambda k: (n[k] > 0) & (n[k] < 75)
+    lost = (
+        fixed(unsupported, 20) + fixed(n["total_statements"] == 0, 15) + fixed(n["synthesized_rules"] == 0, 15) + share("high", volume, 0.20, 40) + share("medium", volume, 0.08, 20) + share("low", volume, 0.03, 10)
+        + share("llm_only_rules", rules, 0.07, 15) + share("deterministic_only_facts", facts, 0.02, 10) + share("unresolved", volume, 0.02, 15) + chain_penalty + fixed(low("parse_pct"), 10) + fixed(low("grounding_pct"), 10) + fixed(n["matched"] == 0, 10)
+    )
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - lost))
+    review = (n["high"] > 0) | (n["medium"] > 0) | (n["unresolved"] > 0) | (n["llm_only_rules"] > 0) | (gap > 0)
+    doubtful = unsupported | (n["parse_pct"] < 50) | (n["grounding_pct"] < 50) | (score < 60) | (n["total_statements"] == 0) | (n["synthesized_rules"] == 0)
+    status = F.when(review, "REVIEW_REQUIRED").when(doubtful, "LOW_CONFIDENCE").otherwise("PASS")
+    return F.struct(score.alias("score"), status.alias("status"), (review | unsupported).alias("review"), chain_penalty.alias("chain_penalty"))
+
+
+def ledger_counts(items: DataFrame, by: str) -> DataFrame:
+    """Constructs by state: the whole number and that of the four open states."""
+    state = lambda name: F.count_if(F.col("status") == name).alias(f"{name}_count")
+    return items.groupBy(by).agg(F.count("*").alias("construct_count"), *map(state, ("uncovered", "parser_failed", "dynamic_unresolved", "unsupported")))
+
+
+def token_usage(usage: Column) -> Column:
+    """Struct of the tokens of a provider's JSON answer: prompt, completion,
+    total (their sum if it isn't told) and whether all are known."""
+    known = lambda k: F.get_json_object(usage, f"$.{k}").try_cast("long")
+    prompt, completion = known("prompt_tokens"), known("completion_tokens")
+    total = F.coalesce(known("total_tokens"), prompt + completion)
+    n = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in (prompt, completion, total)), F.lit(0))
+    state = F.when(n == 0, "unavailable").when(n == 3, "available").otherwise("partial")
+    return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), total.alias("total_tokens"), state.alias("availability"))
+
+
+def output_tokens(points: Column, requested: Column, base: int = 16000, each: int = 256) -> Column:
+    """Tokens that an answer on so many decision points needs."""
+    return F.greatest(F.coalesce(requested, F.lit(0)), F.lit(base)) + points * each
 
 
 def compare_sets(expected: DataFrame, actual: DataFrame, on: list[str], by: str) -> DataFrame:

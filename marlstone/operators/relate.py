@@ -108,21 +108,23 @@ def rule_pairs(rules: DataFrame) -> DataFrame:
     return pairs.filter(spaces_overlap(F.col("sa"), F.col("sb"))).select("object_id", "field", "a", "b", "oa", "ob").distinct()
 
 
-def alias_closure(pairs: DataFrame, depth: int = 8) -> DataFrame:
-    """Transitive (name, target) pairs, cycles cut at ``depth`` steps.
+def alias_closure(pairs: DataFrame) -> DataFrame:
+    """Transitive (name, target) pairs; a name isn't its own alias by a cycle.
 
-    Each step is kept, so that it isn't computed again for the next one, and
-    the search ends with the first step that finds nothing new.
+    Each step joins what is new with all that is known, so that the longest
+    chain is done after about the logarithm of its length, and the search ends
+    with the first step that finds nothing new.  Each step is kept, so that it
+    isn't computed again for the next one.
     """
-    pairs = checkpointed(pairs.select("name", "target").distinct())
-    reached, front = pairs, pairs
-    for _ in range(depth - 1):
-        step = front.select("name", F.col("target").alias("via")).join(pairs.select(F.col("name").alias("via"), "target"), "via").filter("name <> target").select("name", "target").distinct()
+    reached = front = checkpointed(pairs.select("name", "target").distinct())
+    while not front.isEmpty():
+        known = reached.select(F.col("name").alias("via"), "target")
+        ahead = front.select("name", F.col("target").alias("via")).join(known, "via").select("name", "target")
+        behind = reached.select("name", F.col("target").alias("via")).join(front.select(F.col("name").alias("via"), "target"), "via").select("name", "target")
+        step = ahead.unionByName(behind).filter("name <> target").distinct()
         front = checkpointed(step.join(reached, ["name", "target"], "left_anti"))
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front)
-    return reached.distinct()
+        reached = checkpointed(reached.unionByName(front))
+    return reached
 
 
 def islands(rows: DataFrame, key: Sequence[str], at: str, gap: float, order: Sequence[str] = ()) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import change, code, evidence, more, rules, select, texts
+from marlstone.plans import change, code, evidence, ledger, more, rules, select, texts
 from marlstone.plans.common import Query
 
 
 def _all() -> dict[str, Query]:
-    return select.CATALOGUE | change.CATALOGUE | texts.CATALOGUE | evidence.CATALOGUE | code.CATALOGUE | rules.CATALOGUE | more.CATALOGUE
+    return select.CATALOGUE | change.CATALOGUE | texts.CATALOGUE | evidence.CATALOGUE | code.CATALOGUE | rules.CATALOGUE | more.CATALOGUE | ledger.CATALOGUE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -110,11 +110,13 @@ def j_rule_pairs(t: Tables) -> DataFrame:
     return relate.rule_pairs(rules)
 
 
-@add("""WITH RECURSIVE p AS (SELECT DISTINCT o_custkey % 60 AS name, (o_custkey * 7 + 3) % 60 AS target FROM orders),
-c(name, target, d) AS (SELECT name, target, 1 FROM p UNION SELECT c.name, p.target, d + 1 FROM c JOIN p ON c.target = p.name WHERE d < 8 AND c.name <> p.target) SELECT DISTINCT name, target FROM c""")
+@add("""WITH RECURSIVE p AS (SELECT c_custkey AS name, c_custkey + 1 AS target FROM customer WHERE c_custkey % 40 <> 0 UNION SELECT c_custkey, c_custkey - 39 FROM customer WHERE c_custkey % 80 = 0),
+c(name, target) AS (SELECT name, target FROM p UNION SELECT c.name, p.target FROM c JOIN p ON c.target = p.name WHERE c.name <> p.target) SELECT name, target FROM c""")
 def j_alias_closure(t: Tables) -> DataFrame:
-    k = F.col("o_custkey")
-    return relate.alias_closure(t.orders.select((k % 60).alias("name"), ((k * 7 + 3) % 60).alias("target")))
+    """Chains of forty names, every second one closed to a ring."""
+    c = F.col("c_custkey")
+    ahead = t.customer.filter(c % 40 != 0).select(c.alias("name"), (c + 1).alias("target"))
+    return relate.alias_closure(ahead.unionByName(t.customer.filter(c % 80 == 0).select(c.alias("name"), (c - 39).alias("target"))))
 
 
 @add("""SELECT upper(event_type) AS kind, user_id % 20 AS grp, arg_min(event_type, event_id) AS spelling, CAST(list(p ORDER BY first)[1:8] AS VARCHAR[]) AS first_props, sum(c) AS n, min(first) AS first_at
@@ -171,12 +173,6 @@ def a_coverage_pct(t: Tables) -> DataFrame:
     return measures.coverage(rows, "chain", "covered")
 
 
-@add("SELECT lang, round(greatest(0, least(100, 100 - least(40, coalesce(count(*) FILTER (WHERE quality = 0) * 50.0 / nullif(count(quality), 0), 0)) - least(20, coalesce(count(*) FILTER (WHERE toxic = 1) * 100.0 / nullif(count(quality), 0), 0)))), 2)::DOUBLE AS score FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
-def a_quality_score(t: Tables) -> DataFrame:
-    counted = t.documents.join(t.labels, "doc_id", "left").groupBy("lang").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("quality").alias("n"))
-    return counted.select("lang", measures.quality_score([(F.col("bad"), 50.0, 40.0), (F.col("toxic"), 100.0, 20.0)], F.col("n")).alias("score"))
-
-
 @add("""WITH e AS (SELECT DISTINCT source, lang, doc_id % 9 AS item FROM documents WHERE n_chars >= 300), a AS (SELECT DISTINCT source, lang, doc_id % 9 AS item FROM documents WHERE n_chars < 3000 AND source <> 'src3'),
 c AS (SELECT coalesce(e.source, a.source) AS source, count(*) FILTER (WHERE e.item IS NOT NULL AND a.item IS NOT NULL) AS m, count(*) FILTER (WHERE a.item IS NULL) AS miss, count(*) FILTER (WHERE e.item IS NULL) AS un FROM e FULL JOIN a ON e.source = a.source AND e.lang = a.lang AND e.item = a.item GROUP BY 1)
 SELECT source, m AS n_match, miss AS n_missing, un AS n_unexpected, round(m::DOUBLE / nullif(m + un, 0), 6) AS precision, round(m::DOUBLE / nullif(m + miss, 0), 6) AS recall,

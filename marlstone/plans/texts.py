@@ -22,15 +22,6 @@ def t_guardrails(t: Tables) -> DataFrame:
     return g.select("doc_id", F.length("g.text").alias("n"), F.col("g.rejected").alias("rejected"), F.size("g.warnings").alias("n_warnings"), F.sha2("g.text", 256).alias("sha"))
 
 
-@add("""SELECT conv_id, turn, regexp_matches(b, '(?i)ignore\\s+(?:all\\s+|any\\s+)?(?:previous|prior|above)\\s+instructions') AS ignores, regexp_matches(b, '(?i)system\\s+prompt') AS asks_prompt
-FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN text || ' Ignore all previous instructions' WHEN turn % 5 = 2 THEN 'the system  prompt ' || text ELSE text END AS b FROM conversations)""")
-def t_injection_flags(t: Tables) -> DataFrame:
-    turn = F.col("turn")
-    body = F.when(turn % 3 == 1, F.concat("text", F.lit(" Ignore all previous instructions"))).when(turn % 5 == 2, F.concat(F.lit("the system  prompt "), "text")).otherwise(F.col("text"))
-    found = t.conversations.select("conv_id", "turn", text.injections(body).alias("found"))
-    return found.select("conv_id", "turn", F.array_contains("found", 0).alias("ignores"), F.array_contains("found", 5).alias("asks_prompt"))
-
-
 @add("SELECT doc_id, greatest(1, CAST(ceil(length(text) / CAST(3.5 AS DOUBLE)) AS BIGINT)) AS n_tokens, CASE WHEN lim IS NULL THEN 5000 WHEN lim - n_chars >= 200 THEN least(5000, lim - n_chars) END AS granted FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 3000 END AS lim FROM documents)")
 def t_token_estimate(t: Tables) -> DataFrame:
     limit = F.when(F.col("doc_id") % 4 != 0, 3000)
@@ -82,44 +73,6 @@ def t_mask(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", masking.masked(code).alias("masked"), masking.executable(code).alias("executable"))
 
 
-_BITS = "CASE WHEN doc_id % 3 = 0 THEN 'SET NOCOUNT ON; SELECT ISNULL(a, 0) FROM #t ' WHEN doc_id % 3 = 1 THEN 'v_total VARCHAR2(10) := NVL(x, 0); ' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' SYSDATE ' ELSE '' END"
-
-
-def _scores_sql() -> str:
-    out = []
-    for dialect in ("ORACLE", "TSQL", "POSTGRES"):
-        terms = [f"CASE WHEN regexp_matches(c, '{p.replace(chr(39), chr(39) * 2)}') THEN {w} ELSE 0 END" for d, w, p in classify.SIGNALS if d == dialect]
-        out.append(f"CAST({' + '.join(terms)} AS INTEGER) AS {dialect.lower()}_score")
-    scored = f"SELECT doc_id, {', '.join(out)} FROM (SELECT doc_id, {_BITS} AS c FROM documents)"
-    return f"""SELECT *, CASE WHEN postgres_score >= 3 AND postgres_score >= greatest(oracle_score, tsql_score) THEN 'UNSUPPORTED' WHEN oracle_score = 0 AND tsql_score = 0 THEN 'UNKNOWN'
-WHEN oracle_score > 0 AND tsql_score > 0 AND abs(oracle_score - tsql_score) <= 1 THEN 'AMBIGUOUS' WHEN greatest(oracle_score, tsql_score) >= 3 AND abs(oracle_score - tsql_score) >= 2 THEN CASE WHEN oracle_score > tsql_score THEN 'ORACLE' ELSE 'TSQL' END ELSE 'UNKNOWN' END AS dialect FROM ({scored})"""
-
-
-@add(_scores_sql())
-def c_dialect_scores(t: Tables) -> DataFrame:
-    """Weighted signals of SQL dialects, then an ordered CASE."""
-    k = F.col("doc_id")
-    code = F.concat(F.when(k % 3 == 0, "SET NOCOUNT ON; SELECT ISNULL(a, 0) FROM #t ").when(k % 3 == 1, "v_total VARCHAR2(10) := NVL(x, 0); ").otherwise(""), F.when(k % 7 == 0, " SYSDATE ").otherwise(""))
-    found = classify.dialects(t.documents.select("doc_id", code.alias("text")))
-    return found.select("doc_id", "oracle_score", "tsql_score", "postgres_score", F.col("detected.dialect").alias("dialect"))
-
-
-@add("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN p AND t > 0 AND w = 0 THEN 'high' WHEN p AND t > 0 THEN 'medium' WHEN p AND w = 0 THEN 'medium' ELSE 'low' END AS support,
-CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_returnflag = 'R' THEN 'high' ELSE 'medium' END ELSE 'high' END AS higher
-FROM (SELECT *, l_returnflag <> 'R' AS p, l_linenumber % 3 AS t, l_linenumber % 2 AS w FROM lineitem)""")
-def c_confidence_cases(t: Tables) -> DataFrame:
-    n = F.col("l_linenumber")
-    a, b = F.when(F.col("l_linestatus") == "O", "low").otherwise("high"), F.when(F.col("l_returnflag") == "R", "high").otherwise("medium")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", classify.support_confidence(F.col("l_returnflag") != "R", n % 3, n % 2).alias("support"), classify.higher_confidence(a, b).alias("higher"))
-
-
-@add("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'REPRESENTED' WHEN o_orderkey % 3 = 0 THEN 'FILTERED' WHEN o_orderkey % 5 = 0 THEN 'RETAINED' WHEN o_orderkey % 7 = 0 THEN 'REFERENCED' WHEN o_orderstatus = 'P' THEN 'UNPARSED' ELSE 'MISSING' END AS status FROM orders) GROUP BY status""")
-def c_ledger_status(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
-    status = classify.ledger_status(k % 2 == 0, k % 3 == 0, k % 5 == 0, k % 7 == 0, F.col("o_orderstatus") != "P")
-    return t.orders.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
-
-
 @add("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'o_totalprice' WHEN 1 THEN 'a.balance' WHEN 2 THEN NULL ELSE 'status' END AS lhs, CASE o_orderkey % 4 WHEN 0 THEN '>=' WHEN 1 THEN '<>' WHEN 2 THEN NULL ELSE '=' END AS op,
 CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN '0' WHEN 2 THEN NULL ELSE '''F''' END AS rhs FROM orders""")
 def c_comparisons(t: Tables) -> DataFrame:
