@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
-
-import numpy as np
+import sys
+from array import array
+from collections.abc import Callable
 
 GENERATION = 800_000
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are written as little-endian integers of four bytes")
 
 #: Unicode White_Space, as the tokenizers' regular expressions see it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -55,33 +57,35 @@ class WordTable:
         self.young: dict = {}
         self.old: dict = {}
 
-    def _learn(self, words: Iterable) -> None:
+    def _learn(self, words: set) -> dict:
+        """Ids of words that the young table hasn't."""
         if len(self.young) >= GENERATION:
             self.old, self.young = self.young, {}
-        fresh = []
+        found, fresh = {}, []
         for word in words:
             known = self.old.get(word)
             if known is None:
                 fresh.append(word)
             else:
-                self.young[word] = known
+                found[word] = known
         if fresh:
             plain = [w.decode() if isinstance(w, bytes) else w for w in fresh]
             done = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
             for word, piece in zip(fresh, done):
-                self.young[word] = np.array(piece.ids, "<u4").tobytes()
+                found[word] = array("I", piece.ids).tobytes()
+        self.young.update(found)
+        return found
 
     def ids(self, text: str) -> bytes:
         """Ids of the whole text, four bytes each."""
         words = self.split(text)
-        missing = set(words).difference(self.young)
-        if missing:
-            # a turnover inside _learn may drop words of this very text
-            self._learn(missing)
-            rest = set(words).difference(self.young)
-            if rest:
-                self._learn(rest)
-        return b"".join(map(self.young.__getitem__, words))
+        found = list(map(self.young.get, words))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            learned = self._learn({words[i] for i in missing})
+            for i in missing:
+                found[i] = learned[words[i]]
+        return b"".join(found)
 
 
 _TABLES: dict[tuple[str, str], WordTable] = {}
