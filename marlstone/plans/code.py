@@ -1,113 +1,242 @@
-"""Queries over the corpus of SQL objects.  None has SQL: scanners and folds."""
+"""Queries over the corpus of SQL objects, with rows written by hand as SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions import classify, masking, splitting, sqlops
+from marlstone.functions import classify, masking, procedures, splitting, sqlops
 from marlstone.operators import relate
 from marlstone.plans.common import Catalogue, Tables
-from marlstone.plans.fixtures import objects
+from marlstone.plans.fixtures import TEMPLATES, expected, objects
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.sql
 
 
+def code(t: Tables) -> DataFrame:
+    return objects(t.customer)
+
+
 def statements(t: Tables) -> DataFrame:
-    return splitting.statements(objects(t.spark)).drop("code")
+    """Statements of each object, with its dialect."""
+    scored = classify.dialects(code(t).withColumn("text", masking.masked(F.col("code"), identifiers=True)))
+    return splitting.statements(scored.select("object_id", "code", F.col("detected.dialect").alias("dialect"))).drop("code")
 
 
-@add(None)
-def t_statement_split(t: Tables) -> DataFrame:
-    """Spans that tile each object's code."""
-    return statements(t)
+def operations(t: Tables) -> DataFrame:
+    spoken = F.when(F.col("dialect") == "ORACLE", "ORACLE").otherwise("TSQL")
+    return sqlops.table_operations(statements(t), dialect=spoken).filter("operation is not null")
 
 
-@add(None)
-def t_go_batches(t: Tables) -> DataFrame:
-    return objects(t.spark).select("object_id", F.posexplode(splitting.batches(F.col("code"))).alias("pos", "batch"))
+#: Lines of a statement each, from 1; of the PL/SQL function, parts of lines.
+_LINES = {0: [(1, 1), (2, 2), (3, 3), (4, 5), (6, 9), (10, 12), (13, 13), (14, 15), (16, 16), (17, 17)], 1: [(1, 1), (2, 2), (3, 9), *((k, k) for k in range(10, 18))], 3: [(1, 1), (2, 3)], 4: [(1, 2), *((k, k) for k in range(3, 17))]}
+_PARTS = [
+    "CREATE OR REPLACE FUNCTION r§N.grade§K(p_id IN NUMBER, p_out OUT VARCHAR2) RETURN VARCHAR2 IS\nv_days NUMBER;", "v_grade VARCHAR2(10);", "BEGIN", "SELECT NVL(days_due, 0) INTO v_days FROM r§N.accounts WHERE id = p_id;", "IF v_days > 90 THEN v_grade := 'C';", "ELSIF v_days > 30 THEN",
+    "IF p_id = §K THEN v_grade := 'B1';", "ELSE v_grade := 'B2';", "END IF;", "ELSE v_grade := 'A';", "END IF;", "RETURN v_grade;", "EXCEPTION WHEN NO_DATA_FOUND THEN RETURN 'NONE';", "END;",
+]
 
 
-@add(None)
-def t_pack_chunks(t: Tables) -> DataFrame:
-    """Neighbouring statements of a kind merged while both budgets allow."""
-    kinds = statements(t).select("object_id", "pos", F.struct(F.col("statement").alias("text"), splitting.section_kind(F.col("statement")).alias("family"), classify.decision_points(F.col("statement")).alias("points")).alias("p"))
-    ordered = kinds.groupBy("object_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]).alias("pieces"))
-    return ordered.select("object_id", F.posexplode(splitting.packed(F.col("pieces"), 600, 10)).alias("chunk", "c")).select("object_id", "chunk", "c.*")
+def _split() -> list[tuple]:
+    rows = [(2, i, part) for i, part in enumerate(_PARTS)]
+    for k, spans in _LINES.items():
+        lines = TEMPLATES[k].split("\n")
+        rows += [(k, i, "\n".join(lines[a - 1 : b]).strip()) for i, (a, b) in enumerate(spans)]
+    return rows
 
 
-@add(None)
-def t_overlap_chunks(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.posexplode(splitting.chunked(F.col("text"))).alias("chunk", "text"))
+@add(expected("pos statement", _split()))
+def t_statement_split(t: Tables) -> DataFrame:
+    """Spans that tile each object's code, a statement each."""
+    return statements(t).filter(f"object_id % {len(TEMPLATES)} <> 5").select("object_id", "pos", F.regexp_replace("statement", r"^\s+|\s+$", "").alias("statement"))
 
 
-@add(None)
+@add(expected("pos n_batches first_word", [(0, 0, 1, "CREATE"), (1, 0, 2, "CREATE"), (1, 1, 2, "EXEC('SELECT 1')"), (2, 0, 1, "CREATE"), (3, 0, 1, "CREATE"), (4, 0, 1, "CREATE"), (5, 0, 1, "CREATE")]))
+def t_go_batches(t: Tables) -> DataFrame:
+    parts = code(t).select("object_id", splitting.batches(F.col("code")).alias("b"))
+    each = parts.select("object_id", F.size("b").alias("n_batches"), F.posexplode("b").alias("pos", "batch"))
+    word = F.when(F.col("batch").contains("EXEC('"), F.regexp_replace("batch", r"\s+$|^\s+", "")).otherwise(F.regexp_extract("batch", r"^\s*(\w+)", 1))
+    return each.select("object_id", "pos", "n_batches", word.alias("first_word"))
+
+
+@add(expected("first_line last_line body", [(0, 4, 4, "UPDATE n§N.Accounts SET Bucket = 'OLD' WHERE Balance = 0;")]))
 def t_inactive_code(t: Tables) -> DataFrame:
-    return splitting.inactive_blocks(objects(t.spark), "object_id", "code")
+    return splitting.inactive_blocks(code(t), "object_id", "code")
 
 
-@add(None)
+_OBJECTS = [
+    (0, "TSQL", "high", "PROCEDURE", "n§N", "Aging§K", ["n§N.Notify"], ["2020-03-31"], False, 6), (1, "TSQL", "high", "PROCEDURE", "n§N", "Settle§K", [], [], True, 3), (2, "ORACLE", "high", "FUNCTION", "r§N", "grade§K", [], [], False, 6),
+    (3, "UNKNOWN", "low", "VIEW", "n§N", "Open§K", [], [], False, 0), (4, "TSQL", "high", "PROCEDURE", "n§N", "Tier§K", [], [], False, 3), (5, "TSQL", "high", "PROCEDURE", "n§N", "MainRun§K", ["n§N.StepB", "n§N.Settle7"], [], False, 3),
+]
+
+
+@add(expected("dialect confidence type schema name calls dates dynamic n_decisions", _OBJECTS))
 def c_objects(t: Tables) -> DataFrame:
     """Dialect, type, name, calls, dates and flags of each object."""
-    code = masking.executable(F.col("code"))
-    found = classify.dialects(objects(t.spark).select("object_id", "code", code.alias("executable"), masking.masked(F.col("code")).alias("text")))
+    shown = masking.executable(F.col("code"))
+    found = classify.dialects(code(t).select("object_id", "code", shown.alias("executable"), masking.masked(F.col("code"), identifiers=True).alias("text"), masking.masked(F.col("code")).alias("hidden")))
     name = classify.object_name(F.col("executable"))
     return found.select(
         "object_id", "detected.*", classify.object_type(F.col("executable")).alias("type"), name["schema"].alias("schema"), name["name"].alias("name"),
-        classify.called_procedures(F.col("text")).alias("calls"), classify.hardcoded_dates(F.col("executable")).alias("dates"), classify.dynamic_sql(F.col("executable")).alias("dynamic"), classify.decision_points(F.col("text")).alias("n_decisions"),
+        classify.called_procedures(F.col("hidden")).alias("calls"), classify.hardcoded_dates(F.col("executable")).alias("dates"), classify.dynamic_sql(F.col("executable")).alias("dynamic"), classify.decision_points(F.col("hidden")).alias("n_decisions"),
     )
 
 
-@add(None)
+_PARAMETERS = [
+    (0, "parameterized", 0, "AsOf", "IN", "DATE", None), (0, "parameterized", 1, "Branch", "IN", "VARCHAR(10)", "'ALL'"), (2, "parameterized", 0, "p_id", "IN", "NUMBER", None), (2, "parameterized", 1, "p_out", "OUT", "VARCHAR2", None),
+    (4, "parameterized", 0, "Score", "IN", "INT", None), (4, "parameterized", 1, "Out", "OUT", "VARCHAR(10)", None), (1, "parameterless", None, None, None, None, None), (3, "parameterless", None, None, None, None, None), (5, "parameterless", None, None, None, None, None),
+]
+
+
+@add(expected("status pos name direction datatype initial", _PARAMETERS))
+def c_parameters(t: Tables) -> DataFrame:
+    """Formal parameters of each object's header."""
+    p = code(t).select("object_id", procedures.parameters(F.col("code")).alias("p"))
+    return p.select("object_id", "p.status", F.posexplode_outer("p.parameters").alias("pos", "x")).select("object_id", "status", "pos", "x.*")
+
+
+_OPERATIONS = [
+    (0, 4, 0, "n§N.Accounts", "UPDATE", ""), (0, 4, 1, "n§N.Customers", "READ", "C"), (0, 4, 2, "n§N.Closures", "READ", "Z"), (0, 5, 0, "n§N.Accounts", "UPDATE", ""), (0, 6, 0, "#Late", "INSERT", ""), (0, 6, 1, "n§N.Accounts", "READ", ""), (0, 7, 0, "n§N.Watch", "INSERT", ""), (0, 7, 1, "n§N.Accounts", "READ", ""),
+    (1, 2, 0, "n§N.Totals", "MERGE", "T"), (1, 2, 1, "n§N.Accounts", "READ", ""), (1, 3, 0, "n§N.Watch", "DELETE", ""), (1, 3, 1, "n§N.Closures", "READ", ""), (1, 3, 2, "n§N.Extra", "READ", ""), (1, 4, 0, "n§N.Scratch", "TRUNCATE", ""),
+    (2, 3, 0, "r§N.accounts", "READ", ""), (3, 1, 0, "n§N.Totals", "READ", ""), (3, 1, 1, "n§N.Customers", "READ", "C"),
+    (4, 2, 0, "n§N.Staff Members", "UPDATE", ""), (4, 4, 0, "n§N.Staff Members", "UPDATE", ""), (4, 7, 0, "n§N.Queue", "INSERT", ""), (4, 7, 1, "n§N.Notes", "READ", ""), (4, 7, 2, "n§N.Work", "READ", "w"), (4, 7, 3, "n§N.Rest", "READ", ""), (4, 12, 0, "n§N.Queue", "DELETE", ""), (4, 14, 0, "n§N.Log", "INSERT", ""),
+    (5, 2, 0, "n§N.RunningProcessStatus", "READ", ""), (5, 4, 0, "n§N.ProcessMonitor", "INSERT", ""), (5, 7, 0, "n§N.RunningProcessStatus", "READ", ""), (5, 13, 0, "n§N.AuditStatus", "UPDATE", ""), (5, 15, 0, "n§N.RunningProcessStatus", "READ", ""),
+]
+#: A write that reads its own table is a read too.
+_BOTH = _OPERATIONS + [(*x[:4], "READ", x[5]) for x in _OPERATIONS if x[4] in ("UPDATE", "MERGE")]
+
+
+@add(expected("pos op_index table_name operation alias", _BOTH))
 def e_table_operations(t: Tables) -> DataFrame:
     """One row for each table that a statement reads or writes."""
-    return sqlops.with_reads_of_writes(sqlops.table_operations(statements(t)))
+    return sqlops.with_reads_of_writes(operations(t)).select("object_id", "pos", "op_index", "table_name", "operation", "alias")
 
 
-@add(None)
+_PREDICATES = [
+    (0, 4, "A.Balance > §K AND NOT EXISTS (SELECT 1 FROM n§N.Closures Z WHERE Z.AccountId = A.AccountId)", ["n§N.Customers INNER A.CustomerId = C.CustomerId AND C.Active = 'Y'"], ["NOT EXISTS SELECT 1 FROM n§N.Closures Z WHERE Z.AccountId = A.AccountId"]),
+    (0, 5, "", [], []), (0, 6, "DaysDue > 90", [], []), (0, 7, "Bucket = 'LATE3'", [], []), (1, 2, "T.CustomerId = S.CustomerId", [], []), (1, 3, "AccountId IN (SELECT AccountId FROM n§N.Closures, n§N.Extra WHERE Id = §K)", [], []), (1, 4, "", [], []),
+    (2, 3, "id = p_id", [], []), (3, 1, "B.CustomerId IS NOT NULL", ["big LEFT B.CustomerId = C.CustomerId"], []), (4, 2, "Id = §K", [], []), (4, 4, "", [], []), (4, 7, "", [], []), (4, 12, "", [], []), (4, 14, "", [], []), (5, 2, "", [], []), (5, 4, "", [], []), (5, 7, "", [], []), (5, 13, "", [], []), (5, 15, "", [], []),
+]
+
+
+@add(expected("pos predicate joined existing", _PREDICATES))
+def e_predicates(t: Tables) -> DataFrame:
+    """Filters, join conditions and EXISTS tests of statements."""
+    o = operations(t).filter("op_index = 0")
+    joined = F.transform("joins", lambda j: F.concat_ws(" ", j["table_name"], j["kind"], j["predicate"]))
+    return o.select("object_id", "pos", "predicate", joined.alias("joined"), F.transform("exists", lambda e: F.concat_ws(" ", e["kind"], e["predicate"])).alias("existing"))
+
+
+_ASSIGNED = [
+    (0, 4, "A.DaysDue", "DATEDIFF(DAY, A.DueDate, @AsOf)", "", ""), (0, 4, "A.Fee", "A.Balance * 0.02", "", ""), (0, 7, "AccountId", "AccountId", "", ""), (0, 7, "Amount", "Balance + Fee", "", ""), (1, 2, "T.Total", "T.Total + S.Total", "MATCHED", "T.Locked = 0"),
+    (1, 2, "CustomerId", "S.CustomerId", "NOT_MATCHED_BY_TARGET", ""), (1, 2, "Total", "S.Total", "NOT_MATCHED_BY_TARGET", ""), (4, 2, "Tier", "'GOLD'", "", ""), (4, 4, "Tier", "'SILVER'", "", ""), (4, 7, "StaffId", "x", "", ""), (4, 7, "Note", "(SELECT MAX(y) FROM n§N.Notes)", "", ""), (4, 7, "Tier", "'NONE'", "", ""),
+    (4, 14, "Id", "§K", "", ""), (4, 14, "Note", "CHOOSE(@Score, 'low', 'high')", "", ""), (5, 4, "UserID", "ORIGINAL_LOGIN()", "", ""), (5, 4, "Description", "'StepB'", "", ""), (5, 4, "MODE", "'RUNNING'", "", ""), (5, 13, "CompletedCount", "CompletedCount+1", "", ""),
+]
+
+
+@add(expected("pos column expression branch condition", _ASSIGNED))
+def e_assignments(t: Tables) -> DataFrame:
+    """What is assigned to which column, by branch of a MERGE."""
+    each = operations(t).select("object_id", "pos", F.explode("assignments").alias("a")).select("object_id", "pos", "a.*")
+    return each.filter("column <> 'Bucket'").select("object_id", "pos", "column", "expression", "branch", "condition")
+
+
+_ROWS = [
+    (0, 5, "Bucket", 0, "DaysDue > 90", "'LATE3'"), (0, 5, "Bucket", 1, "(DaysDue > 60) AND (Secured = 1)", "'LATE2S'"), (0, 5, "Bucket", 2, "DaysDue > 60", "'LATE2'"), (0, 5, "Bucket", 3, "DaysDue > 0", "'LATE1'"), (0, 5, "Bucket", 4, "ELSE", "'CURRENT'"),
+    (4, 14, "Note", 0, "CONVERT(INT, @Score) = 1", "'low'"), (4, 14, "Note", 1, "CONVERT(INT, @Score) = 2", "'high'"), (4, 14, "Note", 2, "ELSE", "NULL"),
+]
+
+
+@add(expected("pos field branch condition outcome", _ROWS))
 def e_decision_rows(t: Tables) -> DataFrame:
-    """Leaf rows of assigned CASE expressions."""
-    assigned = sqlops.table_operations(statements(t)).select("object_id", "pos", "table_name", F.explode("assignments").alias("a"))
-    return assigned.select("object_id", "pos", "table_name", F.col("a.column").alias("field"), F.posexplode(sqlops.decisions(F.col("a.expression"))).alias("branch", "row")).select("object_id", "pos", "table_name", "field", "branch", "row.*")
+    """Leaf rows of assigned CASE and CHOOSE expressions."""
+    assigned = operations(t).select("object_id", "pos", F.explode("assignments").alias("a"))
+    return assigned.select("object_id", "pos", F.col("a.column").alias("field"), F.posexplode(sqlops.decisions(F.col("a.expression"))).alias("branch", "row")).select("object_id", "pos", "field", "branch", "row.*")
 
 
-@add(None)
+_DENIED = "NOT (@Score >= 90) AND NOT (@Score >= 70)"
+_LADDERS = [
+    (2, 0, 0, "v_days > 90", "v_days > 90", "", "v_grade", "'C'", 5, 8), (2, 0, 2, "ELSE", "NOT (v_days > 90) AND NOT (v_days > 30)", "", "v_grade", "'A'", 5, 8), (2, 1, 0, "p_id = §K", "p_id = §K", "", "v_grade", "'B1'", 7, 7), (2, 1, 1, "ELSE", "NOT (p_id = §K)", "", "v_grade", "'B2'", 7, 7),
+    (4, 0, 0, "@Score >= 90", "@Score >= 90", "Id = §K", "Tier", "'GOLD'", 3, 11), (4, 0, 1, "@Score >= 70", "@Score >= 70", "", "Tier", "'SILVER'", 3, 11), (4, 0, 2, "ELSE", _DENIED, "", "StaffId", "x", 3, 11), (4, 0, 2, "ELSE", _DENIED, "", "Note", "(SELECT MAX(y) FROM n§N.Notes)", 3, 11),
+    (4, 0, 2, "ELSE", _DENIED, "", "Tier", "'NONE'", 3, 11), (4, 0, 2, "ELSE", _DENIED, "", "Out", "'BRONZE'", 3, 11),
+]
+
+
+@add(expected("chain branch condition effective row_filter field outcome line_start line_end", _LADDERS))
 def e_ladders(t: Tables) -> DataFrame:
-    """Assignments under IF ladders with all conditions above them."""
-    return objects(t.spark).select("object_id", F.posexplode(sqlops.ladders(masking.executable(F.col("code")))).alias("branch", "row")).select("object_id", "branch", "row.*")
+    """Ladders in which a field is set in two branches; nested ones apart."""
+    return code(t).select("object_id", F.explode(procedures.ladders(masking.executable(F.col("code")))).alias("row")).select("object_id", "row.*")
 
 
-@add(None)
+_GATES = [
+    (5, 1, "run_step", "StepB", "'StepA' has completed and 'StepB' has not yet completed", ["n§N.StepB"], False, "n§N.RunningProcessStatus", 3, True),
+    (5, 2, "abort_if_incomplete", "StepB", "'StepB' has not yet completed", [], True, "n§N.RunningProcessStatus", 11, False),
+    (5, 3, "run_step", "Settle7", "'StepB' has completed", ["n§N.Settle7"], False, "n§N.RunningProcessStatus", 20, False),
+]
+
+
+@add(expected("sequence gate_type step precondition procedures aborts status_table line resumes", _GATES))
 def e_process_gates(t: Tables) -> DataFrame:
-    return sqlops.process_gates(statements(t), "object_id").select("object_id", "pos", "step", "sequence")
+    """Guarded steps of a run, in order."""
+    return code(t).select("object_id", F.explode(procedures.gates(F.col("code"))).alias("g")).select("object_id", "g.*")
 
 
-@add(None)
+@add(expected("total steps execution_order aborting resumable status_tables", [(5, 3, 2, ["StepB", "Settle7"], 1, True, ["n§N.RunningProcessStatus"])]))
+def e_gate_summary(t: Tables) -> DataFrame:
+    found = code(t).select("object_id", procedures.gates(F.col("code")).alias("g"))
+    return found.select("object_id", procedures.gate_summary(F.col("g")).alias("s")).filter("s is not null").select("object_id", "s.*")
+
+
+_FORMULAS = [(0, "n§N.Accounts", "A.DaysDue", "DATEDIFF(DAY, A.DueDate, @AsOf)"), (0, "n§N.Accounts", "A.Fee", "A.Balance * 0.02"), (0, "n§N.Watch", "Amount", "Balance + Fee"), (1, "n§N.Totals", "T.Total", "T.Total + S.Total"), (4, "n§N.Queue", "Note", "(SELECT MAX(y) FROM n§N.Notes)"), (5, "n§N.AuditStatus", "CompletedCount", "CompletedCount+1")]
+
+
+@add(expected("table_name column expression", _FORMULAS))
 def e_calculations(t: Tables) -> DataFrame:
-    return sqlops.calculations(sqlops.table_operations(statements(t)), "object_id")
+    return sqlops.calculations(operations(t), "object_id")
 
 
-@add(None)
+_FLOWS = [
+    (0, 4, 5, "N§N.ACCOUNTS", "FEEDS"), (0, 4, 6, "N§N.ACCOUNTS", "FEEDS"), (0, 4, 7, "N§N.ACCOUNTS", "FEEDS"), (0, 5, 6, "N§N.ACCOUNTS", "FEEDS"), (0, 5, 7, "N§N.ACCOUNTS", "FEEDS"),
+    (4, 2, 4, "N§N.STAFF MEMBERS", "FEEDS"), (4, 2, 4, "N§N.STAFF MEMBERS", "UNRESOLVED"), (4, 7, 12, "N§N.QUEUE", "CLEARS"),
+]
+
+
+@add(expected("producer consumer table_name kind", _FLOWS))
 def e_dependencies(t: Tables) -> DataFrame:
     """Which statement feeds which, through tables."""
-    ops = sqlops.with_reads_of_writes(sqlops.table_operations(statements(t))).filter("operation is not null")
-    shaped = ops.select("object_id", F.col("pos").alias("statement_id"), F.col("pos").alias("ord"), "table_name", "operation", F.col("columns").alias("fields"), (F.col("predicate") != "").alias("conditional"))
-    return relate.dependencies(shaped)
+    ops = sqlops.with_reads_of_writes(operations(t))
+    return relate.dependencies(ops.select("object_id", F.col("pos").alias("statement_id"), F.col("pos").alias("ord"), "table_name", "operation", F.col("columns").alias("fields"), (F.col("predicate") != "").alias("conditional")))
 
 
-@add(None)
+@add(f"""SELECT c_custkey AS caller, replace(target, '§N', CAST(c_nationkey AS VARCHAR)) AS target, CASE WHEN target LIKE '%Settle7' THEN (SELECT c_custkey FROM customer WHERE c_custkey = 7) END AS callee FROM customer JOIN (VALUES (0, 'n§N.Notify'), (5, 'n§N.StepB'), (5, 'n§N.Settle7')) v(template, target) ON c_custkey % {len(TEMPLATES)} = template""")
 def e_call_graph(t: Tables) -> DataFrame:
-    base = objects(t.spark).select("object_id", masking.masked(F.col("code")).alias("text"))
+    """Calls by full name, else by a bare name that one object has."""
+    base = code(t).select("object_id", masking.masked(F.col("code")).alias("text"))
     named = base.select("object_id", classify.object_name(F.col("text")).alias("n")).select("object_id", "n.schema", "n.name")
     calls = base.select(F.col("object_id").alias("caller"), F.explode(classify.called_procedures(F.col("text"))).alias("target"))
     return relate.call_graph(calls, named)
 
 
-@add(None)
+@add(expected("section claim fact status", [
+    (0, "writes", 400, 400, "MATCHED"), (0, "reads", 401, 401, "MATCHED"), (0, "reads", 402, 402, "CONFLICT"), (0, "writes", 500, 500, "MATCHED"), (0, "writes", 600, 600, "CONFLICT"), (0, "reads", 601, 601, "MATCHED"), (0, "writes", 700, 700, "MATCHED"), (0, "reads", 701, 701, "MATCHED"),
+    (1, "writes", 200, 200, "MATCHED"), (1, "reads", 201, 201, "CONFLICT"), (1, "writes", None, 300, "DETERMINISTIC_ONLY"), (1, "reads", 301, 301, "MATCHED"), (1, "reads", 302, 302, "MATCHED"), (1, "writes", 400, 400, "MATCHED"),
+    (2, "reads", 300, 300, "CONFLICT"), (3, "reads", 100, 100, "MATCHED"), (3, "reads", 101, 101, "MATCHED"),
+]))
 def e_reconciled(t: Tables) -> DataFrame:
     """Claims against facts, one to one in order, per object."""
-    ops = sqlops.table_operations(statements(t)).filter("operation is not null")
-    facts = ops.select("object_id", F.when(F.col("operation") == "READ", "reads").otherwise("writes").alias("section"), (F.col("pos") * 100 + F.col("op_index")).alias("pos"), F.upper("table_name").alias("table_name"), "operation", "predicate")
+    facts = operations(t).filter(f"object_id % {len(TEMPLATES)} < 4").select("object_id", F.when(F.col("operation") == "READ", "reads").otherwise("writes").alias("section"), (F.col("pos") * 100 + F.col("op_index")).alias("pos"), F.upper("table_name").alias("table_name"), "operation", "predicate")
     claims = facts.filter("operation <> 'DELETE'").withColumn("predicate", F.when(F.col("pos") % 3 == 0, "changed").otherwise(F.col("predicate")))
-    return relate.one_to_one(claims, facts, "object_id", [("MATCHED", ["table_name", "operation", "predicate"]), ("CONFLICT", ["table_name", "operation"]), ("CONFLICT", ["table_name"])])
+    return relate.one_to_one(claims, facts, "object_id", [("MATCHED", ["table_name", "operation", "predicate"]), ("CONFLICT", ["table_name", "operation"]), ("CONFLICT", ["table_name"])]).select("object_id", "section", "claim", "fact", "status")
+
+
+@add(None)
+def t_pack_chunks(t: Tables) -> DataFrame:
+    """Neighbouring statements of a kind merged while both budgets allow."""
+    kinds = statements(t).select("object_id", "pos", F.struct(F.col("statement").alias("text"), splitting.section_kind(F.col("statement")).alias("family"), classify.decision_points(F.col("statement")).alias("points")).alias("p"))
+    ordered = kinds.groupBy("object_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]).alias("pieces"))
+    return ordered.select("object_id", F.posexplode(splitting.packed(F.col("pieces"), 600, 10)).alias("chunk", "c")).select("object_id", "chunk", "c.*")
+
+
+@add(None)
+def t_overlap_chunks(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.posexplode(splitting.chunked(F.col("text"))).alias("chunk", "text"))

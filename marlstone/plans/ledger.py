@@ -16,7 +16,8 @@ from marlstone.plans.common import Catalogue, Tables
 CATALOGUE = Catalogue()
 add = CATALOGUE.sql
 
-k = F.col("o_orderkey")
+def k() -> Column:
+    return F.col("o_orderkey")
 
 
 def pick(by: Column, n: int, *values) -> Column:
@@ -45,7 +46,7 @@ FROM (SELECT o_orderkey, CAST({score(1)} AS INTEGER) AS o, CAST({score(2)} AS IN
 @add(_dialect_sql())
 def c_dialect_scores(t: Tables) -> DataFrame:
     """Weighted signals of masked code, then an ordered choice."""
-    code = F.concat(*(F.when(F.shiftright(k, bit) % 2 == 1, x[0]).otherwise("") for bit, x in enumerate(_PIECES)))
+    code = F.concat(*(F.when(F.shiftright(k(), bit) % 2 == 1, x[0]).otherwise("") for bit, x in enumerate(_PIECES)))
     shown = masking.masked(code, identifiers=True)
     found = classify.dialects(t.orders.select("o_orderkey", shown.alias("text")))
     return found.select("o_orderkey", F.col("oracle_score").alias("o"), F.col("tsql_score").alias("t"), F.col("postgres_score").alias("p"), "detected.dialect", "detected.confidence")
@@ -70,10 +71,10 @@ def c_ledger_status(t: Tables) -> DataFrame:
 
 
 def constructs(t: Tables) -> DataFrame:
-    parsed = F.when(k % 11 == 0, "Unsupported dialect").when(k % 5 == 0, pick(k, 3, "failed", "error", "unparsed")).otherwise("parsed")
-    code = F.when(k % 7 == 0, pick(k, 3, "EXEC (@sql)", "EXECUTE x", "sp_executesql @q")).otherwise("UPDATE t SET executed = 1")
-    table = F.when(k % 4 == 0, pick(k, 3, "#work", "dbo.TempRows", "dbo.tmp_rows")).otherwise("dbo.accounts")
-    status = classify.ledger_status(parsed, code, F.lit("UPDATE"), table, k % 3 == 0, technical=k % 2 == 0)
+    parsed = F.when(k() % 11 == 0, "Unsupported dialect").when(k() % 5 == 0, pick(k(), 3, "failed", "error", "unparsed")).otherwise("parsed")
+    code = F.when(k() % 7 == 0, pick(k(), 3, "EXEC (@sql)", "EXECUTE x", "sp_executesql @q")).otherwise("UPDATE t SET executed = 1")
+    table = F.when(k() % 4 == 0, pick(k(), 3, "#work", "dbo.TempRows", "dbo.tmp_rows")).otherwise("dbo.accounts")
+    status = classify.ledger_status(parsed, code, F.lit("UPDATE"), table, k() % 3 == 0, technical=k() % 2 == 0)
     return t.orders.select("o_orderkey", "o_custkey", status.alias("status"))
 
 
@@ -118,8 +119,8 @@ WHEN o_orderkey % 3 = 0 THEN 'GENUINE_BUSINESS_CONTRADICTION' ELSE 'INSUFFICIENT
 def c_contradictions(t: Tables) -> DataFrame:
     """What explains that two claims differ: the first that holds."""
     flags = lambda a, b, c: F.struct(a.alias("ordered"), b.alias("technical"), c.alias("insufficient"))
-    paired = F.when(k % 2 == 0, flags(k % 6 == 0, k % 5 == 0, F.lit(False)))
-    found = classify.contradiction_class(F.when(k % 10 == 0, "tables_read").otherwise("rule"), F.when(k % 3 == 0, " Field_Conflict ").otherwise("other"), flags(k % 9 == 0, k % 8 == 0, k % 7 == 0), paired)
+    paired = F.when(k() % 2 == 0, flags(k() % 6 == 0, k() % 5 == 0, F.lit(False)))
+    found = classify.contradiction_class(F.when(k() % 10 == 0, "tables_read").otherwise("rule"), F.when(k() % 3 == 0, " Field_Conflict ").otherwise("other"), flags(k() % 9 == 0, k() % 8 == 0, k() % 7 == 0), paired)
     return t.orders.select("o_orderkey", found["class"].alias("class"))
 
 
@@ -129,18 +130,18 @@ _SAID = [("When matched, update existing records", True, True, False), ("WHEN NO
 @add(f"""SELECT o_orderkey, m AS merge, a AS matched, u AS unmatched FROM orders JOIN (VALUES {', '.join(f"({i}, {m}, {a}, {u})" for i, (_, m, a, u) in enumerate(_SAID))}) x(i, m, a, u) ON o_orderkey % {len(_SAID)} = i""")
 def c_merge_text(t: Tables) -> DataFrame:
     """Which branch of a MERGE a rule's text tells of."""
-    found = classify.merge_branch(pick(k, len(_SAID), *(x[0] for x in _SAID)))
+    found = classify.merge_branch(pick(k(), len(_SAID), *(x[0] for x in _SAID)))
     return t.orders.select("o_orderkey", found["merge"].alias("merge"), found["matched"].alias("matched"), found["unmatched"].alias("unmatched"))
 
 
 @add("""SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AND o_orderkey % 3 < 2 AS status_update, o_orderkey % 6 IN (0, 1, 2) OR o_orderkey % 6 = 4 AS audit, CASE WHEN o_orderkey % 5 = 0 THEN ['rate'] ELSE [] END AS uncertain, CASE o_orderkey % 6 WHEN 0 THEN 'SMA_MARKING' WHEN 1 THEN 'usp_calc' WHEN 2 THEN 'rpt' WHEN 3 THEN '_2023' WHEN 4 THEN 'proc_a_b_c' ELSE 'Plain' END AS business FROM orders""")
 def c_object_texts(t: Tables) -> DataFrame:
     """Bookkeeping writes and tables, uncertain scales, names of copies."""
-    code = F.concat(F.when(k % 4 < 2, "UPDATE PRO.RunningProcessStatus ").otherwise("UPDATE PRO.Accounts "), F.when(k % 3 == 0, "SET Completed = 'Y'").when(k % 3 == 1, "SET ErrorDate=NULL").otherwise("SET Other = 1"))
-    table = pick(k, 6, "PRO.RunStatus", "dbo.Account_History", "x.ProcessMonitor", "dbo.Accounts", "dbo.Accounts", "dbo.Customers")
-    columns = F.when(k % 6 == 4, F.array(F.lit("StartTime"), F.lit("END_TIME"))).otherwise(F.array(F.lit("EndTime"), F.lit("Amount")))
-    formula = F.when(k % 5 == 0, "rate := 0.5; x = y / z; t = rate / 12").when(k % 5 == 1, "rate = 2.5; t = rate / 12").otherwise("share = 0.5; t = share * 12")
-    name = pick(k, 6, "SMA_MARKING_12122023", "usp_calc_v2_20231212", "rpt_final2_BAK_old", "_2023", "proc_a_b_c", "Plain")
+    code = F.concat(F.when(k() % 4 < 2, "UPDATE PRO.RunningProcessStatus ").otherwise("UPDATE PRO.Accounts "), F.when(k() % 3 == 0, "SET Completed = 'Y'").when(k() % 3 == 1, "SET ErrorDate=NULL").otherwise("SET Other = 1"))
+    table = pick(k(), 6, "PRO.RunStatus", "dbo.Account_History", "x.ProcessMonitor", "dbo.Accounts", "dbo.Accounts", "dbo.Customers")
+    columns = F.when(k() % 6 == 4, F.array(F.lit("StartTime"), F.lit("END_TIME"))).otherwise(F.array(F.lit("EndTime"), F.lit("Amount")))
+    formula = F.when(k() % 5 == 0, "rate := 0.5; x = y / z; t = rate / 12").when(k() % 5 == 1, "rate = 2.5; t = rate / 12").otherwise("share = 0.5; t = share * 12")
+    name = pick(k(), 6, "SMA_MARKING_12122023", "usp_calc_v2_20231212", "rpt_final2_BAK_old", "_2023", "proc_a_b_c", "Plain")
     return t.orders.select("o_orderkey", classify.is_status_update(code).alias("status_update"), classify.is_audit_table(table, columns).alias("audit"), classify.fractional_divisors(formula).alias("uncertain"), text.business_name(name).alias("business"))
 
 
@@ -148,7 +149,7 @@ def c_object_texts(t: Tables) -> DataFrame:
 FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS p, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 100 END AS c, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey * 2 END AS x FROM orders)""")
 def tel_token_usage(t: Tables) -> DataFrame:
     """Tokens of a provider's answer; the total is the sum if it isn't told."""
-    told = F.to_json(F.struct(F.when(k % 2 == 0, k).alias("prompt_tokens"), F.when(k % 3 == 0, (k % 100).cast("string")).alias("completion_tokens"), F.when(k % 5 == 0, k * 2).alias("total_tokens")))
+    told = F.to_json(F.struct(F.when(k() % 2 == 0, k()).alias("prompt_tokens"), F.when(k() % 3 == 0, (k() % 100).cast("string")).alias("completion_tokens"), F.when(k() % 5 == 0, k() * 2).alias("total_tokens")))
     u = t.orders.select("o_orderkey", measures.token_usage(told).alias("u"))
     return u.select("o_orderkey", F.col("u.prompt_tokens").alias("prompt"), F.col("u.completion_tokens").alias("completion"), F.col("u.total_tokens").alias("total"), "u.availability")
 
@@ -157,17 +158,17 @@ def tel_token_usage(t: Tables) -> DataFrame:
 greatest(CASE WHEN o_orderkey % 2 = 0 THEN 20000 ELSE 0 END, 16000) + o_orderkey % 90 * 256 > 32768 AS sectioned, o_orderkey % 3 <> 2 AND ceil(o_orderkey % 200000 / 3.5) <= 20000 AS single_pass FROM orders""")
 def t_budgets(t: Tables) -> DataFrame:
     """Ceilings of models, tokens of an answer, and what one call can take."""
-    ceiling = classify.output_ceiling(pick(k, 5, "Bedrock", "bedrock", "groq", "groq", "openai"), pick(k, 5, "amazon.nova-lite-v1:0", "other", "llama-3.1-8b-instant", "other", "gpt"))
-    needed = measures.output_tokens(k % 90, F.when(k % 2 == 0, 20000))
-    dialect = pick(k, 3, "ORACLE", "TSQL", "UNSUPPORTED")
-    single = dialect.isin("ORACLE", "TSQL") & (text.tokens(F.repeat(F.lit("x"), (k % 200000).cast("int"))) <= 20000)
+    ceiling = classify.output_ceiling(pick(k(), 5, "Bedrock", "bedrock", "groq", "groq", "openai"), pick(k(), 5, "amazon.nova-lite-v1:0", "other", "llama-3.1-8b-instant", "other", "gpt"))
+    needed = measures.output_tokens(k() % 90, F.when(k() % 2 == 0, 20000))
+    dialect = pick(k(), 3, "ORACLE", "TSQL", "UNSUPPORTED")
+    single = dialect.isin("ORACLE", "TSQL") & (text.tokens(F.repeat(F.lit("x"), (k() % 200000).cast("int"))) <= 20000)
     return t.orders.select("o_orderkey", ceiling.alias("ceiling"), needed.alias("needed"), (needed > 32768).alias("sectioned"), single.alias("single_pass"))
 
 
 def rules(t: Tables) -> DataFrame:
     return t.orders.select(
-        F.col("o_custkey").alias("object_id"), k.alias("rule_id"), pick(k, 4, "CONFLICT", "MATCHED", "LLM_ONLY", None).alias("status"), F.when(k % 8 == 4, "deterministic_decision_table").otherwise("").alias("rule_type"), (k % 3 == 0).alias("has_rows"), (k % 12 == 0).alias("grounded"),
-        F.concat(F.lit("A.Field"), k % 5).alias("field"), F.when(k % 2 == 0, F.concat(F.lit("amount > "), k % 50)).otherwise(" ").alias("condition"), pick(k, 3, "Calculates the fee", "On failure raise an exception", "Plain text").alias("text"),
+        F.col("o_custkey").alias("object_id"), k().alias("rule_id"), pick(k(), 4, "CONFLICT", "MATCHED", "LLM_ONLY", None).alias("status"), F.when(k() % 8 == 4, "deterministic_decision_table").otherwise("").alias("rule_type"), (k() % 3 == 0).alias("has_rows"), (k() % 12 == 0).alias("grounded"),
+        F.concat(F.lit("A.Field"), k() % 5).alias("field"), F.when(k() % 2 == 0, F.concat(F.lit("amount > "), k() % 50)).otherwise(" ").alias("condition"), pick(k(), 3, "Calculates the fee", "On failure raise an exception", "Plain text").alias("text"),
     )
 
 
@@ -216,7 +217,7 @@ def a_validation_summary(t: Tables) -> DataFrame:
 
 @add("""SELECT o_orderkey, 'x > 1' || CASE WHEN o_orderkey % 2 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN ' — row filter: id = ' || o_orderkey ELSE ' — applies to all rows (no additional filter)' END AS condition FROM orders""")
 def r_row_filters(t: Tables) -> DataFrame:
-    told = evidence.with_row_filter(F.lit("x > 1"), F.when(k % 2 == 0, "CASE_EXPRESSION").otherwise("TSQL_IF_ELSE"), F.when(k % 3 == 0, F.concat(F.lit(" id = "), k)))
+    told = evidence.with_row_filter(F.lit("x > 1"), F.when(k() % 2 == 0, "CASE_EXPRESSION").otherwise("TSQL_IF_ELSE"), F.when(k() % 3 == 0, F.concat(F.lit(" id = "), k())))
     return t.orders.select("o_orderkey", told.alias("condition"))
 
 
@@ -225,7 +226,7 @@ CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 AND o_orderkey % 4 <> 1 THEN
 def r_enriched(t: Tables) -> DataFrame:
     """Empty rules are filled from the statement they name."""
     own = rules(t).drop("grounded").withColumn("statement_id", F.col("rule_id")).withColumn("outcome", F.lit(""))
-    known = t.orders.filter(k % 3 == 0).select(F.col("o_custkey").alias("object_id"), k.alias("statement_id"), F.concat(F.lit("q < "), k).alias("predicate"), F.concat(F.lit("set "), k).alias("outcome"))
+    known = t.orders.filter(k() % 3 == 0).select(F.col("o_custkey").alias("object_id"), k().alias("statement_id"), F.concat(F.lit("q < "), k()).alias("predicate"), F.concat(F.lit("set "), k()).alias("outcome"))
     return evidence.enriched(own, known).select("rule_id", "condition", "outcome", "status", "grounded")
 
 
@@ -233,7 +234,7 @@ def r_enriched(t: Tables) -> DataFrame:
 SELECT e.o AS object_id, e.id AS evidence_id, r.id AS record_id FROM e JOIN r ON e.o = r.o AND (contains(r.s, e.s) OR contains(e.s, r.s))""")
 def j_evidence_records(t: Tables) -> DataFrame:
     """Evidence and records whose texts contain each other."""
-    own = t.orders.select(F.col("o_custkey").alias("object_id"), k.alias("id"))
+    own = t.orders.select(F.col("o_custkey").alias("object_id"), k().alias("id"))
     said = own.filter("id % 2 = 0").select("object_id", F.col("id").alias("evidence_id"), F.concat(F.lit(" Amount  > "), F.col("id") % 50).alias("text"))
     known = own.filter("id % 3 = 0").select("object_id", F.col("id").alias("record_id"), F.concat(F.lit("WHEN amount > "), F.col("id") % 40, F.lit(" THEN x")).alias("text"))
     return evidence.evidence_records(said, known)
@@ -242,7 +243,7 @@ def j_evidence_records(t: Tables) -> DataFrame:
 @add("""SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 1 AND NOT (o_orderkey % 4 = 2 AND o_custkey % 2 = 0)""")
 def r_grounded_calculations(t: Tables) -> DataFrame:
     """Calculations that call a function which their source hasn't are dropped."""
-    expression = pick(k, 4, "ROUND(a, 2) + (b)", "COALESCE(a, 0)", "abs(a) * 2", "CASE WHEN (a) IN (1) THEN 2 END")
+    expression = pick(k(), 4, "ROUND(a, 2) + (b)", "COALESCE(a, 0)", "abs(a) * 2", "CASE WHEN (a) IN (1) THEN 2 END")
     c = F.col("c_custkey")
     sources = t.customer.select(c.alias("o_custkey"), F.when(c % 2 == 0, "x = Round(a, 2)").otherwise("x = Round(a, 2) / ABS (b) + COALESCED(1)").alias("source"))
     return evidence.grounded_calculations(t.orders.select("o_orderkey", "o_custkey", expression.alias("expression")), sources, ["o_custkey"]).select("o_orderkey")
@@ -269,8 +270,8 @@ SELECT o AS object_id, id AS rule_id, o AS chain_id, CAST(br AS INTEGER) AS bran
 def j_rule_links(t: Tables) -> DataFrame:
     """Rules with the branches that they tell: by lines, condition, field, outcome."""
     own = t.orders.select(
-        F.col("o_custkey").alias("object_id"), k.alias("rule_id"), F.array(F.when(k % 2 == 0, "GRADE").otherwise("other")).alias("fields"), F.array(pick(k, 3, "Days > 90", " days  > 30 ", "none")).alias("conditions"), F.array(pick(k, 4, "A", "'B'", "Z", "Z")).alias("outcomes"), F.array().cast("array<string>").alias("evidence"),
-        (k % 80).alias("line_start"), (k % 80 + 3).alias("line_end"),
+        F.col("o_custkey").alias("object_id"), k().alias("rule_id"), F.array(F.when(k() % 2 == 0, "GRADE").otherwise("other")).alias("fields"), F.array(pick(k(), 3, "Days > 90", " days  > 30 ", "none")).alias("conditions"), F.array(pick(k(), 4, "A", "'B'", "Z", "Z")).alias("outcomes"), F.array().cast("array<string>").alias("evidence"),
+        (k() % 80).alias("line_start"), (k() % 80 + 3).alias("line_end"),
     )
     return evidence.rule_chain_links(own, branches(t))
 
@@ -278,7 +279,7 @@ def j_rule_links(t: Tables) -> DataFrame:
 @add("""SELECT o_custkey AS object_id, o_orderkey AS rule_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0""")
 def j_safe_fallbacks(t: Tables) -> DataFrame:
     """Conditions that are the complement of all branches before the last."""
-    own = t.orders.select(F.col("o_custkey").alias("object_id"), k.alias("rule_id"), pick(k, 3, "days = 10", "days = 60", "days + 1 > x OR y").alias("condition"))
+    own = t.orders.select(F.col("o_custkey").alias("object_id"), k().alias("rule_id"), pick(k(), 3, "days = 10", "days = 60", "days + 1 > x OR y").alias("condition"))
     links = own.filter("rule_id % 2 = 0").select("object_id", "rule_id", F.col("object_id").alias("chain_id"), F.lit(2).alias("branch"))
     return evidence.safe_fallbacks(own, links, branches(t))
 
@@ -286,7 +287,7 @@ def j_safe_fallbacks(t: Tables) -> DataFrame:
 @add("""SELECT c_custkey AS object_id, CAST(x AS INTEGER) AS branch, o_orderkey AS rule_id, CASE WHEN o_orderkey IS NOT NULL THEN 'told ' || o_orderkey END AS told_outcome FROM customer CROSS JOIN (VALUES (0), (1), (2)) v(x) LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 2 = 0 AND o_orderkey % 4 = x""")
 def j_decision_blocks(t: Tables) -> DataFrame:
     """Branches with the rule rows of their condition and field."""
-    told = t.orders.select(F.col("o_custkey").alias("object_id"), k.alias("rule_id"), F.when(k % 2 == 0, "grade").otherwise("other").alias("field"), pick(k, 4, "(DAYS > 90)", "x", "Else;", "y").alias("condition"), F.concat(F.lit("told "), k).alias("outcome"))
+    told = t.orders.select(F.col("o_custkey").alias("object_id"), k().alias("rule_id"), F.when(k() % 2 == 0, "grade").otherwise("other").alias("field"), pick(k(), 4, "(DAYS > 90)", "x", "Else;", "y").alias("condition"), F.concat(F.lit("told "), k()).alias("outcome"))
     return evidence.decision_blocks(branches(t), told).select("object_id", "branch", "rule_id", "told_outcome")
 
 
@@ -305,7 +306,7 @@ l AS (SELECT a.* FROM a LEFT JOIN c ON a.o = c.o WHERE c.o IS NULL OR NOT (line
 g AS (SELECT *, sum(br) OVER (PARTITION BY o ORDER BY line) AS g FROM b) SELECT o AS object_id, min(line) AS first_line, max(line) AS last_line, count(*) AS n_lines FROM g GROUP BY o, g""")
 def j_region_coverage(t: Tables) -> DataFrame:
     """Regions of lines that no rule cites."""
-    anchors = t.orders.select(F.col("o_custkey").alias("object_id"), (k % 60).alias("line"))
+    anchors = t.orders.select(F.col("o_custkey").alias("object_id"), (k() % 60).alias("line"))
     c = F.col("c_custkey")
     return evidence.region_coverage(anchors, t.customer.select(c.alias("object_id"), (c % 50).alias("line_start"), (c % 50 + 9).alias("line_end")))
 
@@ -313,5 +314,5 @@ def j_region_coverage(t: Tables) -> DataFrame:
 @add("""SELECT o_custkey AS object_id, o_orderkey AS statement_id, unnest(range(o_orderkey % 90, o_orderkey % 90 + 3)) AS line, CAST(2 AS INTEGER) AS n_tokens FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus <> 'P'""")
 def j_predicate_lines(t: Tables) -> DataFrame:
     """Lines of filtered writes with the words of their predicate."""
-    own = t.orders.select(F.col("o_custkey").alias("object_id"), k.alias("statement_id"), F.when(F.col("o_orderstatus") == "P", "SELECT").otherwise("UPDATE").alias("operation"), F.when(k % 3 != 0, F.concat(F.lit("status = "), k + 100)).otherwise("").alias("predicate"), (k % 90).alias("line_start"), (k % 90 + 2).alias("line_end"))
+    own = t.orders.select(F.col("o_custkey").alias("object_id"), k().alias("statement_id"), F.when(F.col("o_orderstatus") == "P", "SELECT").otherwise("UPDATE").alias("operation"), F.when(k() % 3 != 0, F.concat(F.lit("status = "), k() + 100)).otherwise("").alias("predicate"), (k() % 90).alias("line_start"), (k() % 90 + 2).alias("line_end"))
     return evidence.predicate_lines(own, text.predicate_tokens(F.col("predicate"))).select("object_id", "statement_id", "line", F.size("tokens").alias("n_tokens"))

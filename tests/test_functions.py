@@ -4,9 +4,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone.functions import classify, masking, splitting, sqlops, text, vectors
+from marlstone.functions import classify, masking, procedures, splitting, sqlops, text, vectors
 from marlstone.operators import dml, relate
-from marlstone.plans.fixtures import OBJECTS
+from marlstone.plans.fixtures import TEMPLATES
 
 CODE = st.lists(st.sampled_from([*"ab'-/*[]\n;() ", "SELECT ", "CASE ", "END ", "GO\n", "UPDATE t SET "]), max_size=60).map("".join)
 
@@ -25,22 +25,71 @@ def test_masks_nest():
     assert "it" in masking.mask("'it' /* x */", strings=False) and "x" not in masking.mask("'it' /* x */", strings=False)
 
 
-def operations(name):
-    code = dict(OBJECTS)[name]
+def operations(k):
+    code = TEMPLATES[k].replace("§N", "1").replace("§K", "2")
     return [(o["operation"], o["table_name"]) for a, b in splitting.statement_spans(code) for o in sqlops.operations(code[a:b])]
 
 
 def test_table_operations():
-    assert operations("pro.Settle.Procedure") == [("MERGE", "pro.Totals"), ("READ", "pro.Accounts"), ("DELETE", "pro.Watch"), ("READ", "pro.Closures"), ("TRUNCATE", "pro.Scratch")]
-    got = operations("pro.Aging.Procedure")
-    assert ("UPDATE", "pro.Accounts") in got and ("INSERT", "#Late") in got and ("INSERT", "pro.Watch") in got and ("READ", "pro.Customers") in got and ("READ", "pro.Closures") in got
-    assert ("READ", "big") not in operations("rep.Open.View")
-
-
-def test_decisions_and_ladders():
-    assert sqlops.decision_rows("CASE WHEN a > 1 THEN CASE WHEN b = 1 THEN 'x' ELSE 'y' END END") == [("a > 1 AND b = 1", "'x'"), ("a > 1", "'y'"), ("ELSE", "NULL")]
-    got = [(r["condition"], r["outcome"]) for r in sqlops.ladder_rows(dict(OBJECTS)["risk.grade.Function"]) if r["field"] == "v_grade"]
-    assert got[0] == ("v_days > 90", "'C'") and got[-1] == ("NOT (v_days > 90) AND NOT (v_days > 30)", "'A'") and len(got) == 4
+    assert operations(1) == [("MERGE", "n1.Totals"), ("READ", "n1.Accounts"), ("DELETE", "n1.Watch"), ("READ", "n1.Closures"), ("READ", "n1.Extra"), ("TRUNCATE", "n1.Scratch")]
+    got = operations(0)
+    assert ("UPDATE", "n1.Accounts") in got and ("INSERT", "#Late") in got and ("INSERT", "n1.Watch") in got and ("READ", "n1.Customers") in got and ("READ", "n1.Closures") in got
+    assert ("READ", "big") not in operations(3)
+    found = lambda code: [(o["operation"], o["table_name"], [(a["column"], a["expression"]) for a in o["assignments"]]) for o in sqlops.operations(code)]
+    assert found("INSERT INTO t (a,b) SELECT x, (SELECT y FROM z) FROM w")[0] == ("INSERT", "t", [("a", "x"), ("b", "(SELECT y FROM z)")])
+    assert [x[1] for x in found("UPDATE a SET x = 1 WHERE y IN (SELECT q FROM t3, t4)")] == ["a", "t3", "t4"]
+    assert [x[1] for x in found('SELECT f(a, b), c FROM "Order Details" d, [dbo].[Other Table] o WHERE g(d.x, o.x) = 1')] == ["Order Details", "dbo.Other Table"]
+
+
+def test_decisions_have_no_caps():
+    assert sqlops.decision_rows("CASE WHEN a > 1 THEN CASE WHEN b = 1 THEN 'x' ELSE 'y' END END") == [("(a > 1) AND (b = 1)", "'x'"), ("a > 1", "'y'"), ("ELSE", "NULL")]
+    assert len(sqlops.decision_rows("CASE " + " ".join(f"WHEN a = {i} THEN {i}" for i in range(300)) + " END")) == 301
+    deep = "0"
+    for i in range(60):
+        deep = f"CASE WHEN a = {i} THEN {i} ELSE {deep} END"
+    assert len(sqlops.decision_rows(deep)) == 61
+    for i in range(400):
+        deep = f"CASE WHEN a = {i} THEN {i} ELSE {deep} END"
+    rows = sqlops.decision_rows(deep)
+    assert len(rows) > 100 and "CASE" in rows[-1][1]
+
+
+def chains(code):
+    return [(r["chain"], r["condition"], r["field"], r["outcome"]) for r in procedures.ladder_rows(code)]
+
+
+def test_ladders():
+    assert chains("IF @a = 1\n UPDATE t SET x = 1\nELSE\n UPDATE t SET x = 2\nUPDATE t SET y = 3") == [(0, "@a = 1", "x", "1"), (0, "ELSE", "x", "2")]
+    assert chains("IF @a = 1 BEGIN UPDATE t SET x = 1 END") == []
+    assert chains("IF @a = 1 BEGIN UPDATE t SET x = 1 END ELSE BEGIN UPDATE t SET y = 1 END") == []
+    assert chains("IF EXISTS (SELECT 1 FROM o WHERE e = @e)\nBEGIN\nSET @r = 0.1\nEND\nELSE\nBEGIN\nSET @r = 0.05\nEND")[0] == (0, "EXISTS (SELECT 1 FROM o WHERE e = @e)", "r", "0.1")
+    nested = chains("IF v > 90 THEN g := 'C'; ELSIF v > 30 THEN IF p = 1 THEN g := 'B1'; ELSE g := 'B2'; END IF; ELSE g := 'A'; END IF;")
+    assert nested == [(0, "v > 90", "g", "'C'"), (0, "ELSE", "g", "'A'"), (1, "p = 1", "g", "'B1'"), (1, "ELSE", "g", "'B2'")]
+    cased = chains("IF @a=1\nBEGIN\nUPDATE t SET x = CASE WHEN b > 1 THEN 2\n ELSE 3\nEND\nWHERE z = 1\nEND\nELSE UPDATE t SET x = 9")
+    assert cased == [(0, "@a=1", "x", procedures.NESTED_CASE), (0, "ELSE", "x", "9")]
+    inserted = chains("IF @e = 1\nBEGIN\nINSERT INTO q (a, b) VALUES (@x, DATEADD(DAY, 1, @p))\nEND\nELSE\nBEGIN\nINSERT INTO q (a, b) VALUES (@x, @p)\nEND")
+    assert (0, "@e = 1", "b", "DATEADD(DAY, 1, @p)") in inserted and len(inserted) == 4
+
+
+def test_parameters():
+    found = procedures.parameters_of("CREATE PROCEDURE p @a INT, @b AS VARCHAR(20) = 'x,y' OUTPUT, @c DECIMAL(18, 2) = 1.5 with recompile\nAS\nBEGIN RETURN END")
+    assert [tuple(p.values()) for p in found["parameters"]] == [("a", "IN", "INT", None), ("b", "OUT", "VARCHAR(20)", "'x,y'"), ("c", "IN", "DECIMAL(18,2)", "1.5")]
+    found = procedures.parameters_of("CREATE OR REPLACE PROCEDURE c (p_id IN NUMBER, p_s OUT VARCHAR2, p_x IN OUT DATE, p_y NUMBER := 3) IS BEGIN NULL; END;")
+    assert [p["direction"] for p in found["parameters"]] == ["IN", "OUT", "IN OUT", "IN"] and found["parameters"][3]["initial"] == "3"
+    assert procedures.parameters_of("CREATE PROCEDURE z AS SELECT (1)")["status"] == "parameterless" and procedures.parameters_of("CREATE PROCEDURE b @x AS\nBEGIN\nSELECT 1 END")["status"] == "failed"
+
+
+def test_gates_are_of_run_states_only():
+    assert procedures.gates_of("IF @Flag = 'Y'\n UPDATE t SET x = 1\nELSE\n UPDATE t SET x = 0") == []
+    guard = "IF (SELECT Done FROM dbo.JobControl WHERE Step='A')='N'\nBEGIN\nIF (SELECT Done FROM dbo.JobControl WHERE Step='B')='N'\nBEGIN RETURN END\nEND"
+    assert [(g["gate_type"], g["step"]) for g in procedures.gates_of(guard)] == [("abort_if_incomplete", "A")]
+
+
+def test_a_name_of_many_parentheses_and_long_alias_chains(spark):
+    one = spark.createDataFrame([("(" * 9 + "a = 1" + ")" * 9,)], "f string")
+    assert one.select(text.fragment(F.col("f"))).first()[0] == "a = 1"
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(30)], "name int, target int")
+    assert relate.alias_closure(pairs).count() == 30 * 31 // 2
 
 
 def test_spaces(spark):
