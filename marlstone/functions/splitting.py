@@ -138,23 +138,127 @@ def packed(pieces: Column, chars: int = 6000, decisions: int = 10) -> Column:
     return F.aggregate(pieces, empty, step)
 
 
+def _cut(paragraph: str, most: int, overlap: int) -> list[str]:
+    """Pieces of ``most`` characters, each starting ``overlap`` before the last ended."""
+    step = most - overlap if most > overlap else most
+    return [paragraph[at : at + most] for at in range(0, len(paragraph), step)]
+
+
 def overlapping_chunks(text: str, most: int = 800, overlap: int = 100) -> list[str]:
-    """Paragraphs packed up to ``most``, long ones cut, tails put in front."""
+    """Paragraphs packed up to ``most``, long ones cut on their own; each chunk
+    but the first has the end of the one before in front, on a line of its own."""
     chunks: list[str] = []
-    current = ""
-    for paragraph in (p.strip() for p in re.split(r"\n\s*\n", text)):
-        if not paragraph:
+    held: list[str] = []
+    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
+        if len("\n\n".join(held)) + len(paragraph) + 2 <= most:
+            held.append(paragraph)
             continue
-        if current and len(current) + 2 + len(paragraph) > most:
-            chunks.append(current)
-            current = ""
-        while len(paragraph) > most:
-            chunks.append(paragraph[:most])
-            paragraph = paragraph[most - overlap :]
-        current = f"{current}\n\n{paragraph}" if current else paragraph
-    if current:
-        chunks.append(current)
-    return [c if not k else chunks[k - 1][-overlap:] + c for k, c in enumerate(chunks)]
+        chunks += ["\n\n".join(held)] if held else []
+        held = [paragraph] if len(paragraph) <= most else []
+        chunks += [] if held else _cut(paragraph, most, overlap)
+    chunks += ["\n\n".join(held)] if held else []
+    if not overlap:
+        return chunks
+    return [c if not k else f"{chunks[k - 1][-overlap:]}\n{c}" for k, c in enumerate(chunks)]
+
+
+_POINTS = re.compile(r"(?i)\b(?:IF|ELSIF|ELSEIF|CASE|WHEN|WHILE|MERGE)\b")
+
+
+def points(code: str) -> int:
+    """Decision points of executable text."""
+    return len(_POINTS.findall(mask(code)))
+
+
+def by_decisions(text: str, most: int = 10, chars: int = 6000) -> list[str]:
+    """A text with too many decision points, cut between statements."""
+    if points(text) <= most:
+        return [text]
+    out: list[str] = []
+    held, n = "", 0
+    for a, b in statement_spans(text):
+        statement = text[a:b]
+        own = points(statement)
+        together = f"{held}\n\n{statement}" if held else statement
+        if held and (n + own > most or len(together) > chars):
+            out.append(held)
+            held, n = statement, own
+        else:
+            held, n = together, n + own
+    return [*out, held] if held else out
+
+
+def size_limited(text: str, most: int = 6000) -> list[str]:
+    """Pieces of at most ``most`` characters.
+
+    A text a quarter over that stays whole if it branches; else it is cut
+    between statements, what is still too long between lines, and at last
+    anywhere.
+    """
+    if len(text) <= most:
+        return [text]
+    hidden = mask(text).upper()
+    word = lambda w: re.search(rf"\b{w}\b", hidden)
+    if len(text) <= int(1.25 * most) and (word("IF") and word("ELSE") or word("CASE")):
+        return [text]
+    pieces = _filled((text[a:b] for a, b in statement_spans(text)), "\n", most, counted=0)
+    out: list[str] = []
+    for piece in pieces:
+        for part in _filled(piece.split("\n"), "\n", most, counted=1) if len(piece) > most else [piece]:
+            out += [part[at : at + most] for at in range(0, len(part), most)]
+    return out
+
+
+def _filled(parts, between: str, most: int, counted: int) -> list[str]:
+    """Parts joined while they fit; a separator counts or not."""
+    out: list[str] = []
+    held = None
+    for part in parts:
+        if held and len(held) + counted * len(between) + len(part) > most:
+            out.append(held)
+            held = part
+        else:
+            held = f"{held}{between}{part}" if held else part
+    return [*out, held] if held else out
+
+
+def pieces(text: Column, cut, *limits: int) -> Column:
+    """Pieces of a text by ``by_decisions`` or ``size_limited``."""
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else cut(t, *limits))
+
+    return run(text)
+
+
+def absorbed(sections: Column) -> Column:
+    """Sections without those that only administer a session.
+
+    Their text goes in front of the next real section, after the last one if
+    none follows; if all are such, they are one section.  ``sections``:
+    array<struct<kind,text>>, in order.
+    """
+    one = "struct<kind:string,text:string>"
+    empty = F.struct(F.array().cast(f"array<{one}>").alias("done"), F.lit("").alias("held"))
+    joined = lambda a, b: F.when(a == "", b).when(b == "", a).otherwise(F.concat(a, F.lit("\n\n"), b))
+    section = lambda kind, text: F.struct(kind.cast("string").alias("kind"), text.cast("string").alias("text"))
+
+    def step(s: Column, x: Column) -> Column:
+        kept = F.struct(F.concat(s["done"], F.array(section(x["kind"], joined(s["held"], x["text"])))).alias("done"), F.lit("").alias("held"))
+        return F.when(administrative(x["text"]), F.struct(s["done"].alias("done"), joined(s["held"], x["text"]).alias("held"))).otherwise(kept)
+
+    def finish(s: Column) -> Column:
+        last = F.get(s["done"], F.size(s["done"]) - 1)
+        with_last = F.concat(F.slice(s["done"], F.lit(1), F.size(s["done"]) - 1), F.array(section(last["kind"], joined(last["text"], s["held"]))))
+        return F.when(s["held"] == "", s["done"]).when(F.size(s["done"]) == 0, F.array(section(F.lit("declaration"), s["held"]))).otherwise(with_last)
+
+    return F.aggregate(sections, empty, step, finish)
+
+
+def administrative(text: Column) -> Column:
+    """Only USE, SET .. ON/OFF and GO, besides comments; and at least one."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"--.*$", ""))), lambda x: x != "")
+    return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"(?i)^(?:USE\s+[\w\[\]]+|SET\s+\w+\s+(?:ON|OFF)|GO)\s*;?$"))
 
 
 def chunked(text: Column, most: int = 800, overlap: int = 100) -> Column:
@@ -182,8 +286,13 @@ def inactive_blocks(objects: DataFrame, key: str, code: str) -> DataFrame:
 
 #: Line kinds of procedural code, first match wins.
 def section_kind(statement: Column) -> Column:
-    t = F.trim(statement)
+    t = F.regexp_replace(statement, r"^\s+", "")
     return (
         F.when(t.rlike(r"(?i)^(?:USE|SET\s+\w+\s+(?:ON|OFF)|GO)\b"), "administrative").when(t.rlike(r"(?i)^(?:CREATE|ALTER)\b"), "header").when(t.rlike(r"(?i)^DECLARE\s+\w+\s+CURSOR\b|^CURSOR\b|^(?:OPEN|FETCH|CLOSE)\b"), "cursor")
         .when(t.rlike(r"(?i)^DECLARE\b"), "declaration").when(t.rlike(r"(?i)^(?:EXCEPTION\b|BEGIN\s+CATCH\b)"), "exception").when(t.rlike(r"(?i)^(?:IF|ELSE|ELSIF|WHILE|BEGIN)\b"), "nested_block").otherwise("main_body")
     )
+
+
+def section_family(kind: Column) -> Column:
+    """Kinds that may share a chunk: a block is part of the body around it."""
+    return F.when(kind.isin("main_body", "nested_block"), "body").otherwise(kind)

@@ -11,18 +11,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordered_distinct(value: Column, order: Column, most: int | None = None) -> Column:
-    """Aggregate: distinct non-null values by first occurrence, at most ``most``."""
-    seen = F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))), lambda x: x["v"])
-    distinct = F.array_distinct(seen)
-    return distinct if most is None else F.slice(distinct, 1, most)
+def first_values(rows: DataFrame, keys: Sequence[str], value: str, order: str, most: int | None, out: str) -> DataFrame:
+    """Per key the distinct non-null values by first occurrence, at most ``most``.
+
+    Values are made distinct and ranked before any list is made, so that a list
+    has no more than ``most`` values (all distinct ones if None).
+    """
+    once = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("__at"))
+    if most is not None:
+        once = once.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("__at", value))).filter(F.col("__r") <= most)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__at", F.col(value).alias("v")))), lambda x: x["v"])
+    return once.groupBy(*keys).agg(listed.alias(out))
 
 
-def grouped_first_seen(rows: DataFrame, keys: dict[str, Column], order: str, shown: dict[str, str], lists: dict[str, tuple[Column, int | None]]) -> DataFrame:
+def grouped_first_seen(rows: DataFrame, keys: dict[str, Column], order: str, shown: dict[str, Column], lists: dict[str, tuple[Column, int | None]]) -> DataFrame:
     """One row a key: first spelling, capped distinct lists, count, first place."""
-    aggregates = [F.min_by(c, order).alias(name) for name, c in shown.items()]
-    aggregates += [ordered_distinct(c, F.col(order), most).alias(name) for name, (c, most) in lists.items()]
-    return rows.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*aggregates, F.count("*").alias("n"), F.min(order).alias("first_at"))
+    own = rows.select(*(c.alias(k) for k, c in keys.items()), F.col(order).alias("__order"), *(c.alias(f"__s_{name}") for name, c in shown.items()), *(c.alias(f"__v_{name}") for name, (c, _) in lists.items()))
+    firsts = [F.min_by(f"__s_{name}", "__order").alias(name) for name in shown]
+    out = own.groupBy(*keys).agg(*firsts, F.count("*").alias("n"), F.min("__order").alias("first_at"))
+    for name, (_, most) in lists.items():
+        listed = first_values(own, list(keys), f"__v_{name}", "__order", most, name)
+        same = [out[k].eqNullSafe(listed[k]) for k in keys]
+        empty = F.array().cast(listed.schema[name].dataType)
+        kept = [out[c] for c in out.columns]
+        out = out.join(listed, same, "left").select(*kept, F.coalesce(listed[name], empty).alias(name))
+    return out.select(*keys, *shown, *lists, "n", "first_at")
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
@@ -56,8 +69,8 @@ def merge_rules(rules: DataFrame, key: str, rank: Sequence[Column], order: str,
     """The best row of each key, with the other rows' fields; no key, no merge."""
     keyed = rules.filter(F.col(key).isNotNull())
     best = keep_first(keyed, [key], [*rank, F.col(order)])
-    fields = keyed.groupBy(key).agg(ordered_distinct(F.col(field), F.col(order)).alias("__all"))
-    merged = best.join(fields, key).withColumn("other_fields", F.array_except("__all", F.array(field))).drop("__all")
+    fields = first_values(keyed, [key], field, order, None, "__all")
+    merged = best.join(fields, key, "left").withColumn("other_fields", F.array_except(F.coalesce("__all", F.array().cast("array<string>")), F.array(field))).drop("__all")
     lone = rules.filter(F.col(key).isNull()).withColumn("other_fields", F.array().cast("array<string>"))
     return merged.unionByName(lone)
 

@@ -34,18 +34,12 @@ def overlap_join(left: DataFrame, right: DataFrame, key: Sequence[str], width: i
     return a.join(b, [*key, "__cell"], how).filter(half_open_overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) & first).drop("__cell")
 
 
-def first_match(pairs: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return pairs.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__r = 1").drop("__r")
-
-
-def tiered(pairs_by_tier: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
-    """Each key's pairs of its first tier that has any."""
-    union = None
-    for tier, pairs in enumerate(pairs_by_tier, 1):
-        ranked = pairs.withColumn("tier", F.lit(tier))
-        union = ranked if union is None else union.unionByName(ranked)
+def tiered(pairs: DataFrame, key: Sequence[str], tiers: Sequence[Column]) -> DataFrame:
+    """Each key's pairs of the first tier that any of its pairs is in."""
+    first = F.coalesce(*(F.when(test, F.lit(i)) for i, test in enumerate(tiers, 1)))
+    ranked = pairs.withColumn("tier", first).filter("tier is not null")
     best = F.min("tier").over(Window.partitionBy(*key))
-    return union.withColumn("__best", best).filter("tier = __best").drop("__best")
+    return ranked.withColumn("__best", best).filter("tier = __best").drop("__best")
 
 
 def dependencies(operations: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import classify, masking, procedures, splitting, sqlops
-from marlstone.operators import relate
+from marlstone.operators import dedup, measures, relate, report
 from marlstone.plans.common import Catalogue, Tables
 from marlstone.plans.fixtures import TEMPLATES, expected, objects
 
@@ -229,14 +229,82 @@ def e_reconciled(t: Tables) -> DataFrame:
     return relate.one_to_one(claims, facts, "object_id", [("MATCHED", ["table_name", "operation", "predicate"]), ("CONFLICT", ["table_name", "operation"]), ("CONFLICT", ["table_name"])]).select("object_id", "section", "claim", "fact", "status")
 
 
-@add(None)
+_PACKED = [
+    (0, 0, "header", 0), (0, 1, "body", 0), (0, 2, "administrative", 0), (0, 3, "declaration", 0), (0, 4, "body", 0), (0, 5, "body", 6), (0, 6, "body", 0), (1, 0, "header", 0), (1, 1, "body", 3), (1, 2, "exception", 0), (1, 3, "body", 0), (1, 4, "administrative", 0), (1, 5, "body", 0),
+    (2, 0, "header", 0), (2, 1, "body", 4), (2, 2, "body", 1), (2, 3, "exception", 1), (2, 4, "body", 0), (3, 0, "header", 0), (3, 1, "body", 0), (4, 0, "header", 0), (4, 1, "body", 3), (5, 0, "header", 0), (5, 1, "body", 3),
+]
+
+
+@add(expected("chunk family points", _PACKED))
 def t_pack_chunks(t: Tables) -> DataFrame:
-    """Neighbouring statements of a kind merged while both budgets allow."""
-    kinds = statements(t).select("object_id", "pos", F.struct(F.col("statement").alias("text"), splitting.section_kind(F.col("statement")).alias("family"), classify.decision_points(F.col("statement")).alias("points")).alias("p"))
+    """Neighbouring statements of a family merged while both budgets allow."""
+    family = splitting.section_family(splitting.section_kind(F.col("statement")))
+    kinds = statements(t).select("object_id", "pos", F.struct(F.col("statement").alias("text"), family.alias("family"), classify.decision_points(F.col("statement")).alias("points")).alias("p"))
     ordered = kinds.groupBy("object_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]).alias("pieces"))
-    return ordered.select("object_id", F.posexplode(splitting.packed(F.col("pieces"), 600, 10)).alias("chunk", "c")).select("object_id", "chunk", "c.*")
+    return ordered.select("object_id", F.posexplode(splitting.packed(F.col("pieces"), 10000, 4)).alias("chunk", "c")).select("object_id", "chunk", "c.family", "c.points")
 
 
-@add(None)
+@add(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+s AS (SELECT doc_id, list_reduce(list_prepend({'done': CAST([] AS VARCHAR[]), 'held': ''}, list_transform(ps, lambda x: {'done': CAST([] AS VARCHAR[]), 'held': x})), lambda a, x: CASE WHEN length(a.held) + length(x.held) + 2 <= 800
+THEN {'done': a.done, 'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || chr(10) || chr(10) || x.held END}
+ELSE {'done': list_concat(a.done, CASE WHEN a.held = '' THEN CAST([] AS VARCHAR[]) ELSE [a.held] END, CASE WHEN length(x.held) <= 800 THEN CAST([] AS VARCHAR[]) ELSE list_transform(range(0, length(x.held), 700), lambda i: substr(x.held, i + 1, 800)) END), 'held': CASE WHEN length(x.held) <= 800 THEN x.held ELSE '' END} END) AS r FROM p),
+c AS (SELECT doc_id, CASE WHEN r.held = '' THEN r.done ELSE list_append(r.done, r.held) END AS chunks FROM s)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, CASE WHEN i = 1 THEN chunks[1] ELSE right(chunks[i - 1], 100) || chr(10) || chunks[i] END AS text FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM c)""")
 def t_overlap_chunks(t: Tables) -> DataFrame:
+    """Paragraphs packed to 800 characters, the last 100 in front of the next chunk."""
     return t.documents.select("doc_id", F.posexplode(splitting.chunked(F.col("text"))).alias("chunk", "text"))
+
+
+@add("""SELECT o_orderkey, CASE WHEN n <= 3 THEN 1 ELSE CAST(ceil(n / 3.0) AS INTEGER) END AS n_pieces, CASE WHEN n <= 3 THEN [19 * n] ELSE list_concat(list_transform(range(0, n // 3), lambda i: 59), CASE n % 3 WHEN 0 THEN [] WHEN 1 THEN [19] ELSE [39] END) END AS sizes, CAST(greatest(1, ceil(n / 2.0)) AS INTEGER) AS n_dense
+FROM (SELECT o_orderkey, CAST(o_orderkey % 11 AS INTEGER) AS n FROM orders)""")
+def t_size_limits(t: Tables) -> DataFrame:
+    """Code cut between statements, by size and by decision points."""
+    n = (F.col("o_orderkey") % 11).cast("int")
+    plain, dense = F.repeat(F.lit("UPDATE t SET a = 1\n"), n), F.repeat(F.lit("UPDATE t SET a = CASE WHEN b = 1 THEN 2 END\n"), n)
+    cut = t.orders.select("o_orderkey", splitting.pieces(plain, splitting.size_limited, 60).alias("p"), splitting.pieces(dense, splitting.by_decisions, 4).alias("d"))
+    return cut.select("o_orderkey", F.size("p").alias("n_pieces"), F.transform("p", F.length).alias("sizes"), F.size("d").alias("n_dense"))
+
+
+_FOLDED = [("AAA", ["declaration:USE x|SET NOCOUNT ON|GO"]), ("RAA", ["k0:one|SET NOCOUNT ON|GO"]), ("ARA", ["k1:USE x|two|GO"]), ("RRA", ["k0:one", "k1:two|GO"]), ("AAR", ["k2:USE x|SET NOCOUNT ON|three"]), ("RAR", ["k0:one", "k2:SET NOCOUNT ON|three"]), ("ARR", ["k1:USE x|two", "k2:three"]), ("RRR", ["k0:one", "k1:two", "k2:three"])]
+
+
+@add(f"""SELECT o_orderkey, folded FROM orders JOIN (VALUES {', '.join(f"({i}, {x[1]})" for i, x in enumerate(_FOLDED))}) v(i, folded) ON o_orderkey % 8 = i""")
+def t_absorbed(t: Tables) -> DataFrame:
+    """Sections that only administer a session join their neighbours."""
+    key = F.col("o_orderkey") % 8
+    section = lambda i, admin, real: F.struct(F.lit(f"k{i}").alias("kind"), F.when(F.shiftright(key, i) % 2 == 1, real).otherwise(admin).alias("text"))
+    made = F.array(section(0, "USE x", "one"), section(1, "SET NOCOUNT ON", "two"), section(2, "GO", "three"))
+    return t.orders.select("o_orderkey", F.transform(splitting.absorbed(made), lambda s: F.concat(s["kind"], F.lit(":"), F.replace(s["text"], F.lit("\n\n"), F.lit("|")))).alias("folded"))
+
+
+@add("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 3 <> 2 AS simple, l_partkey % 3 = 0 AND l_suppkey % 2 = 0 AS unreachable, l_linenumber % 2 = 0 AND l_partkey % 5 <> 0 AS same FROM lineitem""")
+def c_scalars(t: Tables) -> DataFrame:
+    """Simple values, branches that a filter rules out, equal scalars."""
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    value = F.when(s % 3 == 0, "'text here'").when(s % 3 == 1, "-12.5").otherwise("a + b")
+    branch = F.when(p % 3 == 0, "Due IS NULL").when(p % 3 == 1, "Due = 1").otherwise("due is null and x = 1")
+    eligible = F.array(F.lit("Amount > 0"), F.when(s % 2 == 0, "due IS NOT NULL").otherwise("other IS NOT NULL"))
+    a, b = F.when(p % 5 == 0, " ").otherwise(" Some  Text "), F.when(n % 2 == 0, "some text").otherwise("other")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", classify.simple_scalar(value).alias("simple"), classify.unreachable(branch, eligible).alias("unreachable"), measures.same_scalar(a, b).alias("same"))
+
+
+@add("""WITH c AS (SELECT o_orderkey AS pos, o_custkey % 300 AS signature, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 2 END AS start FROM orders),
+k AS (SELECT signature, start, min(pos) AS pos FROM c WHERE start IS NOT NULL GROUP BY 1, 2), u AS (SELECT signature, min(pos) AS pos FROM c WHERE start IS NULL GROUP BY 1),
+f AS (SELECT signature, min(pos) AS pos FROM k GROUP BY 1)
+SELECT signature, start, pos FROM k WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.signature = k.signature AND u.pos < (SELECT f.pos FROM f WHERE f.signature = k.signature) AND k.pos = (SELECT f.pos FROM f WHERE f.signature = k.signature))
+UNION ALL SELECT signature, NULL, pos FROM u WHERE pos < coalesce((SELECT f.pos FROM f WHERE f.signature = u.signature), 9e18)""")
+def a_chains_without_repeats(t: Tables) -> DataFrame:
+    """Equal chains are one, unless both have known, other starts."""
+    key = F.col("o_orderkey")
+    chains = t.orders.select(key.alias("pos"), (F.col("o_custkey") % 300).alias("signature"), F.when(key % 3 != 0, key % 2).alias("start"))
+    return dedup.chains_without_repeats(chains).select("signature", "start", "pos")
+
+
+@add("""WITH c AS (SELECT o_orderkey AS pos, o_custkey % 200 AS g, CASE o_orderkey % 3 WHEN 0 THEN '' ELSE 't' || (o_orderkey % 3) END AS tab FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pos) AS n, first_value(tab) OVER (PARTITION BY g ORDER BY pos) AS head, row_number() OVER (PARTITION BY g, tab ORDER BY pos) AS m FROM c)
+SELECT pos FROM r WHERE n = 1 OR (head <> '' AND tab <> '' AND m = 1)""")
+def a_contained_calculations(t: Tables) -> DataFrame:
+    """Calculations once per table; a blank table is any table."""
+    key = F.col("o_orderkey")
+    rows = t.orders.select(key.alias("pos"), (F.col("o_custkey") % 200).alias("object_id"), F.lit("a + b").alias("expression"), F.lit("f").alias("field"), F.when(key % 3 == 0, " ").otherwise(F.concat(F.lit("t"), key % 3)).alias("table_name"))
+    return report.contained_calculations(rows).select("pos")

@@ -36,9 +36,8 @@ SELECT id, tier, count(*) AS n, min(hit) AS first_hit FROM e WHERE tier = (SELEC
 def j_tiered_fallback(t: Tables) -> DataFrame:
     """Pairs of the first kind of match that an order has."""
     lines = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("hit"), "l_returnflag", "l_linestatus", "l_quantity")
-    orders = t.orders.select(F.col("o_orderkey").alias("id"))
-    tiers = [lines.filter(w) for w in ("l_returnflag = 'R' and l_quantity > 45", "l_linestatus = 'O' and l_quantity > 30", "true")]
-    found = relate.tiered([orders.join(x.select("id", "hit"), "id") for x in tiers], ["id"])
+    pairs = t.orders.select(F.col("o_orderkey").alias("id")).join(lines, "id")
+    found = relate.tiered(pairs, ["id"], [F.expr("l_returnflag = 'R' and l_quantity > 45"), F.expr("l_linestatus = 'O' and l_quantity > 30"), F.lit(True)])
     return found.groupBy("id", "tier").agg(F.count("*").alias("n"), F.min("hit").alias("first_hit"))
 
 

@@ -127,13 +127,15 @@ def v_idf_overlap(t: Tables) -> DataFrame:
     """How much of an item's weighted words one document has."""
     exploded = lambda d, key, name: d.select(F.col(key).alias(name), F.explode(text.content_tokens(F.col("text"))).alias("token"))
     source = exploded(t.benchmark, "item_id", "source_id")
-    return vectors.weighted_overlap(source, exploded(t.documents, "doc_id", "target_id"), vectors.idf(source, "source_id", "token"))
+    return vectors.weighted_overlap(source, t.documents.select(text.content_tokens(F.col("text")).alias("tokens")), vectors.idf(source, "source_id", "token"))
 
 
 @add("""WITH w AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,}')) AS words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
 SELECT a.doc_id, round(CAST(len(list_intersect(a.words, b.words)) AS DOUBLE) / nullif(least(len(a.words), len(b.words)), 0), 6) AS overlap FROM w a JOIN w b ON a.source = b.source AND b.r = a.r + 1""")
 def v_overlap_coefficient(t: Tables) -> DataFrame:
     """Words shared with the source's next document."""
-    words = t.documents.select("doc_id", "source", text.content_tokens(F.col("text")).alias("words"))
-    ahead = words.withColumn("next", F.lead("words").over(Window.partitionBy("source").orderBy("doc_id"))).filter("next is not null")
-    return ahead.select("doc_id", F.round(text.overlap_coefficient(F.col("words"), F.col("next")).cast("double"), 6).alias("overlap"))
+    ids = t.documents.select("doc_id", "source")
+    ahead = ids.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))).filter("next_id is not null").select("doc_id", "next_id")
+    words = t.documents.select("doc_id", text.content_tokens(F.col("text")).alias("words"))
+    both = ahead.join(words, "doc_id").join(words.toDF("next_id", "next"), "next_id")
+    return both.select("doc_id", F.round(text.overlap_coefficient(F.col("words"), F.col("next")).cast("double"), 6).alias("overlap"))

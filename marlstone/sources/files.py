@@ -25,7 +25,7 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def read_objects(spark: SparkSession, path: str, glob: str = "*.sql") -> DataFrame:
+def read_objects(spark: SparkSession, path: str | list[str], glob: str = "*.sql") -> DataFrame:
     """path, object_id (the name without its ending) and code of each file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 

@@ -34,9 +34,43 @@ def write_reports(made: DataFrame, key: str, path: str) -> None:
 
 
 def manifest(items: DataFrame, started: str, ended: str) -> DataFrame:
-    """One row: counts and the items in order of their place."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*items.columns).alias("item")))), lambda x: x["item"])
-    return items.agg(F.lit(started).alias("started"), F.lit(ended).alias("ended"), F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"), listed.alias("items"))
+    """JSON lines of a batch: a header with its counts, then its items.
+
+    ``pos`` is the place of each, the header's null; one item a row, however
+    large the batch.
+    """
+    head = items.agg(F.lit(started).alias("started"), F.lit(ended).alias("ended"), F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"))
+    place = items.schema["pos"].dataType
+    header = head.select(F.lit(None).cast(place).alias("pos"), F.to_json(F.struct(*head.columns)).alias("line"))
+    return header.unionByName(items.select("pos", F.to_json(F.struct(*items.columns)).alias("line")))
+
+
+def write_manifest(lines: DataFrame, path: str) -> None:
+    """The lines in order: range partitions of text files, the header first."""
+    lines.orderBy(F.asc_nulls_first("pos")).select("line").write.mode("overwrite").text(path)
+
+
+def verification(objects: DataFrame, key: str, facts: dict[str, Column], checks: dict[str, Column], findings: Column) -> DataFrame:
+    """``key`` and ``markdown``: figures, checks passed or not, findings."""
+    rows = lambda named: F.array(*(F.struct(F.lit(k).alias("name"), v.cast("string").alias("value")) for k, v in named.items()))
+    passed = {k: F.when(v, "passed").otherwise("failed") for k, v in checks.items()}
+    listed = F.array_join(F.transform(findings, lambda f: F.concat(F.lit("- "), f)), "\n")
+    columns = {"name": "Item", "value": "Value"}
+    return reports(objects, key, F.concat(F.lit("Verification of "), F.col(key).cast("string")), {"Figures": table(rows(facts), columns), "Checks": table(rows(passed), columns), "Findings": listed})
+
+
+def add_vectors(chunks: DataFrame, path: str) -> None:
+    """Adds chunks (id, source, text, embedding) to a store of Parquet files.
+
+    A batch is a file set of its own; an id that is added again is taken from
+    the latest batch by ``stored_vectors``.
+    """
+    chunks.select("id", "source", "text", "embedding", F.current_timestamp().alias("added_at")).write.mode("append").parquet(path)
+
+
+def stored_vectors(store: DataFrame) -> DataFrame:
+    latest = store.groupBy("id").agg(F.max_by(F.struct("source", "text", "embedding"), "added_at").alias("x"))
+    return latest.select("id", "x.*")
 
 
 def index(items: DataFrame, edges: DataFrame) -> DataFrame:

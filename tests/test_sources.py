@@ -1,6 +1,7 @@
 """Files in and out, claims, streams."""
 
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def test_knowledge_and_manifest(spark, tmp_path):
     (tmp_path / "k" / "one.md").write_text("a" * 500 + "\n\n" + "b" * 500)
     (tmp_path / "k" / "two.txt").write_text("short")
     got = {r["id"]: r["text"] for r in files.read_knowledge(spark, str(tmp_path / "k")).collect()}
-    assert got["two_0"] == "short" and got["one_1"] == "a" * 100 + "b" * 500
+    assert got["two_0"] == "short" and got["one_1"] == "a" * 100 + "\n" + "b" * 500
     (tmp_path / "m.json").write_text('{"cases": [{"id": "x"}, {"id": "y"}]}')
     assert sorted(r["id"] for r in files.read_manifest(spark, str(tmp_path / "m.json")).collect()) == ["x", "y"]
     assert spark.range(1).select(files.rendered("n is {n}, {m}.", n=F.col("id"), m=F.lit(None))).first()[0] == "n is 0, ."
@@ -38,12 +39,34 @@ def test_reports(spark, tmp_path):
     assert {r["object_id"] for r in spark.read.text(str(tmp_path / "out")).collect()} == {"a", "b"}
     assert zipfile.ZipFile(io.BytesIO(sinks.archive(made, "object_id"))).namelist() == ["a.md", "b.md"]
     items = spark.createDataFrame([(1, "a", "ok"), (2, "b", "ok"), (3, "c", "error")], "pos int, object_id string, status string")
-    one = sinks.manifest(items, "s", "e").first()
-    assert (one["total"], one["ok"], one["failed"], [i["object_id"] for i in one["items"]]) == (3, 2, 1, ["a", "b", "c"])
+    sinks.write_manifest(sinks.manifest(items, "s", "e"), str(tmp_path / "manifest"))
+    head, *rest = [json.loads(line) for f in sorted((tmp_path / "manifest").glob("part-*")) for line in f.read_text().splitlines()]
+    assert (head["total"], head["ok"], head["failed"], [i["object_id"] for i in rest]) == (3, 2, 1, ["a", "b", "c"])
+    checked = sinks.verification(items, "object_id", {"rows": F.lit(3)}, {"status is ok": F.col("status") == "ok"}, F.array(F.lit("one"), F.lit("two"))).collect()
+    assert "| status is ok | failed |" in checked[2]["markdown"] and "- one\n- two" in checked[0]["markdown"]
     edges = spark.createDataFrame([("b", "a")], "caller string, callee string")
     assert [r["object_id"] for r in sinks.index(items, edges).collect()] == ["b", "a", "c"]
 
 
+def test_vector_store(spark, tmp_path):
+    chunk = lambda text: spark.createDataFrame([("a", "s", text, [1.0])], "id string, source string, text string, embedding array<double>")
+    sinks.add_vectors(chunk("old"), str(tmp_path / "v"))
+    sinks.add_vectors(chunk("new"), str(tmp_path / "v"))
+    assert [tuple(r)[:3] for r in sinks.stored_vectors(spark.read.parquet(str(tmp_path / "v"))).collect()] == [("a", "s", "new")]
+
+
+def test_command_line(spark, tmp_path):
+    from marlstone.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.sql").write_text("CREATE PROCEDURE dbo.p @a INT\nAS\nIF @a = 1\n UPDATE t SET x = 1\nELSE\n UPDATE t SET x = 2")
+    main(["extract", str(tmp_path / "in"), "--out", str(tmp_path / "out")], spark)
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name)).collect()
+    assert [r["name"] for r in read("objects")] == ["p"] and len(read("ladders")) == 2 and {r["operation"] for r in read("operations")} == {"UPDATE", "READ"} and read("parameters")[0]["name"] == "a"
+    main(["query", "s_dpd_bucket_summary", "/root/testdata/sf0.001", "--out", str(tmp_path / "q")], spark)
+    assert spark.read.parquet(str(tmp_path / "q")).count() > 0
+
+
 def test_claims(spark):
     cut = '{"rules": [{"a": 1}, {"a": {"b": 2}}, {"a": '
     assert claims.salvage(cut, "rules") == [{"a": 1}, {"a": {"b": 2}}] and claims.salvage("no", "rules") == []
