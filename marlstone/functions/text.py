@@ -132,15 +132,16 @@ def shortened(text: Column, most: int) -> Column:
 
 
 def degenerate(text: Column, run: int = 20, share: float = 0.25) -> Column:
-    """A repeated run of at least 20 characters and a quarter of the text."""
-    found = F.regexp_extract(text, r"(?s)(.{1,40}?)\1{3,}", 0)
+    """Six or more repeats: 20 characters and a quarter of the text at least."""
+    found = F.regexp_extract(text, r"(.{2,24}?)\1{5,}", 0)
     return (F.length(found) >= run) & (F.length(found) >= share * F.length(text))
 
 
-def truncated(text: Column, least: int = 20) -> Column:
-    """An odd number of quotes, or short of a closing mark."""
-    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
-    return (F.pmod(quotes, F.lit(2)) == 1) | ((F.length(F.trim(text)) >= least) & ~F.rtrim(text).rlike(r"[.!?:;)\]}\"'%0-9]$"))
+def truncated(text: Column, most: int = 40) -> Column:
+    """An odd number of quotes, or a short phrase without an end."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    odd = lambda q: F.pmod(F.length(bare) - F.length(F.replace(bare, F.lit(q), F.lit(""))), F.lit(2)) == 1
+    return (bare != "") & (odd("'") | odd('"') | ((F.length(bare) <= most) & ~bare.rlike(r"[.!?)\]}'\"]$") & bare.contains(" ")))
 
 
 def jargon(text: Column, terms: Sequence[str]) -> Column:

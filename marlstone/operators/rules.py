@@ -53,30 +53,75 @@ def backfilled(rules: DataFrame, chains: DataFrame) -> DataFrame:
     return joined.withColumn("outcome", F.coalesce(F.nullif(F.trim("outcome"), F.lit("")), "known")).select(*rules.columns)
 
 
+def _said(*names: str) -> Column:
+    return F.concat_ws(" ", *(F.coalesce(F.col(n), F.lit("")) for n in names))
+
+
 def without_tautologies(rules: DataFrame) -> DataFrame:
-    """Not the rules of a single row that only tests for null."""
-    n = F.count("*").over(Window.partitionBy("object_id", "rule_id"))
-    tested = normal(F.col("condition")).rlike(r"^[\w.]+ is (?:not )?null$")
-    return rules.withColumn("__n", n).filter(~((F.col("__n") == 1) & tested)).drop("__n")
+    """Not the rules whose one row tests a field for null and then writes it.
+
+    All filters read object_id, rule_id, title, action, meaning, condition,
+    evidence (texts), fields (array), rows (array of condition and outcome) and
+    eligible (boolean).
+    """
+    only = F.get("rows", F.lit(0))
+    condition, outcome = F.trim(F.coalesce(only["condition"], F.lit(""))), F.trim(F.coalesce(only["outcome"], F.lit("")))
+    test = condition.rlike(r"(?i)^(?:not\s+)?[\w #@\[\]$.,]+?\s+(?:is|are)(?:\s+not)?\s+null$")
+    content = outcome.rlike(r"(?i)['\"]|\bcase\b|\bwhen\b|[+\-*/]")
+    tested = F.transform(F.filter(F.split(condition, r"[,\s]+"), lambda x: ~F.upper(x).isin("IS", "ARE", "NOT", "NULL", "")), bare_field)
+    writes = outcome.rlike(r"(?i)^(?:update|insert|merge)\b") | F.array_contains(tested, bare_field(outcome))
+    gone = (F.size("rows") == 1) & (condition != "") & (outcome != "") & test & ~content & writes
+    return rules.filter(~F.coalesce(gone, F.lit(False)))
+
 
+#: Columns of process states and what tells of them.
+STATE_FIELDS = ("COMPLETED", "ERRORDATE", "ERRORDESCRIPTION", "COUNT", "RUNNINGPROCESSNAME")
+STATE_WORDS = r"PROCESS STATUS|RUNNING PROCESS|ERROR DESCRIPTION|COMPLETION|COMPLETED"
 
-def without_bookkeeping(rules: DataFrame, status_tables: DataFrame) -> DataFrame:
-    """Not the rules about process status: by field, by title, by table."""
-    field = bare_field(F.col("field")).rlike(r"^(?:status|run_?status|is_?completed|error_?(?:message|date|desc\w*)|start_?time|end_?time|count)$")
-    title = normal(F.col("title")).rlike(r"\b(?:process|job|run|batch) (?:status|log|audit)\b")
-    marked = rules.filter(~(field & title))
-    names = status_tables.select(F.lower(F.trim("table_name")).alias("__t")).distinct()
-    return marked.withColumn("__t", F.lower(F.regexp_extract("title", r"(?i)update of (\S+)", 1))).join(names, "__t", "left_anti").select(*rules.columns)
 
+def without_bookkeeping(rules: DataFrame, tables: DataFrame) -> DataFrame:
+    """Not the rules about process states, in objects that write such tables.
 
-def without_cleanup(rules: DataFrame) -> DataFrame:
-    return rules.filter(~normal(F.concat_ws(" ", "title", "outcome")).rlike(r"\b(?:create|drop|truncate|clean(?:up)?)\b.*(?:#|\btemp(?:orary)? table)"))
+    ``tables``: object_id, table_name of all operations.
+    """
+    states = tables.filter(F.lower("table_name").contains("runningprocessstatus"))
+    bare = F.upper(F.replace(F.element_at(F.split(F.trim("table_name"), r"\."), -1), F.lit("#"), F.lit("")))
+    names = states.groupBy("object_id").agg(F.collect_set(bare).alias("__names"))
+    text = F.upper(F.concat_ws(" ", _said("title", "action", "meaning", "condition", "evidence"), F.array_join("fields", " "), F.to_json("rows")))
+    own = F.transform(F.coalesce("fields", F.array().cast("array<string>")), lambda f: F.upper(F.element_at(F.split(F.trim(f), r"\."), -1)))
+    about = F.exists("__names", lambda n: F.contains(text, n)) | text.contains("RUNNINGPROCESSNAME")
+    marked = text.rlike(STATE_WORDS) & ((F.size(own) == 0) | F.arrays_overlap(own, F.array(*map(F.lit, STATE_FIELDS))))
+    return rules.join(names, "object_id", "left").filter(F.col("__names").isNull() | ~(about | marked)).select(*rules.columns)
+
+
+def without_cleanup(rules: DataFrame, operations: DataFrame) -> DataFrame:
+    """Not the rules that make or drop a working table and decide nothing.
+
+    ``operations``: object_id, table_name, operation.
+    """
+    made = operations.filter(F.upper("operation").isin("DROP", "CREATE") & F.col("table_name").rlike("(?i)^#|TEMP|TMP")).select("object_id").distinct().withColumn("__working", F.lit(True))
+    ddl = r"(?is)\b(?:DROP|CREATE)\s+TABLE\b.*(?:#|TEMP|TMP)"
+    condition = F.trim(F.coalesce("condition", F.lit("")))
+    guard = condition.rlike(r"(?i)\b(?:if\s+)?(?:object_id\s*\([^)]*\)|table\s+\S+|\S+\s+exists)(?:\s+is\s+not\s+null|\s+exists)?\b")
+    decides = (F.size(F.array_distinct("rows")) >= 2) | ((condition != "") & ~guard & ~condition.rlike(r"(?i)\b(?:DROP|CREATE)\s+TABLE\b"))
+    proof = F.coalesce("__working", F.lit(False)) | F.coalesce(F.col("evidence").rlike(ddl), F.lit(False)) | _said("condition", "action", "title").rlike(ddl) | guard
+    told = F.lower(F.concat_ws(" ", _said("title", "action", "meaning", "condition", "evidence"), F.to_json("rows"))).rlike(r"drop|create|temporary|temp table|cleanup")
+    fields = F.exists(F.coalesce("fields", F.array().cast("array<string>")), lambda f: F.trim(f) != "")
+    plain = _said("title", "action").rlike(r"(?i)\b(?:create|drop)\b.*(?:#\w+|temp(?:orary)?\s+table)") & ~decides
+    return rules.join(made, "object_id", "left").filter(~((proof & told & ~fields & ~decides) | plain)).select(*rules.columns)
 
 
 def without_operations_only(rules: DataFrame) -> DataFrame:
-    """Not rules that only say that something is read, or a bare CRUD verb."""
-    title, plain = normal(F.col("title")), F.trim(F.coalesce("condition", F.lit(""))) == ""
-    return rules.filter(~(title.rlike(r"^(?:read|select|fetch|load)\b") | (plain & title.rlike(r"^(?:insert|update|delete|merge)(?:s|d)?\b(?: (?:of|into|from|to))? \S+$"))))
+    """Not rules that only read, or that only say that something is written."""
+    title, action = F.lower(F.trim(F.coalesce("title", F.lit("")))), F.lower(F.coalesce("action", F.lit("")))
+    n = F.coalesce(F.size("rows"), F.lit(0))
+    cited = F.upper(_said("evidence", "condition"))
+    mechanical = action.contains("source-defined value") | title.contains("source-defined value") | (title.rlike("^(?:update|insert|write) ") & ~F.coalesce("eligible", F.lit(False)))
+    writes = cited.rlike(r"\b(?:UPDATE|INSERT|DELETE|MERGE)\b")
+    reads = cited.rlike(r"\bSELECT\b")
+    told = F.lower(_said("title", "action", "meaning")).rlike(r"\b(?:read|retrieve|select|fetch|look\s*up|return)\b")
+    by_title = title.rlike(r"^(?:read|retrieve|fetch|look\s*up|select)\b") & (n <= 1)
+    return rules.filter(~(by_title | ((n == 0) & (((writes | reads) & mechanical) | (reads & ~writes & told)))))
 
 
 def grounded(rules: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -73,16 +73,28 @@ def r_names_in_source(t: Tables) -> DataFrame:
     return rules.names_in_source(claim, "name", "source").select("p_partkey", "grounded")
 
 
-@add(None)
+#: title, fields, condition, rows, evidence, eligible, and whether a filter takes it ("state": in objects with such a table)
+_CASES = [
+    ("Amount rule", ["Amount"], "", [("Amount is not null", "Update Amount")], "", False, True), ("Fields", ["b"], "", [("a, A.b are not null", "[B]")], "", False, True), ("Grade", ["g"], "", [("x is not null", "'A'")], "", False, False), ("Ladder", ["g"], "", [("x is null", "g"), ("ELSE", "h")], "", False, False),
+    ("Update process status", ["Completed"], "", [("x = 1", "'Y'")], "", False, "state"), ("Customer completion bonus", ["Bonus"], "", [("x = 1", "'Y'")], "", False, False), ("Create #Staging table", [], "", [], "", False, True), ("Drop temporary table", [], "", [("x", "1"), ("y", "2")], "", False, False),
+    ("Read balances", ["b"], "x = 1", [("x = 1", "1")], "", False, True), ("Update balance", ["b"], "", [], "UPDATE t", False, True), ("Update balance", ["b"], "", [], "UPDATE t", True, False), ("Balance look up", ["b"], "", [], "SELECT x FROM y", False, True),
+]
+
+
+@add(f"""SELECT o_orderkey AS rule_id FROM orders WHERE o_orderkey % {len(_CASES)} IN ({', '.join(str(i) for i, x in enumerate(_CASES) if x[-1] is False)}) OR (o_orderkey % {len(_CASES)} = 4 AND o_custkey % 2 = 1)""")
 def r_filters(t: Tables) -> DataFrame:
-    """The chain of filters, each with its own sign."""
-    rows = [
-        (1, "a", 1, "Read accounts", "x", 0, "", ""), (1, "b", 2, "Update of pro.RunStatus", "status", 0, "id = 1", "1"), (1, "c", 3, "Null test", "x", 0, "A.x IS NULL", "1"),
-        (1, "d", 4, "Grade", "grade", 0, "days > 90", "C"), (1, "d", 4, "Grade", "grade", 1, "ELSE", "A"), (1, "e", 5, "Drop work data", "x", 0, "done = 1", "drop temp table"), (1, "f", 6, "Process status set", "Status", 0, "x = 1", "Y"),
-    ]
-    frame = t.spark.createDataFrame(rows, "object_id int, rule_id string, pos int, title string, field string, row int, condition string, outcome string")
-    status = t.spark.createDataFrame([("pro.runstatus",)], "table_name string")
-    return rules.without_operations_only(rules.without_cleanup(rules.without_bookkeeping(rules.without_tautologies(frame), status)))
+    """The chain of filters: tautologies, bookkeeping, cleanup, bare operations."""
+    case = F.col("o_orderkey") % len(_CASES)
+    texts = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    pairs = lambda xs: F.array(*(F.struct(F.lit(c).alias("condition"), F.lit(o).alias("outcome")) for c, o in xs)) if xs else F.array().cast("array<struct<condition:string,outcome:string>>")
+    of = lambda i, make: F.coalesce(*(F.when(case == n, make(x[i])) for n, x in enumerate(_CASES)))
+    told = t.orders.select(
+        F.col("o_custkey").alias("object_id"), F.col("o_orderkey").alias("rule_id"), of(0, F.lit).alias("title"), F.lit("").alias("action"), F.lit(None).cast("string").alias("meaning"), of(1, texts).alias("fields"), of(2, F.lit).alias("condition"), of(3, pairs).alias("rows"), of(4, F.lit).alias("evidence"), of(5, F.lit).alias("eligible"),
+    )
+    c = F.col("c_custkey")
+    tables = t.customer.select(c.alias("object_id"), F.when(c % 2 == 0, "PRO.RunningProcessStatus").otherwise("PRO.Accounts").alias("table_name"), F.lit("UPDATE").alias("operation"))
+    kept = rules.without_cleanup(rules.without_bookkeeping(rules.without_tautologies(told), tables), tables)
+    return rules.without_operations_only(kept).select("rule_id")
 
 
 @add("""WITH RECURSIVE s AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{2,3}')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),

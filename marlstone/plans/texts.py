@@ -59,18 +59,22 @@ def t_jargon(t: Tables) -> DataFrame:
     return j.select("doc_id", F.array_contains("j", "the").alias("has_the"), F.size("j").alias("n"))
 
 
-@add(None)
+@add("""SELECT c_custkey, c_custkey % 6 IN (0, 3) AS degenerate, c_custkey % 6 IN (2, 4) AS truncated FROM customer""")
 def t_degenerate(t: Tables) -> DataFrame:
-    """Repeated runs need a back-reference, which SQL engines lack."""
-    doubled = F.when(F.col("doc_id") % 10 == 0, F.repeat(F.lit("abc "), 30)).otherwise(F.col("text"))
-    return t.documents.select("doc_id", text.degenerate(doubled).alias("degenerate"), text.truncated(doubled).alias("truncated"))
+    """Repeated runs of a quarter of the text, and texts cut short."""
+    c = F.col("c_custkey")
+    texts = [F.repeat(F.lit("abc "), 30), F.concat(F.lit("A whole sentence, number "), c, F.lit(".")), F.concat(F.lit("cut off after "), c), F.concat(F.repeat(F.lit("=-"), 15), F.lit(" some other words.")), F.lit('an "open quote.'), F.concat(F.repeat(F.lit("ab"), 9), F.lit(" and a text that is long enough to hide the run in it, with an end."))]
+    made = F.coalesce(*(F.when(c % 6 == i, x) for i, x in enumerate(texts)))
+    return t.customer.select("c_custkey", text.degenerate(made).alias("degenerate"), text.truncated(made).alias("truncated"))
 
 
-@add(None)
+@add("""SELECT c_custkey, 'SELECT ' || repeat(' ', 7) || ' ' || repeat(' ', 17) || ', ' || c_custkey || ' ' || repeat(' ', 7 + length(CAST(c_custkey AS VARCHAR))) || chr(10) || '[x''y] "q--"' AS masked,
+'SELECT ''it''''s'' ' || repeat(' ', 17) || ', ' || c_custkey || ' ' || repeat(' ', 7 + length(CAST(c_custkey AS VARCHAR))) || chr(10) || '[x''y] "q--"' AS executable FROM customer""")
 def t_mask(t: Tables) -> DataFrame:
-    """Comments and literals blanked; nesting needs a scanner."""
-    code = F.concat(F.lit("SELECT 'it''s' /* a /* b */ c */, "), "text", F.lit(" -- end"))
-    return t.documents.select("doc_id", masking.masked(code).alias("masked"), masking.executable(code).alias("executable"))
+    """Comments and literals blanked, nested ones whole, names left."""
+    c = F.col("c_custkey")
+    code = F.concat(F.lit("SELECT 'it''s' /* a /* b */ c */, "), c, F.lit(" -- end "), c.cast("string"), F.lit("\n[x'y] \"q--\""))
+    return t.customer.select("c_custkey", masking.masked(code).alias("masked"), masking.executable(code).alias("executable"))
 
 
 @add("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'o_totalprice' WHEN 1 THEN 'a.balance' WHEN 2 THEN NULL ELSE 'status' END AS lhs, CASE o_orderkey % 4 WHEN 0 THEN '>=' WHEN 1 THEN '<>' WHEN 2 THEN NULL ELSE '=' END AS op,

@@ -110,6 +110,22 @@ def test_embedding_is_of_unit_length():
     assert len(v) == 384 and abs(sum(x * x for x in v) - 1) < 1e-12 and not any(vectors.embed(""))
 
 
+def test_embedding_equals_brute_force(spark):
+    import hashlib
+    import re
+
+    texts = ["", "One word", "the dog, the dog and THE dog_1", None]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(vectors.embedded(F.col("t"))).collect()]
+    for text_, vector in zip(texts, got):
+        words = re.findall(r"[A-Za-z0-9_]+", (text_ or "").lower())
+        expected = [0.0] * 384
+        for i, word in enumerate(words):
+            for token, weight in ((word, 1 + len(word) / 10), *(((f"{word}:{words[i + 1]}", 0.5),) if i + 1 < len(words) else ())):
+                expected[int(hashlib.blake2b(token.encode(), digest_size=16).hexdigest()[:8], 16) % 384] += weight
+        norm = sum(x * x for x in expected) ** 0.5 or 1.0
+        assert max(abs(a - b / norm) for a, b in zip(vector, expected)) < 1e-12
+
+
 def test_history_is_idempotent(spark):
     history = spark.createDataFrame([(1, "a", 1, 49999), (2, "b", 1, 49999)], "k int, v string, valid_from int, valid_to int")
     incoming = spark.createDataFrame([(1, "a"), (2, "c"), (3, None)], "k int, v string")
