@@ -221,3 +221,67 @@ def predicate_lines(statements: DataFrame, tokens: Column) -> DataFrame:
     """
     writes = statements.filter(F.col("operation").isin("UPDATE", "INSERT", "DELETE", "MERGE") & (F.coalesce("predicate", F.lit("")) != ""))
     return writes.select("object_id", "statement_id", tokens.alias("tokens"), F.explode(F.sequence("line_start", "line_end")).alias("line")).filter(F.size("tokens") > 0)
+
+
+def _unquoted(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), r"^[Nn]?'(.*)'$", "$1")
+
+
+_SET = r"^\s*([\w.\[\]@#]+)\s*:?=\s*([^=].*?)\s*$"
+
+
+def reconciled_rules(rules: DataFrame, rows: DataFrame, linked: DataFrame, fallbacks: DataFrame) -> DataFrame:
+    """Each rule's axes and status against the evidence found for it.
+
+    ``rules``: object_id, rule_id, rule_type, fields, conditions, outcomes
+    (arrays).  ``rows``: object_id, rule_id, field, condition, expression, one
+    for each assignment that is evidence for the rule.  ``linked`` and
+    ``fallbacks`` hold the (object_id, rule_id) of rules that a decision chain
+    has, and of those whose condition is the complement of a chain's.
+
+    An axis matches if all that the rule says is known; it conflicts if both
+    sides can be compared and differ.  Conditions are compared as comparisons,
+    else as texts; outcomes as assignments, as single values, else as texts.  A
+    field that only differs is no conflict if a chain has the rule and another
+    axis matches: it may be a variable that is written on later.  Any conflict
+    makes the rule CONFLICT, else any match MATCHED, else it is UNRESOLVED; with
+    no evidence at all it is LLM_ONLY, or MATCHED if it was made of a chain.
+    """
+    from marlstone.functions.classify import comparison, simple_scalar
+
+    key = ["object_id", "rule_id"]
+    text = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    field = lambda x: F.lower(column_reference(F.trim(x)))
+    compared = lambda x: F.when(comparison(x).isNotNull(), F.concat_ws(" ", field(comparison(x)["left"]), comparison(x)["op"], fragment(_unquoted(comparison(x)["right"]))))
+    assigned = lambda left, right: F.concat(field(left), F.lit(" = "), fragment(_unquoted(right)))
+    known = rows.filter(F.coalesce("field", "condition", "expression").isNotNull()).groupBy(*key).agg(
+        F.collect_set(field(F.col("field"))).alias("k_fields"), F.collect_set(fragment(F.col("condition"))).alias("k_conditions"), F.collect_set(compared(F.col("condition"))).alias("k_compared"),
+        F.collect_set(fragment(_unquoted(F.col("expression")))).alias("k_values"), F.collect_set(assigned(F.col("field"), F.col("expression"))).alias("k_assigned"), F.collect_set(F.when(simple_scalar(F.col("expression")), fragment(_unquoted(F.col("expression"))))).alias("k_scalars"), F.count("*").alias("n_rows"),
+    )
+    flagged = lambda d, name: d.select(*key).distinct().withColumn(name, F.lit(True))
+    is_set = lambda x: x.rlike(_SET)
+    some = lambda c: F.filter(text(F.col(c)), lambda x: F.trim(x) != "")
+    claimed = rules.select(*key, "rule_type", F.transform(some("fields"), field).alias("c_fields"), some("conditions").alias("c_conditions"), some("outcomes").alias("c_outcomes"))
+    claimed = claimed.select(
+        *key, "rule_type", "c_fields", F.transform("c_conditions", fragment).alias("c_conditions"), F.array_compact(F.transform("c_conditions", compared)).alias("c_compared"), F.transform("c_outcomes", lambda x: F.when(is_set(x), fragment(_unquoted(F.regexp_extract(x, _SET, 2)))).otherwise(fragment(_unquoted(x)))).alias("c_values"),
+        F.transform(F.filter("c_outcomes", is_set), lambda x: assigned(F.regexp_extract(x, _SET, 1), F.regexp_extract(x, _SET, 2))).alias("c_assigned"), F.transform(F.filter("c_outcomes", lambda x: ~is_set(x) & simple_scalar(x)), lambda x: fragment(_unquoted(x))).alias("c_scalars"),
+    )
+    both = claimed.join(known, key, "left").join(flagged(linked, "linked"), key, "left").join(flagged(fallbacks, "fallback"), key, "left")
+    within = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_except(a, b)) == 0)
+    two = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    sets = both.select(*key, "rule_type", flag("linked").alias("linked"), flag("fallback").alias("fallback"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), *(text(F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s in "ck" for c in ("fields", "conditions", "compared", "values", "assigned", "scalars")))
+    tests = sets.select(
+        *key, "rule_type", "linked", "fallback", "n_rows", within("c_fields", "k_fields").alias("field"), two("c_fields", "k_fields").alias("fields_meet"),
+        within("c_compared", "k_compared").alias("compared"), two("c_compared", "k_compared").alias("compared_meet"), ((F.size("c_compared") == 0) & within("c_conditions", "k_conditions")).alias("told"),
+        within("c_assigned", "k_assigned").alias("assigned"), two("c_assigned", "k_assigned").alias("assigned_meet"), within("c_scalars", "k_scalars").alias("scalar"), two("c_scalars", "k_scalars").alias("scalars_meet"), ((F.size("c_assigned") == 0) & (F.size("c_scalars") == 0) & within("c_values", "k_values")).alias("said"),
+    )
+    matched = tests.withColumn("condition", F.expr("compared or told or fallback")).withColumn("outcome", F.expr("assigned or scalar or said"))
+    against = matched.select(
+        *key, "rule_type", "n_rows", "field", "condition", "outcome", F.expr("fields_meet and not field and not (linked and (condition or outcome))").alias("no_field"), F.expr("compared_meet and not compared and not fallback").alias("no_condition"),
+        F.expr("assigned_meet and not assigned and not (linked and scalar) or scalars_meet and not scalar").alias("no_outcome"),
+    )
+    axis = lambda name: F.when(F.col("n_rows") == 0, "UNRESOLVED").when(F.col(name), "MATCHED").when(F.col(f"no_{name}"), "CONFLICT").otherwise("UNRESOLVED").alias(f"{name}_status")
+    alone = F.when(F.lower(F.trim(F.coalesce("rule_type", F.lit("")))) == "deterministic_decision_table", "MATCHED").otherwise("LLM_ONLY")
+    status = F.when(F.col("n_rows") == 0, alone).when(F.expr("no_field or no_condition or no_outcome"), "CONFLICT").when(F.expr("field or condition or outcome"), "MATCHED").otherwise("UNRESOLVED")
+    return against.select(*key, axis("field"), axis("condition"), axis("outcome"), status.alias("status"))

@@ -316,3 +316,20 @@ def j_predicate_lines(t: Tables) -> DataFrame:
     """Lines of filtered writes with the words of their predicate."""
     own = t.orders.select(F.col("o_custkey").alias("object_id"), k().alias("statement_id"), F.when(F.col("o_orderstatus") == "P", "SELECT").otherwise("UPDATE").alias("operation"), F.when(k() % 3 != 0, F.concat(F.lit("status = "), k() + 100)).otherwise("").alias("predicate"), (k() % 90).alias("line_start"), (k() % 90 + 2).alias("line_end"))
     return evidence.predicate_lines(own, text.predicate_tokens(F.col("predicate"))).select("object_id", "statement_id", "line", F.size("tokens").alias("n_tokens"))
+
+
+@add("""WITH t AS (SELECT *, o_orderkey % 7 <> 0 AS found, o_orderkey % 3 = 0 AS f, o_orderkey % 3 = 1 AS nf0, o_orderkey % 4 = 0 OR o_orderkey % 13 = 0 AS c, o_orderkey % 4 = 1 AND o_orderkey % 13 <> 0 AS nc, o_orderkey % 5 < 2 AS o, o_orderkey % 5 IN (2, 3) AS no FROM orders),
+u AS (SELECT *, nf0 AND NOT (o_orderkey % 2 = 0 AND (c OR o)) AS nf FROM t)
+SELECT o_custkey AS object_id, o_orderkey AS rule_id, CASE WHEN NOT found THEN 'UNRESOLVED' WHEN f THEN 'MATCHED' WHEN nf THEN 'CONFLICT' ELSE 'UNRESOLVED' END AS field_status, CASE WHEN NOT found THEN 'UNRESOLVED' WHEN c THEN 'MATCHED' WHEN nc THEN 'CONFLICT' ELSE 'UNRESOLVED' END AS condition_status,
+CASE WHEN NOT found THEN 'UNRESOLVED' WHEN o THEN 'MATCHED' WHEN no THEN 'CONFLICT' ELSE 'UNRESOLVED' END AS outcome_status,
+CASE WHEN NOT found THEN CASE WHEN o_orderkey % 21 = 0 THEN 'MATCHED' ELSE 'LLM_ONLY' END WHEN nf OR nc OR no THEN 'CONFLICT' WHEN f OR c OR o THEN 'MATCHED' ELSE 'UNRESOLVED' END AS status FROM u""")
+def r_reconciled_rules(t: Tables) -> DataFrame:
+    """Fields, conditions and outcomes of rules against their evidence."""
+    texts = lambda *values: F.array(*map(F.lit, values)).cast("array<string>")
+    own = t.orders.select(
+        F.col("o_custkey").alias("object_id"), k().alias("rule_id"), F.when(k() % 21 == 0, "deterministic_decision_table").otherwise("inferred").alias("rule_type"), pick(k(), 3, texts("L.Grade"), texts("other"), texts()).alias("fields"),
+        pick(k(), 4, texts("(Days > 90)"), texts("days > 30"), texts("is late"), texts(" ")).alias("conditions"), pick(k(), 5, texts("Grade = 'C'"), texts("'C'"), texts("'B'"), texts("grade = 'B'"), texts()).alias("outcomes"),
+    )
+    keys = own.select("object_id", "rule_id")
+    rows = keys.filter("rule_id % 7 <> 0").select("object_id", "rule_id", F.lit("A.GRADE").alias("field"), F.lit("days  > 90").alias("condition"), F.lit("'C'").alias("expression"))
+    return evidence.reconciled_rules(own, rows, keys.filter("rule_id % 2 = 0"), keys.filter("rule_id % 13 = 0"))
