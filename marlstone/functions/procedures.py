@@ -328,3 +328,83 @@ def gate_summary(found: Column) -> Column:
         F.size(found).alias("total"), F.size(first).alias("steps"), first.alias("execution_order"), F.size(F.filter(found, lambda g: g["aborts"])).alias("aborting"), F.exists(runs, lambda g: g["resumes"]).alias("resumable"),
         F.array_sort(F.array_distinct(F.transform(found, lambda g: g["status_table"]))).alias("status_tables"),
     ))
+
+
+CALLS = "array<struct<name:string,arguments:string,returned:string,line:int>>"
+_CALL = re.compile(r"(?i)\bEXEC(?:UTE)?\s+(?:(@\w+)\s*=\s*)?((?:\[[^\]]+\]|[A-Za-z_]\w*)(?:\s*\.\s*(?:\[[^\]]+\]|[A-Za-z_]\w*))*)(?:\s+|$)([^\n\r;]*)")
+
+
+def calls_of(code: str) -> list[dict]:
+    """Procedures that are called by name, in order, with their arguments.
+
+    What is run from a variable or a text has no name to list.
+    """
+    hidden, shown = mask(code), mask(code, strings=False)
+    out = []
+    for got in _CALL.finditer(hidden):
+        name = re.sub(r"\s+", "", got[2])
+        if bare(name).upper() in ("SP_EXECUTESQL", "IMMEDIATE", "AS"):
+            continue
+        out.append({"name": name, "arguments": shown[got.start(3) : got.end(3)].strip().rstrip(",").strip(), "returned": got[1], "line": code.count("\n", 0, got.start()) + 1})
+    return out
+
+
+DATES = "array<struct<value:string,line:int>>"
+#: How dates are written.
+_DATE = re.compile(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-[A-Za-z]{3}-\d{2,4}")
+
+
+def dates_of(code: str) -> list[dict]:
+    """Date literals of live code, in order."""
+    shown = mask(code, strings=False)
+    literals = ((m.start(), m[1].strip()) for m in re.finditer(r"'((?:[^']|'')*)'", shown))
+    return [{"value": value, "line": code.count("\n", 0, at) + 1} for at, value in literals if _DATE.fullmatch(value)]
+
+
+ANCHORS = "array<struct<line:int,kinds:array<string>>>"
+#: What makes a line worth citing.
+_DECIDES = re.compile(r"(?i)\b(?:CASE|WHEN|IF|ELSIF|ELSEIF|WHILE|LOOP|EXCEPTION|RAISE|RETURN)\b")
+_CALCULATES = re.compile(r"(?i)\b(?:SUM|AVG|MIN|MAX|COUNT|ROUND|ABS|COALESCE|GREATEST)\s*\(|\b[A-Za-z_]\w*\s*[+*/%]\s*[A-Za-z_]\w*\b")
+_WRITES = re.compile(r"(?i)(?:^|;)\s*(UPDATE|INSERT|DELETE|MERGE)\b")
+_CLAUSE_ENDS = re.compile(r"(?i)\b(?:WHERE|FROM|ON|GROUP|ORDER|HAVING|RETURNING)\b")
+
+
+def anchors_of(code: str) -> list[dict]:
+    """Lines that a rule should cite: decisions, writes, assignments, formulas.
+
+    An equals sign assigns in a SET clause only; an assignment stands for the
+    write that it is on the line with.
+    """
+    out, clause = [], ""
+    for number, line in enumerate(mask(code).splitlines(), 1):
+        kinds = {m[0].upper() for m in _DECIDES.finditer(line)}
+        writes = {m[1].upper() for m in _WRITES.finditer(line)}
+        if writes:
+            clause = ""
+        if re.search(r"(?i)\bSELECT\b", line):
+            clause = "SELECT" if not re.search(r"(?i)\bFROM\b", line) else ""
+        elif clause == "SELECT" and re.search(r"(?i)\bFROM\b", line):
+            clause = ""
+        in_set = clause == "SET" or bool(re.search(r"(?i)\bSET\b", line))
+        ends = _CLAUSE_ENDS.search(line)
+        head = line[: ends.start()] if ends else line
+        assigns = clause != "SELECT" and ":=" in head or in_set and re.search(r"\b[A-Za-z_]\w*\b\s*=", head)
+        if clause != "SELECT":
+            clause = "SET" if in_set and not ends else ""
+        if line.rstrip().endswith("=") and "UPDATE" in writes:
+            assigns, writes = False, writes - {"UPDATE"}
+        kinds |= (writes - {"UPDATE", "INSERT"} | {"ASSIGNMENT"}) if assigns else writes
+        if _CALCULATES.search(line):
+            kinds.add("CALCULATION")
+        if kinds:
+            out.append({"line": number, "kinds": sorted(kinds)})
+    return out
+
+
+def found(code: Column, of, kind: str) -> Column:
+    """``calls_of``, ``dates_of`` or ``anchors_of`` each text."""
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: of(t or ""))
+
+    return run(code)

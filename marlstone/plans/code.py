@@ -308,3 +308,30 @@ def a_contained_calculations(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
     rows = t.orders.select(key.alias("pos"), (F.col("o_custkey") % 200).alias("object_id"), F.lit("a + b").alias("expression"), F.lit("f").alias("field"), F.when(key % 3 == 0, " ").otherwise(F.concat(F.lit("t"), key % 3)).alias("table_name"))
     return report.contained_calculations(rows).select("pos")
+
+
+_CALLED = [(0, "n§N.Notify", "@AsOf", None, 16), (5, "n§N.StepB", "@TIMEKEY=§K", None, 8), (5, "n§N.Settle7", "@TIMEKEY=§K", None, 22)]
+
+
+@add(expected("name arguments returned line", _CALLED).replace('v."returned"', 'CAST(NULL AS VARCHAR) AS returned'))
+def c_calls(t: Tables) -> DataFrame:
+    """Procedures that are called by name, with arguments and lines."""
+    return code(t).select("object_id", F.explode(procedures.found(F.col("code"), procedures.calls_of, procedures.CALLS)).alias("c")).select("object_id", "c.*")
+
+
+@add(expected("value line", [(0, "2020-03-31", 4)]))
+def c_dates(t: Tables) -> DataFrame:
+    return code(t).select("object_id", F.explode(procedures.found(F.col("code"), procedures.dates_of, procedures.DATES)).alias("d")).select("object_id", "d.*")
+
+
+_ANCHORS = [
+    (0, 6, ["ASSIGNMENT"]), (0, 10, ["ASSIGNMENT", "CASE", "WHEN"]), (0, 11, ["ASSIGNMENT", "CASE", "WHEN"]), (0, 12, ["WHEN"]), (0, 14, ["INSERT"]), (0, 15, ["CALCULATION"]), (1, 3, ["MERGE"]), (1, 4, ["CALCULATION"]), (1, 6, ["WHEN"]), (1, 7, ["ASSIGNMENT", "CALCULATION"]), (1, 8, ["WHEN"]), (1, 9, ["INSERT"]), (1, 10, ["DELETE"]),
+    (2, 1, ["RETURN"]), (2, 5, ["ASSIGNMENT", "IF"]), (2, 6, ["ELSIF"]), (2, 7, ["ASSIGNMENT", "IF"]), (2, 8, ["ASSIGNMENT", "IF"]), (2, 9, ["RETURN"]), (2, 10, ["EXCEPTION", "RETURN", "WHEN"]), (4, 3, ["IF"]), (4, 4, ["ASSIGNMENT"]), (4, 5, ["IF"]), (4, 9, ["CALCULATION", "INSERT"]), (4, 10, ["ASSIGNMENT"]), (4, 12, ["ASSIGNMENT", "IF"]), (4, 14, ["DELETE"]), (4, 16, ["INSERT"]),
+    (5, 3, ["IF"]), (5, 6, ["INSERT"]), (5, 11, ["IF"]), (5, 13, ["RETURN"]), (5, 17, ["ASSIGNMENT"]), (5, 20, ["IF"]),
+]
+
+
+@add(expected("line kinds", _ANCHORS))
+def c_anchors(t: Tables) -> DataFrame:
+    """Lines that a rule should cite, and why."""
+    return code(t).select("object_id", F.explode(procedures.found(F.col("code"), procedures.anchors_of, procedures.ANCHORS)).alias("a")).select("object_id", "a.*")
