@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,34 +10,18 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.session import checkpointed, shared_dir
+
 #: Rows that a worker holds as Python objects at once.
 ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only if unset.
-
-    ``spark.checkpoint.dir`` is read from the session.  Without it a folder
-    under the machine's temporary directory is set if driver and executors are
-    one machine (local masters, as in tests); on a cluster that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named is None and context.getCheckpointDir() is None and not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
-    return named or context.getCheckpointDir()
-
+durable = checkpointed
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared checkpoint folder.
 
-    Spark's cleaner deletes it when nothing refers to it any more, if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -65,8 +48,7 @@ def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop(spark, folder)
 
 
 def _trim() -> None:
