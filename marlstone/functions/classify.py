@@ -76,6 +76,15 @@ def dialects(objects: DataFrame, text: str = "text", hint: str | None = None) ->
     return scored.withColumn("detected", dialect(F.col("oracle_score"), F.col("tsql_score"), F.col("postgres_score"), F.col(hint) if hint else None))
 
 
+def dialect_name(name: Column) -> Column:
+    return F.upper(F.trim(F.coalesce(name, F.lit(""))))
+
+
+def prompt_set(dialect: Column) -> Column:
+    """The prompts of a supported dialect; null for others."""
+    return F.when(dialect.isin("ORACLE", "TSQL"), F.lower(dialect))
+
+
 OBJECTS = [("PROCEDURE", r"PROC(?:EDURE)?"), ("FUNCTION", "FUNCTION"), ("TRIGGER", "TRIGGER"), ("VIEW", "VIEW"), ("PACKAGE", "PACKAGE")]
 
 

@@ -85,6 +85,14 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 65536, ro
     return found.withColumn("place", rank).filter(F.col("place") <= k)
 
 
+def once(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``top_k`` of each different query, for all that ask it."""
+    keyed = queries.withColumn("__q", F.xxhash64(F.col("query").cast("array<double>")))
+    different = keyed.groupBy("__q").agg(F.first("query").alias("query")).withColumnRenamed("__q", "query_id")
+    found = top_k(different, vectors, k)
+    return keyed.select("query_id", "__q").join(found.withColumnRenamed("query_id", "__q"), "__q").drop("__q")
+
+
 def idf(tokens: DataFrame, doc: str, token: str) -> DataFrame:
     """token, df and idf = ln((N + 1) / (df + 1)) + 1."""
     n = tokens.select(doc).distinct().count()

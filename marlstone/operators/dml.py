@@ -110,6 +110,14 @@ def merge(
     return joined.filter(kept & ~gone if delete_by_source else kept).select(*out)
 
 
+def attempted(after: DataFrame, handled: DataFrame, failures: DataFrame) -> DataFrame:
+    """``after`` if no row of ``failures`` (a boolean column fails) is true,
+    else ``handled``, the snapshot that the handler leaves; one for all rows."""
+    failed = failures.agg(F.coalesce(F.bool_or("fails"), F.lit(False)).alias("__failed"))
+    kept = lambda d, want: d.join(F.broadcast(failed)).filter(F.col("__failed") == want).drop("__failed")
+    return kept(after, False).unionByName(kept(handled, True))
+
+
 def scd2(history: DataFrame, incoming: DataFrame, key: str, tracked: Sequence[str], at: int, last: int = 49999) -> DataFrame:
     """Slowly changing dimension, type 2.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import dml
@@ -168,3 +168,56 @@ def p_run_status(t: Tables) -> DataFrame:
     done = t.events.groupBy(F.col("event_type").alias("step")).agg(F.count("*").alias("runs"))
     fresh = t.spark.createDataFrame([(f"batch {DAY}", None)], "step string, runs long")
     return done.unionByName(fresh).groupBy("step").agg((F.coalesce(F.max("runs"), F.lit(0)) + 1).alias("runs"))
+
+
+@add("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders UNION ALL SELECT * FROM (VALUES (-1, 7, 'N', CAST(1.5 AS DOUBLE)), (-2, NULL, NULL, NULL)) v")
+def d_insert_values(t: Tables) -> DataFrame:
+    """INSERT .. VALUES; a column that a row lacks is null."""
+    table = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    one = t.spark.createDataFrame([(-1, 7, "N", 1.5)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    return dml.insert(dml.insert(table, one), t.spark.createDataFrame([(-2,)], "o_orderkey long"))
+
+
+@add("SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'LARGE' WHEN o_totalprice > 50000 THEN 'MEDIUM' ELSE 'SMALL' END AS size, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders")
+def d_insert_case(t: Tables) -> DataFrame:
+    """INSERT with CASE columns; a simple CASE without ELSE gives null."""
+    empty = t.spark.createDataFrame([], "o_orderkey long, size string, code int")
+    size = F.when(F.col("o_totalprice") > 150000, "LARGE").when(F.col("o_totalprice") > 50000, "MEDIUM").otherwise("SMALL")
+    code = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2)
+    return dml.insert(empty, t.orders.select("o_orderkey", size.alias("size"), code.alias("code")))
+
+
+@add("WITH late AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P') SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM late GROUP BY o_custkey")
+def d_select_into(t: Tables) -> DataFrame:
+    """SELECT .. INTO a working table that the next statement reads."""
+    t.orders.filter("o_orderstatus = 'P'").select("o_custkey", "o_totalprice").createOrReplaceTempView("late_orders")
+    return t.spark.sql("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM late_orders GROUP BY o_custkey")
+
+
+@add("SELECT o_orderkey, CASE WHEN (SELECT max(o_totalprice) FROM orders) > 100000 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders")
+def p_scalar_if(t: Tables) -> DataFrame:
+    """A variable, set once, decides which assignment all rows get."""
+    most = t.orders.agg(F.max("o_totalprice").alias("most"))
+    return t.orders.join(F.broadcast(most)).select("o_orderkey", F.when(F.col("most") > 100000, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")).alias("price"))
+
+
+@add("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS price, CASE WHEN o_custkey % 2 = 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey % 2 = 0) THEN 'FAILED' ELSE 'DONE' END AS state FROM orders""")
+def p_try_catch(t: Tables) -> DataFrame:
+    """A statement that fails for any row is undone whole; its handler runs."""
+    def attempt(rows: DataFrame, fails: Column) -> DataFrame:
+        after = dml.update(rows, {"price": F.col("price") + 1}).withColumn("state", F.lit("DONE"))
+        return dml.attempted(after, rows.withColumn("state", F.lit("FAILED")), rows.select(fails.alias("fails")))
+
+    base = t.orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"))
+    even, odd = base.filter("o_custkey % 2 = 0"), base.filter("o_custkey % 2 = 1")
+    both = attempt(even, F.col("o_orderkey") % 5 == 0).unionByName(attempt(odd, F.col("o_orderkey") < 0))
+    return both.select("o_orderkey", "price", "state")
+
+
+@add("""SELECT o_custkey, o_orderkey, CASE WHEN before THEN CASE WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'RUN' END ELSE 'BLOCKED' END AS state FROM (SELECT *, coalesce(bool_and(o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS before FROM orders)""")
+def p_checkpointed_steps(t: Tables) -> DataFrame:
+    """Steps of a run: done ones aren't repeated, later ones wait for all before."""
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    ready = F.coalesce(F.bool_and(F.col("o_orderstatus") == "F").over(before), F.lit(True))
+    state = F.when(~F.col("ready"), "BLOCKED").when(F.col("o_orderstatus") == "F", "DONE").otherwise("RUN")
+    return t.orders.withColumn("ready", ready).select("o_custkey", "o_orderkey", state.alias("state"))

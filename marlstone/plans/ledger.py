@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions import classify, masking, text
+from marlstone.functions import classify, masking, splitting, text, vectors
 from marlstone.operators import evidence, measures
 from marlstone.plans.common import Catalogue, Tables
+from marlstone.sources import claims
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.sql
@@ -333,3 +334,36 @@ def r_reconciled_rules(t: Tables) -> DataFrame:
     keys = own.select("object_id", "rule_id")
     rows = keys.filter("rule_id % 7 <> 0").select("object_id", "rule_id", F.lit("A.GRADE").alias("field"), F.lit("days  > 90").alias("condition"), F.lit("'C'").alias("expression"))
     return evidence.reconciled_rules(own, rows, keys.filter("rule_id % 2 = 0"), keys.filter("rule_id % 13 = 0"))
+
+
+@add("""WITH RECURSIVE p AS (SELECT o_custkey AS o, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, CAST(o_orderkey % 7 AS INTEGER) AS n, CAST(o_orderkey % 400 + 1 AS INTEGER) AS size FROM orders),
+f(o, r, section, points, chars) AS (SELECT o, r, 0, n, size FROM p WHERE r = 1 UNION ALL SELECT p.o, p.r, CASE WHEN f.points + n <= 12 AND f.chars + size + 1 <= 900 THEN section ELSE section + 1 END, CASE WHEN f.points + n <= 12 AND f.chars + size + 1 <= 900 THEN f.points + n ELSE n END, CASE WHEN f.points + n <= 12 AND f.chars + size + 1 <= 900 THEN f.chars + size + 1 ELSE size END FROM f JOIN p ON p.o = f.o AND p.r = f.r + 1)
+SELECT o AS object_id, CAST(section AS INTEGER) AS section, max(points) AS points, max(chars) AS chars FROM f GROUP BY 1, 2""")
+def t_section_plan(t: Tables) -> DataFrame:
+    """Chunks in order, put together while points and characters allow."""
+    pieces = t.orders.groupBy(F.col("o_custkey").alias("object_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k().alias("pos"), F.struct(F.repeat(F.lit("x"), (k() % 400 + 1).cast("int")).alias("text"), F.lit("section").alias("family"), (k() % 7).cast("int").alias("points")).alias("p")))), lambda x: x["p"]).alias("pieces"))
+    cut = pieces.select("object_id", F.posexplode(splitting.packed(F.col("pieces"), 900, 12)).alias("section", "s"))
+    return cut.select("object_id", "section", "s.points", F.length("s.text").alias("chars"))
+
+
+@add("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN 1 ELSE 0 END AS n_rules, CASE WHEN o_orderkey % 4 = 0 THEN CAST([] AS VARCHAR[]) WHEN o_orderkey % 4 = 1 THEN ['tables is missing'] WHEN o_orderkey % 4 = 2 THEN ['rules is no list', 'tables is missing'] ELSE ['no JSON object', 'rules is missing', 'tables is missing'] END AS warnings FROM orders""")
+def r_shapes(t: Tables) -> DataFrame:
+    """Answers brought into shape, with a warning for all that is amiss."""
+    answer = pick(k(), 4, '{"rules": [{"condition": "a", "extra": 1}], "tables": ["t"]}', '{"rules": [{"condition": "a"}]}', '{"rules": "none"}', "not json")
+    shaped = claims.shaped(answer, {"rules": "struct<condition:string,outcome:string>", "tables": "string"})
+    return t.orders.select("o_orderkey", shaped.alias("s")).select("o_orderkey", F.size("s.rules").alias("n_rules"), "s.warnings")
+
+
+@add("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'ORACLE' WHEN 1 THEN 'TSQL' WHEN 2 THEN 'POSTGRES' WHEN 3 THEN '' ELSE 'DB2' END AS dialect, CASE o_orderkey % 5 WHEN 0 THEN 'oracle' WHEN 1 THEN 'tsql' END AS prompts FROM orders""")
+def c_dialect_names(t: Tables) -> DataFrame:
+    """Names of dialects, and the set of prompts that a supported one has."""
+    name = classify.dialect_name(pick(k(), 5, " oracle ", "TSql", "postgres", None, "db2"))
+    return t.orders.select("o_orderkey", name.alias("dialect"), classify.prompt_set(name).alias("prompts"))
+
+
+@add("""SELECT o_orderkey AS query_id, vec_id, likeness, place FROM orders JOIN (SELECT q.vec_id AS asked, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS likeness, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) DESC, e.vec_id) AS place FROM embeddings q, embeddings e WHERE q.vec_id < 5) ON o_orderkey % 5 = asked WHERE place <= 3 AND o_orderkey % 20 = 0""")
+def v_memo(t: Tables) -> DataFrame:
+    """Queries that are asked again are looked up once."""
+    asked = t.orders.filter(k() % 20 == 0).select(k().alias("query_id"), (k() % 5).alias("vec_id"))
+    queries = asked.join(t.embeddings.filter("vec_id < 5").select("vec_id", F.col("embedding").alias("query")), "vec_id").select("query_id", "query")
+    return vectors.once(queries, t.embeddings.select("vec_id", "embedding"), 3)

@@ -42,6 +42,20 @@ def salvaged(text: Column, field: str) -> Column:
     return run(text)
 
 
+def shaped(answer: Column, sections: dict[str, str]) -> Column:
+    """Struct of the named lists of a JSON answer, and of warnings.
+
+    ``sections`` has the type of each list's items.  What is missing or no list
+    is an empty list; fields that an item lacks are null, others are dropped.
+    """
+    raw = {name: F.get_json_object(answer, f"$.{name}") for name in sections}
+    whole = F.get_json_object(answer, "$").isNotNull() & F.trim(answer).startswith("{")
+    lists = {name: F.when(F.trim(raw[name]).startswith("["), F.from_json(raw[name], f"array<{kind}>")) for name, kind in sections.items()}
+    amiss = [F.when(~F.coalesce(whole, F.lit(False)), "no JSON object"), *(F.when(raw[n].isNull(), f"{n} is missing").when(lists[n].isNull(), f"{n} is no list") for n in sections)]
+    filled = [F.coalesce(lists[n], F.array().cast(f"array<{kind}>")).alias(n) for n, kind in sections.items()]
+    return F.struct(*filled, F.array_compact(F.array(*amiss)).alias("warnings"))
+
+
 class Transient(Exception):
     """A failure that is worth another try."""
 
