@@ -8,8 +8,11 @@ is emitted and a new one opened.  The windows left open in the partitions meet
 longest first.  A partition leaves at most ``open_windows`` windows, so that
 last step has bounded groups, whatever the corpus.
 
-Null and empty texts are the end id alone.  An empty table has no pieces.
-Repeated rows are packed each.  Further columns are ignored.
+Null and empty texts are the end id alone; long texts are cut into as many
+windows as they need.  An empty table has no pieces.  Repeated rows are packed
+each, doc_ids may be null.  Of windows with equal room the one opened first is
+taken; equal pieces are placed in the order of partition, doc_id and start.
+Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -100,23 +102,24 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, open_w
         if rows:
             yield batch_of()
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        held, bucket = Windows(window, None), int(group["part"].iloc[0]) // FAN_IN
-        group = group.sort_values(["length", "part", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True, True], ignore_index=True)
+    def merge(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        held, bucket = Windows(window, None), group.column("part")[0].as_py() // FAN_IN
         sequence, offset = [0] * len(group), [0] * len(group)
 
         def close(got: int, pieces: list) -> None:
             for row, at in pieces:
                 sequence[row], offset[row] = (bucket << 32 | got) * 2 + 1, at
 
-        for row, n in enumerate(group["length"].tolist()):
+        for row, n in enumerate(group.column("length").to_pylist()):
             for got in _emitted(held.place(n, (row,))):
                 close(*got)
         for got in held.held.items():
             close(*got)
-        return group.assign(sequence_id=sequence, offset=offset)[names[:-1]]
+        kept = group.select(names[:5])
+        return kept.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     placed = durable(docs.select("doc_id", "text").mapInArrow(first, f"doc_id {kind}, {PIECE}, part long"))
     left = placed.filter(F.col("sequence_id").isNull())
-    merged = left.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(merge, f"doc_id {kind}, {PIECE}")
+    merged = left.groupBy(F.floor(F.col("part") / FAN_IN)).applyInArrow(merge, f"doc_id {kind}, {PIECE}")
     return placed.filter(F.col("sequence_id").isNotNull()).select(names[:-1]).unionByName(merged)

@@ -7,9 +7,11 @@ often each rule votes what in good and in bad documents; a document's verdict
 is its posterior probability of being good.  All documents count.  Everything
 that touches text is DataFrame functions.
 
-Null and empty texts have no words and fail the base test.  Repeated rows are
-judged each.  A doc_id may be null.  Other columns of the input are ignored by
-``judge`` and kept by ``keep_good``; an empty table gives no rows.
+Null and empty texts have no words and fail the base test; long texts are
+counted whole.  Repeated rows are judged each.  A doc_id may be null.  A
+posterior of exactly a half is good.  Other columns of the input, whatever
+their names, are ignored by ``judge`` and kept by ``keep_good``; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

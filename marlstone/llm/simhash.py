@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -177,7 +176,7 @@ def link(points: DataFrame, radius: int = 2) -> DataFrame:
     # a sample fits the dealing tree; all points then go through it
     ratio = min(1.0, SAMPLE * shards / max(n, 1))
     some = points.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < ratio * (1 << 40))
-    nodes = grow(np.unique(some.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)), radius, 1.5 * SAMPLE)
+    nodes = grow(np.unique(some.toArrow().column("fp").to_numpy().view(np.uint64)), radius, 1.5 * SAMPLE)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
@@ -185,11 +184,11 @@ def link(points: DataFrame, radius: int = 2) -> DataFrame:
             for leaf, got in deal(nodes, own, radius):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), leaf, np.int32)), pa.array(got.view(np.int64))], ["shard", "fp"])
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = star_links(group["fp"].to_numpy(np.int64).view(np.uint64), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def search(group: pa.Table) -> pa.Table:
+        a, b = star_links(group.column("fp").to_numpy().astype(np.int64).view(np.uint64), radius)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return points.select("fp").mapInArrow(route, "shard int, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
+    return points.select("fp").mapInArrow(route, "shard int, fp long").groupBy("shard").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:

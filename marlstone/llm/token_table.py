@@ -19,7 +19,7 @@ import sys
 from array import array
 from collections.abc import Callable
 
-GENERATION = 800_000
+GENERATION = 200_000
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are written as little-endian integers of four bytes")
 

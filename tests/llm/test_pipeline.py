@@ -8,6 +8,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_operators import check_packing, near_copies_by_brute_force
 
 from marlstone.llm import quality
@@ -53,3 +54,19 @@ def test_null_and_repeated_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_stages_with_ties_long_texts_and_clashing_columns(spark):
+    """Equal rows tie for the least id; further columns go, whatever their names."""
+    names = "garden river letter window market engine winter bridge kitchen teacher harbour forest".split()
+    good = " ".join(f"The {a} near our {b} was quiet before {c} came." for a, b, c in zip(names, names[5:] + names[:5], names[7:] + names[:7]))
+    long = " ".join(f"{a} {b} and then {c} at {i} again, with the others of the {a}." for i in range(400) for a, b, c in zip(names, names[3:] + names[:3], names[i % 12 :] + names[: i % 12]))
+    rows = [(7, good, "en", "s", 1), (5, good.upper().lower(), "en", "t", 1), (5, good, "en", "t", 1), (8, good + " One more of these sentences ends it here.", "en", "s", 2), (9, long, "en", "s", 3), (9, long, "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("key", "root", "__key", "__hits", "__raw", "__rank", "k", "start", "n_email", "size")})
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        docs = stage(spark, docs, SF)
+        if name != "packed":
+            assert docs.columns == corpus_pipeline.COLUMNS
+            assert sorted(r["doc_id"] for r in docs.collect()) == ([5, 9] if near_copies_by_brute_force([good, rows[3][1]]) == [0, 0] else [5, 8, 9])
+    assert {r["doc_id"] for r in docs.collect()} >= {5, 9} and docs.filter("doc_id = 9").count() > 1
