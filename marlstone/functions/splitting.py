@@ -269,19 +269,42 @@ def chunked(text: Column, most: int = 800, overlap: int = 100) -> Column:
     return run(text)
 
 
-def inactive_blocks(objects: DataFrame, key: str, code: str) -> DataFrame:
-    """Runs of neighbouring comment lines that hold commented-out DML.
+INACTIVE = "array<struct<start:int,end:int,body:string>>"
+#: What commented-out statements look like, and what only code has.
+_DEAD = re.compile(r"(?is)\b(?:UPDATE|INSERT\s+INTO|DELETE\s+FROM|MERGE\s+INTO|TRUNCATE\s+TABLE|DROP\s+TABLE|SELECT\b.{0,200}?\bFROM)\b")
+_SHAPE = re.compile(r"(?im)(?:\w+\.\w+|@\w+|[<>=!]=|\bSET\s+\w+\s*=|;\s*$)")
+_MARKER = "-- [INACTIVE CODE REMOVED - see verification report]"
+
+
+def inactive_spans(code: str) -> list[tuple[int, int]]:
+    """Comments that hold code: blocks, and runs of neighbouring line comments."""
+    spans = [m.span() for m in re.finditer(r"(?s)/\*.*?\*/", code)]
+    run: list[int] = []
+    for m in [*re.finditer(r"(?m)^[ \t]*--.*$", code), None]:
+        if run and (m is None or code[run[1] : m.start()] not in ("\n", "\r\n")):
+            spans.append((run[0], run[1]))
+            run = []
+        if m:
+            run = [run[0] if run else m.start(), m.end()]
+    return sorted(s for s in spans if _DEAD.search(code[slice(*s)]) and _SHAPE.search(code[slice(*s)]))
+
+
+def without_inactive(code: str) -> str:
+    """``code`` with a mark in place of dead code; length and lines stay."""
+    out = list(code)
+    for a, b in inactive_spans(code):
+        put = iter(_MARKER)
+        for i in range(a, b):
+            out[i] = code[i] if code[i] in "\r\n" else next(put, " ")
+    return "".join(out)
+
+
+def inactive(code: Column) -> Column:
+    @F.pandas_udf(INACTIVE)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": a, "end": b, "body": t[a:b].strip()} for a, b in inactive_spans(t or "")])
 
-    A run counts if it has a DML keyword and the shape of code.
-    """
-    from marlstone.operators.relate import islands
-
-    lines = objects.select(key, F.posexplode(F.split(code, "\n")).alias("line", "text")).filter(F.col("text").rlike(r"^\s*--"))
-    runs = islands(lines, [key], "line", 1)
-    bodies = runs.groupBy(key, "island").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: F.regexp_replace(x["text"], r"^\s*--+\s?", "")), "\n").alias("body"))
-    dml = F.col("body").rlike(r"(?i)\b(?:SELECT|INSERT|UPDATE|DELETE|MERGE|TRUNCATE)\b")
-    shape = F.col("body").rlike(r"(?i)\bFROM\s+[\[#\w]|\bSET\s+[\w.\[\]]+\s*=|\bINTO\s+[\[#\w]|\bVALUES\s*\(|\bWHERE\s+[\w.\[\]]+\s*[=<>]|;\s*$")
-    return bodies.filter(dml & shape).drop("island")
+    return run(code)
 
 
 #: Line kinds of procedural code, first match wins.

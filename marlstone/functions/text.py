@@ -168,3 +168,32 @@ def predicate_tokens(text: Column, stop: Sequence[str] = ()) -> Column:
 
 def overlap_coefficient(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)))
+
+
+#: Schemas that are no aliases, and names of the sides of a MERGE.
+SCHEMAS, SIDES = ("PRO", "DBO", "SYS", "TMP", "OMS", "CFG"), ("TARGET", "SOURCE", "SRC", "TGT")
+_PATH = r"(?<![A-Za-z0-9_#])(?:#?[A-Za-z_][A-Za-z0-9_]*\.)+[A-Za-z_][A-Za-z0-9_]*"
+
+
+def shown_path(path: Column, tables: Column) -> Column:
+    """A dotted path with tables for its aliases (map of capital alias to table).
+
+    What is no known alias but looks like one, by up to three letters or as the
+    side of a MERGE, is left out; a table's own name stays.
+    """
+    def shown(part: Column) -> Column:
+        table = F.try_element_at(tables, F.upper(part))
+        bare = F.regexp_replace(F.element_at(F.split(table, r"\."), -1), "^#+", "")
+        alias = part.rlike("^[A-Za-z]{1,3}$") & ~F.upper(part).isin(*SCHEMAS) | F.upper(part).isin(*SIDES)
+        return F.when(table.isNotNull(), F.when(F.lower(bare) == F.lower(part), part).otherwise(table)).when(alias, "").otherwise(part)
+
+    parts = F.split(path, r"\.")
+    head = F.filter(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), shown), lambda x: x != "")
+    return F.array_join(F.concat(head, F.array(F.element_at(parts, -1))), ".")
+
+
+def rewritten(text: Column, tables: Column) -> Column:
+    """A text with all its dotted paths shown with tables for aliases."""
+    paths, between = F.regexp_extract_all(text, F.lit(_PATH), F.lit(0)), F.split(text, _PATH, -1)
+    put = lambda b: F.concat(F.get(b, F.lit(0)), F.array_join(F.transform(paths, lambda p, i: F.concat(shown_path(p, tables), F.get(b, i + 1))), ""))
+    return F.when(F.size(paths) > 0, F.get(F.transform(F.array(between), put), F.lit(0))).otherwise(text)

@@ -69,6 +69,13 @@ def write_only(operations: DataFrame) -> DataFrame:
     return written.join(temp.filter("operation = 'READ'"), ["object_id", "t"], "left_anti")
 
 
+def alias_maps(operations: DataFrame) -> DataFrame:
+    """object_id and a map of capital aliases to tables, the first of each."""
+    named = operations.filter(F.coalesce("alias", F.lit("")) != "").select("object_id", F.upper("alias").alias("a"), "table_name", F.struct("pos", "op_index").alias("o"))
+    first = named.groupBy("object_id", "a").agg(F.min_by("table_name", "o").alias("t"))
+    return first.groupBy("object_id").agg(F.map_from_entries(F.collect_list(F.struct("a", "t"))).alias("aliases"))
+
+
 def call_graph(calls: DataFrame, objects: DataFrame) -> DataFrame:
     """Callees by qualified name; by bare name if one object has it; never self.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import classify, masking, splitting, text, vectors
-from marlstone.operators import evidence, measures
+from marlstone.operators import evidence, measures, suppress
 from marlstone.plans.common import Catalogue, Tables
 from marlstone.sources import claims
 
@@ -367,3 +367,63 @@ def v_memo(t: Tables) -> DataFrame:
     asked = t.orders.filter(k() % 20 == 0).select(k().alias("query_id"), (k() % 5).alias("vec_id"))
     queries = asked.join(t.embeddings.filter("vec_id < 5").select("vec_id", F.col("embedding").alias("query")), "vec_id").select("query_id", "query")
     return vectors.once(queries, t.embeddings.select("vec_id", "embedding"), 3)
+
+
+def told_rules(t: Tables) -> DataFrame:
+    """Orders as rules of a customer: fields, rows, texts by the order's key."""
+    texts = lambda *values: F.array(*map(F.lit, values)).cast("array<string>")
+    row = lambda c, o: F.struct(F.lit(c).alias("condition"), F.lit(o).alias("outcome"))
+    none = F.array().cast("array<struct<condition:string,outcome:string>>")
+    return t.orders.select(
+        F.col("o_custkey").alias("object_id"), k().alias("rule_id"), k().alias("pos"), pick(k(), 4, texts("L.Grade"), texts("GRADE"), texts("fee"), texts("fee", "grade")).alias("fields"), pick(k(), 3, F.array(row("(a > 1)", "'X'"), row("ELSE", "Y")), F.array(row("A > 1", "x")), none).alias("rows"),
+        F.when(k() % 5 == 0, "only open ones").alias("eligibility"), pick(k(), 2, "When matched update", "insert a new row").alias("text"), pick(k(), 6, "t", "T ", "u", None, "t", "t").alias("table_name"), (k() % 7 == 0).alias("canonical"),
+    )
+
+
+def told_writes(t: Tables) -> DataFrame:
+    """Each customer writes grade once and, every second one, fee twice."""
+    c = F.col("c_custkey")
+    rows = F.array(F.struct(F.lit("x.Grade").alias("field"), F.lit(1).alias("statement_id")), F.struct(F.lit("fee").alias("field"), F.lit(2).alias("statement_id")), F.struct(F.lit("fee").alias("field"), F.when(c % 2 == 0, 3).otherwise(2).alias("statement_id")))
+    return t.customer.select(c.alias("object_id"), F.explode(rows).alias("w")).select("object_id", "w.*", F.lit("t").alias("table_name"))
+
+
+_TOLD = "SELECT o_custkey AS o, o_orderkey AS id, CASE o_orderkey % 4 WHEN 2 THEN 'fee' WHEN 3 THEN 'fee,grade' ELSE 'grade' END AS f, o_orderkey % 3 AS r, o_orderkey % 5 = 0 AS e, o_orderkey % 7 = 0 AS c, CASE WHEN o_orderkey % 6 IN (0, 1, 4, 5) THEN 'T' WHEN o_orderkey % 6 = 2 THEN 'U' ELSE '' END AS tab, o_orderkey % 2 AS side FROM orders"
+
+
+@add(f"WITH r AS ({_TOLD}) SELECT id AS rule_id FROM r WHERE c OR f = 'fee,grade' OR NOT EXISTS (SELECT 1 FROM r x JOIN customer ON c_custkey = x.o WHERE x.o = r.o AND x.c AND x.f = r.f AND (r.f = 'grade' OR c_custkey % 2 = 1))")
+def r_single_writes(t: Tables) -> DataFrame:
+    """Other rules on a field that is written once and has a canonical rule."""
+    return suppress.without_single_write_duplicates(told_rules(t), told_writes(t)).select("rule_id")
+
+
+@add(f"""WITH r AS (SELECT *, r = 2 AND NOT e AND NOT c AS empty FROM ({_TOLD})), s AS (SELECT r.*, f <> 'fee,grade' AND tab = 'T' AND c_custkey IS NOT NULL AND (f = 'grade' OR c_custkey % 2 = 1) AS single FROM r LEFT JOIN customer ON c_custkey = o)
+SELECT id AS rule_id FROM s WHERE NOT (single AND empty AND EXISTS (SELECT 1 FROM s x WHERE x.o = s.o AND x.f = s.f AND x.tab = s.tab AND (NOT x.empty OR x.id < s.id)))""")
+def r_contentless(t: Tables) -> DataFrame:
+    """Rules without content, where another one tells of the field."""
+    return suppress.without_contentless(told_rules(t), told_writes(t)).select("rule_id")
+
+
+@add(f"WITH r AS ({_TOLD}) SELECT id AS rule_id FROM r WHERE r.r = 2 OR c OR NOT EXISTS (SELECT 1 FROM r x WHERE x.o = r.o AND x.f = r.f AND x.r = r.r AND x.id <> r.id AND (x.c OR x.id < r.id))")
+def r_equal_tables(t: Tables) -> DataFrame:
+    """Decision tables with the same fields and conditions."""
+    return suppress.without_equal_tables(told_rules(t)).select("rule_id")
+
+
+@add(f"WITH r AS ({_TOLD}) SELECT id AS rule_id FROM r WHERE r.r <> 1 OR c OR f = 'fee,grade' OR NOT EXISTS (SELECT 1 FROM r x WHERE x.o = r.o AND x.r = 0 AND (x.f = r.f OR x.f = 'fee,grade'))")
+def r_ladder_fragments(t: Tables) -> DataFrame:
+    """Rules of one row that a longer table of the field has."""
+    return suppress.without_ladder_fragments(told_rules(t)).select("rule_id")
+
+
+@add(f"WITH r AS ({_TOLD}) SELECT id AS rule_id FROM r WHERE f <> 'fee,grade' OR c OR NOT (EXISTS (SELECT 1 FROM r x WHERE x.o = r.o AND x.c AND x.f = 'fee') AND EXISTS (SELECT 1 FROM r x WHERE x.o = r.o AND x.c AND x.f = 'grade'))")
+def r_covered_tables(t: Tables) -> DataFrame:
+    """Tables of several fields that all have rules of their own."""
+    return suppress.without_covered_tables(told_rules(t)).select("rule_id")
+
+
+@add(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o, f, tab, side ORDER BY id) AS place, CASE r WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM ({_TOLD}))
+SELECT m.id AS rule_id, CAST(m.n + coalesce(u.n, 0) AS INTEGER) AS n_rows FROM r m LEFT JOIN r u ON m.side = 0 AND u.side = 1 AND m.o = u.o AND m.f = u.f AND m.tab = u.tab AND m.place = u.place
+WHERE NOT (m.side = 1 AND EXISTS (SELECT 1 FROM r x WHERE x.side = 0 AND x.o = m.o AND x.f = m.f AND x.tab = m.tab AND x.place = m.place))""")
+def r_merged_halves(t: Tables) -> DataFrame:
+    """The matched and the new half of an upsert as one rule."""
+    return suppress.merged_halves(told_rules(t)).select("rule_id", F.size("rows").alias("n_rows"))

@@ -71,6 +71,24 @@ def test_ladders():
     assert (0, "@e = 1", "b", "DATEADD(DAY, 1, @p)") in inserted and len(inserted) == 4
 
 
+def test_inactive_code():
+    code = "SELECT 1\n/* UPDATE t SET x = 1;\n more */\n-- a note on updates\n\n-- DELETE FROM a.b\n-- WHERE x >= 1\nSELECT 2"
+    found = [code[a:b] for a, b in splitting.inactive_spans(code)]
+    assert found == ["/* UPDATE t SET x = 1;\n more */", "-- DELETE FROM a.b\n-- WHERE x >= 1"]
+    left = splitting.without_inactive(code)
+    assert len(left) == len(code) and left.count("\n") == code.count("\n") and "DELETE" not in left and "a note on updates" in left
+
+
+def test_locks_are_operations():
+    assert [(o["operation"], o["table_name"]) for o in sqlops.operations("SELECT a FROM t WHERE b = 1 FOR UPDATE", "ORACLE")] == [("READ", "t"), ("LOCK", "t")]
+
+
+def test_paths_of_aliases(spark):
+    maps = F.create_map(F.lit("A"), F.lit("dbo.Accounts"), F.lit("ACCOUNTS"), F.lit("dbo.Accounts"))
+    shown = spark.range(1).select(text.rewritten(F.lit("A.x = B.y and Source.z > #T.w and dbo.Accounts.v = Accounts.u"), maps)).first()[0]
+    assert shown == "dbo.Accounts.x = y and z > #T.w and dbo.Accounts.v = Accounts.u"
+
+
 def test_parameters():
     found = procedures.parameters_of("CREATE PROCEDURE p @a INT, @b AS VARCHAR(20) = 'x,y' OUTPUT, @c DECIMAL(18, 2) = 1.5 with recompile\nAS\nBEGIN RETURN END")
     assert [tuple(p.values()) for p in found["parameters"]] == [("a", "IN", "INT", None), ("b", "OUT", "VARCHAR(20)", "'x,y'"), ("c", "IN", "DECIMAL(18,2)", "1.5")]
