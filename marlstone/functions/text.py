@@ -120,10 +120,14 @@ def tokens(text: Column, per: float = 3.5) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(per)).cast("long"))
 
 
-def clamped_tokens(wanted: Column, limit: Column, used: Column, margin: int = 200) -> Column:
-    """What a per-minute limit leaves: null limit, as wanted; too little, null."""
-    left = limit - used
-    return F.when(limit.isNull(), wanted).when(left >= margin, F.least(wanted, left))
+def clamped_tokens(wanted: Column, limit: Column, used: Column, margin: int = 200, floor: int = 200) -> Column:
+    """What a per-minute limit leaves after the prompt and a margin.
+
+    Without a limit as many as wanted; null if under ``floor`` are left, and
+    never fewer than that.
+    """
+    left = limit - used - margin
+    return F.when(limit.isNull(), wanted).when(left >= floor, F.greatest(F.lit(floor), F.least(wanted, left)))
 
 
 def shortened(text: Column, most: int) -> Column:

@@ -285,3 +285,42 @@ def reconciled_rules(rules: DataFrame, rows: DataFrame, linked: DataFrame, fallb
     alone = F.when(F.lower(F.trim(F.coalesce("rule_type", F.lit("")))) == "deterministic_decision_table", "MATCHED").otherwise("LLM_ONLY")
     status = F.when(F.col("n_rows") == 0, alone).when(F.expr("no_field or no_condition or no_outcome"), "CONFLICT").when(F.expr("field or condition or outcome"), "MATCHED").otherwise("UNRESOLVED")
     return against.select(*key, axis("field"), axis("condition"), axis("outcome"), status.alias("status"))
+
+
+def coverage_gaps(lines: DataFrame, rules: DataFrame, threshold: float = 0.3, gap: int = 2) -> DataFrame:
+    """Lines that no rule shows any sign of having read, by regions.
+
+    ``lines``: object_id, line, tokens, predicate (words and numbers of the
+    line's own filter, empty for others), literals (numbers of the line that the
+    filter has), cited (a rule quotes the line); ``rules``: object_id, rule_id,
+    tokens, predicate (words and numbers of its evidence).
+
+    A line's words are weighted by how few rules and regions of the object have
+    them.  A line of a filter is covered if a rule has two of the filter's words
+    (or its only one) and, if the line has numbers of it, one of them; any other
+    line if a rule has ``threshold`` of its weight and two of its words (or its
+    only one).  Neighbouring lines up to ``gap`` apart are a region.
+    """
+    from marlstone.operators.relate import islands
+
+    key = ["object_id", "line"]
+    some = lines.filter(F.size("tokens") > 0)
+    region = islands(some, ["object_id"], "line", gap)
+    groups = region.select("object_id", "island", F.explode("tokens").alias("token")).distinct()
+    told = rules.select("object_id", "rule_id", F.explode("tokens").alias("token")).distinct()
+    documents = groups.select("object_id", F.concat(F.lit("g"), "island").alias("doc"), "token").unionByName(told.select("object_id", F.concat(F.lit("r"), "rule_id").alias("doc"), "token"))
+    often = documents.groupBy("object_id", "token").agg(F.count("*").alias("df"))
+    counted = documents.groupBy("object_id").agg(F.count_distinct("doc").alias("n"))
+    weight = (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("weight")
+    own = some.select(*key, F.explode(F.array_distinct("tokens")).alias("token")).join(often, ["object_id", "token"]).join(counted, "object_id").select(*key, "token", weight)
+    total = own.groupBy(*key).agg(F.sum("weight").alias("total"), F.count("*").alias("n_tokens"))
+    shared = own.join(told, ["object_id", "token"]).groupBy(*key, "rule_id").agg(F.sum("weight").alias("shared"), F.count("*").alias("overlap"))
+    best = shared.groupBy(*key).agg(F.max(F.struct("shared", "overlap")).alias("b")).select(*key, "b.*")
+    filters = some.filter(F.size("predicate") > 0).select(*key, "predicate", "literals").join(rules.select("object_id", F.col("tokens").alias("said"), F.col("predicate").alias("known")), "object_id")
+    words = F.size(F.array_intersect("said", "predicate"))
+    enough = (words > 0) & ((F.size("predicate") < 2) | (words >= 2)) & ((F.size("literals") == 0) | F.arrays_overlap("literals", "known"))
+    covered = filters.groupBy(*key).agg(F.bool_or(F.coalesce(enough, F.lit(False))).alias("covered"))
+    all_ = some.join(total, key).join(best, key, "left").join(covered, key, "left")
+    thin = (F.coalesce(F.col("shared") / F.col("total"), F.lit(0.0)) < threshold) | ((F.col("n_tokens") >= 2) & (F.coalesce("overlap", F.lit(0)) < 2))
+    missed = all_.filter(~F.col("cited") & F.when(F.size("predicate") > 0, ~F.coalesce("covered", F.lit(False))).otherwise(thin))
+    return islands(missed.select(*key), ["object_id"], "line", gap).groupBy("object_id", "island").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("n_lines")).drop("island")

@@ -68,6 +68,57 @@ def token_usage(usage: Column) -> Column:
     return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), total.alias("total_tokens"), state.alias("availability"))
 
 
+def usage_summary(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Tokens of calls, summed as far as they are known.
+
+    ``calls``: usage, a struct of ``token_usage``.  A total that no call tells
+    is the sum of the other two; it is available only if all numbers are.
+    """
+    tokens = ("prompt_tokens", "completion_tokens", "total_tokens")
+    state = lambda c: F.when(F.count(c) == 0, "unavailable").when(F.count(c) == F.count(F.lit(1)), "available").otherwise("partial")
+    of = [x for c in tokens for x in (F.sum(f"usage.{c}").alias(c), state(F.col(f"usage.{c}")).alias(f"s_{c}"))]
+    s = calls.groupBy(*by).agg(*of, F.count("*").alias("n_calls"))
+    derived = F.col("total_tokens").isNull() & F.col("prompt_tokens").isNotNull() & F.col("completion_tokens").isNotNull()
+    both = (F.col("s_prompt_tokens") == "available") & (F.col("s_completion_tokens") == "available")
+    s = s.withColumn("s_total_tokens", F.when(derived, F.when(both, "available").otherwise("partial")).otherwise(F.col("s_total_tokens"))).withColumn("total_tokens", F.when(derived, F.col("prompt_tokens") + F.col("completion_tokens")).otherwise(F.col("total_tokens")))
+    states = F.array_distinct(F.array(*(f"s_{c}" for c in tokens)))
+    whole = F.when(F.size(states) == 1, F.when(F.get(states, F.lit(0)) == "partial", "partial").otherwise(F.get(states, F.lit(0)))).otherwise("partial")
+    return s.select(*by, *tokens, whole.alias("availability"), "n_calls")
+
+
+def coverage_metrics(statements: DataFrame, records: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """An object's counts for its quality.
+
+    ``statements``: object_id, parsed; ``records``: object_id, kind, status,
+    supported (has deterministic evidence), unsupported (its dialect is);
+    ``contradictions``: object_id, review.  What review is for and what a score
+    counts differ: a score takes what only a model says, and contradictions, on
+    their own.
+    """
+    is_rule = F.col("kind") == "rule"
+    state = lambda name: F.col("status") == name
+    shaky = F.col("unsupported") & state("MATCHED")
+    parsed = statements.groupBy("object_id").agg(F.count("*").alias("total_statements"), F.count_if("parsed").alias("parsed_statements"))
+    counted = records.groupBy("object_id").agg(
+        F.count_if(is_rule).alias("synthesized_rules"), F.count_if(is_rule & F.col("supported")).alias("rules_with_deterministic_support"), F.count_if(state("LLM_ONLY")).alias("llm_only_rules"), F.count_if(state("DETERMINISTIC_ONLY")).alias("deterministic_only_facts"),
+        F.count_if(state("CONFLICT")).alias("conflicts"), F.count_if(state("CONFLICT") | state("LLM_ONLY") | state("UNRESOLVED") | shaky).alias("__review"), F.count_if(state("CONFLICT") | state("UNRESOLVED") | shaky).alias("unresolved_for_scoring"),
+    )
+    against = contradictions.groupBy("object_id").agg(F.count("*").alias("contradictions"), F.count_if("review").alias("__more"))
+    whole = parsed.join(counted, "object_id", "full").join(against, "object_id", "full")
+    whole = whole.na.fill(0, [c for c in whole.columns if c != "object_id"])
+    share = lambda part, of: F.when(F.col(of) > 0, F.round(100.0 * F.col(part) / F.col(of), 1))
+    return whole.select(
+        "object_id", "total_statements", "parsed_statements", (F.col("total_statements") - F.col("parsed_statements")).alias("unparsed_statements"), "synthesized_rules", "rules_with_deterministic_support", "llm_only_rules", "deterministic_only_facts", "conflicts", "contradictions",
+        (F.col("__review") + F.col("__more")).alias("review_required_items"), "unresolved_for_scoring", share("parsed_statements", "total_statements").alias("statement_parse_success_pct"), share("rules_with_deterministic_support", "synthesized_rules").alias("rule_grounding_pct"),
+    )
+
+
+def section_ceiling(most: Column, limit: Column, prompt: int = 5200, margin: int = 200, each: int = 256) -> Column:
+    """Tokens to plan sections for: what a model can give, within what an
+    account's limit per minute leaves beside the prompt."""
+    return F.when(limit.isNull(), most).otherwise(F.greatest(F.lit(each), F.least(most, limit - prompt - margin)))
+
+
 def output_tokens(points: Column, requested: Column, base: int = 16000, each: int = 256) -> Column:
     """Tokens that an answer on so many decision points needs."""
     return F.greatest(F.coalesce(requested, F.lit(0)), F.lit(base)) + points * each

@@ -135,14 +135,14 @@ def c_merge_text(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", found["merge"].alias("merge"), found["matched"].alias("matched"), found["unmatched"].alias("unmatched"))
 
 
-@add("""SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AND o_orderkey % 3 < 2 AS status_update, o_orderkey % 6 IN (0, 1, 2) OR o_orderkey % 6 = 4 AS audit, CASE WHEN o_orderkey % 5 = 0 THEN ['rate'] ELSE [] END AS uncertain, CASE o_orderkey % 6 WHEN 0 THEN 'SMA_MARKING' WHEN 1 THEN 'usp_calc' WHEN 2 THEN 'rpt' WHEN 3 THEN '_2023' WHEN 4 THEN 'proc_a_b_c' ELSE 'Plain' END AS business FROM orders""")
+@add("""SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AND o_orderkey % 3 < 2 AS status_update, o_orderkey % 6 IN (0, 1, 2) OR o_orderkey % 6 = 4 AS audit, CASE WHEN o_orderkey % 5 = 0 THEN ['rate'] ELSE [] END AS uncertain, CASE o_orderkey % 6 WHEN 0 THEN 'LOAN_GRADES' WHEN 1 THEN 'usp_calc' WHEN 2 THEN 'rpt' WHEN 3 THEN '_2023' WHEN 4 THEN 'proc_a_b_c' ELSE 'Plain' END AS business FROM orders""")
 def c_object_texts(t: Tables) -> DataFrame:
     """Bookkeeping writes and tables, uncertain scales, names of copies."""
     code = F.concat(F.when(k() % 4 < 2, "UPDATE PRO.RunningProcessStatus ").otherwise("UPDATE PRO.Accounts "), F.when(k() % 3 == 0, "SET Completed = 'Y'").when(k() % 3 == 1, "SET ErrorDate=NULL").otherwise("SET Other = 1"))
     table = pick(k(), 6, "PRO.RunStatus", "dbo.Account_History", "x.ProcessMonitor", "dbo.Accounts", "dbo.Accounts", "dbo.Customers")
     columns = F.when(k() % 6 == 4, F.array(F.lit("StartTime"), F.lit("END_TIME"))).otherwise(F.array(F.lit("EndTime"), F.lit("Amount")))
     formula = F.when(k() % 5 == 0, "rate := 0.5; x = y / z; t = rate / 12").when(k() % 5 == 1, "rate = 2.5; t = rate / 12").otherwise("share = 0.5; t = share * 12")
-    name = pick(k(), 6, "SMA_MARKING_12122023", "usp_calc_v2_20231212", "rpt_final2_BAK_old", "_2023", "proc_a_b_c", "Plain")
+    name = pick(k(), 6, "LOAN_GRADES_12122023", "usp_calc_v2_20231212", "rpt_final2_BAK_old", "_2023", "proc_a_b_c", "Plain")
     return t.orders.select("o_orderkey", classify.is_status_update(code).alias("status_update"), classify.is_audit_table(table, columns).alias("audit"), classify.fractional_divisors(formula).alias("uncertain"), text.business_name(name).alias("business"))
 
 
@@ -156,14 +156,14 @@ def tel_token_usage(t: Tables) -> DataFrame:
 
 
 @add("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 5000 WHEN 1 THEN 32768 WHEN 2 THEN 8192 WHEN 3 THEN NULL ELSE NULL END AS ceiling, greatest(CASE WHEN o_orderkey % 2 = 0 THEN 20000 ELSE 0 END, 16000) + o_orderkey % 90 * 256 AS needed,
-greatest(CASE WHEN o_orderkey % 2 = 0 THEN 20000 ELSE 0 END, 16000) + o_orderkey % 90 * 256 > 32768 AS sectioned, o_orderkey % 3 <> 2 AND ceil(o_orderkey % 200000 / 3.5) <= 20000 AS single_pass FROM orders""")
+greatest(CASE WHEN o_orderkey % 2 = 0 THEN 20000 ELSE 0 END, 16000) + o_orderkey % 90 * 256 > CASE WHEN o_orderkey % 7 = 0 THEN greatest(256, least(32768, o_orderkey % 50000 - 5400)) ELSE 32768 END AS sectioned, o_orderkey % 3 <> 2 AND ceil(o_orderkey % 200000 / 3.5) <= 20000 AS single_pass FROM orders""")
 def t_budgets(t: Tables) -> DataFrame:
     """Ceilings of models, tokens of an answer, and what one call can take."""
     ceiling = classify.output_ceiling(pick(k(), 5, "Bedrock", "bedrock", "groq", "groq", "openai"), pick(k(), 5, "amazon.nova-lite-v1:0", "other", "llama-3.1-8b-instant", "other", "gpt"))
     needed = measures.output_tokens(k() % 90, F.when(k() % 2 == 0, 20000))
     dialect = pick(k(), 3, "ORACLE", "TSQL", "UNSUPPORTED")
     single = dialect.isin("ORACLE", "TSQL") & (text.tokens(F.repeat(F.lit("x"), (k() % 200000).cast("int"))) <= 20000)
-    return t.orders.select("o_orderkey", ceiling.alias("ceiling"), needed.alias("needed"), (needed > 32768).alias("sectioned"), single.alias("single_pass"))
+    return t.orders.select("o_orderkey", ceiling.alias("ceiling"), needed.alias("needed"), (needed > measures.section_ceiling(F.lit(32768), F.when(k() % 7 == 0, k() % 50000))).alias("sectioned"), single.alias("single_pass"))
 
 
 def rules(t: Tables) -> DataFrame:
@@ -427,3 +427,52 @@ WHERE NOT (m.side = 1 AND EXISTS (SELECT 1 FROM r x WHERE x.side = 0 AND x.o = m
 def r_merged_halves(t: Tables) -> DataFrame:
     """The matched and the new half of an upsert as one rule."""
     return suppress.merged_halves(told_rules(t)).select("rule_id", F.size("rows").alias("n_rows"))
+
+
+_WORDS = "CASE {0} % 6 WHEN 0 THEN ['amount', 'limit', 'open'] WHEN 1 THEN ['amount'] WHEN 2 THEN ['status', 'closed'] WHEN 3 THEN ['grade', 'amount', 'days'] WHEN 4 THEN ['days'] ELSE ['region', 'branch', 'days', 'open'] END"
+
+
+@add(f"""WITH l AS (SELECT DISTINCT o_custkey AS o, o_orderkey % 40 AS line FROM orders), ln AS (SELECT o, line, {_WORDS.format('line')} AS t, CASE WHEN line % 5 = 0 THEN ['amount', 'open', '90'] ELSE [] END AS p, CASE WHEN line % 10 = 0 THEN ['90'] ELSE [] END AS lits, line % 11 = 0 AS cited FROM l),
+ru AS (SELECT c_custkey AS o, c_custkey AS id, {_WORDS.format('c_custkey')} AS t, CASE WHEN c_custkey % 2 = 0 THEN ['amount', '90'] ELSE ['amount'] END AS k FROM customer),
+b AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY o ORDER BY line) <= 2 THEN 0 ELSE 1 END AS br FROM ln), g AS (SELECT *, sum(br) OVER (PARTITION BY o ORDER BY line) AS g FROM b),
+d AS (SELECT DISTINCT o, 'g' || g AS doc, unnest(t) AS w FROM g UNION SELECT DISTINCT o, 'r' || id, unnest(t) FROM ru), df AS (SELECT o, w, count(*) AS df FROM d GROUP BY ALL), n AS (SELECT o, count(DISTINCT doc) AS n FROM d GROUP BY o),
+w AS (SELECT x.o, line, x.w, ln((n + 1) / (df + 1)) + 1 AS wt FROM (SELECT o, line, unnest(t) AS w FROM ln) x JOIN df ON df.o = x.o AND df.w = x.w JOIN n ON n.o = x.o),
+s AS (SELECT w.o, line, sum(wt) AS shared, count(*) AS ov FROM w JOIN ru ON ru.o = w.o AND list_contains(ru.t, w.w) GROUP BY ALL), tot AS (SELECT o, line, sum(wt) AS total, count(*) AS nt FROM w GROUP BY ALL),
+m AS (SELECT ln.o, ln.line FROM ln JOIN tot USING (o, line) LEFT JOIN s USING (o, line) LEFT JOIN ru ON ru.o = ln.o WHERE NOT cited AND CASE WHEN len(p) > 0 THEN NOT coalesce(len(list_intersect(ru.t, p)) >= 2 AND (len(lits) = 0 OR list_has_any(lits, k)), FALSE) ELSE coalesce(shared / total, 0) < 0.3 OR (nt >= 2 AND coalesce(ov, 0) < 2) END),
+b2 AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY o ORDER BY line) <= 2 THEN 0 ELSE 1 END AS br FROM m), g2 AS (SELECT *, sum(br) OVER (PARTITION BY o ORDER BY line) AS g FROM b2)
+SELECT o AS object_id, min(line) AS first_line, max(line) AS last_line, count(*) AS n_lines FROM g2 GROUP BY o, g""")
+def j_coverage_gaps(t: Tables) -> DataFrame:
+    """Regions that no rule shows any sign of having read."""
+    texts = lambda *values: F.array(*map(F.lit, values)).cast("array<string>")
+    words = lambda by: pick(by, 6, texts("amount", "limit", "open"), texts("amount"), texts("status", "closed"), texts("grade", "amount", "days"), texts("days"), texts("region", "branch", "days", "open"))
+    own = t.orders.select(F.col("o_custkey").alias("object_id"), (k() % 40).alias("line")).distinct()
+    n = F.col("line")
+    lines = own.select("object_id", "line", words(n).alias("tokens"), F.when(n % 5 == 0, texts("amount", "open", "90")).otherwise(texts()).alias("predicate"), F.when(n % 10 == 0, texts("90")).otherwise(texts()).alias("literals"), (n % 11 == 0).alias("cited"))
+    c = F.col("c_custkey")
+    told = t.customer.select(c.alias("object_id"), c.alias("rule_id"), words(c).alias("tokens"), F.when(c % 2 == 0, texts("amount", "90")).otherwise(texts("amount")).alias("predicate"))
+    return evidence.coverage_gaps(lines, told)
+
+
+@add("""WITH u AS (SELECT o_custkey AS g, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS p, CASE WHEN o_custkey % 3 > 0 THEN o_orderkey % 100 END AS c, CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 2 = 0 THEN o_orderkey * 2 END AS x FROM orders), v AS (SELECT *, coalesce(x, p + c) AS t FROM u),
+s AS (SELECT g, sum(p) AS p, sum(c) AS c, sum(t) AS t, count(*) AS n, count(p) AS np, count(c) AS nc, count(t) AS nt FROM v GROUP BY g),
+z AS (SELECT *, CASE WHEN np = 0 THEN 'unavailable' WHEN np = n THEN 'available' ELSE 'partial' END AS sp, CASE WHEN nc = 0 THEN 'unavailable' WHEN nc = n THEN 'available' ELSE 'partial' END AS sc, CASE WHEN t IS NULL AND p IS NOT NULL AND c IS NOT NULL THEN CASE WHEN np = n AND nc = n THEN 'available' ELSE 'partial' END WHEN nt = 0 THEN 'unavailable' WHEN nt = n THEN 'available' ELSE 'partial' END AS st FROM s)
+SELECT g AS object_id, CAST(p AS BIGINT) AS prompt_tokens, CAST(c AS BIGINT) AS completion_tokens, CAST(coalesce(t, p + c) AS BIGINT) AS total_tokens, CASE WHEN sp = sc AND sc = st THEN sp ELSE 'partial' END AS availability, n AS n_calls FROM z""")
+def tel_usage_summary(t: Tables) -> DataFrame:
+    """Tokens of calls by object, as far as they are known."""
+    c = F.col("o_custkey")
+    told = F.to_json(F.struct(F.when(k() % 2 == 0, k()).alias("prompt_tokens"), F.when(c % 3 > 0, k() % 100).alias("completion_tokens"), F.when((c % 5 == 0) & (k() % 2 == 0), k() * 2).alias("total_tokens")))
+    return measures.usage_summary(t.orders.select(c.alias("object_id"), measures.token_usage(told).alias("usage")), ["object_id"])
+
+
+@add("""WITH s AS (SELECT c_custkey AS o, 3 AS ts, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 2 END AS ps FROM customer), r AS (SELECT o_custkey AS o, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS ru, count(*) FILTER (WHERE o_orderkey % 3 > 0 AND o_orderkey % 2 = 0) AS su, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS ll, count(*) FILTER (WHERE o_orderkey % 5 = 1) AS de, count(*) FILTER (WHERE o_orderkey % 5 = 2) AS co,
+count(*) FILTER (WHERE o_orderkey % 5 IN (0, 2, 3) OR (o_orderkey % 5 = 4 AND o_custkey % 7 = 0)) AS re, count(*) FILTER (WHERE o_orderkey % 5 IN (2, 3) OR (o_orderkey % 5 = 4 AND o_custkey % 7 = 0)) AS un FROM orders GROUP BY 1), c AS (SELECT o_custkey AS o, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS more FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+j AS (SELECT coalesce(s.o, r.o) AS o, coalesce(ts, 0) AS ts, coalesce(ps, 0) AS ps, coalesce(ru, 0) AS ru, coalesce(su, 0) AS su, coalesce(ll, 0) AS ll, coalesce(de, 0) AS de, coalesce(co, 0) AS co, coalesce(re, 0) AS re, coalesce(un, 0) AS un FROM s FULL JOIN r ON s.o = r.o)
+SELECT j.o AS object_id, ts AS total_statements, ps AS parsed_statements, ts - ps AS unparsed_statements, ru AS synthesized_rules, su AS rules_with_deterministic_support, ll AS llm_only_rules, de AS deterministic_only_facts, co AS conflicts, coalesce(n, 0) AS contradictions, re + coalesce(more, 0) AS review_required_items, un AS unresolved_for_scoring,
+CASE WHEN ts > 0 THEN round(100.0::DOUBLE * ps / ts, 1) END AS statement_parse_success_pct, CASE WHEN ru > 0 THEN round(100.0::DOUBLE * su / ru, 1) END AS rule_grounding_pct FROM j LEFT JOIN c ON c.o = j.o""")
+def m_coverage_metrics(t: Tables) -> DataFrame:
+    """Counts and percentages of an object's statements, rules and findings."""
+    c = F.col("c_custkey")
+    said = t.customer.select(c.alias("object_id"), F.explode(F.array(F.lit(True), F.lit(True), c % 2 == 0)).alias("parsed"))
+    records = t.orders.select(F.col("o_custkey").alias("object_id"), F.when(k() % 3 > 0, "rule").otherwise("coverage").alias("kind"), pick(k(), 5, "LLM_ONLY", "DETERMINISTIC_ONLY", "CONFLICT", "UNRESOLVED", "MATCHED").alias("status"), (k() % 2 == 0).alias("supported"), (F.col("o_custkey") % 7 == 0).alias("unsupported"))
+    against = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("object_id"), (k() % 4 == 0).alias("review"))
+    return measures.coverage_metrics(said, records, against)

@@ -22,7 +22,7 @@ def t_guardrails(t: Tables) -> DataFrame:
     return g.select("doc_id", F.length("g.text").alias("n"), F.col("g.rejected").alias("rejected"), F.size("g.warnings").alias("n_warnings"), F.sha2("g.text", 256).alias("sha"))
 
 
-@add("SELECT doc_id, greatest(1, CAST(ceil(length(text) / CAST(3.5 AS DOUBLE)) AS BIGINT)) AS n_tokens, CASE WHEN lim IS NULL THEN 5000 WHEN lim - n_chars >= 200 THEN least(5000, lim - n_chars) END AS granted FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 3000 END AS lim FROM documents)")
+@add("SELECT doc_id, greatest(1, CAST(ceil(length(text) / CAST(3.5 AS DOUBLE)) AS BIGINT)) AS n_tokens, CASE WHEN lim IS NULL THEN 5000 WHEN lim - n_chars - 200 >= 200 THEN greatest(200, least(5000, lim - n_chars - 200)) END AS granted FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 3000 END AS lim FROM documents)")
 def t_token_estimate(t: Tables) -> DataFrame:
     limit = F.when(F.col("doc_id") % 4 != 0, 3000)
     return t.documents.select("doc_id", text.tokens(F.col("text")).alias("n_tokens"), text.clamped_tokens(F.lit(5000), limit, F.col("n_chars")).alias("granted"))
