@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -328,3 +330,70 @@ def is_audit_table(name: Column, columns: Column) -> Column:
     listed = F.lower(F.array_join(F.coalesce(columns, F.array().cast("array<string>")), " "))
     hits = sum((F.when(listed.contains(c), 1).otherwise(0) for c in BOOKKEEPING), F.lit(0))
     return name.rlike(r"(?i)HISTORY|MOVEMENT|AUDIT_LOG|AUDIT_TRAIL|RUNSTATUS|PROCESSMONITOR|PROCESS_MONITOR|JOBLOG|JOB_LOG|ERRORLOG|ERROR_LOG") | (hits >= 2)
+
+
+#: Phrases for all other rows, and words that say nothing of an outcome.
+OTHERWISE = ("else", "otherwise", "default", "all other cases")
+FILLERS = r"\b(?:is|are|was|were|becomes?|become|classified|classification|status|field|value)\b"
+
+
+def told_condition(text: Column) -> Column:
+    """Struct (left, op, right) of a condition in SQL or plain words; else null.
+
+    Conditions of days without a field have the left side __implicit__, the
+    branches of a MERGE __merge__, all other rows __catch_all__.
+    """
+    raw = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+    plain = F.replace(raw, F.lit("_"), F.lit(" "))
+    part = lambda p, i: F.regexp_extract(plain, p, i)
+    name = lambda x: F.replace(F.trim(F.translate(x, '[]"`', "")), F.lit(" "), F.lit("_"))
+    made = lambda left, op, right: F.struct(left.alias("left"), op.alias("op"), right.alias("right"))
+    of = lambda *texts: made(*map(F.lit, texts))
+    number, field = r"(\d+(?:\.\d+)?)", r"([a-z0-9 .]+?)"
+    c = comparison(raw)
+    days_between, days = rf"^{number}\s*(?:to|-)\s*{number}\s+days?\b", rf"^(<=|>=|<|>|more than|over|at most|at least|less than)\s*{number}\s+days?\b"
+    word = part(days, 1)
+    sign = F.when(word.isin("more than", "over"), ">").when(word == "at least", ">=").when(word == "at most", "<=").when(word == "less than", "<").otherwise(word)
+    empty = rf"^{field}\s+(?:is\s+)?(not\s+)?(?:null|missing|empty)$"
+    between = rf"{field}\s+(?:is\s+)?between\s+{number}\s+and\s+{number}"
+    out = (
+        F.when(raw == "", None).when(raw.isin(*OTHERWISE), of("__catch_all__", "", "")).when(raw.isin("source row matches target", "when matched", "matched"), of("__merge__", "matched", ""))
+        .when(raw.isin("source row does not match target", "when not matched", "not matched") | raw.contains("non-matching") | raw.contains("not matched"), of("__merge__", "not_matched", ""))
+        .when(c.isNotNull(), F.when((c["op"] == "=") & c["left"].contains("target") & c["right"].contains("src"), of("__merge__", "matched", "")).otherwise(made(name(c["left"]), c["op"], c["right"])))
+        .when(plain.rlike(days_between), made(F.lit("__implicit__"), F.lit("between"), F.concat(part(days_between, 1), F.lit(".."), part(days_between, 2))))
+        .when(plain.rlike(days), made(F.lit("__implicit__"), sign, part(days, 2)))
+        .when(plain.rlike(empty), made(name(part(empty, 1)), F.when(part(empty, 2) != "", "isnotnull").otherwise("isnull"), F.lit("null")))
+        .when(plain.rlike(between), made(name(part(between, 1)), F.lit("between"), F.concat(part(between, 2), F.lit(".."), part(between, 3))))
+    )
+    for phrase, op in ((r"(?:greater than|more than|exceeds|over)", ">"), (r"(?:at least|greater than or equal to)", ">="), (r"(?:less than|under)", "<"), (r"(?:at most|less than or equal to)", "<=")):
+        p = rf"{field}\s+(?:is\s+)?{phrase}\s+{number}"
+        out = out.when(plain.rlike(p), made(name(part(p, 1)), F.lit(op), part(p, 2)))
+    return out
+
+
+def conditions_agree(a: Column, b: Column) -> Column:
+    """Whether two ``told_condition`` say the same; null if one says nothing."""
+    implicit = (a["left"] == "__implicit__") | (b["left"] == "__implicit__")
+    return F.when(a.isNotNull() & b.isNotNull(), (a["op"] == b["op"]) & (a["right"] == b["right"]) & (implicit | (a["left"] == b["left"])))
+
+
+#: Words that two outcomes needn't share.
+OUTCOME_STOP = tuple("a an and are as at by for from if in into is it of on or row rows set sets setting the then to update updates updated with when where this that account record days day value values field fields based upon specified only".split())
+
+
+def told_outcome(text: Column, stop: Sequence[str] = OUTCOME_STOP) -> Column:
+    """Distinct words of an outcome: of the right side of an assignment, without
+    fillers; letters that stand alone in capitals count."""
+    said = F.trim(F.coalesce(text, F.lit("")))
+    right = F.regexp_replace(said, r"^\s*[\w.\[\]@#]+\s*:?=\s*", "")
+    raw = F.regexp_replace(F.translate(F.lower(right), "_-", "  "), FILLERS, " ")
+    same = lambda w: F.when(w == "pct", "percentage").when(w == "provisioning", "provision").otherwise(w)
+    words = F.transform(F.regexp_extract_all(raw, F.lit(r"[a-z][a-z0-9]*|\d+(?:\.\d+)?"), F.lit(0)), same)
+    letters = F.transform(F.regexp_extract_all(said, F.lit(r"\b[A-Z]\b"), F.lit(0)), F.lower)
+    return F.array_sort(F.array_union(F.filter(words, lambda w: ~w.isin(*stop)), letters))
+
+
+def outcomes_agree(a: Column, b: Column) -> Column:
+    """Whether one of two ``told_outcome`` has all words of the other; null if one is empty."""
+    within = lambda x, y: F.size(F.array_except(x, y)) == 0
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), within(a, b) | within(b, a))

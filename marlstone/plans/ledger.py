@@ -476,3 +476,25 @@ def m_coverage_metrics(t: Tables) -> DataFrame:
     records = t.orders.select(F.col("o_custkey").alias("object_id"), F.when(k() % 3 > 0, "rule").otherwise("coverage").alias("kind"), pick(k(), 5, "LLM_ONLY", "DETERMINISTIC_ONLY", "CONFLICT", "UNRESOLVED", "MATCHED").alias("status"), (k() % 2 == 0).alias("supported"), (F.col("o_custkey") % 7 == 0).alias("unsupported"))
     against = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("object_id"), (k() % 4 == 0).alias("review"))
     return measures.coverage_metrics(said, records, against)
+
+
+_TOLD_CONDITIONS = [
+    ("Otherwise", "__catch_all__", "", ""), ("When  Matched", "__merge__", "matched", ""), ("rows not matched by source", "__merge__", "not_matched", ""), ("Dpd_Days > 90", "dpd_days", ">", "90"), ("31 to 60 days past", "__implicit__", "between", "31..60"), ("more than 90 days", "__implicit__", ">", "90"),
+    (">= 5 days", "__implicit__", ">=", "5"), ("Due_Date is not null", "due_date", "isnotnull", "null"), ("amount missing", "amount", "isnull", "null"), ("days due between 1 and 30", "days_due", "between", "1..30"), ("Days due exceeds 90", "days_due", ">", "90"), ("balance is at least 10.5", "balance", ">=", "10.5"), ("risk under 7", "risk", "<", "7"),
+    ("some prose only", None, None, None), (" ", None, None, None),
+]
+
+
+@add("SELECT o_orderkey, l AS \"left\", op, r AS \"right\" FROM orders JOIN (VALUES " + ", ".join(f"({i}, " + ", ".join("NULL" if v is None else f"'{v}'" for v in x[1:]) + ")" for i, x in enumerate(_TOLD_CONDITIONS)) + f") v(i, l, op, r) ON o_orderkey % {len(_TOLD_CONDITIONS)} = i")
+def c_told_conditions(t: Tables) -> DataFrame:
+    """Conditions in SQL or plain words as field, operator and value."""
+    found = classify.told_condition(pick(k(), len(_TOLD_CONDITIONS), *(x[0] for x in _TOLD_CONDITIONS)))
+    return t.orders.select("o_orderkey", found.alias("c")).select("o_orderkey", "c.left", "c.op", "c.right")
+
+
+@add("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN FALSE END AS conditions, CASE o_orderkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS outcomes FROM orders""")
+def c_told_matches(t: Tables) -> DataFrame:
+    """Whether two tellings of a condition, or of an outcome, agree."""
+    a, b = pick(k(), 4, "days > 90", "over 90 days", "days > 90", "prose"), pick(k(), 4, "Days exceeds 90", "overdue > 90", "days > 30", "days > 90")
+    x, y = pick(k(), 3, "Grade = 'LOSS'", "classified as A", ""), pick(k(), 3, "Set to loss", "classified as B", "loss")
+    return t.orders.select("o_orderkey", classify.conditions_agree(classify.told_condition(a), classify.told_condition(b)).alias("conditions"), classify.outcomes_agree(classify.told_outcome(x), classify.told_outcome(y)).alias("outcomes"))
