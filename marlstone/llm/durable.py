@@ -51,7 +51,8 @@ def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         drop(spark, folder)
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Gives memory that is free back to the machine."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -66,4 +67,4 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, max(batch.num_rows, 1), ROWS):
             yield batch.slice(at, ROWS)
-    _trim()
+    trim()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.durable import durable, released
-from marlstone.llm.token_table import bare_words, table
+from marlstone.llm.token_table import bare_words, done, table
 
 FAN_IN = 16
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -101,6 +101,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, open_w
             close(None, pieces)
         if rows:
             yield batch_of()
+        done()
 
     def merge(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

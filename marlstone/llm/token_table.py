@@ -16,10 +16,13 @@ from __future__ import annotations
 import os
 import re
 import sys
+import threading
 from array import array
 from collections.abc import Callable
 
-GENERATION = 200_000
+from marlstone.llm.durable import trim
+
+GENERATION = 800_000
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are written as little-endian integers of four bytes")
 
@@ -89,16 +92,36 @@ class WordTable:
 
 
 _TABLES: dict[tuple[str, str], WordTable] = {}
+#: Seconds after its last task in which a worker that waits keeps its tables.
+KEPT = 5.0
+_timer: threading.Timer | None = None
 
 
 def table(path: str, split: Callable[[str], list]) -> WordTable:
-    """This worker's table; a worker that is used again keeps it."""
+    """This worker's table; a worker that is used again soon keeps it."""
+    if _timer is not None:
+        _timer.cancel()
     key = (path, split.__name__)
     if key not in _TABLES:
         _TABLES[key] = WordTable(path, split)
     return _TABLES[key]
 
 
+def _forget() -> None:
+    _TABLES.clear()
+    trim()
+
+
+def done() -> None:
+    """Called at the end of a task: lets go of all tables unless a task comes soon."""
+    global _timer
+    if _timer is not None:
+        _timer.cancel()
+    _timer = threading.Timer(KEPT, _forget)
+    _timer.daemon = True
+    _timer.start()
+
+
 def pieces(path: str) -> list[bytes]:
     """Bytes of every id of a byte-level vocabulary: the id-to-piece table."""
     from tokenizers import Tokenizer
