@@ -9,6 +9,7 @@ from marlstone.functions import classify, masking, procedures, splitting, sqlops
 from marlstone.operators import dedup, measures, relate, report
 from marlstone.plans.common import Catalogue, Tables
 from marlstone.plans.fixtures import TEMPLATES, expected, objects
+from marlstone.session import checkpointed
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.sql
@@ -207,7 +208,8 @@ _FLOWS = [
 def e_dependencies(t: Tables) -> DataFrame:
     """Which statement feeds which, through tables."""
     ops = sqlops.with_reads_of_writes(operations(t))
-    return relate.dependencies(ops.select("object_id", F.col("pos").alias("statement_id"), F.col("pos").alias("ord"), "table_name", "operation", F.col("columns").alias("fields"), (F.col("predicate") != "").alias("conditional")))
+    # read on both sides of a join, taken apart once
+    return relate.dependencies(checkpointed(ops.select("object_id", F.col("pos").alias("statement_id"), F.col("pos").alias("ord"), "table_name", "operation", F.col("columns").alias("fields"), (F.col("predicate") != "").alias("conditional"))))
 
 
 @add(f"""SELECT c_custkey AS caller, replace(target, '§N', CAST(c_nationkey AS VARCHAR)) AS target, CASE WHEN target LIKE '%Settle7' THEN (SELECT c_custkey FROM customer WHERE c_custkey = 7) END AS callee FROM customer JOIN (VALUES (0, 'n§N.Notify'), (5, 'n§N.StepB'), (5, 'n§N.Settle7')) v(template, target) ON c_custkey % {len(TEMPLATES)} = template""")
@@ -348,7 +350,7 @@ _SHOWN = [
 @add(expected("pos predicate", _SHOWN))
 def e_rewritten(t: Tables) -> DataFrame:
     """Filters with tables for aliases."""
-    o = operations(t)
+    o = checkpointed(operations(t).select("object_id", "dialect", "pos", "op_index", "table_name", "alias", "predicate"))
     first = o.filter("op_index = 0 and predicate <> '' and dialect <> 'ORACLE'").join(relate.alias_maps(o), "object_id", "left")
     known = F.coalesce("aliases", F.create_map().cast("map<string,string>"))
     return first.select("object_id", "pos", text.rewritten(F.col("predicate"), known).alias("predicate"))

@@ -100,7 +100,8 @@ END""".replace("Settle@", "Settle7"),
 
 
 def objects(customers: DataFrame) -> DataFrame:
-    """object_id, code."""
+    """object_id, code; dealt to all cores first, as code is long to read."""
+    customers = customers.select("c_custkey", "c_nationkey").repartition(customers.sparkSession.sparkContext.defaultParallelism, "c_custkey")
     template = F.get(F.array(*map(F.lit, TEMPLATES)), (F.col("c_custkey") % len(TEMPLATES)).cast("int"))
     filled = F.replace(F.replace(template, F.lit("§K"), F.col("c_custkey").cast("string")), F.lit("§N"), F.col("c_nationkey").cast("string"))
     return customers.select(F.col("c_custkey").alias("object_id"), filled.alias("code"))
