@@ -40,6 +40,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document of the least id of each group of near copies.
 
     Near copies have a Jaccard similarity of 0.8 or more of five-word shingles.
+    SimHash and vantage-point trees propose, the exact similarity decides, and a
+    prefix filter finds the near copies whose fingerprints are too far apart.
     Documents without an id stay, one of each set of shingles, if none with an
     id is among their near copies.
     """

@@ -1,8 +1,12 @@
-"""One document of each group of near copies, by exact Jaccard of shingles.
+"""One document of each group of near copies, by SimHash and exact Jaccard of shingles.
 
 Two documents are near copies if their sets of five-word shingles have a
 Jaccard similarity of at least NUM / DEN; groups are the connected components
-of that relation.  Equal sets are one key.  Sets that similar share one of
+of that relation.  Equal sets are one key.  Sets whose fingerprints (SimHash of
+the set) differ by at most ``RADIUS`` bits are found through vantage-point trees;
+their stars of links are compared exactly.  Most sets that are just similar
+enough differ by more bits than any tree can take, so the rest is found by their
+shingles, and no link depends on a fingerprint.  Sets that similar share one of
 their first n - ceil(n * NUM / DEN) + 1 shingles in any one order of all
 shingles (prefix filter), so each document is posted under those only, and no
 pair is missed.  The order takes shingles that are common in a sample last;
@@ -39,12 +43,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm import simhash
 from marlstone.llm.components import components
 from marlstone.llm.durable import durable, released, tables, unused
 
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, NUM, DEN = 5, 4, 5
 SEED = 42
+#: Bits by which fingerprints that the trees link may differ.
+RADIUS = 3
 #: Documents that the order of shingles is learned from, and common shingles kept.
 SAMPLE, COMMON = 4096, 1 << 17
 #: Documents of a common shingle that share a pivot.
@@ -144,21 +151,22 @@ def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, key, size, parities and sketch of the set of each text."""
+    """doc_id, key, size, fingerprint, parities and sketch of the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            keys, sizes, sketches, bits = [], [], [], np.zeros((batch.num_rows, LONGS), np.int64)
+            keys, sizes, fps, sketches, bits = [], [], [], [], np.zeros((batch.num_rows, LONGS), np.int64)
             for row, text in enumerate(batch.column(1)):
                 own = shingles(text.as_py())
                 keys.append(key_of(own))
                 sizes.append(len(own))
+                fps.append(simhash.majority(own))
                 sketches.append(sketch(own))
                 bits[row] = parities(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(LONGS)), pa.array(sketches, pa.binary())], ["doc_id", "key", "size", *PARITIES, "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(bits[:, i].copy()) for i in range(LONGS)), pa.array(sketches, pa.binary())], ["doc_id", "key", "size", "fp", *PARITIES, "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, size long, " + "".join(f"{p} long, " for p in PARITIES) + "sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, size long, fp long, " + "".join(f"{p} long, " for p in PARITIES) + "sketch binary")
 
 
 class _Fresh:
@@ -266,9 +274,20 @@ def similar(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
     return durable(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
+def by_fingerprint(points: DataFrame) -> DataFrame:
+    """Pairs of keys (a, b) that connect all sets within ``RADIUS`` bits."""
+    some = points.filter("size > 0").select("key", "fp")
+    named = durable(some.groupBy("fp").agg(F.min("key").alias("least")))
+    of = lambda c: named.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_key"))
+    stars = simhash.link(named, RADIUS).join(of("a"), "a").join(of("b"), "b").select("a_key", "b_key")
+    equal = some.join(named, "fp").filter("key <> least").select("key", "least")
+    return stars.union(equal).toDF("a", "b")
+
+
 def groups(docs: DataFrame, marked: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``key`` and ``root`` of all keys that have near copies."""
-    points = keep(marked.groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", *PARITIES, "sketch"))))
+    points = keep(marked.groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "fp", *PARITIES, "sketch"))))
+    near = by_fingerprint(points).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     own = Window.partitionBy("shingle", "salt")
     half = lambda bits: F.sum(F.shiftrightunsigned(F.xxhash64("key"), bits).bitwiseAND(F.lit(0xFFFFFFFF))).over(own)
     met = postings(docs).select("*", F.min("key").over(own).alias("__low"), F.max("key").over(own).alias("__high"), F.count("*").over(own).alias("n"), half(0).alias("__h"), half(32).alias("__g"))
@@ -288,7 +307,7 @@ def groups(docs: DataFrame, marked: DataFrame, keep: Callable[[DataFrame], DataF
     dealt = weighed.filter("salt >= 0").groupBy("crowd", "salt").agg(F.max(candidate).alias("own"))
     chief = dealt.groupBy("crowd").agg(F.max("own").alias("chief"))
     between = dealt.join(chief, "crowd").filter("own.key <> chief.key").select(*ordered(F.col("own.key"), F.col("chief.key")))
-    compared = durable(first.union(between).distinct())
+    compared = durable(near.union(first).union(between).distinct())
     links = similar(docs, points, compared)
 
     root = components(links).withColumnRenamed("node", "key")

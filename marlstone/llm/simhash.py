@@ -56,7 +56,12 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())]
     else:
         hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     set_bits = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
 

@@ -148,6 +148,41 @@ def test_near_copies_with_edited_words_are_linked(spark, docs):
     assert near_copies.one_of_each(frame.limit(0)).count() == 0
 
 
+def test_near_copies_are_linked_by_fingerprints_and_checked(spark, monkeypatch):
+    """Trees link all that is within their radius; of that stays what is similar."""
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"w{rng.integers(10**9)}" for _ in range(n)]
+    bits = lambda t: simhash.majority(near_copies.shingles(t))
+    texts = []
+    for _ in range(20):
+        base = some(600)
+        texts += [" ".join(base), " ".join(base[:300] + some(1) + base[301:]), " ".join(base + some(1))]
+    # fingerprints that are near by chance, of sets that are not similar enough
+    base = some(100)
+    texts.append(" ".join(base))
+    while (bits(" ".join(base)) ^ bits(other := " ".join(base + some(27)))).bit_count() > near_copies.RADIUS:
+        pass
+    texts.append(other)
+    within = brute.components([bits(t) for t in texts], near_copies.RADIUS)
+    exact = near_copies_by_brute_force(texts)
+    assert within[-2:] == [len(texts) - 2] * 2 and exact[-2:] == [len(texts) - 2, len(texts) - 1]
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marked = near_copies.marks(frame)
+    doc = {r["key"]: r["doc_id"] for r in marked.select("key", "doc_id").collect()}
+    linked = list(range(len(texts)))
+    for r in near_copies.by_fingerprint(marked).collect():
+        x, y = sorted((linked[doc[r["a"]]], linked[doc[r["b"]]]))
+        linked = [x if c == y else c for c in linked]
+    assert linked == within
+    found = lambda: {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(frame).collect()}
+    assert found() == dict(enumerate(exact))
+    # without postings only the trees link, and what they link is checked
+    postings = near_copies.postings
+    monkeypatch.setattr(near_copies, "postings", lambda docs: postings(docs).limit(0))
+    assert found() == dict(enumerate(within[:-1] + exact[-1:])) and any(c != i for i, c in enumerate(within[:-1]))
+
+
 KEY = "a key of tests"
 PERSONAL = "call +1 (743) 555-3824 or 152.143.123.131, pay 4785380592391139 or 4785 3805 9239 1139 not 2123465659789240; über.54@mail3.example.com token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" DE89 3704 0044 0532 0130 00, born 1987-02-28, 12/31/1999, 31.12.1999, no 31.02.1999, ssn 123-45-6789 not 000-45-6789"
 
