@@ -8,11 +8,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.arrow import mapped
+
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -158,8 +159,4 @@ def embed(text: str, size: int = 384) -> list[float]:
 
 
 def embedded(text: Column, size: int = 384) -> Column:
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed(t or "", size))
-
-    return run(text)
+    return mapped(lambda t: embed(t or "", size), "array<double>", text)

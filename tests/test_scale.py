@@ -26,3 +26,8 @@ def run_before_dealing(df):
 
 def test_use_of_tables_is_not_broadcast(spark, small):
     assert "Broadcast" not in plan(catalogue.queries()["e_dependencies"](spark, small))
+
+
+def test_objects_are_dealt_out_before_they_are_read(spark, small):
+    for name in ("t_statement_split", "t_go_batches", "e_table_operations", "e_predicates", "e_assignments", "e_decision_rows", "e_calculations", "t_pack_chunks", "e_gate_summary"):
+        assert not run_before_dealing(catalogue.queries()[name](spark, small)), name
