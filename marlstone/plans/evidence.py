@@ -15,7 +15,8 @@ _SPANS = "SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) % 100000 AS a, CAS
 
 
 def spans(t: Tables) -> DataFrame:
-    at = F.unix_seconds(F.col("ts").cast("timestamp")) % 100000
+    # to the nearest second, halves to the even one, as a cast in DuckDB rounds
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).cast("long") % 100000
     return t.events.select("user_id", "event_id", at.alias("start"), (at + 300).alias("end"), "event_type")
 
 

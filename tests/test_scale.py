@@ -31,3 +31,14 @@ def test_use_of_tables_is_not_broadcast(spark, small):
 def test_objects_are_dealt_out_before_they_are_read(spark, small):
     for name in ("t_statement_split", "t_go_batches", "e_table_operations", "e_predicates", "e_assignments", "e_decision_rows", "e_calculations", "t_pack_chunks", "e_gate_summary"):
         assert not run_before_dealing(catalogue.queries()[name](spark, small)), name
+
+
+def test_spans_start_at_the_nearest_second(spark, tmp_path):
+    """Fractions that floored seconds would pair wrongly; halves go to even."""
+    import duckdb
+    from compare import differences
+
+    seconds = [(1, 10.6, "purchase"), (2, 310.4, "view"), (3, 310.6, "view"), (4, 311.5, "view"), (5, 610.5, "purchase"), (6, 12.5, "view"), (7, 312.0, "purchase")]
+    rows = ", ".join(f"({i}, 1, '{kind}', TIMESTAMP '2024-01-01' + to_microseconds({round(s * 1e6)}))" for i, s, kind in seconds)
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) v(event_id, user_id, event_type, ts)) TO '{tmp_path}/events.parquet'")
+    assert differences(catalogue.queries()["j_overlap_spans"](spark, str(tmp_path)), catalogue.oracle_sql()["j_overlap_spans"], str(tmp_path)) == ""
