@@ -1,7 +1,5 @@
 """What plans must not do, as tables grow."""
 
-from pyspark.sql import functions as F
-
 from marlstone.operators import relate
 from marlstone.plans import catalogue
 
@@ -42,3 +40,14 @@ def test_spans_start_at_the_nearest_second(spark, tmp_path):
     rows = ", ".join(f"({i}, 1, '{kind}', TIMESTAMP '2024-01-01' + to_microseconds({round(s * 1e6)}))" for i, s, kind in seconds)
     duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) v(event_id, user_id, event_type, ts)) TO '{tmp_path}/events.parquet'")
     assert differences(catalogue.queries()["j_overlap_spans"](spark, str(tmp_path)), catalogue.oracle_sql()["j_overlap_spans"], str(tmp_path)) == ""
+
+
+def test_groups_are_matched_in_batches(spark):
+    """No frame a group; nulls agree on the section only, and each fact is taken once."""
+    schema = "o string, section string, pos long, t string, op string"
+    claims = spark.createDataFrame([("o", "w", 3, "A", "U"), ("o", None, 1, "A", "U"), ("o", "w", 2, None, "U"), ("p", "w", 1, "A", "U")], schema)
+    facts = spark.createDataFrame([("o", "w", 9, "A", "D"), ("o", "w", 8, "A", "U"), ("o", None, 5, "A", "U"), ("o", "w", 7, None, "U")], schema)
+    got = relate.one_to_one(claims, facts, "o", [("MATCHED", ["t", "op"]), ("CONFLICT", ["t"])])
+    assert "CoGroups" not in plan(got)
+    expected = {("o", None, 1, 5, "MATCHED"), ("o", "w", 2, None, "LLM_ONLY"), ("o", "w", 3, 8, "MATCHED"), ("o", "w", None, 7, "DETERMINISTIC_ONLY"), ("o", "w", None, 9, "DETERMINISTIC_ONLY"), ("p", "w", 1, None, "LLM_ONLY")}
+    assert {tuple(r) for r in got.collect()} == expected
