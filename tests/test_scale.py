@@ -22,8 +22,9 @@ def run_before_dealing(df):
     return False
 
 
-def test_use_of_tables_is_not_broadcast(spark, small):
-    assert "Broadcast" not in plan(catalogue.queries()["e_dependencies"](spark, small))
+def test_rows_of_objects_are_not_broadcast(spark, small):
+    for name in ("e_dependencies", "e_rewritten"):
+        assert "Broadcast" not in plan(catalogue.queries()[name](spark, small)), name
 
 
 def test_objects_are_dealt_out_before_they_are_read(spark, small):
