@@ -117,7 +117,12 @@ def business_name(name: Column) -> Column:
 
 
 def tokens(text: Column, per: float = 3.5) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(per)).cast("long"))
+    return tokens_of(F.length(text), per)
+
+
+def tokens_of(length: Column, per: float = 3.5) -> Column:
+    """Tokens of a text of so many characters."""
+    return F.greatest(F.lit(1), F.ceil(length / F.lit(per)).cast("long"))
 
 
 def clamped_tokens(wanted: Column, limit: Column, used: Column, margin: int = 200, floor: int = 200) -> Column:

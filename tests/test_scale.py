@@ -52,3 +52,7 @@ def test_groups_are_matched_in_batches(spark):
     assert "CoGroups" not in plan(got)
     expected = {("o", None, 1, 5, "MATCHED"), ("o", "w", 2, None, "LLM_ONLY"), ("o", "w", 3, 8, "MATCHED"), ("o", "w", None, 7, "DETERMINISTIC_ONLY"), ("o", "w", None, 9, "DETERMINISTIC_ONLY"), ("p", "w", 1, None, "LLM_ONLY")}
     assert {tuple(r) for r in got.collect()} == expected
+
+
+def test_tokens_of_a_length_need_no_text(spark, small):
+    assert "repeat(" not in plan(catalogue.queries()["t_budgets"](spark, small))
