@@ -56,3 +56,25 @@ def test_groups_are_matched_in_batches(spark):
 
 def test_tokens_of_a_length_need_no_text(spark, small):
     assert "repeat(" not in plan(catalogue.queries()["t_budgets"](spark, small))
+
+
+def test_closures_find_each_pair_about_once(spark):
+    """Rings, chains, forks and loops against brute force; bytes shuffled a pair."""
+    edges = [(100 * r + i, 100 * r + (i + 1) % 40) for r in range(50) for i in range(40)]
+    edges += [(9000 + i, 9000 + (i * i + 1) % 23) for i in range(23)] + [(9000 + i, 9000 + i // 2) for i in range(23)] + [(9900, 9901), (9901, 9901)]
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    expected = set(edges)
+    for a in ahead:
+        seen, todo = set(), [a]
+        while todo:
+            new = ahead.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        expected |= {(a, b) for b in seen if a != b}
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = [tuple(r) for r in relate.alias_closure(spark.createDataFrame(edges, "name int, target int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert (written() - before) / len(got) < 100
