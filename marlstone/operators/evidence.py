@@ -8,7 +8,7 @@ read; all other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.classify import space, spaces_overlap
@@ -204,12 +204,19 @@ def region_coverage(anchors: DataFrame, rules: DataFrame, gap: int = 2) -> DataF
     """Regions of lines worth citing that no rule cites.
 
     ``anchors``: object_id, line; ``rules``: object_id, line_start, line_end.
-    Uncovered lines at most ``gap`` apart are one region.
+    Uncovered lines at most ``gap`` apart are one region.  Lines and starts of
+    rules are read in one order: a line is covered if a rule that has started
+    ends there or later.
     """
     from marlstone.operators.relate import islands
 
-    covered = rules.filter("line_start >= 0").select("object_id", F.explode(F.sequence("line_start", F.greatest("line_start", "line_end"))).alias("line")).distinct()
-    left = anchors.select("object_id", "line").distinct().join(covered, ["object_id", "line"], "left_anti")
+    lines = anchors.select("object_id", F.col("line").cast("long").alias("line"), F.lit(None).cast("long").alias("until"))
+    starts = rules.filter("line_start >= 0 and object_id is not null").select("object_id", F.col("line_start").cast("long").alias("line"), F.greatest("line_start", "line_end").cast("long").alias("until"))
+    order = Window.partitionBy("object_id").orderBy("line", F.desc_nulls_last("until"))
+    seen = lines.unionByName(starts).withColumn("__end", F.max("until").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("until is null")
+    # a line is once in its object; equal ones are neighbours
+    once = seen.withColumn("__again", F.lag(F.struct("line")).over(Window.partitionBy("object_id").orderBy("line")).eqNullSafe(F.struct("line")))
+    left = once.filter(~F.col("__again") & F.coalesce(F.col("__end") < F.col("line"), F.lit(True))).select("object_id", F.col("line").cast(anchors.schema["line"].dataType).alias("line"))
     return islands(left, ["object_id"], "line", gap).groupBy("object_id", "island").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("n_lines")).drop("island")
 
 

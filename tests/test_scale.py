@@ -1,6 +1,6 @@
 """What plans must not do, as tables grow."""
 
-from marlstone.operators import relate
+from marlstone.operators import evidence, relate
 from marlstone.plans import catalogue
 
 
@@ -78,3 +78,14 @@ def test_closures_find_each_pair_about_once(spark):
     got = [tuple(r) for r in relate.alias_closure(spark.createDataFrame(edges, "name int, target int")).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     assert (written() - before) / len(got) < 100
+
+
+def test_covered_lines_are_not_listed(spark):
+    """A rule of many lines is one row, and all goes through one exchange."""
+    anchors = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (1, 30), (1, 33), (1, None), (2, 5), (None, 5)], "object_id int, line int")
+    rules = spark.createDataFrame([(1, 1, 10**9), (1, -1, 99), (2, 6, 9), (2, 7, 4), (None, 1, 9)], "object_id int, line_start int, line_end int")
+    found = evidence.region_coverage(anchors, rules)
+    assert "explode" not in plan(found).lower() and plan(found).count("Exchange") == 1
+    assert {tuple(r) for r in found.collect()} == {(1, None, None, 1), (2, 5, 5, 1), (None, 5, 5, 1)}
+    found = evidence.region_coverage(anchors, rules.filter("line_end < 10"))
+    assert {tuple(r) for r in found.collect()} == {(1, 5, 6, 2), (1, 30, 30, 1), (1, 33, 33, 1), (1, None, None, 1), (2, 5, 5, 1), (None, 5, 5, 1)}
