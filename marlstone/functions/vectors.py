@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.arrow import mapped
+from marlstone.functions.arrow import streamed
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 
@@ -159,4 +159,4 @@ def embed(text: str, size: int = 384) -> list[float]:
 
 
 def embedded(text: Column, size: int = 384) -> Column:
-    return mapped(lambda t: embed(t or "", size), "array<double>", text)
+    return streamed(lambda t: embed(t or "", size), "array<double>", text)

@@ -1,5 +1,10 @@
 """What plans must not do, as tables grow."""
 
+import re
+
+import pyarrow as pa
+
+from marlstone.functions import arrow
 from marlstone.operators import evidence, relate
 from marlstone.plans import catalogue
 
@@ -89,3 +94,14 @@ def test_covered_lines_are_not_listed(spark):
     assert {tuple(r) for r in found.collect()} == {(1, None, None, 1), (2, 5, 5, 1), (None, 5, 5, 1)}
     found = evidence.region_coverage(anchors, rules.filter("line_end < 10"))
     assert {tuple(r) for r in found.collect()} == {(1, 5, 6, 2), (1, 30, 30, 1), (1, 33, 33, 1), (1, None, None, 1), (2, 5, 5, 1), (None, 5, 5, 1)}
+
+
+def test_long_results_leave_a_worker_in_parts(spark, small):
+    seen = []
+    made = arrow.parts(lambda t: seen.append(t) or [t] * 3, pa.list_(pa.string()), (pa.array(["x"] * 1000),), 64)
+    assert len(next(made)) == len(seen) == 64 and sum(map(len, made)) == 936
+    for name in ("t_overlap_chunks", "v_hash_embed"):
+        df = catalogue.queries()[name](spark, small)
+        # 200 is the pandas function of a whole batch, 250 the Arrow one
+        assert not re.search(r"EvalPython .*, 2[05]0$", plan(df), re.M), name
+        assert df.count() > 0
